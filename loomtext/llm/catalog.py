@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, mixing, secrets
+from loomtext.llm import chat, decontaminate, mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +19,13 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_chat_format, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_chat_format, op8_decontaminate, op9_source_mix)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}

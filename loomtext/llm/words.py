@@ -66,8 +66,8 @@ def table_of(word_bytes) -> np.ndarray:
 
 #: [^\x20\x09-\x0D]+ : all but ASCII white space.
 NOT_SPACE = table_of(b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D)
-#: Digits, lower-case letters and all beyond ASCII (A-Z lower-cased before).
-ALNUM = table_of([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
+#: Digits, letters in either case and all beyond ASCII.
+ALNUM = table_of([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
