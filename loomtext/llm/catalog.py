@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, mixing, secrets
+from loomtext.llm import chat, decontaminate, langid, mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -27,5 +31,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_chat_format, op8_decontaminate, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op7_chat_format, op8_decontaminate, op9_source_mix)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}
