@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, langid, mixing, secrets
+from loomtext.llm import chat, decontaminate, langid, mixing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op7_chat_format, op8_decontaminate, op9_source_mix)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}
