@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, langid, mixing, secrets, toxicity
+from loomtext.llm import chat, decontaminate, langid, minhash, mixing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -35,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_minhash_dedup, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}
