@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, langid, minhash, mixing, secrets, toxicity
+from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_language_id, op4_minhash_dedup, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,28 +50,36 @@ def block_pairs(members: DataFrame, bucket: list[str], spread_by: str, block: in
     return dealt.select(*members.columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys in a sorted stream of batches; holds one run at a time."""
-    import numpy as np
+def chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of rows with equal keys from a sorted stream: a table and the bounds of its runs.
 
-    held: list[pa.Table] = []
-    last = None
+    Holds one batch and the run that its end cuts.
+    """
+    rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        cols = [table.column(k).combine_chunks() for k in keys]
-        change = np.zeros(table.num_rows, dtype=bool)
-        for c in cols:
-            x = np.asarray(c.to_numpy(zero_copy_only=False))
-            change[1:] |= x[1:] != x[:-1]
-        cut = [0, *np.flatnonzero(change).tolist(), table.num_rows]
-        for at, to in zip(cut, cut[1:]):
-            key = tuple(c[at].as_py() for c in cols)
-            if held and key != last:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(at, to - at))
-            last = key
-    if held:
-        yield pa.concat_tables(held)
+        table = (pa.concat_tables([rest, table]) if rest is not None else table).combine_chunks()
+        cut = _bounds(table, keys)
+        if len(cut) > 2:
+            yield table.slice(0, int(cut[-2])), cut[:-1]
+            table = table.slice(int(cut[-2]))
+        rest = table
+    if rest is not None:
+        yield rest, _bounds(rest, keys)
+
+
+def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows, dtype=bool)
+    for k in keys:
+        x = table.column(k).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.concatenate(([0], np.flatnonzero(change), [table.num_rows]))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, one at a time."""
+    for table, cut in chunks(batches, keys):
+        for at, to in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            yield table.slice(at, to - at)
