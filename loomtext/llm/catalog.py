@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, repeats, secrets, toxicity
+from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -47,5 +51,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op5_repeated_passages, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op5_repeated_passages, op6_page_text, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
 ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}
