@@ -6,8 +6,9 @@ similarity, so that only pairs that may reach the threshold are confirmed, on th
 
 Texts with equal sets form one class, and classes are what is compared. In each bucket the classes are first linked
 to one centre (the class that shares most buckets), each with its best centre only; those already joined need no
-further comparison, and the pairs left between different components are estimated block by block within their
-buckets, without emitting what falls short. A pair at the threshold shares no band with probability under 1e-6 and
+further comparison. Where a bucket still holds several components, its members are estimated block by block, and
+those that may be linked across components form families; within a family, blocks of full sets are compared as
+matrices. Neither step emits pairs: a block gives one edge per member. A pair at the threshold shares no band with probability under 1e-6 and
 is estimated below the bar with probability under 1e-5; all other results are exact.
 
 Nulls: a null text has no words. A text without words links with nothing. A null doc_id is its own component's id
@@ -31,6 +32,8 @@ BANDS, ROWS, BITS = 32, 6, 4
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is given up.
 SIGMAS = 4.75
 BLOCK = 2048
+#: Texts of a family whose full sets meet in one matrix product, on either side.
+EXACT_BLOCK = 256
 #: Members that are confirmed against one copy of their centre's text.
 PER_CENTRE = 256
 
@@ -146,32 +149,90 @@ def _estimate_rows(least: float):
     return run
 
 
+def _linked(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The least index linked to each of n, by repeated minima along the edges."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, one, low[two])
+        np.minimum.at(new, two, low[one])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _edges(node: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pa.RecordBatch | None:
+    """For the pairs found in a block, one edge per member: to the first of those it is joined with."""
+    x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (one, two))
+    if not len(x):
+        return None
+    root = _linked(len(node), x, y)
+    some = np.flatnonzero(root != np.arange(len(node)))
+    return pa.RecordBatch.from_arrays([pa.array(node[some].tolist(), pa.binary()), pa.array(node[root[some]].tolist(), pa.binary())], ["node", "centre"])
+
+
+def _sides(group: pa.Table) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+    side = group.column("_side").to_numpy()
+    same = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
+    left = np.flatnonzero(side == 0)
+    return same, left, left if same else np.flatnonzero(side == 1), np.array(group.column("node").to_pylist(), dtype=object)
+
+
 def _across(least: float):
-    """Pairs of different components that may reach the threshold, each in the first band they share."""
+    """Joins the members of a bucket that stand in different components and may reach the threshold."""
 
     def run(batches):
         for group in groups(batches, ["key", "_i", "_j"]):
-            side = group.column("_side").to_numpy()
-            label = np.array(group.column("label").to_pylist(), dtype=object)
-            node = np.array(group.column("node").to_pylist(), dtype=object)
-            bands, packed = _unpacked(group.column("bands"), BANDS), _unpacked(group.column("packed"), WORDS64)
-            band = int(group.column("band")[0].as_py())
-            _, label = np.unique(label, return_inverse=True)
-            same = group.column("_i")[0].as_py() == group.column("_j")[0].as_py()
-            left = np.flatnonzero(side == 0)
-            right = left if same else np.flatnonzero(side == 1)
-            out_a, out_b = [], []
+            same, left, right, node = _sides(group)
+            _, label = np.unique(np.array(group.column("label").to_pylist(), dtype=object), return_inverse=True)
+            packed = _unpacked(group.column("packed"), WORDS64)
+            one, two = [], []
             for at, x in enumerate(left):
                 rest = right[at + 1 :] if same else right
                 rest = rest[label[rest] != label[x]]
-                for cut in range(0, len(rest), 4096):
-                    y = rest[cut : cut + 4096]
-                    y = y[estimates(packed[x], packed[y]) >= least]
-                    y = y[~(bands[y, :band] == bands[x, :band]).any(1)]
-                    out_a += [node[x]] * len(y)
-                    out_b += node[y].tolist()
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["node", "centre"])
+                y = rest[estimates(packed[x], packed[rest]) >= least]
+                one.append(np.full(len(y), x))
+                two.append(y)
+            if (edges := _edges(node, one, two)) is not None:
+                yield edges
+
+    return run
+
+
+#: Columns of the matrices of which shingle stands in which text.
+COLUMNS = 1 << 14
+
+
+def _exact(size: int, percent: int):
+    """Links within a block by full sets: products of 0/1 matrices count common shingles. Gives one edge per member."""
+
+    def run(batches):
+        for group in groups(batches, ["family", "_i", "_j"]):
+            same, left, right, node = _sides(group)
+            sets = [s for block in blocks(group.column("text")) for s in shingle_sets(block, size)]
+            count = np.array([len(s) for s in sets], dtype=np.int64)
+            _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(sets)), count)
+            row, column = row[times[column] > 1], column[times[column] > 1]
+            _, column = np.unique(column, return_inverse=True)
+            common = np.zeros((len(left), len(right)), dtype=np.float32)
+            of_left, of_right = np.full(len(sets), -1), np.full(len(sets), -1)
+            of_left[left], of_right[right] = np.arange(len(left)), np.arange(len(right))
+            for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+                inside = (column >= at) & (column < at + COLUMNS)
+                r, c = row[inside], column[inside] - at
+                m = np.zeros((len(left), COLUMNS), dtype=np.float32)
+                m[of_left[r[of_left[r] >= 0]], c[of_left[r] >= 0]] = 1
+                k = m
+                if not same:
+                    k = np.zeros((len(right), COLUMNS), dtype=np.float32)
+                    k[of_right[r[of_right[r] >= 0]], c[of_right[r] >= 0]] = 1
+                common += m @ k.T
+            common = common.astype(np.int64)
+            x, y = np.nonzero(100 * common >= percent * (count[left][:, None] + count[right] - common))
+            if (edges := _edges(node, [left[x]], [right[y]])) is not None:
+                yield edges
 
     return run
 
@@ -242,10 +303,12 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     label = F.coalesce("label", "node").alias("label")
     members = shared.drop("size").join(joined, "node", "left").select("node", "band", "key", label)
     torn = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    loaded = members.join(torn, "key").join(classes.select("node", "bands", "packed"), "node")
+    loaded = members.join(torn, "key").join(packed, "node")
     blocked = block_pairs(loaded, ["key"], "node", BLOCK).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    across = settle(blocked.mapInArrow(_across(least), "node binary, centre binary"), "across")
-    second = confirm(across, texts, size, percent)
+    families = components(blocked.mapInArrow(_across(least), "node binary, centre binary"), "node", "centre")
+    read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
+    blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
+    second = blocked.mapInArrow(_exact(size, percent), "node binary, centre binary")
     links = settle(first.unionByName(second), "links")
     labels = components(links, "node", "centre")
 
