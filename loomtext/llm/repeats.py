@@ -4,9 +4,10 @@ A byte is removed if it lies in a string of LENGTH bytes that also starts elsewh
 anchor: the leftmost least hash of GRAM bytes within them. Texts are cut at anchors into contexts, the bytes of all
 strings that share one anchor; only anchors that recur are followed up, and equal contexts are one class with a
 count before anything is moved. The classes of an anchor meet in shards: suffix order by prefix doubling, common
-prefixes of neighbours, previous and next smaller positions in suffix order, and from them the longest match that
-begins earlier and the longest that begins later (both cut off at LENGTH). An anchor with very many classes is
-salted over shards, and what its shards leave open is counted over all of them by fingerprint.
+prefixes of neighbours, previous and next smaller positions in suffix order, and from them the longest previous
+factor of every start (cut off at LENGTH) with the place of its earlier occurrence. An anchor with very many classes
+is salted over shards, and what its shards leave open is counted over all of them by fingerprint: first of parts of
+neighbouring strings, then of subparts and single strings where a part recurs.
 
 ``keep_first`` leaves the first occurrence (in order of text key and place) of what recurs, and otherwise every
 occurrence goes. Nulls: a null text is empty. Rows with equal texts give equal results, as copies of each other.
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.graph import chunks
 from loomtext.llm.storage import settle
-from loomtext.llm.words import blocks, mixed, prefix_hashes, span_hashes
+from loomtext.llm.words import blocks, mixed, prefix_hashes, span_hashes, spread
 
 LENGTH, GRAM = 400, 64
 #: Classes of one anchor that meet in one shard.
 PER_SHARD = 512
 #: Bytes of contexts that are put into one suffix order.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 3 << 18
+#: Strings of an anchor are counted over shards in parts and subparts of so many neighbouring starts.
+PART, SUBPART = 30, 6
 
 
 def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +55,14 @@ def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     return place[first], first, np.append(first[1:], starts) - 1
 
 
-_ANCHORS = "text_key long, n_bytes long, low int, high int, gram long, context long"
+_ANCHORS = "text_key long, n_bytes long, low int, high int, anchor int, gram long, context long"
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     window = LENGTH - GRAM + 1
     for batch in batches:
         key = batch.column("text_key").to_numpy()
-        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         for block in blocks(batch.column("text")):
             if len(block.data) <= GRAM:
                 continue
@@ -72,15 +75,15 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 gram = grams[begin + place]
                 context = mixed(span_hashes(prefix, begin + low, begin + high + LENGTH) + (place - low).astype(np.uint64))
                 n = len(place)
-                for part, x in zip(parts, (np.full(n, key[block.first + i]), np.full(n, finish - begin), low, high, gram.view(np.int64), context.view(np.int64))):
+                for part, x in zip(parts, (np.full(n, key[block.first + i]), np.full(n, finish - begin), low, high, place - low, gram.view(np.int64), context.view(np.int64))):
                     part.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         cols = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)).cast(k) for p, k in zip(parts, kinds)]
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ANCHORS.split(", ")])
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Positions in order of the next ``depth`` bytes, ties by position; and the ranks at the depths of the doubling."""
+def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 8, 16, 32, ... and at last ``depth`` bytes, by prefix doubling."""
     n = len(data)
     wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
@@ -88,13 +91,13 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
         key = (key << np.uint64(8)) | wide[k : k + n]
     levels, have = [], 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
         levels.append((have, rank))
         if have >= depth:
-            return order, levels
+            return levels
         step = min(have, depth - have)
         second = np.zeros(n, dtype=np.int64)
         second[: max(0, n - step)] = rank[step:] + 1
@@ -104,13 +107,12 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[i
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """Length of the common prefix of each suffix in order with the one before, up to the last depth."""
-    n, depth = len(order), levels[-1][0]
+    n, depth = len(data), levels[-1][0]
     wide = np.concatenate((data, np.arange(2) + 256))
-    a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), dtype=np.int64)
+    a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, len(order) - 1), dtype=np.int64)
     full = levels[-1][1][a] == levels[-1][1][b]
-    sizes = [s for s, _ in levels if s & (s - 1) == 0]
     ranks = dict(levels)
-    for size in sorted(sizes, reverse=True):
+    for size in sorted((s for s, _ in levels if s & (s - 1) == 0), reverse=True):
         inside = (a < n) & (b < n)
         same = np.zeros(len(a), dtype=bool)
         same[inside] = ranks[size][a[inside]] == ranks[size][b[inside]]
@@ -123,10 +125,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, levels: list[tuple[int,
     return np.concatenate(([0], np.where(full, depth, np.minimum(out, depth - 1))))
 
 
-def smaller_positions(order: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    """By place in suffix order: the longest common prefix with the nearest suffix before that begins earlier in the text."""
-    n = len(order)
-    previous, low = np.arange(n) - 1, prefixes.copy()
+def smaller_positions(order: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place in suffix order: the place of the nearest suffix before that begins earlier in the text (-1: none), and the common prefix with it."""
+    previous, low = np.arange(len(order)) - 1, prefixes.copy()
     open_ = np.flatnonzero((previous >= 0) & (order[np.maximum(previous, 0)] > order))
     while len(open_):
         j = previous[open_]
@@ -134,22 +135,28 @@ def smaller_positions(order: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
         previous[open_] = previous[j]
         open_ = open_[(previous[open_] >= 0) & (order[np.maximum(previous[open_], 0)] > order[open_])]
     low[previous < 0] = 0
-    return low
+    return previous, low
 
 
-def longest_factors(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position, the longest match (up to ``depth``) that begins earlier, and that begins later."""
-    order, levels = suffix_order(data, depth)
+def longest_previous_factors(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each start (all positions by default): the length, up to ``depth``, of the longest match with an earlier start, and that start."""
+    starts = np.arange(len(data)) if starts is None else starts
+    levels = suffix_ranks(data, depth)
+    order = starts[np.argsort(levels[-1][1][starts] * np.int64(len(data) + 1) + starts)]
     prefixes = common_prefixes(data, order, levels)
-    turned = np.concatenate(([0], prefixes[:0:-1]))
-    earlier, later = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
-    earlier[order] = np.maximum(smaller_positions(order, prefixes), smaller_positions(order[::-1], turned)[::-1])
-    mirror = -order
-    later[order] = np.maximum(smaller_positions(mirror, prefixes), smaller_positions(mirror[::-1], turned)[::-1])
-    return earlier, later
+    before, p = smaller_positions(order, prefixes)
+    after, q = smaller_positions(order[::-1], np.concatenate(([0], prefixes[:0:-1])))
+    after, q = np.where(after >= 0, len(order) - 1 - after, -1)[::-1], q[::-1]
+    length, source = np.zeros(len(data), np.int64), np.full(len(data), -1)
+    length[order] = np.maximum(p, q)
+    source[order] = np.where(np.maximum(p, q) > 0, order[np.where(p >= q, before, after)], -1)
+    return length, source
 
 
-_SHARD = "gram long, context long, spans array<struct<start:int,end:int>>, open array<struct<start:int,mark:long>>"
+_OPEN = "array<struct<mark:long,subs:array<struct<mark:long,strings:array<struct<start:int,mark:long>>>>>>"
+_SHARD = f"gram long, context long, spans array<struct<start:int,end:int>>, open {_OPEN}"
+_SPANS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_OPEN_TYPE = pa.list_(pa.struct([("mark", pa.int64()), ("subs", pa.list_(pa.struct([("mark", pa.int64()), ("strings", pa.list_(pa.struct([("start", pa.int32()), ("mark", pa.int64())])))])))]))
 
 
 def _shards(keep_first: bool):
@@ -158,13 +165,11 @@ def _shards(keep_first: bool):
     def run(batches):
         for table, cut in chunks(batches, ["gram", "salt"]):
             at = 0
-            sizes = np.diff(cut)
             length = np.array([len(x) for x in table.column("bytes").to_pylist()])
-            total = np.add.reduceat(length, cut[:-1]) if len(length) else length
-            while at < len(sizes):
-                to = at + 1
-                held = int(total[at])
-                while to < len(sizes) and held + total[to] <= SHARD_BYTES:
+            total = np.add.reduceat(length, cut[:-1])
+            while at < len(total):
+                to, held = at + 1, int(total[at])
+                while to < len(total) and held + total[to] <= SHARD_BYTES:
                     held += int(total[to])
                     to += 1
                 yield _one_shard(table.slice(int(cut[at]), int(cut[to] - cut[at])), keep_first)
@@ -174,62 +179,84 @@ def _shards(keep_first: bool):
 
 
 def _one_shard(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
-    texts, times, salts = table.column("bytes").to_pylist(), table.column("times").to_numpy(), table.column("salts").to_numpy()
+    texts, times, salts, anchor = (table.column(c).to_pylist() for c in ("bytes", "times", "salts", "anchor"))
     data = np.frombuffer(b"\xff".join(texts), np.uint8)  # a byte that no text holds, so no string passes from one to the next
     size = np.array([len(x) for x in texts])
     begin = np.cumsum(size + 1) - (size + 1)
-    earlier, later = longest_factors(data, LENGTH)
-    prefix = None
+    length, source = longest_previous_factors(data, LENGTH, spread(begin, size - LENGTH + 1))
+    twice = length >= LENGTH
+    if not keep_first:
+        twice[source[twice]] = True
+    prefix = prefix_hashes(data) if max(salts) > 1 else None
     spans, opens = [], []
-    for b, n, copies, salted in zip(begin.tolist(), size.tolist(), times.tolist(), salts.tolist()):
-        starts = slice(b, b + n - LENGTH + 1)
-        twice = earlier[starts] >= LENGTH
-        if not keep_first:
-            twice = twice | (later[starts] >= LENGTH) | (copies > 1)
-        left = np.flatnonzero(~twice) if salted > 1 else []
-        if len(left):
-            prefix = prefix_hashes(data) if prefix is None else prefix
-            marks = span_hashes(prefix, b + left, b + left + LENGTH).view(np.int64)
-            opens.append([{"start": int(s), "mark": int(m)} for s, m in zip(left, marks)])
-        else:
-            opens.append([])
-        hit = np.flatnonzero(twice)
-        gap = np.flatnonzero(np.diff(hit) > 1)
-        first, last = hit[np.concatenate(([0], gap + 1)).astype(int)] if len(hit) else hit, hit[np.concatenate((gap, [len(hit) - 1])).astype(int)] if len(hit) else hit
-        spans.append([{"start": int(s), "end": int(e) + LENGTH} for s, e in zip(first, last)])
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("open", pa.list_(pa.struct([("start", pa.int32()), ("mark", pa.int64())])))])
-    return pa.RecordBatch.from_pydict({"gram": table.column("gram").combine_chunks(), "context": table.column("context").combine_chunks(), "spans": spans, "open": opens}, schema=schema)
+    for b, n, copies, salted, place in zip(begin.tolist(), size.tolist(), times, salts, anchor):
+        found = twice[b : b + n - LENGTH + 1] | (copies > 1 and not keep_first)
+        left = np.flatnonzero(~found)
+        opens.append(_nested(prefix, b, left, place) if salted > 1 and len(left) else [])
+        edge = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
+        spans.append([{"start": int(s), "end": int(e) - 1 + LENGTH} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
+    cols = [table.column("gram").combine_chunks(), table.column("context").combine_chunks(), pa.array(spans, _SPANS_TYPE), pa.array(opens, _OPEN_TYPE)]
+    return pa.RecordBatch.from_arrays(cols, ["gram", "context", "spans", "open"])
+
+
+def _nested(prefix: np.ndarray, begin: int, starts: np.ndarray, anchor: int) -> list[dict]:
+    """Fingerprints of strings by their distance before the anchor, in parts and subparts; that of a part is of the bytes all its strings share."""
+
+    def mark(first: int, n: int) -> int:
+        return int(span_hashes(prefix, np.array([begin + first]), np.array([begin + first + n])).view(np.int64)[0])
+
+    out: list[dict] = []
+    part = sub = None
+    for start in starts[::-1].tolist():
+        ahead = anchor - start
+        if ahead // PART != part:
+            part, sub = ahead // PART, None
+            out.append({"mark": mark(anchor - part * PART, LENGTH - PART + 1), "subs": []})
+        if ahead // SUBPART != sub:
+            sub = ahead // SUBPART
+            out[-1]["subs"].append({"mark": mark(anchor - sub * SUBPART, LENGTH - SUBPART + 1), "strings": []})
+        out[-1]["subs"][-1]["strings"].append({"start": start, "mark": mark(start, LENGTH)})
+    return out
 
 
 def _slices(batches):
     """Cuts the contexts asked for out of each text."""
+    names = ("gram", "context", "times", "salt", "salts", "anchor")
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("gram", "context", "times", "salt", "salts", "bytes")}
+        out: dict[str, list] = {k: [] for k in (*names, "bytes")}
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
             raw = text.encode()
             for a in asked:
-                for k in ("gram", "context", "times", "salt", "salts"):
+                for k in names:
                     out[k].append(a[k])
                 out["bytes"].append(raw[a["low"] : a["high"] + LENGTH])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((k, pa.int64()) for k in ("gram", "context", "times", "salt", "salts")), ("bytes", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((k, pa.int64()) for k in names), ("bytes", pa.binary())]))
+
+
+def _recurring(marked: DataFrame) -> DataFrame:
+    """Rows whose (gram, mark) stands in more than one context."""
+    marked = settle(marked, "marks")
+    again = settle(marked.groupBy("gram", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring-marks")
+    return marked.join(again, ["gram", "mark"])
 
 
 def repeated_spans(keyed: DataFrame, keep_first: bool = False) -> DataFrame:
     """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings. keyed: text_key, n_bytes, text."""
     found = settle(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "text").mapInArrow(_find_anchors, _ANCHORS), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    again = settle(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "recurring-grams")
     places = settle(found.join(again, "gram"), "recurring-anchors")
-    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "n_bytes", "low", "high")).alias("at"))
+    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "n_bytes", "low", "high", "anchor")).alias("at"))
     classes = settle(classes.select("gram", "context", "times", "at.*"), "contexts")
-    per = classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD))
+    per = settle(classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD)), "classes-per-gram")
     dealt = classes.join(per, "gram").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
     alone = (F.col("classes") == 1) & (not keep_first)
-    one = F.struct("gram", "context", "times", "salt", "salts", "low", "high")
+    one = F.struct("gram", "context", "times", "salt", "salts", "low", "high", "anchor")
     asked = dealt.filter(~alone).groupBy("text_key", "n_bytes").agg(F.collect_list(one).alias("asked"))
-    sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked").mapInArrow(_slices, "gram long, context long, times long, salt long, salts long, bytes binary")
+    sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked").mapInArrow(_slices, "gram long, context long, times long, salt long, salts long, anchor long, bytes binary")
     sharded = settle(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_shards(keep_first), _SHARD), "shards")
-    open_ = sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.start", "o.mark")
-    common = open_.join(open_.groupBy("gram", "mark").agg(F.count("*").alias("n")).filter("n > 1"), ["gram", "mark"])
+    parts = _recurring(sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.*"))
+    subs = _recurring(parts.select("gram", "context", F.explode("subs").alias("o")).select("gram", "context", "o.*"))
+    common = _recurring(subs.select("gram", "context", F.explode("strings").alias("o")).select("gram", "context", "o.*"))
     late = common.select("gram", "context", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("spans"))
     whole = dealt.filter(alone).select("gram", "context", F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + LENGTH).cast("int").alias("end"))).alias("spans"))
     spans = sharded.select("gram", "context", "spans").filter(F.size("spans") > 0).unionByName(late).unionByName(whole)
