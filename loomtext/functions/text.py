@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,6 @@ def query_parameters(query: Column) -> Column:
 
 def stems(words: DataFrame, column: str, stemmer: str = "porter", keep: tuple[str, ...] = ()) -> DataFrame:
     """word, stem for the distinct words of a column. Words in ``keep`` stay as they are; ``none`` keeps all."""
-    import pandas as pd
-
     from loomtext.functions.porter import stem
 
     distinct = words.select(F.col(column).alias("word")).distinct()
