@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import STOPWORDS
 from loomtext.operators import proximity
 from loomtext.operators.corpus import Corpus
-from loomtext.plans.compile import Model, search, top_k
+from loomtext.plans.compile import Model, search
 from loomtext.plans.query import parse, wrap
 
 QUERIES: dict = {}
@@ -304,4 +304,26 @@ def tree_text(text: str, model: str) -> str:
     return str(parse(wrap(text, model)))
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "top_k", "tree_text"]
+@query(
+    f"WITH {BASE}, {terms_sql('aich', 'aien', 'that')}, r AS (" + ranked_sql(f"SELECT doc_id, sum({BM25_TF}) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id")
+    + ") SELECT qid, rank, printf('%s Q0 %s %d %.12f run-1', qid, doc_id::VARCHAR, rank, score) AS line FROM r UNION ALL SELECT 'q2', 1, 'q2 Q0 dummy 1 0 run-1'"
+)
+def trec_run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of two queries, of which the second is all stopwords."""
+    from loomtext.sources import files
+
+    results = bm25_topk(spark, sf_dir).withColumn("external_id", F.col("doc_id").cast("string"))
+    trees = {"q1": parse(wrap("aich aien that", "bm25")), "q2": parse(wrap("the of", "bm25"), STOPWORDS)}
+    asked = spark.createDataFrame([(q, t is None) for q, t in trees.items()], "qid string, empty boolean")
+    return files.run_lines(results, asked)
+
+
+@query("SELECT doc_id, quality AS rel, 'q' || (doc_id % 3)::VARCHAR AS qid FROM labels WHERE doc_id > 0")
+def qrel_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labels`` written as qrel lines and read back."""
+    from loomtext.sources import files
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    made = labels.select(F.lit(0).alias("line_no"), F.concat_ws(" ", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")), F.lit("0"), F.col("doc_id").cast("string"), F.col("quality").cast("string")).alias("line"))
+    ids = Corpus.documents(spark, sf_dir).docs.select("doc_id", F.col("doc_id").cast("string").alias("external_id"))
+    return files.qrels(made, ids).select("doc_id", "rel", "qid")
