@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm.storage import map_batches, only
+
 OPEN, SEPARATOR, CLOSE = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: Strings that chat models take as control; a backslash goes behind the first character of each in a text.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>")
@@ -116,7 +118,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def conversation_digests(rendered: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted pieces."""
     ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", F.col("seq").asc_nulls_first(), "role", "text", "message")
-    return ordered.select("conv_id", "formatted", "mask_start", "mask_end").mapInArrow(_digests, _DIGEST)
+    return map_batches(ordered.select("conv_id", "formatted", "mask_start", "mask_end"), _digests, _DIGEST)
 
 
 def planted(spark: SparkSession) -> DataFrame:
@@ -126,5 +128,5 @@ def planted(spark: SparkSession) -> DataFrame:
 
 def formatted_conversations(turns: DataFrame) -> DataFrame:
     """All conversations of a table of turns and conversation -7, formatted and read back."""
-    rows = turns.select("conv_id", "turn", "role", "text").unionByName(planted(turns.sparkSession))
+    rows = only(turns, "conv_id", "turn", "role", "text").unionByName(planted(turns.sparkSession))
     return conversation_digests(render(reconstruct(log_of_turns(rows))))

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.storage import aside, map_batches, only
 from loomtext.llm.words import ALNUM, LOWER, blocks, prefix_hashes, span_hashes, spread
 
 WINDOW = 10
 BLOCK_WORDS = 400_000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 16
 
 
@@ -215,7 +216,7 @@ def _append(batch: pa.RecordBatch, name: str, more: pa.ListArray) -> pa.Array:
 
 def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
     block, size = [], 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
+    for row in only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         block.append((row[0], row[1]))
         size += len((row[1] or "").split()) + 1
         if size >= BLOCK_WORDS:
@@ -231,13 +232,13 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     for items in [*_benchmark_blocks(benchmark)] or [[]]:
         kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
         schema = ", ".join([*kinds, "_n_words long", "_spans array<struct<start:long,end:long,from_byte:long,to_byte:long>>", "_items array<string>"])
-        found = found.mapInArrow(_search(Patterns(items, window)), schema)
+        found = map_batches(found, _search(Patterns(items, window)), schema)
     return found
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: words, hit words, items with occurring windows and a digest of their ids."""
-    found = search(docs.select("doc_id", "text"), benchmark)
+    found = search(only(docs, "doc_id", "text"), benchmark)
     merge = lambda s, x: F.struct(
         F.greatest(s["to"], x["end"]).alias("to"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(s["to"], x["start"]))).alias("n")
     )
@@ -264,9 +265,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the merged removal spans; those of which no word is left go. n_chars follows the text."""
+    docs, restored = aside(docs, "doc_id", "text", "n_chars")
     found = search(docs, benchmark)
     hit = F.size("_spans") > 0
     kept = found.filter(~hit | (F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]) < F.col("_n_words")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _was_hit boolean"
-    cut = kept.withColumn("_was_hit", hit).mapInArrow(_cut, schema)
-    return cut.withColumn("n_chars", F.when(F.col("_was_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cut = map_batches(kept.withColumn("_was_hit", hit), _cut, schema)
+    return restored(cut.withColumn("n_chars", F.when(F.col("_was_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))))

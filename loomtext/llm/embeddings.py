@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import block_pairs, chunks, components
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import map_batches, only, settle
 from loomtext.llm.words import spread
 
 ROTATIONS = 4
@@ -170,7 +170,7 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     e = F.col("embedding")
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    rows = only(vectors, "vec_id", "label", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     rows = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & e.isNotNull() & finite, F.lit(False)))
     usable = rows.filter("usable")
     name = F.xxhash64("label", "embedding")
@@ -180,11 +180,11 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         bits, tables = tables_for(n, threshold)
         own = classes.filter(F.size("embedding") == dim).select("label", "class_id", "n", "embedding")
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-        keyed = own.mapInArrow(_keyed(dim, bits, tables), f"{kinds}, keys array<long>")
+        keyed = map_batches(own, _keyed(dim, bits, tables), f"{kinds}, keys array<long>")
         placed = keyed.select("label", "class_id", F.posexplode("keys").alias("table", "key"))
         blocked = block_pairs(placed, ["label", "table", "key"], "class_id", BLOCK).join(own.drop("label"), "class_id")
         order = ["label", "table", "key", "_i", "_j"]
-        found = blocked.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links(dim, bits, tables, threshold), "class_id long, links long, root long")
+        found = map_batches(blocked.repartition(*order).sortWithinPartitions(*order), _links(dim, bits, tables, threshold), "class_id long, links long, root long")
         links = found if links is None else links.unionByName(found)
     if links is None:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import block_pairs, components, groups
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import aside, map_batches, only, settle
 from loomtext.llm.words import LOWER, NOT_SPACE, Block, blocks, mixed, prefix_hashes, span_hashes, starts_by_text
 
 BANDS, ROWS, BITS = 32, 6, 4
@@ -51,7 +51,7 @@ def shingle_sets(block: Block, size: int) -> list[np.ndarray]:
     n = len(words)
     rolled = np.zeros(max(0, n - size + 1), dtype=np.uint64)
     for k in range(size):
-        rolled = mixed(rolled * np.uint64(0x9FB21C651E98DF25) + words[k : n - size + 1 + k])
+        rolled = mixed(rolled * np.uint64(0x9FB21C651E98DF25) + words[k : k + len(rolled)])
     bounds = starts_by_text(owner, len(block))
     out = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -112,7 +112,7 @@ def _signatures(size: int):
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, node (128 bits that name the set), bands, packed."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(_signatures(size), "doc_id long, n_shingles long, node binary, bands binary, packed binary")
+    return map_batches(slim, _signatures(size), "doc_id long, n_shingles long, node binary, bands binary, packed binary")
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -269,7 +269,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     members = asked.join(texts, "node").select("centre", "salt", F.lit(1).alias("role"), "node", "text")
     centres = asked.select("centre", "salt").distinct().join(texts.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.lit(0).alias("role"), F.col("centre").alias("node"), "text")
     ordered = members.unionByName(centres).repartition("centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return ordered.mapInArrow(_confirm(size, percent), "node binary, centre binary")
+    return map_batches(ordered, _confirm(size, percent), "node binary, centre binary")
 
 
 def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,7 +277,7 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Links are pairs with 100 * intersection >= percent * union of their ``size``-word shingle sets.
     """
-    least = bar(percent / 100)
+    docs, least = only(docs, "doc_id", "text"), bar(percent / 100)
     signed = settle(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
@@ -291,7 +291,7 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     star = weighed.join(centres, "key").filter("node <> centre").select("node", "centre").distinct()
     packed = classes.select("node", "packed")
     estimated = star.join(packed, "node").join(packed.select(F.col("node").alias("centre"), F.col("packed").alias("centre_packed")), "centre")
-    best = estimated.mapInArrow(_estimate_rows(least), "node binary, centre binary, estimate double").groupBy("node").agg(F.max_by("centre", F.struct("estimate", "centre")).alias("centre"))
+    best = map_batches(estimated, _estimate_rows(least), "node binary, centre binary, estimate double").groupBy("node").agg(F.max_by("centre", F.struct("estimate", "centre")).alias("centre"))
     best = settle(best, "best-centres")
 
     wanted = shared.select("node").distinct()
@@ -305,10 +305,10 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     torn = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     loaded = members.join(torn, "key").join(packed, "node")
     blocked = block_pairs(loaded, ["key"], "node", BLOCK).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    families = components(blocked.mapInArrow(_across(least), "node binary, centre binary"), "node", "centre")
+    families = components(map_batches(blocked, _across(least), "node binary, centre binary"), "node", "centre")
     read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
     blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
-    second = blocked.mapInArrow(_exact(size, percent), "node binary, centre binary")
+    second = map_batches(blocked, _exact(size, percent), "node binary, centre binary")
     links = settle(first.unionByName(second), "links")
     labels = components(links, "node", "centre")
 
@@ -337,16 +337,17 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     same = F.col("doc_id").eqNullSafe(F.col("of_id"))
     some = own.join(chosen.select(F.col("doc_id").alias("of_id")).distinct(), same, "left_semi").select("text")
-    return some.mapInArrow(_node_of(size), "node binary, text string").dropDuplicates(["node"])
+    return map_batches(some, _node_of(size), "node binary, text string").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which each group of near duplicates keeps the one with the smallest id."""
+    docs, restored = aside(docs, "doc_id", "text")
     clustered = cluster(docs, size, percent)
     gone = settle(clustered.filter(~F.col("kept")).select(F.col("doc_id").alias("of_id")).distinct(), "dropped")
     left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")), "left_anti")
     twice = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("of_id"))
     if twice.isEmpty():
-        return left
+        return restored(left)
     again = F.col("doc_id").eqNullSafe(F.col("of_id"))
-    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return restored(left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"])))

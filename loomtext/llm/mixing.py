@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import aside, only, settle
 
 #: Weights by the source's place in code point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -77,13 +77,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each document as often as it is taken."""
+    docs, restored = aside(docs, "doc_id", "source", "text")
     planned = plan_mix(docs, **options)
-    return planned.withColumn("doc", F.explode(F.array_repeat("doc", F.col("copies")))).select("doc.*")
+    return restored(planned.withColumn("doc", F.explode(F.array_repeat("doc", F.col("copies")))).select("doc.*"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies."""
-    return plan_mix(docs.select("doc_id", "source", "text")).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"))
+    return plan_mix(only(docs, "doc_id", "source", "text")).select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
 REPORT_SQL = r"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import aside, only, settle
 
 KINDS = ("assign", "access", "hex", "owned")
 #: The patterns of the base kinds. ASSIGN spells both cases out, for engines whose flag i folds beyond ASCII.
@@ -51,7 +51,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, text_hash, owner, base spans and candidate spans that touch no base span."""
     text = F.coalesce("text", F.lit(""))
-    own = docs.select("doc_id", F.col("source").alias("owner"), text.alias("text"))
+    own = only(docs, "doc_id", "text", "source").select("doc_id", F.col("source").alias("owner"), text.alias("text"))
     own = own.withColumn("text_hash", F.xxhash64("text"))
     own = own.withColumn("base", F.array_sort(F.concat(_spans(F.col("text"), ASSIGN, 0, 2, ASSIGN_LEAST), _spans(F.col("text"), ACCESS, 1), _spans(F.col("text"), HEX, 2))))
     long = _spans(F.col("text"), CANDIDATE, 3)
@@ -98,6 +98,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """The documents with each run of overlapping spans replaced by ``mark``; n_chars follows the new text."""
+    docs, restored = aside(docs, "doc_id", "text", "source", "n_chars")
     hit = find(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "spans").dropDuplicates(["of_id", "of_hash"])
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("_text_hash") == F.col("of_hash")), "left")
@@ -112,4 +113,4 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean)
     out = joined.withColumn("text", text)
     n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    return restored(out.withColumn("n_chars", n_chars))

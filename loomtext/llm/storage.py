@@ -4,9 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomtext.llm import memory
+
+
+#: Bytes of rows that reach a Python worker at a time. Texts may be very long, so rows are no measure.
+ARROW_BYTES = 2 << 20
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, whatever the length of the texts; workers give memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def frugal(batches):
+        memory.large_arrays_apart()
+        yield from run(batches)
+        memory.trim()
+
+    return df.mapInArrow(frugal, schema)
+
+
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the needed columns under names that clash with nothing, and what gives their names back.
+
+    Columns go by their exact names, so one that differs in case only is an extra one.
+    """
+    names = docs.columns
+    safe = [n if n in needed and names.index(n) == i else f"_extra_{i}" for i, n in enumerate(names)]
+    return docs.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
+
+
+def only(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns alone."""
+    return aside(docs, *needed)[0].select(*needed)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are gathered into blocks of about so many bytes; one longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
