@@ -4,7 +4,7 @@ The network reads each white-space-delimited word with a space on either side (w
 forward and backward, and labels every byte position with a distribution over the languages; a document's score is
 the mean over its positions. States start afresh at each word, so a word that recurs in a partition is read once
 and its sums are added as often as it stands. Training is backpropagation through time in numpy, on the driver, on
-a bounded sample of labelled rows (SAMPLE_ROWS, those with the lowest hash of doc_id per language).
+a bounded sample of labelled rows: about SAMPLE_ROWS, those of a low hash of doc_id, as many of each language.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; so is all if no language can be learned. A
 null doc_id hashes as the empty string. Rows are judged one by one, so repeated rows agree; ties go to the first
@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from loomtext.llm.storage import aside, map_batches, only
 from loomtext.llm.words import NOT_SPACE, Block, blocks, prefix_hashes, span_hashes, spread
 
 #: Labelled rows that are learned from, over all languages.
@@ -28,6 +28,8 @@ SAMPLE_ROWS = 1200
 HIDDEN, PIECE, STEPS, BATCH = 12, 30, 450, 384
 #: Distinct words whose sums a task keeps.
 CACHE_WORDS = 200_000
+#: Words that pass the network side by side; their states fit the cache of a core.
+WORDS_AT_ONCE = 1024
 UNKNOWN = "und"
 
 
@@ -122,8 +124,8 @@ class LanguageModel:
         """For words of a block: the sum of the distributions over their bytes."""
         out, size = np.zeros((len(start), len(self.languages)), np.float32), end - start
         order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
+        for at in range(0, len(order), WORDS_AT_ONCE):
+            some = order[at : at + WORDS_AT_ONCE]
             longest = int(size[some[-1]])
             place = np.minimum(start[some] + np.arange(longest)[:, None], len(block.data) - 1)
             inside = np.arange(longest)[:, None] < size[some]
@@ -154,17 +156,17 @@ def pieces(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learns from text and lang of the rows that ``learnable`` allows."""
+    docs = only(docs, "doc_id", "text", "lang")
     hashed = F.xxhash64(F.lit("langid"), F.col("doc_id"))
     labelled = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    languages = sorted(counts)
     if not languages:
         return LanguageModel([])
     each = max(20, sample_rows // len(languages))
-    ranked = labelled.select("lang", hashed.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    bound = {r[0]: r[1] for r in ranked.filter(F.col("n") <= each).groupBy("lang").agg(F.max("h")).collect()}
-    within = F.lit(False)
-    for lang, h in bound.items():
-        within = within | ((F.col("lang") == lang) & (hashed <= h))
+    share, within = F.pmod(hashed, F.lit(1 << 31)) / float(1 << 31), F.lit(False)
+    for lang, n in counts.items():
+        within = within | ((F.col("lang") == lang) & (share < each / n))
     words: dict[str, list[bytes]] = {x: [] for x in languages}
     for lang, text in sorted(map(tuple, labelled.filter(within).select("lang", "text").collect())):
         for block in blocks(pa.array([text])):
@@ -219,13 +221,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``_lang_pred`` and ``_lang_score``; of the columns, only text is read."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     lettered = docs.withColumn("_letter", F.regexp_like("text", F.lit(r"\p{L}")))
-    return lettered.mapInArrow(_predict(model), f"{kinds}, _lang_pred string, _lang_score double")
+    return map_batches(lettered, _predict(model), f"{kinds}, _lang_pred string, _lang_score double")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = train(docs, ~held_out(F.col("doc_id")))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return predict(only(docs, "doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
 #: ``keep`` rejects what scores below this, besides texts without letters.
@@ -234,5 +236,6 @@ LEAST_SCORE = 0.3
 
 def keep(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The documents in a learned language: rejected are ``und`` and scores under ``least_score``."""
-    found = predict(docs, train(docs, ~held_out(F.col("doc_id"))))
-    return found.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)).select(*docs.columns)
+    own, restored = aside(docs, "doc_id", "text", "lang")
+    found = predict(own, train(own, ~held_out(F.col("doc_id"))))
+    return restored(found.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)))

@@ -7,7 +7,7 @@ kind of match). A matched word adds its weight to the sum of its kind, a clause
 a logistic layer learned on the same rows weighs the kinds. Isolated words so never decide; the clause they stand
 in does, and what negation or reporting is worth is learned.
 
-Learning takes at most SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows (those with the lowest hash of doc_id). Nulls: a
+Learning takes about SAMPLE_TOXIC + SAMPLE_CLEAN labelled rows, those of a low hash of doc_id. Nulls: a
 null text scores as an empty one, rows with a null label are not learned from, without labels of both kinds every
 score is the share of label 1 (0 if there are none). Rows are scored one by one, so repeated rows agree.
 """
@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from loomtext.llm.storage import map_batches, only
 from loomtext.llm.words import LOWER, Block, blocks, prefix_hashes, span_hashes, starts_by_text, table_of
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 7500
@@ -142,7 +142,7 @@ def learn_stems(texts: list[str], labels: np.ndarray) -> dict[bytes, float]:
     """Stems that stand in toxic rows far oftener than chance, by a likelihood ratio against the number of stems tried."""
     toxic, all_ = Counter(), Counter()
     for text, y in zip(texts, labels):
-        words = {w for b in blocks(pa.array([text])) for w in _words(b)}
+        words = {w for b in blocks(pa.array([text])) for w in _plain_words(b)}
         tried = {w[:n] for w in words for n in range(SHORTEST_STEM, min(len(w), LONGEST_STEM) + 1)}
         all_.update(tried)
         if y:
@@ -161,10 +161,17 @@ def learn_stems(texts: list[str], labels: np.ndarray) -> dict[bytes, float]:
     return stems
 
 
-def _words(block: Block) -> list[bytes]:
-    raw = LOWER[block.data].tobytes()
+def _plain_words(block: Block) -> list[bytes]:
+    """The words of a block that stand in no scope of a negation or of reported speech."""
+    data = LOWER[block.data]
     start, end, _ = block.words(_WORD)
-    return [raw[s:e] for s, e in zip(start.tolist(), end.tolist())]
+    prefix, raw = prefix_hashes(data), data.tobytes()
+    hashes, clause = span_hashes(prefix, start, end), np.cumsum(_BREAK[block.data])[start]
+    first = np.searchsorted(clause, clause)
+    said, denied = (np.concatenate(([0], np.cumsum(np.isin(hashes, [_hash(w.encode()) for w in words])))) for words in (REPORTS, NEGATIONS))
+    at = np.arange(len(start))
+    free = (said[at] == said[first]) & (denied[at] == denied[np.maximum(first, at - REACH)])
+    return [raw[s:e] for s, e in zip(start[free].tolist(), end[free].tolist())]
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
@@ -186,13 +193,14 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> Model:
+    docs, labels = only(docs, "doc_id", "text"), only(labels, "doc_id", "toxic")
     known = labels.filter(learnable & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if not counts.get(1) or not counts.get(0):
         prior = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 1e-9), 1 - 1e-9)
         return Model({}, float(np.log(prior / (1 - prior))))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("toxic"), F.col("doc_id")), "doc_id")
-    sample = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN))
+    share = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(1 << 31)) / float(1 << 31)
+    sample = known.filter(share < F.when(F.col("toxic") == 1, SAMPLE_TOXIC / counts[1]).otherwise(SAMPLE_CLEAN / counts[0]))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
     order = np.lexsort((np.array(rows["doc_id"]),))
     texts, y = rows["text"].to_pylist(), np.array(rows["toxic"]).astype(float)
@@ -214,5 +222,5 @@ def _score(model: Model):
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = train(docs, labels, ~held_out(F.col("doc_id")))
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
+    scored = map_batches(only(docs, "doc_id", "text").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), _score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
