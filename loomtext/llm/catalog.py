@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, toxicity
+from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op5_repeated_passages, op6_page_text, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
-ORACLE_SQL = {"op9_source_mix": mixing.REPORT_SQL}
+ORACLE_SQL = sql.ORACLE_SQL | {"op9_source_mix": mixing.REPORT_SQL}

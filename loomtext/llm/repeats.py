@@ -9,8 +9,7 @@ factor of every start (cut off at LENGTH) with the place of its earlier occurren
 is salted over shards, and what its shards leave open is counted over all of them by fingerprint: first of parts of
 neighbouring strings, then of subparts and single strings where a part recurs.
 
-``keep_first`` leaves the first occurrence (in order of text key and place) of what recurs, and otherwise every
-occurrence goes. Nulls: a null text is empty. Rows with equal texts give equal results, as copies of each other.
+``keep_first`` leaves the first occurrence (by doc_id and place) of what recurs, and otherwise every occurrence goes. Nulls: a null text is empty. Rows with equal texts give equal results, as copies of each other.
 Strings are judged on the input; matches never cross texts. Empty tables give no rows; extra columns are not read.
 """
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import chunks
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import map_batches, only, settle
 from loomtext.llm.words import blocks, mixed, prefix_hashes, span_hashes, spread
 
 LENGTH, GRAM = 400, 64
@@ -55,14 +54,14 @@ def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     return place[first], first, np.append(first[1:], starts) - 1
 
 
-_ANCHORS = "text_key long, n_bytes long, low int, high int, anchor int, gram long, context long"
+_ANCHORS = "text_key long, first_doc long, n_bytes long, low int, high int, anchor int, gram long, context long"
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     window = LENGTH - GRAM + 1
     for batch in batches:
-        key = batch.column("text_key").to_numpy()
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+        key, first = batch.column("text_key").to_numpy(), batch.column("first_doc").to_numpy()
+        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
         for block in blocks(batch.column("text")):
             if len(block.data) <= GRAM:
                 continue
@@ -75,9 +74,9 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 gram = grams[begin + place]
                 context = mixed(span_hashes(prefix, begin + low, begin + high + LENGTH) + (place - low).astype(np.uint64))
                 n = len(place)
-                for part, x in zip(parts, (np.full(n, key[block.first + i]), np.full(n, finish - begin), low, high, place - low, gram.view(np.int64), context.view(np.int64))):
+                for part, x in zip(parts, (np.full(n, key[block.first + i]), np.full(n, first[block.first + i]), np.full(n, finish - begin), low, high, place - low, gram.view(np.int64), context.view(np.int64))):
                     part.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         cols = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)).cast(k) for p, k in zip(parts, kinds)]
         yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ANCHORS.split(", ")])
 
@@ -179,6 +178,8 @@ def _shards(keep_first: bool):
 
 
 def _one_shard(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
+    if keep_first:  # a shard may hold several salts of an anchor
+        table = table.sort_by([("first_doc", "ascending"), ("low", "ascending")])
     texts, times, salts, anchor = (table.column(c).to_pylist() for c in ("bytes", "times", "salts", "anchor"))
     data = np.frombuffer(b"\xff".join(texts), np.uint8)  # a byte that no text holds, so no string passes from one to the next
     size = np.array([len(x) for x in texts])
@@ -221,7 +222,7 @@ def _nested(prefix: np.ndarray, begin: int, starts: np.ndarray, anchor: int) ->
 
 def _slices(batches):
     """Cuts the contexts asked for out of each text."""
-    names = ("gram", "context", "times", "salt", "salts", "anchor")
+    names = ("gram", "context", "times", "salt", "salts", "anchor", "first_doc", "low")
     for batch in batches:
         out: dict[str, list] = {k: [] for k in (*names, "bytes")}
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
@@ -241,28 +242,45 @@ def _recurring(marked: DataFrame) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, keep_first: bool = False) -> DataFrame:
-    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings. keyed: text_key, n_bytes, text."""
-    found = settle(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "text").mapInArrow(_find_anchors, _ANCHORS), "anchors")
+    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings.
+
+    keyed: text_key, n_bytes, text and first_doc, by which texts are ordered where the first occurrence stays.
+    """
+    found = settle(map_batches(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "first_doc", "text"), _find_anchors, _ANCHORS), "anchors")
     again = settle(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "recurring-grams")
     places = settle(found.join(again, "gram"), "recurring-anchors")
-    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "n_bytes", "low", "high", "anchor")).alias("at"))
+    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("first_doc", "low", "text_key", "n_bytes", "high", "anchor")).alias("at"))
     classes = settle(classes.select("gram", "context", "times", "at.*"), "contexts")
     per = settle(classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD)), "classes-per-gram")
     dealt = classes.join(per, "gram").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
-    alone = (F.col("classes") == 1) & (not keep_first)
-    one = F.struct("gram", "context", "times", "salt", "salts", "low", "high", "anchor")
+    alone = F.col("classes") == 1
+    one = F.struct("gram", "context", "times", "salt", "salts", "anchor", "first_doc", "low", "high")
     asked = dealt.filter(~alone).groupBy("text_key", "n_bytes").agg(F.collect_list(one).alias("asked"))
-    sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked").mapInArrow(_slices, "gram long, context long, times long, salt long, salts long, anchor long, bytes binary")
-    sharded = settle(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt").mapInArrow(_shards(keep_first), _SHARD), "shards")
+    sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked")
+    sliced = map_batches(sliced, _slices, "gram long, context long, times long, salt long, salts long, anchor long, first_doc long, low long, bytes binary")
+    sharded = settle(map_batches(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "first_doc", "low"), _shards(keep_first), _SHARD), "shards")
     parts = _recurring(sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.*"))
     subs = _recurring(parts.select("gram", "context", F.explode("subs").alias("o")).select("gram", "context", "o.*"))
     common = _recurring(subs.select("gram", "context", F.explode("strings").alias("o")).select("gram", "context", "o.*"))
+    if keep_first:
+        common = settle(common.join(classes.select("gram", "context", "first_doc", "low"), ["gram", "context"]).withColumn("place", F.struct("first_doc", F.col("low") + F.col("start"))), "open-places")
+        common = common.join(common.groupBy("gram", "mark").agg(F.min("place").alias("least")), ["gram", "mark"]).filter("place > least")
     late = common.select("gram", "context", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("spans"))
-    whole = dealt.filter(alone).select("gram", "context", F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + LENGTH).cast("int").alias("end"))).alias("spans"))
-    spans = sharded.select("gram", "context", "spans").filter(F.size("spans") > 0).unionByName(late).unionByName(whole)
-    at = F.transform("spans", lambda s: F.struct((s["start"] + F.col("low")).alias("start"), (s["end"] + F.col("low")).alias("end")))
-    placed = places.select("text_key", "n_bytes", "low", "high", "gram", "context").distinct().join(spans, ["gram", "context"]).select("text_key", "n_bytes", at.alias("spans"))
-    return placed.groupBy("text_key", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + LENGTH).cast("int").alias("end")))
+    spans = sharded.select("gram", "context", "spans").filter(F.size("spans") > 0).unionByName(late)
+    once = places.select("text_key", "first_doc", "n_bytes", "low", "high", "gram", "context").distinct()
+    if keep_first:
+        first = classes.select("gram", "context", F.col("first_doc").alias("of_doc"), F.col("low").alias("of_low"))
+        once = settle(once.join(first, ["gram", "context"]).withColumn("is_first", (F.col("first_doc") == F.col("of_doc")) & (F.col("low") == F.col("of_low"))), "places-in-order")
+        copies = once.filter("not is_first").select("text_key", "n_bytes", "low", whole.alias("spans"))
+        once = once.filter("is_first")
+    else:
+        spans = spans.unionByName(dealt.filter(alone).select("gram", "context", whole.alias("spans")))
+    placed = once.join(spans, ["gram", "context"]).select("text_key", "n_bytes", "low", "spans")
+    if keep_first:
+        placed = placed.unionByName(copies)
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("low")).alias("start"), (s["end"] + F.col("low")).alias("end")))
+    return placed.withColumn("spans", moved).groupBy("text_key", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _remaining(batches):
@@ -293,15 +311,23 @@ def _remaining(batches):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return only(docs, "doc_id", "text").select("doc_id", text.alias("text")).withColumn("text_key", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
 
 
 def strip(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``rest``, the bytes that are left of each text."""
     keyed = _keyed(docs)
+    if keep_first:
+        firsts = settle(keyed.groupBy("text_key", "n_bytes").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("first_doc")), "first-documents")
+        keyed = keyed.join(firsts, ["text_key", "n_bytes"])
+    else:
+        keyed = keyed.withColumn("first_doc", F.lit(0).cast("long"))
     spans = settle(repeated_spans(keyed, keep_first), "spans")
     joined = keyed.join(spans, ["text_key", "n_bytes"], "left")
-    return joined.select("doc_id", "n_bytes", "text", "spans").mapInArrow(_remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary")
+    if keep_first:  # a later copy of a whole text goes with all that may recur
+        all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
+        joined = joined.withColumn("spans", F.when((F.col("doc_id") != F.col("first_doc")) & (F.col("n_bytes") >= LENGTH), all_).otherwise(F.col("spans")))
+    return map_batches(joined.select("doc_id", "n_bytes", "text", "spans"), _remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary")
 
 
 def report(docs: DataFrame) -> DataFrame:
