@@ -201,3 +201,33 @@ def document_json(docs: DataFrame, shares: DataFrame, users: DataFrame) -> DataF
     joined = docs.join(named, "doc_id", "left")
     body = F.struct("doc_id", "title", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"))
     return joined.select("doc_id", F.to_json(F.struct(F.lit("000").alias("flag"), body.alias("data"), F.lit("success").alias("message"))).alias("json"))
+
+
+def create(docs: DataFrame, doc_id: int, user: int, title: str, content: str) -> DataFrame:
+    """The documents and a new one. An empty title, or one over 100 characters, raises."""
+    if not title or len(title) > 100:
+        raise ValueError("a title has 1 to 100 characters")
+    new = docs.sparkSession.range(1).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(title).alias("title"), F.lit(user).cast("long").alias("creator"), F.current_timestamp().alias("saved"), F.lit("0").alias("is_delete"), F.lit(content).alias("content"))
+    return docs.unionByName(new, allowMissingColumns=True)
+
+
+def share(shares: DataFrame, docs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Shares after changes (doc_id, by, user_id, action add or remove) by the documents' creators; others' changes do nothing."""
+    allowed = changes.join(docs.select("doc_id", F.col("creator").alias("by")), ["doc_id", "by"], "left_semi")
+    gone = allowed.filter("action = 'remove'").select("doc_id", "user_id")
+    new = allowed.filter("action = 'add'").select("doc_id", "user_id")
+    return shares.join(gone, ["doc_id", "user_id"], "left_anti").unionByName(new).distinct()
+
+
+def fan_out(messages: DataFrame, members: DataFrame) -> DataFrame:
+    """Every message (room, seq, handle, message) once for each other member (room, handle) of its room."""
+    to = members.select("room", F.col("handle").alias("receiver"))
+    return messages.join(to, "room").filter(F.col("receiver") != F.col("handle"))
+
+
+def input_code(rows: DataFrame, most: int = 20) -> DataFrame:
+    """request_id, code of the checks that a browser makes: fields are there and not too long, an avatar is an image."""
+    filled = lambda c: F.coalesce(F.length(c), F.lit(0)).between(1, most)
+    name = F.lower(F.coalesce("avatar", F.lit("")))
+    image = (name == "") | name.endswith(".png") | name.endswith(".jpg") | name.endswith(".jpeg")
+    return rows.select("request_id", F.when(~(filled("username") & filled("nickname") & filled("password")), "length").when(~image, "avatar").otherwise("ok").alias("code"))

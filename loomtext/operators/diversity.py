@@ -90,6 +90,20 @@ def pm2(found: DataFrame, lam: float, results: int = 100) -> DataFrame:
     return found.groupBy("qid").applyInPandas(one, _RESULT)
 
 
+ALGORITHMS = {"xquad": xquad, "pm2": pm2}
+
+
+def rerank(found: DataFrame, parameters: dict[str, str]) -> DataFrame:
+    """Reranks by ``diversity:algorithm``, ``diversity:lambda`` (0) and ``diversity:maxResultRankingLength`` (100).
+
+    A missing or unknown algorithm raises.
+    """
+    name = parameters.get("diversity:algorithm", "").lower().replace("-", "")
+    if name not in ALGORITHMS:
+        raise ValueError(f"no diversification algorithm named {name or 'nothing'}")
+    return ALGORITHMS[name](found, float(parameters.get("diversity:lambda", 0)), int(parameters.get("diversity:maxResultRankingLength", 100)))
+
+
 def ndcg(results: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """qid, ndcg over the first k of results (qid, doc_id, rank); qrels: qid, doc_id, rel."""
     gain = lambda rel, at: (F.pow(F.lit(2.0), rel) - 1) / F.log2(at + F.lit(1.0))

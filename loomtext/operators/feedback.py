@@ -15,7 +15,8 @@ def expansion_terms(corpus: Corpus, best: DataFrame, terms: int = 20, mu: float
     the sum of (tf + mu p) / (len + mu) * score * ln(1 / p), p being t's share of the collection.
     """
     body = corpus.docs.select(F.col(corpus.id).alias("doc_id"), corpus.tokens_of("body").alias("tok"))
-    fed = body.join(F.broadcast(best.select("qid", "doc_id", "score")), "doc_id")  # at most the k documents of each query
+    few = F.broadcast(best.select("qid", F.col("doc_id").alias(corpus.id), "score"))  # at most the k documents of each query
+    fed = corpus.docs.join(few, corpus.id).select("qid", F.col(corpus.id).alias("doc_id"), "score", corpus.tokens_of("body").alias("tok"))
     tf = fed.select("qid", "doc_id", "score", F.size("tok").alias("len"), F.explode("tok").alias("term"))
     tf = tf.filter(~F.col("term").rlike("[.,]")).groupBy("qid", "doc_id", "score", "len", "term").agg(F.count("*").alias("tf"))
     wanted = tf.select("term").distinct()

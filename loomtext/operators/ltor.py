@@ -67,11 +67,15 @@ def raw_features(corpus: Corpus, queries: dict[str, list[str]], spam: Column, pa
     return every.select("r.qid", "doc_id", "f1", "f2", "f3", "f4", *(f"r.{x}" for x in FEATURES[4:])).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def scaled(features: DataFrame, disabled: tuple[int, ...] = ()) -> DataFrame:
-    """Each feature within its query to [0, 1]; null and constant features are 0, disabled ones leave."""
+def scaled(features: DataFrame, disabled: tuple[int, ...] = (), least_max: float | None = None) -> DataFrame:
+    """Each feature within its query to [0, 1]; null and constant features are 0, disabled ones leave.
+
+    ``least_max`` (0.0) keeps the largest value of a feature from being negative, as an engine whose maximum starts at zero has it.
+    """
     w = Window.partitionBy("qid")
     cols = [f for f in FEATURES if int(f[1:]) not in disabled and f in features.columns]
-    low, high = (lambda f: F.min(f).over(w)), (lambda f: F.max(f).over(w))
+    low = lambda f: F.min(f).over(w)
+    high = lambda f: F.max(f).over(w) if least_max is None else F.greatest(F.max(f).over(w), F.lit(least_max))
     scale = lambda f: F.coalesce(F.when(high(f) > low(f), (F.col(f) - low(f)) / (high(f) - low(f))), F.lit(0.0)).alias(f)
     return features.select("qid", "doc_id", "rank", *(scale(f) for f in cols))
 

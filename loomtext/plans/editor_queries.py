@@ -279,3 +279,45 @@ def md_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Porter stem of every distinct title word of ``pages``."""
     return T.stems(pages_corpus(spark, sf_dir).tokens("title"), "term")
+
+
+@query("SELECT a.conv_id AS room, a.turn AS seq, a.role AS handle, b.role AS receiver FROM conversations a JOIN (SELECT DISTINCT conv_id, role FROM conversations) b ON a.conv_id = b.conv_id AND a.role <> b.role")
+def chat_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("room"), F.col("turn").alias("seq"), F.col("role").alias("handle"), F.col("text").alias("message"))
+    return collab.fan_out(rows, rows.select("room", "handle").distinct()).select("room", "seq", "handle", "receiver")
+
+
+@query(
+    f"""WITH {_DOCS}, ch AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE -1 END AS by_user, o_custkey % 7 AS user_id, CASE WHEN o_orderkey % 4 = 0 THEN 'remove' ELSE 'add' END AS action FROM orders),
+ok AS (SELECT ch.* FROM ch JOIN docs ON docs.doc_id = ch.doc_id AND docs.creator = ch.by_user)
+SELECT doc_id, user_id FROM shares s WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.action = 'remove' AND ok.doc_id = s.doc_id AND ok.user_id = s.user_id) UNION SELECT doc_id, user_id FROM ok WHERE action = 'add'"""
+)
+def share_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    changes = _table(spark, sf_dir, "orders").select(key.alias("doc_id"), F.when(key % 2 == 0, F.col("o_custkey")).otherwise(F.lit(-1)).alias("by"), (F.col("o_custkey") % 7).alias("user_id"), F.when(key % 4 == 0, "remove").otherwise("add").alias("action"))
+    return collab.share(_shares(spark, sf_dir), _docs(spark, sf_dir), changes)
+
+
+@query(
+    """SELECT c_custkey AS request_id, CASE WHEN NOT (len(c_name) BETWEEN 1 AND 20 AND len(c_mktsegment) BETWEEN 1 AND 20 AND len(repeat('x', c_custkey % 25)) BETWEEN 1 AND 20) THEN 'length' WHEN c_custkey % 3 = 0 THEN 'avatar' ELSE 'ok' END AS code FROM customer"""
+)
+def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    avatar = F.when(key % 3 == 0, "me.gif").when(key % 3 == 1, "ME.JPG").otherwise("")
+    rows = _table(spark, sf_dir, "customer").select(key.alias("request_id"), F.col("c_name").alias("username"), F.col("c_mktsegment").alias("nickname"), F.repeat(F.lit("x"), (key % 25).cast("int")).alias("password"), avatar.alias("avatar"))
+    return collab.input_code(rows)
+
+
+@query(
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 3 AS a, (turn * 2)::INTEGER AS s, (turn * 2 + 5)::INTEGER AS f, substr(coalesce(text, ''), 1, 20) AS c FROM conversations),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+st AS (
+  SELECT doc_id, 0::BIGINT AS i, '' AS content FROM n
+  UNION ALL
+  SELECT doc_id, i + 1, substr(content, 1, lo) || CASE WHEN a < 2 THEN c ELSE '' END || substr(content, greatest(lo, least(f, len(content))) + 1)
+  FROM (SELECT st.doc_id, st.i, content, a, c, f, least(s, len(content))::INTEGER AS lo FROM st JOIN e ON e.doc_id = st.doc_id AND e.i = st.i + 1))
+SELECT st.doc_id, content, n AS n_edits FROM st JOIN n ON n.doc_id = st.doc_id AND n.n = st.i"""
+)
+def edit_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The browser's fold: an add removes its range as well."""
+    return collab.fold_edits(edits_of(_table(spark, sf_dir, "conversations")), client=True)

@@ -327,3 +327,32 @@ def qrel_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = labels.select(F.lit(0).alias("line_no"), F.concat_ws(" ", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")), F.lit("0"), F.col("doc_id").cast("string"), F.col("quality").cast("string")).alias("line"))
     ids = Corpus.documents(spark, sf_dir).docs.select("doc_id", F.col("doc_id").cast("string").alias("external_id"))
     return files.qrels(made, ids).select("doc_id", "rel", "qid")
+
+
+@query(f"WITH {PAGES} SELECT field, n::BIGINT AS num_docs, dc::BIGINT AS doc_count, c::BIGINT AS sum_tf, round(c / dc, 6) AS avg_len FROM fs")
+def list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and their statistics."""
+    corpus = pages_corpus(spark, sf_dir)
+    made = [corpus.field_stats(f).withColumn("avg_len", F.round("avg_len", 6)) for f in corpus.fields]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+@query("SELECT page_id, url AS raw_url, page_id::VARCHAR AS external_id, (page_id % 100)::BIGINT AS spam_score FROM pages WHERE page_id IN (1, 3, 5)")
+def stored_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored attributes of some internal ids, by a semi join; the spam score is a stand-in."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    wanted = spark.createDataFrame([(1,), (3,), (5,), (-1,)], "page_id long")
+    return pages.join(wanted, "page_id", "left_semi").select("page_id", F.col("url").alias("raw_url"), F.col("page_id").cast("string").alias("external_id"), (F.col("page_id") % 100).alias("spam_score"))
+
+
+@query(
+    f"""WITH {BASE}, {terms_sql('aich', 'aien', 'that', 'of')}, r AS (
+  SELECT 'q1' AS qid, doc_id, round(sum({BM25_TF}), 6) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s WHERE term IN ('aich', 'that') GROUP BY doc_id)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank BETWEEN 21 AND 30"""
+)
+def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of ten results."""
+    return search(Corpus.documents(spark, sf_dir), {"q1": "aich that"}, Model("bm25"), k=30).filter("rank > 20")
