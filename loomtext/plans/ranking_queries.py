@@ -152,12 +152,36 @@ def diversity_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "doc_id", "rank", (F.round("original", 6) + 0.0).alias("original"), (F.round(F.get("intents", F.lit(0)), 6) + 0.0).alias("intent1"), (F.round(F.get("intents", F.lit(1)), 6) + 0.0).alias("intent2"))
 
 
-@query()
+_NORM = """nc AS MATERIALIZED (SELECT qid, doc_id, rank, original / most AS o, intent1 / most AS a, intent2 / most AS b FROM cand JOIN most USING (qid))"""
+
+
+def _greedy_sql(state: str, score: str, step: str) -> str:
+    """A greedy choice per query: ``state`` are the start values of x and y, ``score`` values a candidate, ``step`` moves x and y."""
+    return f"""WITH RECURSIVE {_runs_sql()}, {_NORM},
+g AS (
+  SELECT qid, 0 AS at_step, {state}, NULL::BIGINT AS doc_id, NULL::DOUBLE AS score, []::BIGINT[] AS chosen FROM (SELECT DISTINCT qid FROM nc)
+  UNION ALL
+  SELECT qid, at_step + 1, {step}, best.d, best.s, list_append(chosen, best.d) FROM (
+    SELECT qid, at_step, x, y, chosen, max({{'s': {score}, 'r': -rank, 'd': nc.doc_id, 'a': a, 'b': b}}) AS best
+    FROM g JOIN nc USING (qid) WHERE at_step < 100 AND NOT list_contains(chosen, nc.doc_id) GROUP BY qid, at_step, x, y, chosen))
+SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, at_step) AS rank FROM g WHERE at_step > 0"""
+
+
+_LEAD = "(100 / 2.0::DOUBLE / (2 * x + 1)) >= (100 / 2.0::DOUBLE / (2 * y + 1))"
+_QA, _QB = "(a * (100 / 2.0::DOUBLE / (2 * x + 1)))", "(b * (100 / 2.0::DOUBLE / (2 * y + 1)))"
+
+
+@query(_greedy_sql("1.0::DOUBLE AS x, 1.0::DOUBLE AS y", "0.5::DOUBLE * o + 0.5::DOUBLE * ((a * x + b * y) / 2)", "x * (1 - best.a), y * (1 - best.b)"))
 def xquad_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.xquad(diversity.normalised(diversity.candidates(_runs(spark, sf_dir))), 0.5).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(
+    _greedy_sql(
+        "0.0::DOUBLE AS x, 0.0::DOUBLE AS y", f"CASE WHEN {_LEAD} THEN 0.5::DOUBLE * {_QA} + 0.5::DOUBLE * ({_QA} + {_QB} - {_QA}) ELSE 0.5::DOUBLE * {_QB} + 0.5::DOUBLE * ({_QA} + {_QB} - {_QB}) END",
+        "x + CASE WHEN best.a + best.b > 0 THEN best.a / (best.a + best.b) ELSE 0 END, y + CASE WHEN best.a + best.b > 0 THEN best.b / (best.a + best.b) ELSE 0 END",
+    )
+)
 def pm2_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diversity.pm2(diversity.normalised(diversity.candidates(_runs(spark, sf_dir))), 0.5).withColumn("score", F.round("score", 6))
 
