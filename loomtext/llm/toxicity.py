@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.llm.minhash import shingle_sets
 from loomtext.llm.storage import map_batches, only
 from loomtext.llm.words import LOWER, Block, blocks, prefix_hashes, span_hashes, starts_by_text, table_of
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 7500
+#: Minima of which near copies share at least one.
+FAMILY_MINIMA = 4
 SHORTEST_STEM, LONGEST_STEM = 4, 16
 THRESHOLD = 0.3
 
@@ -174,8 +177,27 @@ def _plain_words(block: Block) -> list[bytes]:
     return [raw[s:e] for s, e in zip(start[free].tolist(), end[free].tolist())]
 
 
+def distinct_texts(texts: list[str]) -> np.ndarray:
+    """One index of each family of near copies: texts that share one of a few minima of their word shingles."""
+    family, seen = np.arange(len(texts)), [{} for _ in range(FAMILY_MINIMA)]
+    done = 0
+    for block in blocks(pa.array(texts, pa.large_string())):
+        for shingles in shingle_sets(block, 3):
+            for known, k in zip(seen, range(1, FAMILY_MINIMA + 1) if len(shingles) else ()):
+                least = int((shingles * np.uint64(2 * k + 1)).min())
+                family[done] = min(family[done], known.setdefault(least, family[done]))
+            done += 1
+    return np.flatnonzero(family == np.arange(len(texts)))
+
+
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> Model:
-    """Stems, then the logistic layer over kinds of match; the bias is set for the share of toxic rows before sampling."""
+    """Stems, then the logistic layer over kinds of match; the bias is set for the share of toxic rows before sampling.
+
+    Of near copies one is learned from, else the words of a text with many copies pass for a pattern.
+    """
+    once = distinct_texts(texts)
+    if 0 < labels[once].sum() < len(once):
+        texts, labels = [texts[i] for i in once], labels[once]
     model = Model(learn_stems(texts, labels), 0.0)
     x = np.log1p(np.concatenate([model.features(b) for b in blocks(pa.array(texts))]))
     x1, layer, y = np.column_stack((x, np.ones(len(x)))), np.zeros(x.shape[1] + 1), labels.astype(float)
