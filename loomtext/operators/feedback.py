@@ -19,6 +19,7 @@ def expansion_terms(corpus: Corpus, best: DataFrame, terms: int = 20, mu: float
     fed = corpus.docs.join(few, corpus.id).select("qid", F.col(corpus.id).alias("doc_id"), "score", corpus.tokens_of("body").alias("tok"))
     tf = fed.select("qid", "doc_id", "score", F.size("tok").alias("len"), F.explode("tok").alias("term"))
     tf = tf.filter(~F.col("term").rlike("[.,]")).groupBy("qid", "doc_id", "score", "len", "term").agg(F.count("*").alias("tf"))
+    tf = tf.persist()  # the terms of k documents a query, read four times
     wanted = tf.select("term").distinct()
     long = body.select(F.explode("tok").alias("term"))
     ctf = long.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("ctf"))
@@ -43,10 +44,11 @@ def expanded_search(corpus: Corpus, queries: dict[str, str], model: Model, docs:
     """Results of #wand(w original (1 - w) expansion). The expansion's few terms pass through the driver, as they make the plan."""
     if model.name != "indri":
         raise ValueError("feedback needs the Indri model")
-    best = search(corpus, queries, model, docs)
+    best = search(corpus, queries, model, docs).persist()
     found: dict[str, list[tuple[float, str]]] = {}
     for r in expansion_terms(corpus, best, terms, mu).orderBy("qid", "rank").collect():
         found.setdefault(r["qid"], []).append((round(r["weight"], 4), r["term"]))
+    best.unpersist()
     trees = {}
     for qid, text in queries.items():
         tree = parse(wrap(text, "indri"), corpus.stop)

@@ -23,11 +23,12 @@ def raw_features(corpus: Corpus, queries: dict[str, list[str]], spam: Column, pa
     terms = sorted({t for ts in queries.values() for t in ts})
     place = {t: i for i, t in enumerate(terms)}
     toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), spam.cast("double").alias("f1"), T.url_depth(url).cast("double").alias("f2"), T.is_wikipedia(url).cast("double").alias("f3"), F.coalesce(page_rank, F.lit(0.0)).alias("f4"), *(corpus.tokens_of(f).alias(f"tok_{f}") for f in FIELDS))
-    count = lambda f, t: F.size(F.filter(f"tok_{f}", lambda x: x == t)).cast("double")
+    count = lambda f, t: (F.size(f"few_{f}") - F.size(F.array_remove(f"few_{f}", t))).cast("double")
     body = F.array_sort("tok_body")
     squares = F.aggregate(body, F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s")),
         lambda s, t: F.when(s["t"] == t, F.struct(t.alias("t"), (s["n"] + 1).alias("n"), s["s"].alias("s"))).otherwise(F.struct(t.alias("t"), F.lit(1.0).alias("n"), (s["s"] + s["n"] * s["n"]).alias("s"))),
         lambda s: s["s"] + s["n"] * s["n"])
+    toks = toks.select("*", *(F.filter(f"tok_{f}", lambda x: x.isin(*terms)).alias(f"few_{f}") for f in FIELDS))
     counted = toks.select("doc_id", "f1", "f2", "f3", "f4", squares.alias("squares"), *(F.size(f"tok_{f}").cast("double").alias(f"dl_{f}") for f in FIELDS), *(count(f, t).alias(f"tf_{f}_{i}") for f in FIELDS for t, i in place.items()))
     stats = counted.agg(
         F.count("*").cast("double").alias("num_docs"), *(F.sum(f"dl_{f}").alias(f"sum_{f}") for f in FIELDS), *(F.count_if(F.col(f"dl_{f}") > 0).cast("double").alias(f"docs_{f}") for f in FIELDS),

@@ -65,6 +65,21 @@ def positions_of(node: Node) -> Column:
     return proximity.near(args, node.distance) if node.op == "near" else proximity.within(args, node.distance)
 
 
+def _among(field: str, terms: list[str]) -> Column:
+    """The tokens of a field that are among some terms: one pass, after which counts are over a few tokens."""
+    return F.filter(f"tok_{field}", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+
+
+def frequency_of(node: Node) -> Column:
+    """How often a positional node stands in a document, over columns tok_<field> and few_<field> (its query terms alone)."""
+    if node.op == "term":
+        few = F.col(f"few_{node.field}")
+        return F.size(few) - F.size(F.array_remove(few, node.term))
+    if node.op == "syn" and all(a.op == "term" for a in node.args):
+        return sum((frequency_of(a) for a in node.args[1:]), frequency_of(node.args[0]))
+    return F.size(positions_of(node))
+
+
 class _Scores:
     """match, score and default score of a tree, over columns of frequencies and statistics."""
 
@@ -167,9 +182,11 @@ def scored_trees(corpus: Corpus, trees: dict[str, Node], model: Model, keep: tup
     plan = _Plan(list(trees.values()))
     toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *keep, *(corpus.tokens_of(f).alias(f"tok_{f}") for f in plan.fields))
     indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
+    wanted = {f: sorted({t.term for n in plan.nodes for t in ([n] if n.op == "term" else n.args if n.op == "syn" else []) if t.op == "term" and t.field == f}) for f in plan.fields}
+    toks = toks.select("*", *(_among(f, ws).alias(f"few_{f}") for f, ws in wanted.items()))
     counted = toks.select(
         "doc_id", *keep, *(F.size(f"tok_{f}").alias(f"dl_{f}") for f in plan.fields), *(indexed(f).alias(f"il_{f}") for f in plan.fields),
-        *(F.size(positions_of(n)).alias(f"tf_{c}") for n, c in plan.nodes.items()),
+        *(frequency_of(n).alias(f"tf_{c}") for n, c in plan.nodes.items()),
     )
     stats = counted.agg(
         F.count("*").alias("num_docs"),
