@@ -2,7 +2,8 @@
 
 Words are summed per source; each source's target follows from its weight, and target / size is the rate at which
 its documents repeat. A document is emitted floor(rate) times, and once more if a draw seeded by its id's hash
-falls below the fraction, so that a rerun takes the same copies.
+falls below the fraction, so that a rerun takes the same copies. A source of few or very unequal documents may miss
+its target by chance; so SEEDS seeds are tried in one aggregation, and each source takes the one that comes nearest.
 
 Nulls: a null text has size 0; null sources form one source, the last in order; a null doc_id draws as the empty
 string. Rows with equal doc_id share one draw, so repeated rows are taken alike. An empty table gives no rows.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.storage import aside, only, settle
+from loomtext.llm.storage import aside, discard, only, settle
 
 #: Weights by the source's place in code point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -24,16 +25,24 @@ MOST_REPEATS = 3
 #: Source tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 SEED = "mix-1:"
+#: Seeds that are tried for each source.
+SEEDS = 32
+_BITS = 1 << 48
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the seed and the id alone."""
+def hashes(doc_id: Column, seed: str = SEED) -> tuple[Column, Column]:
+    """Two 48-bit numbers that depend on the seed and the id alone."""
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return tuple(F.conv(F.substring(digest, at, 12), 16, 10).cast("long") for at in (1, 13))
+
+
+def draw(first: Column, second: Column, number: Column) -> Column:
+    """The draw of a number of seed, in [0, 1): draws of any two numbers are independent."""
+    return F.pmod(first + number * second, F.lit(_BITS)).cast("double") / F.lit(float(_BITS))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -65,14 +74,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
+def seeds(sizes: DataFrame, per: DataFrame, tried: int = SEEDS) -> DataFrame:
+    """source, number: for each source the number of seed whose copies come nearest to its target.
+
+    sizes: source, size, first, second; per: what ``targets`` gives. Ties go to the lowest number.
+    """
+    fraction = F.col("rate") - F.floor("rate")
+    taken = [F.sum(F.col("size") * (F.floor("rate") + (draw(F.col("first"), F.col("second"), F.lit(k)) < fraction).cast("long"))).alias(f"t{k}") for k in range(tried)]
+    found = joined(sizes, per).groupBy("source").agg(F.first("target").alias("target"), *taken)
+    missed = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}").cast("double") - F.col("target")).alias("by"), F.lit(k).alias("number")) for k in range(tried))))
+    return found.select("source", missed["number"].cast("long").alias("number"))
+
+
+def joined(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """Rows with what is known of their source; a settled table of sources is broadcast if it is small."""
+    small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    named = per.withColumnRenamed("source", "of_source")
+    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+
+
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """Every document as ``doc`` (all its columns) with its size, its source's size, target and rate, and the copies taken."""
-    sized = docs.select(F.struct("*").alias("doc"), F.col("source").alias("own_source"), word_count(F.col("text")).alias("size"))
-    per = settle(targets(sized.select(F.col("own_source").alias("source"), "size"), weights, most), "mix-targets")
-    small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = sized.join(F.broadcast(per) if small else per, F.col("own_source").eqNullSafe(F.col("source")), "left")
-    more = (draw(F.col("doc.doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("int")
-    return joined.withColumn("copies", (F.floor("rate") + more).cast("int")).drop("own_source", "source")
+    first, second = hashes(F.col("doc_id"), seed)
+    sized = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), first.alias("first"), second.alias("second"))
+    slim = settle(sized.drop("doc"), "mix-sizes")
+    per = settle(targets(slim.select("source", "size"), weights, most), "mix-targets")
+    numbers = settle(seeds(slim, per), "mix-seeds")
+    chosen = settle(joined(per, numbers), "mix-plan")
+    discard(slim)
+    more = (draw(F.col("first"), F.col("second"), F.col("number")) < F.col("rate") - F.floor("rate")).cast("int")
+    planned = joined(sized, chosen).withColumn("copies", (F.floor("rate") + more).cast("int"))
+    return planned.select("doc", "size", "source_size", "target", "rate", "copies")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -114,11 +146,17 @@ WITH sized AS (
     CASE WHEN capped THEN cap::DOUBLE ELSE weight::DOUBLE * free_size::DOUBLE / free_weight::DOUBLE END AS target FROM shared
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM aimed
-), taken AS (
-  SELECT d.doc_id, d.size, r.source_size, r.target,
-    (floor(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE
-      / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies
+), drawn AS (
+  SELECT d.doc_id, d.size, d.source, r.source_size, r.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction,
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT AS a, ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 13, 12))::BIGINT AS b
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
+), tried AS (
+  SELECT source, k, abs(sum(size * (whole + (((a + k * b) % 281474976710656)::DOUBLE / 281474976710656.0::DOUBLE < fraction)::BIGINT))::DOUBLE - any_value(target)) AS by_words
+  FROM drawn, range(32) r(k) GROUP BY source, k
+), chosen AS (
+  SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY by_words, k) AS place FROM tried) WHERE place = 1
+), taken AS (
+  SELECT d.*, whole + (((a + k * b) % 281474976710656)::DOUBLE / 281474976710656.0::DOUBLE < fraction)::BIGINT AS copies FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source
 )
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM taken
 """
