@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtext.llm import decontaminate, langid, minhash, mixing, secrets
-from loomtext.llm.storage import settle
+from loomtext.llm.storage import discard, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
 
 

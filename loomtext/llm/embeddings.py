@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import block_pairs, chunks, components
-from loomtext.llm.storage import map_batches, only, settle
+from loomtext.llm.storage import Scratch, map_batches, only, settle
 from loomtext.llm.words import spread
 
 ROTATIONS = 4
@@ -174,7 +174,8 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & e.isNotNull() & finite, F.lit(False)))
     usable = rows.filter("usable")
     name = F.xxhash64("label", "embedding")
-    classes = settle(usable.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("vec_id")).withColumn("class_id", name), "vector-classes")
+    scratch = Scratch()
+    classes = scratch.settle(usable.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("vec_id")).withColumn("class_id", name), "vector-classes")
     links = None
     for dim, n in sorted(map(tuple, classes.groupBy(F.size("embedding")).count().collect())):
         bits, tables = tables_for(n, threshold)
@@ -189,13 +190,14 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     if links is None:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.withColumn("kept", F.lit(True))
-    links = settle(links, "vector-links")
+    links = scratch.settle(links, "vector-links")
     counts = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     labels = components(links, "class_id", "root").select(F.col("node").alias("class_id"), "label").withColumnRenamed("label", "part")
     part = F.coalesce("part", "class_id").alias("part")
     named = classes.join(labels, "class_id", "left").join(counts, "class_id", "left").select("class_id", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), part)
     smallest = named.groupBy("part").agg(F.min("vec_id").alias("component_id"))
     of_class = settle(named.join(smallest, "part").select("class_id", "n_links", "component_id"), "vector-components")
+    scratch.drop()
     out = rows.select("vec_id", F.when(F.col("usable"), name).alias("class_id")).join(of_class, "class_id", "left")
     component = F.when(F.col("n_links") > 0, F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: Fixed value: glibc's number for the size from which an allocation is a mapping of its own.
 _MMAP_THRESHOLD = -3
-MAPPED_BYTES = 1 << 20
+MAPPED_BYTES = 8 << 20
 
 
 @functools.cache

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import block_pairs, components, groups
-from loomtext.llm.storage import aside, map_batches, only, settle
+from loomtext.llm.storage import Scratch, aside, map_batches, only, settle
 from loomtext.llm.words import LOWER, NOT_SPACE, Block, blocks, mixed, prefix_hashes, span_hashes, starts_by_text
 
 BANDS, ROWS, BITS = 32, 6, 4
@@ -278,26 +278,27 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Links are pairs with 100 * intersection >= percent * union of their ``size``-word shingle sets.
     """
     docs, least = only(docs, "doc_id", "text"), bar(percent / 100)
+    scratch = Scratch()
     signed = settle(signatures(docs, size), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
-    classes = settle(classes, "classes")
+    classes = scratch.settle(classes, "classes")
     piece = lambda i: F.substring("bands", i * 8 + 1, F.lit(8))
     banded = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, piece(i)))).alias("band", "key"))
-    shared = settle(banded.join(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "shared-buckets")
+    shared = scratch.settle(banded.join(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "shared-buckets")
     rank = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = settle(shared.join(rank, "node"), "weighed-buckets")
+    weighed = scratch.settle(shared.join(rank, "node"), "weighed-buckets")
     centres = weighed.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"))
     star = weighed.join(centres, "key").filter("node <> centre").select("node", "centre").distinct()
     packed = classes.select("node", "packed")
     estimated = star.join(packed, "node").join(packed.select(F.col("node").alias("centre"), F.col("packed").alias("centre_packed")), "centre")
     best = map_batches(estimated, _estimate_rows(least), "node binary, centre binary, estimate double").groupBy("node").agg(F.max_by("centre", F.struct("estimate", "centre")).alias("centre"))
-    best = settle(best, "best-centres")
+    best = scratch.settle(best, "best-centres")
 
     wanted = shared.select("node").distinct()
     chosen = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = settle(_texts_of(docs, chosen, size), "texts")
-    first = settle(confirm(best, texts, size, percent), "first-links")
+    texts = scratch.settle(_texts_of(docs, chosen, size), "texts")
+    first = scratch.settle(confirm(best, texts, size, percent), "first-links")
     joined = components(first, "node", "centre")
 
     label = F.coalesce("label", "node").alias("label")
@@ -309,12 +310,13 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
     blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
     second = map_batches(blocked, _exact(size, percent), "node binary, centre binary")
-    links = settle(first.unionByName(second), "links")
+    links = scratch.settle(first.unionByName(second), "links")
     labels = components(links, "node", "centre")
 
     named = classes.join(labels, "node", "left").select("node", "doc_id", label)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id")
+    of_node = settle(named.join(smallest, "label").select("node", "component_id"), "components")
+    scratch.drop()
     out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

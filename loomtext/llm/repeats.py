@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.graph import chunks
-from loomtext.llm.storage import map_batches, only, settle
+from loomtext.llm.storage import Scratch, map_batches, only, settle
 from loomtext.llm.words import blocks, mixed, prefix_hashes, span_hashes, spread
 
 LENGTH, GRAM = 400, 64
@@ -234,36 +234,36 @@ def _slices(batches):
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((k, pa.int64()) for k in names), ("bytes", pa.binary())]))
 
 
-def _recurring(marked: DataFrame) -> DataFrame:
+def _recurring(marked: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows whose (gram, mark) stands in more than one context."""
-    marked = settle(marked, "marks")
-    again = settle(marked.groupBy("gram", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring-marks")
+    marked = scratch.settle(marked, "marks")
+    again = scratch.settle(marked.groupBy("gram", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring-marks")
     return marked.join(again, ["gram", "mark"])
 
 
-def repeated_spans(keyed: DataFrame, keep_first: bool = False) -> DataFrame:
-    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings.
+def repeated_spans(keyed: DataFrame, scratch: Scratch, keep_first: bool = False) -> DataFrame:
+    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings. Reads tables that ``scratch`` holds.
 
     keyed: text_key, n_bytes, text and first_doc, by which texts are ordered where the first occurrence stays.
     """
-    found = settle(map_batches(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "first_doc", "text"), _find_anchors, _ANCHORS), "anchors")
-    again = settle(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "recurring-grams")
-    places = settle(found.join(again, "gram"), "recurring-anchors")
+    found = scratch.settle(map_batches(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "first_doc", "text"), _find_anchors, _ANCHORS), "anchors")
+    again = scratch.settle(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "recurring-grams")
+    places = scratch.settle(found.join(again, "gram"), "recurring-anchors")
     classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("first_doc", "low", "text_key", "n_bytes", "high", "anchor")).alias("at"))
-    classes = settle(classes.select("gram", "context", "times", "at.*"), "contexts")
-    per = settle(classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD)), "classes-per-gram")
+    classes = scratch.settle(classes.select("gram", "context", "times", "at.*"), "contexts")
+    per = scratch.settle(classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD)), "classes-per-gram")
     dealt = classes.join(per, "gram").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
     alone = F.col("classes") == 1
     one = F.struct("gram", "context", "times", "salt", "salts", "anchor", "first_doc", "low", "high")
     asked = dealt.filter(~alone).groupBy("text_key", "n_bytes").agg(F.collect_list(one).alias("asked"))
     sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked")
     sliced = map_batches(sliced, _slices, "gram long, context long, times long, salt long, salts long, anchor long, first_doc long, low long, bytes binary")
-    sharded = settle(map_batches(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "first_doc", "low"), _shards(keep_first), _SHARD), "shards")
-    parts = _recurring(sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.*"))
-    subs = _recurring(parts.select("gram", "context", F.explode("subs").alias("o")).select("gram", "context", "o.*"))
-    common = _recurring(subs.select("gram", "context", F.explode("strings").alias("o")).select("gram", "context", "o.*"))
+    sharded = scratch.settle(map_batches(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "first_doc", "low"), _shards(keep_first), _SHARD), "shards")
+    parts = _recurring(sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.*"), scratch)
+    subs = _recurring(parts.select("gram", "context", F.explode("subs").alias("o")).select("gram", "context", "o.*"), scratch)
+    common = _recurring(subs.select("gram", "context", F.explode("strings").alias("o")).select("gram", "context", "o.*"), scratch)
     if keep_first:
-        common = settle(common.join(classes.select("gram", "context", "first_doc", "low"), ["gram", "context"]).withColumn("place", F.struct("first_doc", F.col("low") + F.col("start"))), "open-places")
+        common = scratch.settle(common.join(classes.select("gram", "context", "first_doc", "low"), ["gram", "context"]).withColumn("place", F.struct("first_doc", F.col("low") + F.col("start"))), "open-places")
         common = common.join(common.groupBy("gram", "mark").agg(F.min("place").alias("least")), ["gram", "mark"]).filter("place > least")
     late = common.select("gram", "context", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + LENGTH).cast("int").alias("end")))
@@ -271,7 +271,7 @@ def repeated_spans(keyed: DataFrame, keep_first: bool = False) -> DataFrame:
     once = places.select("text_key", "first_doc", "n_bytes", "low", "high", "gram", "context").distinct()
     if keep_first:
         first = classes.select("gram", "context", F.col("first_doc").alias("of_doc"), F.col("low").alias("of_low"))
-        once = settle(once.join(first, ["gram", "context"]).withColumn("is_first", (F.col("first_doc") == F.col("of_doc")) & (F.col("low") == F.col("of_low"))), "places-in-order")
+        once = scratch.settle(once.join(first, ["gram", "context"]).withColumn("is_first", (F.col("first_doc") == F.col("of_doc")) & (F.col("low") == F.col("of_low"))), "places-in-order")
         copies = once.filter("not is_first").select("text_key", "n_bytes", "low", whole.alias("spans"))
         once = once.filter("is_first")
     else:
@@ -316,13 +316,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def strip(docs: DataFrame, keep_first: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``rest``, the bytes that are left of each text."""
-    keyed = _keyed(docs)
+    keyed, scratch = _keyed(docs), Scratch()
     if keep_first:
         firsts = settle(keyed.groupBy("text_key", "n_bytes").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("first_doc")), "first-documents")
         keyed = keyed.join(firsts, ["text_key", "n_bytes"])
     else:
         keyed = keyed.withColumn("first_doc", F.lit(0).cast("long"))
-    spans = settle(repeated_spans(keyed, keep_first), "spans")
+    spans = settle(repeated_spans(keyed, scratch, keep_first), "spans")
+    scratch.drop()
     joined = keyed.join(spans, ["text_key", "n_bytes"], "left")
     if keep_first:  # a later copy of a whole text goes with all that may recur
         all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))

@@ -61,6 +61,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Tables that an operator settles on its way, dropped together once its result is settled."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(settle(df, name))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        for df in self.held:
+            discard(df)
+        self.held.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what ``settle`` wrote, once nothing reads it any more."""
     path = getattr(df, "settled_path", None)
