@@ -482,3 +482,12 @@ def test_first_occurrences_stay(spark, monkeypatch, per_shard):
         hit = np.cumsum(cover)[:-1] > 0
         want[d] = np.frombuffer(raw, np.uint8)[~hit].tobytes()
     assert {d: bytes(r["rest"]) for d, r in got.items()} == want
+
+
+def test_elements_that_name_furniture():
+    furniture = ['class="siteNav-menu"', "class=sideBar", 'id="commentList"', 'role="navigation"', "hidden", 'aria-hidden="true"', 'class="a cookie-bar b"', 'class="site-header"']
+    content = ['data-class="ad"', 'title="hidden menu"', 'class="article-body"', 'class="headline"', 'aria-hidden="false"', 'href="/nav"', 'class="adapter"', ""]
+    assert [x.furniture for a in furniture for x in pages.lines(f"<div {a}>x</div>")] == [True] * len(furniture)
+    assert [x.furniture for a in content for x in pages.lines(f"<div {a}>x</div>")] == [False] * len(content)
+    assert not pages.lines('<article><div class="entry-header">x</div></article>')[0].furniture
+    assert [x.text for x in pages.lines("<select><option>a</select><p>a</p><table><tr><td>b<td>c</table>d &#65;&amp;&nbsp; e")] == ["a", "b", "c", "d A& e"]
