@@ -6,8 +6,8 @@ strings that share one anchor; only anchors that recur are followed up, and equa
 count before anything is moved. The classes of an anchor meet in shards: suffix order by prefix doubling, common
 prefixes of neighbours, previous and next smaller positions in suffix order, and from them the longest previous
 factor of every start (cut off at LENGTH) with the place of its earlier occurrence. An anchor with very many classes
-is salted over shards, and what its shards leave open is counted over all of them by fingerprint: first of parts of
-neighbouring strings, then of subparts and single strings where a part recurs.
+is salted over shards, and the first occurrence of each string in each shard is counted over all of them by
+fingerprint: first of parts of neighbouring strings, then of subparts and single strings where a part recurs.
 
 ``keep_first`` leaves the first occurrence (by doc_id and place) of what recurs, and otherwise every occurrence goes. Nulls: a null text is empty. Rows with equal texts give equal results, as copies of each other.
 Strings are judged on the input; matches never cross texts. Empty tables give no rows; extra columns are not read.
@@ -159,7 +159,7 @@ _OPEN_TYPE = pa.list_(pa.struct([("mark", pa.int64()), ("subs", pa.list_(pa.stru
 
 
 def _shards(keep_first: bool):
-    """Covered spans of each context, and for salted anchors the strings that its shard leaves open."""
+    """Covered spans of each context, and for salted anchors the first occurrence of each string in its shard."""
 
     def run(batches):
         for table, cut in chunks(batches, ["gram", "salt"]):
@@ -192,7 +192,7 @@ def _one_shard(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
     spans, opens = [], []
     for b, n, copies, salted, place in zip(begin.tolist(), size.tolist(), times, salts, anchor):
         found = twice[b : b + n - LENGTH + 1] | (copies > 1 and not keep_first)
-        left = np.flatnonzero(~found)
+        left = np.flatnonzero(length[b : b + n - LENGTH + 1] < LENGTH)  # the first of each string, for those that other shards hold too
         opens.append(_nested(prefix, b, left, place) if salted > 1 and len(left) else [])
         edge = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
         spans.append([{"start": int(s), "end": int(e) - 1 + LENGTH} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])

@@ -239,6 +239,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch, per_shard):
     assert got == sorted((d, *x) for (d, _), x in zip(rows, brute.repeats(rows, 400)))
 
 
+def test_strings_split_over_salts(spark, monkeypatch):
+    """What recurs within a shard, or in copies of a context, goes from the other shards of its anchor too."""
+    monkeypatch.setattr(repeats, "PER_SHARD", 1)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    rows = []
+    for _ in range(8):
+        core = text(390)
+        for left, right in (("k" * 20, "l" * 20), ("m" * 20, "n" * 20)):  # each surrounding of the core in three texts, one of them apart
+            near = left + core + right
+            rows += [text(300) + near + text(300), text(300) + near + text(300), near[5:] + text(500)]
+        copied = text(200) + "o" * 20 + core + "p" * 20 + text(200)
+        rows += [copied + text(50), copied + text(50), "q" * 300 + copied[200:-200] + text(300)]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(docs).collect())
+    assert got == sorted((d, *x) for (d, _), x in zip(rows, brute.repeats(rows, 400)))
+
+
 def test_repeats_on_the_table(spark, tables):
     rows = texts_of(tables("documents"))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(tables("documents")).collect()}
