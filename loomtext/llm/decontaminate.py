@@ -202,16 +202,30 @@ def _search(patterns: Patterns):
             items = pa.array(patterns.items, pa.string()).take(pa.array(join([x for _, x in held])))
             old = {n: batch.column(n) for n in batch.schema.names if n not in ("_n_words", "_spans", "_items")}
             new_spans, new_items = pa.ListArray.from_arrays(bounds(parts), spans), pa.ListArray.from_arrays(bounds([x for x, _ in held]), items)
-            yield pa.RecordBatch.from_arrays([*old.values(), pa.array(join(words), pa.int64()), _append(batch, "_spans", new_spans), _append(batch, "_items", new_items)], [*old, "_n_words", "_spans", "_items"])
+            yield pa.RecordBatch.from_arrays([*old.values(), pa.array(join(words), pa.int64()), _append(batch, "_spans", new_spans, _merged), _append(batch, "_items", new_items)], [*old, "_n_words", "_spans", "_items"])
 
     return run
 
 
-def _append(batch: pa.RecordBatch, name: str, more: pa.ListArray) -> pa.Array:
+def _append(batch: pa.RecordBatch, name: str, more: pa.ListArray, join=lambda a, b: a + b) -> pa.Array:
     """What an earlier block of the benchmark found, and this one."""
     if name not in batch.schema.names or not batch.num_rows:
         return more
-    return pa.array([(a or []) + (b or []) for a, b in zip(batch.column(name).to_pylist(), more.to_pylist())], more.type)
+    return pa.array([join(a or [], b or []) for a, b in zip(batch.column(name).to_pylist(), more.to_pylist())], more.type)
+
+
+def _merged(one: list[dict], two: list[dict]) -> list[dict]:
+    """Spans of two blocks as one block would find them: those that share words or follow on each other are one."""
+    if not one or not two:
+        return one or two
+    out: list[dict] = []
+    for s in sorted(one + two, key=lambda s: (s["start"], s["end"])):
+        if out and s["start"] <= out[-1]["end"]:
+            if s["end"] > out[-1]["end"]:
+                out[-1] |= {"end": s["end"], "to_byte": s["to_byte"]}
+        else:
+            out.append(s)
+    return out
 
 
 def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:

@@ -371,6 +371,23 @@ def test_benchmark_blocks(spark, tables, monkeypatch):
     assert decontaminate.report(tables("documents"), tables("benchmark").filter("false")).filter("contaminated").count() == 0
 
 
+def test_removal_over_benchmark_blocks(spark, tables, monkeypatch):
+    """Items that repeat, overlap or follow on each other in other blocks change nothing that is removed."""
+    word = [f"w{i}" for i in range(60)]
+    text = lambda a, b: " ".join(word[a:b])
+    items = [("a", text(0, 40)), ("b", text(0, 40)), ("c", text(30, 40)), ("d", text(40, 50)), ("e", text(5, 25))]
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, text(0, 40) + " " + " ".join(f"x{i}" for i in range(20))), (2, text(0, 60)), (3, text(0, 50)), (4, "clean"), (5, None)], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    removed = lambda d, b: sorted(map(str, decontaminate.remove(d, b).collect()))
+    own = tables("benchmark").unionByName(tables("benchmark"))
+    whole, of_table = removed(docs, bench), removed(tables("documents"), own)
+    assert {r["doc_id"] for r in decontaminate.remove(docs, bench).collect()} == {1, 2, 4, 5}
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    assert removed(docs, bench) == whole
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 700)
+    assert removed(tables("documents"), own) == of_table
+
+
 def test_fm_index():
     rng = np.random.default_rng(9)
     sequence = rng.integers(1, 4, 300)
