@@ -6,6 +6,9 @@ the mean over its positions. States start afresh at each word, so a word that re
 and its sums are added as often as it stands. Training is backpropagation through time in numpy, on the driver, on
 a bounded sample of labelled rows: about SAMPLE_ROWS, those of a low hash of doc_id, as many of each language.
 
+The score tells the languages apart and not language from junk: random letters get up to 0.77, short clean texts
+0.31. ``keep`` therefore also asks how many words of a text are familiar, by the byte trigrams of the sample.
+
 Nulls: a null text, or one without a letter, is ``und`` with score 0; so is all if no language can be learned. A
 null doc_id hashes as the empty string. Rows are judged one by one, so repeated rows agree; ties go to the first
 language in code point order. Extra columns are not read.
@@ -17,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.storage import aside, map_batches, only
-from loomtext.llm.words import NOT_SPACE, Block, blocks, prefix_hashes, span_hashes, spread
+from loomtext.llm.words import ALNUM, NOT_SPACE, Block, blocks, prefix_hashes, span_hashes, spread
 
 #: Labelled rows that are learned from, over all languages.
 SAMPLE_ROWS = 1200
@@ -31,6 +35,8 @@ CACHE_WORDS = 200_000
 #: Words that pass the network side by side; their states fit the cache of a core.
 WORDS_AT_ONCE = 1024
 UNKNOWN = "und"
+#: Share of familiar words below which ``keep`` rejects a text; less where texts of the sample are less familiar by each other.
+FAMILIAR = 0.5
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -84,6 +90,8 @@ class LanguageModel:
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.languages, self.ahead, self.behind = languages, ByteGRU(rng, hidden), ByteGRU(rng, hidden)
+        self.trigrams = np.zeros(1 << 21, np.uint8)  # a bit for each familiar one
+        self.least_familiar = 0.0
         self.top = {"v": rng.normal(0, 0.2, (2 * hidden, len(languages))).astype(np.float32), "c": np.zeros(len(languages), np.float32)}
 
     def _states(self, x: np.ndarray, keep: bool = False):
@@ -154,6 +162,43 @@ def pieces(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return from_, np.minimum(from_ + PIECE, np.repeat(end, n)), np.repeat(owner, n)
 
 
+def _trigrams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block: the trigram around each byte of the words (a space on either side), where words start in them, the text of each, and how many of its bytes are digits."""
+    for block in blocks(pc.utf8_lower(texts.cast(pa.large_string()))):
+        start, end, owner = block.words(ALNUM)
+        place = spread(start, end - start)
+        first = np.cumsum(end - start) - (end - start)
+        wide = np.concatenate(([0x20], np.where(ALNUM[block.data], block.data, 0x20), [0x20])).astype(np.int32)
+        codes = (wide[place] << 16) | (wide[place + 1] << 8) | wide[place + 2]
+        digit = (wide[place + 1] >= 0x30) & (wide[place + 1] <= 0x39)
+        yield codes, first, owner + block.first, np.add.reduceat(digit.astype(np.int64), first) if len(first) else first
+
+
+def familiar_shares(texts: pa.Array, familiar) -> np.ndarray:
+    """The share of each text's words at least half of whose trigrams ``familiar`` holds; words with digits are not, numbers do not count."""
+    known, counted = np.zeros(len(texts)), np.zeros(len(texts))
+    for codes, first, owner, digits in _trigrams(texts):
+        if not len(first):
+            continue
+        size = np.diff(np.append(first, len(codes)))
+        held = np.add.reduceat(familiar(codes).astype(np.int64), first)
+        known += np.bincount(owner, (digits == 0) & (2 * held >= size), len(texts))
+        counted += np.bincount(owner, digits < size, len(texts))
+    return known / np.maximum(counted, 1)
+
+
+def learn_trigrams(model: LanguageModel, texts: list[str]) -> None:
+    """A trigram is familiar that stands in two texts; the bar follows from how familiar each text is by the others."""
+    counts, column = np.zeros(1 << 24, np.uint16), pa.array(texts, pa.large_string())
+    for i in range(len(texts)):
+        for codes, *_ in _trigrams(column.slice(i, 1)):
+            some = np.unique(codes)
+            counts[some] += counts[some] < 3
+    model.trigrams = np.packbits(counts >= 2, bitorder="little")
+    shares = familiar_shares(column, lambda codes: counts[codes] >= 3)
+    model.least_familiar = min(FAMILIAR, 0.5 * float(np.quantile(shares, 0.01)))
+
+
 def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learns from text and lang of the rows that ``learnable`` allows."""
     docs = only(docs, "doc_id", "text", "lang")
@@ -168,18 +213,21 @@ def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) ->
     for lang, n in counts.items():
         within = within | ((F.col("lang") == lang) & (share < each / n))
     words: dict[str, list[bytes]] = {x: [] for x in languages}
-    for lang, text in sorted(map(tuple, labelled.filter(within).select("lang", "text").collect())):
+    sample = sorted(map(tuple, labelled.filter(within).select("lang", "text").collect()))
+    for lang, text in sample:
         for block in blocks(pa.array([text])):
             raw = block.data.tobytes()
             words[lang] += [raw[s:e] for s, e, _ in zip(*map(np.ndarray.tolist, pieces(block)))]
     languages = [x for x in languages if words[x]]
     model = LanguageModel(languages)
+    if sample:
+        learn_trigrams(model, [text for _, text in sample])
     if len(languages) > 1:
         model.learn([words[x] for x in languages])
     return model
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, familiar: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         known, sums = np.zeros(0, np.uint64), np.zeros((0, k), np.float32)
@@ -212,16 +260,20 @@ def _predict(model: LanguageModel):
             letter = np.array(batch.column("_letter").fill_null(False))
             lang = np.where(letter, names[best.astype(int)], UNKNOWN) if len(best) else []
             cols = {n: batch.column(n) for n in batch.schema.names if n != "_letter"}
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(lang, pa.string()), pa.array(np.clip(np.where(letter, score, 0.0), 0, 1), pa.float64())], [*cols, "_lang_pred", "_lang_score"])
+            cols |= {"_lang_pred": pa.array(lang, pa.string()), "_lang_score": pa.array(np.clip(np.where(letter, score, 0.0), 0, 1), pa.float64())}
+            if familiar:
+                held = lambda codes: (model.trigrams[codes >> 3] >> (codes & 7)) & 1
+                cols["_familiar"] = pa.array(familiar_shares(batch.column("text"), held), pa.float64())
+            yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
 
     return run
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_lang_score``; of the columns, only text is read."""
+def predict(docs: DataFrame, model: LanguageModel, familiar: bool = False) -> DataFrame:
+    """``docs`` with ``_lang_pred`` and ``_lang_score``, and ``_familiar`` if asked for; of the columns, only text is read."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     lettered = docs.withColumn("_letter", F.regexp_like("text", F.lit(r"\p{L}")))
-    return map_batches(lettered, _predict(model), f"{kinds}, _lang_pred string, _lang_score double")
+    return map_batches(lettered, _predict(model, familiar), f"{kinds}, _lang_pred string, _lang_score double" + ", _familiar double" * familiar)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -230,12 +282,15 @@ def report(docs: DataFrame) -> DataFrame:
     return predict(only(docs, "doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
-#: ``keep`` rejects what scores below this, besides texts without letters: short texts between licence lines score 0.32 and more.
-LEAST_SCORE = 0.2
+def least_score(languages: int) -> float:
+    """``keep`` rejects what scores below this: a little above chance, as short texts between licence lines score 0.31 and more of four languages."""
+    return 1 / languages + 0.05 * (1 - 1 / languages) if languages > 1 else 0.0
 
 
-def keep(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The documents in a learned language: rejected are ``und`` and scores under ``least_score``."""
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents in a learned language: rejected are ``und``, scores near chance, and texts with too few familiar words."""
     own, restored = aside(docs, "doc_id", "text", "lang")
-    found = predict(own, train(own, ~held_out(F.col("doc_id"))))
-    return restored(found.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score)))
+    model = train(own, ~held_out(F.col("doc_id")))
+    found = predict(own, model, familiar=True)
+    bar = least_score(len(model.languages))
+    return restored(found.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= bar) & (F.col("_familiar") >= model.least_familiar)))

@@ -1,5 +1,6 @@
 """The operators against plain versions, on the smallest tables and on odd rows."""
 
+import base64
 import hashlib
 import random
 
@@ -144,6 +145,20 @@ def test_language_odd_rows(spark, tables):
     assert langid.report(odd.filter("false")).count() == 0
 
 
+def test_junk_with_letters_is_rejected(spark, tables):
+    """Random letters, encoded bytes and unlearned scripts go; clean texts stay, short ones and those with secrets too."""
+    rng = random.Random(2)
+    drawn = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n))
+    junk = [f(n) for n in (8, 60) for f in (lambda n: drawn("bcdfghjklmnpqrstvwxz", n), lambda n: drawn("αβγδεζηθικλμνξοπρστυφχψω", n), lambda n: drawn("абвгдежзийклмнопрстуфхцчшщыьэюя", n), lambda n: "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n)), lambda n: rng.randbytes(n).hex(), lambda n: base64.b64encode(rng.randbytes(5 * n)).decode())]
+    clean = ["The and attion to thanedble the.", "Avec.", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" From reha reenti oution thti.', "Of and and ly esor.", "Die der und in das."]
+    docs = tables("documents").select("doc_id", "text", "lang")
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(junk + clean)], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r[0] for r in langid.keep(docs.unionByName(planted)).select("doc_id").collect()}
+    assert {10**9 + i for i in range(len(junk))}.isdisjoint(kept)
+    assert {10**9 + len(junk) + i for i in range(len(clean))} <= kept
+    assert {r[0] for r in docs.select("doc_id").collect()} <= kept
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     gru = langid.ByteGRU(rng, 3)
