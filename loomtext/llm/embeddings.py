@@ -1,15 +1,13 @@
-"""Embedding near-duplicates by randomised-rotation binary codes.
+"""Embedding near-duplicates by exact comparison in blocks.
 
-A vector is scaled to length one and turned by ROTATIONS random orthogonal matrices; the signs are its code, and the
-inner product of code and turned vector its stored correction factor. From the code of one vector and the turned
-form of another follows an unbiased estimate of their cosine with a confidence bound; only pairs whose upper bound
-reaches the threshold are recomputed, in double precision, and those results alone make links.
+All pairs of one label are compared: the vectors of a label are dealt into blocks, each pair of blocks meets in one
+group, and its cosines are one matrix product in double precision. Those that reach the threshold, less SLACK for
+rounding, are recomputed one by one, and those results alone make links. No pair is lost at any number of vectors;
+the work grows with the square of a label's distinct vectors. Equal vectors form one class that is compared once.
+What leaves a group is a count per vector and one edge per vector to its component in the group, never the pairs.
 
-Pairs are looked for within one label and within hash tables whose keys are bits of the codes. How many bits and
-tables follows from the number of vectors: a pair at the threshold meets in some table with probability RECALL.
-Equal vectors form one class that is compared once. Within a bucket, blocks of vectors meet in matrix products; each
-pair counts in the first table it shares, and what leaves a block is a count per vector and one edge per vector to
-its component in the block, never the pairs.
+Binary codes by randomised rotations (``Codes``) estimate cosines with a confidence bound. Tables keyed by bits of
+the codes lose links, the more the larger the table, so no pair is looked for by them.
 
 Nulls: a null label, a null or zero vector, one with null or non-finite components, or of another length, links
 with nothing. A row is compared as often as it stands in the table; rows with equal vec_id and label share a result
@@ -31,13 +29,13 @@ from loomtext.llm.storage import Scratch, map_batches, only, settle
 from loomtext.llm.words import spread
 
 ROTATIONS = 4
-#: Probability that a pair right at the threshold shares a table.
-RECALL = 0.9995
 #: Half width of the confidence interval in standard deviations of the estimate.
 EPSILON = 4.5
 BLOCK = 1024
-#: Buckets of at most so many vectors are compared pair by pair, larger ones as matrices.
+#: Labels of at most so many vectors are compared pair by pair, larger ones as matrices.
 FEW = 64
+#: More than rounding can part a cosine in a matrix product from the same one by itself.
+SLACK = 1e-9
 
 
 def rotations(dim: int, count: int = ROTATIONS) -> np.ndarray:
@@ -45,13 +43,6 @@ def rotations(dim: int, count: int = ROTATIONS) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)])
 
 
-def tables_for(n: int, threshold: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for n vectors."""
-    p = 1 - math.acos(threshold) / math.pi
-    bits = max(8, min(30, math.ceil(math.log2(max(2, n))) - 2))
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - p**bits))
-
-
 @functools.lru_cache(maxsize=8)
 def _plan(dim: int, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """The rotations side by side, and the code bits that make each table's key."""
@@ -89,18 +80,6 @@ def _units(batch_vectors: pa.Array, dim: int) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _keyed(dim: int, bits: int, tables: int):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = Codes(_units(part.column("embedding"), dim), bits, tables).keys
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(keys) + 1) * tables).astype(np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "keys"])
-
-    return run
-
-
 def _within(n: int, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The least index linked to each of n, by repeated minima along the edges."""
     low = np.arange(n)
@@ -114,22 +93,18 @@ def _within(n: int, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         low = new
 
 
-def _links(dim: int, bits: int, tables: int, threshold: float):
+def _links(dim: int, threshold: float):
     def run(batches):
-        for chunk, cut in chunks(batches, ["label", "table", "key", "_i", "_j"]):
-            side, table = chunk.column("_side").to_numpy(), chunk.column("table").to_numpy()
+        for chunk, cut in chunks(batches, ["label", "_i", "_j"]):
+            side = chunk.column("_side").to_numpy()
             name, n = chunk.column("class_id").to_numpy(), chunk.column("n").to_numpy()
             unit = _units(chunk.column("embedding").combine_chunks(), dim)
-            codes = Codes(unit, bits, tables)
             one, two = [], []
 
             def settled(x, y):
-                """Exact cosines of the pairs that the bounds leave open; each pair in its first shared table."""
                 cosine = np.einsum("ij,ij->i", unit[x], unit[y])
-                x, y = x[cosine >= threshold], y[cosine >= threshold]
-                first = ~((codes.keys[x] == codes.keys[y]) & (np.arange(tables) < table[x][:, None])).any(1)
-                one.append(x[first])
-                two.append(y[first])
+                one.append(x[cosine >= threshold])
+                two.append(y[cosine >= threshold])
 
             size = np.diff(cut)
             whole = chunk.column("_i").to_numpy()[cut[:-1]] == chunk.column("_j").to_numpy()[cut[:-1]]
@@ -138,18 +113,14 @@ def _links(dim: int, bits: int, tables: int, threshold: float):
             after = np.repeat(cut[1:][few], size[few]) - row - 1
             x, y = np.repeat(row, after), spread(row + 1, after)
             for at in range(0, len(x), 65536):
-                p, q = x[at : at + 65536], y[at : at + 65536]
-                width = half_width(codes.factor[p], codes.signs.shape[1])
-                open_ = np.einsum("ij,ij->i", codes.signs[p], codes.turned[q]) / codes.factor[p] + width >= threshold
-                settled(p[open_], q[open_])
+                settled(x[at : at + 65536], y[at : at + 65536])
             for k in np.flatnonzero(~few):
                 rows = np.arange(cut[k], cut[k + 1])
                 left = rows[side[rows] == 0]
                 right = left if whole[k] else rows[side[rows] == 1]
                 for at in range(0, len(left), 256):
                     a = left[at : at + 256]
-                    estimate, width = estimated(codes.signs[a], codes.factor[a], codes.turned[right])
-                    i, j = np.nonzero(estimate + width >= threshold)
+                    i, j = np.nonzero(unit[a] @ unit[right].T >= threshold - SLACK)
                     p, q = a[i], right[j]
                     for low in range(0, len(p), 65536):
                         u, v = p[low : low + 65536], q[low : low + 65536]
@@ -177,15 +148,11 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     scratch = Scratch()
     classes = scratch.settle(usable.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("vec_id")).withColumn("class_id", name), "vector-classes")
     links = None
-    for dim, n in sorted(map(tuple, classes.groupBy(F.size("embedding")).count().collect())):
-        bits, tables = tables_for(n, threshold)
+    for dim in sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect()):
         own = classes.filter(F.size("embedding") == dim).select("label", "class_id", "n", "embedding")
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-        keyed = map_batches(own, _keyed(dim, bits, tables), f"{kinds}, keys array<long>")
-        placed = keyed.select("label", "class_id", F.posexplode("keys").alias("table", "key"))
-        blocked = block_pairs(placed, ["label", "table", "key"], "class_id", BLOCK).join(own.drop("label"), "class_id")
-        order = ["label", "table", "key", "_i", "_j"]
-        found = map_batches(blocked.repartition(*order).sortWithinPartitions(*order), _links(dim, bits, tables, threshold), "class_id long, links long, root long")
+        blocked = block_pairs(own.select("label", "class_id"), ["label"], "class_id", BLOCK).join(own.drop("label"), "class_id")
+        order = ["label", "_i", "_j"]
+        found = map_batches(blocked.repartition(*order).sortWithinPartitions(*order), _links(dim, threshold), "class_id long, links long, root long")
         links = found if links is None else links.unionByName(found)
     if links is None:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -66,6 +66,18 @@ def test_embeddings_equal_brute_force(spark):
     assert got[305] == (1, 305) and got[306] == (1, 305)
 
 
+def test_every_pair_at_the_threshold_links(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(2, 4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = 0.9301
+    rows = [(2 * i + j, i, v.tolist()) for i, pair in enumerate(zip(x, c * x + (1 - c * c) ** 0.5 * y)) for j, v in enumerate(pair)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert embeddings.cluster(df).filter("n_links = 1 and component_id = vec_id - vec_id % 2").count() == len(rows)
+
+
 def test_embeddings_blocks(spark, monkeypatch):
     """Small blocks and no pairwise path give the same counts."""
     rows = near_vectors(np.random.default_rng(5), 120)
