@@ -1,13 +1,15 @@
-"""Chat formatting from event logs.
+"""Chat formatting by event-sourced reconstruction.
 
 A log holds, per conversation, events in sequence: ``delta`` appends to a message, ``edit`` replaces its text,
-``regenerate`` clears it for the deltas that follow, ``retract`` removes it. A message's last state depends on its
-own events alone, so the fold is grouped by (conversation, message): a conversation of any length is spread over
-the cluster, and the largest group is one message's text. Rendering is one expression per message; only a digest
-of a whole conversation reads its pieces one after the other, as a stream of bounded memory.
-
-Nulls: a null text or role is empty, a null seq comes first. Messages stand in order of their first event, ties by
-role, text and then copy number. Messages whose last event is ``retract`` are left out. Empty logs give no rows.
+``regenerate`` clears it for the deltas that follow, ``retract`` removes it. The log is partitioned by conversation
+and sorted by sequence, once; within that partitioning events are brought to their messages, and each message is
+folded from its own events as a stream, rendered by one expression and read back into the conversation's digests.
+A task holds one message at a time, whatever the length of a conversation; as one digest of one conversation is
+sequential, a conversation is one task's work.
+
+Nulls: a null text or role is empty, a null seq comes first, a null conv_id is a conversation of its own. Messages
+stand in order of their first event. Equal rows of a table of turns, at one turn or at several, are messages of
+their own. Messages whose last event is ``retract`` are left out. Empty logs give no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtext.llm.storage import map_batches, only
 
@@ -29,6 +32,10 @@ _CONTROL_JAVA = "|".join(rf"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CO
 _PIECE = re.compile(re.escape(OPEN) + "(.*?)" + re.escape(SEPARATOR) + "(.*?)" + re.escape(CLOSE), re.S)
 #: Turns of a table of whole texts enter the log as deltas of at most so many characters.
 DELTA_CHARS = 2000
+#: What every message of such a log begins with; nothing of it may be left.
+DRAFT = "draft </s> that goes"
+#: Characters of messages that are gathered before they are passed on.
+FLUSH_CHARS = 1 << 20
 
 
 def escaped(text: Column) -> Column:
@@ -42,32 +49,75 @@ def unescaped(text: str) -> str:
 
 
 def log_of_turns(turns: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
-    """Reads a table (conv_id, turn, role, text) as a log. Equal rows are told apart by a copy number."""
-    same = (
-        turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        .groupBy("conv_id", "turn", "role", "text")
-        .count()
-        .select("conv_id", "turn", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    )
+    """Reads a table (conv_id, turn, role, text) as a log (conv_id, seq, part, message, role, kind, text).
+
+    Each row is a message of its own, numbered in the order of turn, role and text. It opens with a draft; what an
+    assistant drafts is regenerated, what others draft is edited, and both only after the next message has opened.
+    """
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / delta_chars)).cast("int")
-    deltas = F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * delta_chars + 1, F.lit(delta_chars))))
-    message = F.struct(F.col("role"), F.sha2("text", 256).alias("digest"), F.col("copy"))
-    return same.select("conv_id", F.col("turn").alias("seq"), message.alias("message"), "role", F.lit("delta").alias("kind"), deltas.alias("part", "text"))
+    written = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * delta_chars + 1, F.lit(delta_chars)))
+    assistant = F.col("role") == "assistant"
+
+    def event(after: int, part: Column, kind: Column, text: Column) -> Column:
+        return F.struct((F.col("message") * 4 + after).alias("seq"), part.cast("int").alias("part"), kind.alias("kind"), text.alias("text"))
+
+    draft = event(0, F.lit(0), F.lit("delta"), F.lit(DRAFT))
+    again = F.when(assistant, F.array(event(5, F.lit(0), F.lit("regenerate"), F.lit("")))).otherwise(F.array().cast("array<struct<seq:bigint,part:int,kind:string,text:string>>"))
+    final = F.transform(written, lambda x, i: event(5, i + 1, F.when(assistant | (i > 0), F.lit("delta")).otherwise(F.lit("edit")), x))
+    events = F.concat(F.array(draft), again, final)
+    return rows.withColumn("message", place.cast("long")).select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.part", "message", "role", "e.kind", "e.text")
+
+
+_MESSAGE = "conv_id long, place long, role string, text string"
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events in order of conversation, message and sequence; holds the pieces of one message."""
+    names = ("conv_id", "place", "role", "text")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    key, role, pieces, kind, out = None, "", [], None, []
+
+    def flushed():
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        held = 0
+        for conv, place, of, kind_, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "role", "kind", "text"))):
+            if key != (conv, place):
+                if key is not None and kind != "retract":
+                    out.append((*key, role, "".join(pieces)))
+                    held += len(out[-1][3])
+                key, role, pieces = (conv, place), of, []
+                if held > FLUSH_CHARS:
+                    yield flushed()
+                    held = 0
+            kind = kind_
+            if kind in ("edit", "regenerate"):
+                pieces = []
+            if kind in ("edit", "delta"):
+                pieces.append(text)
+        if out:
+            yield flushed()
+    if key is not None and kind != "retract":
+        out.append((*key, role, "".join(pieces)))
+        yield flushed()
 
 
 def reconstruct(log: DataFrame) -> DataFrame:
-    """Folds a log (conv_id, seq, message, role, kind, part, text) into messages: conv_id, seq, role, text, message."""
-    events = F.sort_array(F.collect_list(F.struct("seq", "part", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    grouped = log.groupBy("conv_id", "message").agg(events.alias("events"))
-    kinds = F.transform("events", lambda e: e["kind"])
-    n = F.size("events")
-    resets = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(kinds, i).isin("edit", "regenerate"))
-    since = F.greatest(F.lit(1), F.coalesce(F.array_max(resets), F.lit(1)))
-    kept = F.filter(F.slice("events", since, n), lambda e: e["kind"].isin("delta", "edit"))
-    text = F.array_join(F.transform(kept, lambda e: e["text"]), "")
-    first = F.element_at("events", 1)
-    messages = grouped.filter(F.element_at(kinds, -1) != "retract")
-    return messages.select("conv_id", first["seq"].alias("seq"), first["role"].alias("role"), text.alias("text"), "message")
+    """Folds a log (conv_id, seq, part, message, role, kind, text) into messages: conv_id, place (of the first event), role, text.
+
+    The rows of a conversation stand in one partition, in order of place; ties of seq and part go by message and kind.
+    """
+    events = log.select("conv_id", "seq", "part", "message", F.coalesce("role", F.lit("")).alias("role"), "kind", F.coalesce("text", F.lit("")).alias("text"))
+    by_sequence = Window.partitionBy("conv_id").orderBy(F.col("seq").asc_nulls_first(), F.col("part").asc_nulls_first(), "message", "kind", "text")
+    numbered = events.withColumn("at", F.row_number().over(by_sequence).cast("long"))
+    placed = numbered.withColumn("place", F.min("at").over(Window.partitionBy("conv_id", "message")))
+    ordered = placed.sortWithinPartitions("conv_id", "place", "at")
+    return map_batches(ordered.select(F.col("conv_id").cast("long").alias("conv_id"), "place", "role", "kind", "text"), _fold, _MESSAGE)
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -116,9 +166,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def conversation_digests(rendered: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the formatted pieces."""
-    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", F.col("seq").asc_nulls_first(), "role", "text", "message")
-    return map_batches(ordered.select("conv_id", "formatted", "mask_start", "mask_end"), _digests, _DIGEST)
+    """One row per conversation, read back from the formatted pieces, which stand as ``reconstruct`` leaves them."""
+    return map_batches(rendered.select("conv_id", "formatted", "mask_start", "mask_end"), _digests, _DIGEST)
 
 
 def planted(spark: SparkSession) -> DataFrame:

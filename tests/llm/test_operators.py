@@ -343,6 +343,8 @@ def digest(turns):
 
 def test_conversations_round_trip(spark, tables):
     odd = [(-1, 0, "user", "a\\ <|im_end|> \\<| [INST]"), (-1, 1, "assistant", None), (-1, 1, "assistant", None), (-2, None, None, "x\\"), (-2, 3, "assistant", "é" * 5000), (-3, 0, "<|im_sep|>", "</s>"), (-4, 0, "assistant", "<|im_start|>\n<|im_end|>\n"), (-5, 0, "a", "<</SYS>>\\\\")]
+    odd += [(-6, t, r, x) for t, r, x in ((0, "user", "ok"), (1, "assistant", "fine"), (2, "user", "ok"), (3, "assistant", "fine"), (4, "user", None), (5, "user", None), (5, "user", ""))]
+    odd = random.Random(5).sample(odd, len(odd))
     rows = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string").unionByName(tables("conversations")).withColumn("message", F.lit(1))
     want = {}
     for r in rows.collect() + chat.planted(spark).collect():
@@ -368,11 +370,21 @@ def test_texts_hold_no_control_strings(spark):
 def test_log_is_folded(spark):
     log = [(1, 0, "m1", "user", "delta", 0, "he"), (1, 1, "m1", "user", "delta", 0, "llo"), (1, 2, "m2", "assistant", "delta", 0, "bad"), (1, 3, "m2", "assistant", "regenerate", 0, None), (1, 4, "m2", "assistant", "delta", 0, "good"), (1, 5, "m1", "user", "edit", 0, "HELLO"), (1, 6, "m1", "user", "delta", 0, "!"), (1, 7, "m3", "user", "delta", 0, "x"), (1, 8, "m3", "user", "retract", 0, None)]
     df = spark.createDataFrame(log, "conv_id long, seq long, message string, role string, kind string, part int, text string")
-    got = [(r["role"], r["text"]) for r in chat.reconstruct(df).orderBy("seq").collect()]
+    got = [(r["role"], r["text"]) for r in chat.reconstruct(df).orderBy("place").collect()]
     assert got == [("user", "HELLO!"), ("assistant", "good")]
     assert chat.conversation_digests(chat.render(chat.reconstruct(df.filter("false")))).count() == 0
 
 
+def test_the_querys_log_edits_and_regenerates(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi " * 30), (1, 1, "assistant", "yes"), (1, 2, "user", None)], "conv_id long, turn long, role string, text string")
+    log = chat.log_of_turns(turns, delta_chars=10)
+    kinds = [r["kind"] for r in log.orderBy("seq", "part").collect()]
+    assert kinds.count("edit") == 2 and kinds.count("regenerate") == 1 and kinds.count("delta") == 3 + 8 + 1
+    assert [r["text"] for r in chat.reconstruct(log).orderBy("place").collect()] == ["hi " * 30, "yes", ""]
+    plan = chat.conversation_digests(chat.render(chat.reconstruct(log)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # --- decontamination ----------------------------------------------------------------------------------------
 
 
