@@ -37,8 +37,8 @@ s AS MATERIALIZED (SELECT doc_id, source, kind, st, st + len(m[i]) AS en, sha256
 found AS MATERIALIZED (SELECT doc_id, source, kind, st, en, hash FROM s WHERE kind < 3 UNION ALL
   SELECT doc_id, source, kind, st, en, hash FROM s WHERE kind = 3 AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[a-z]')
   AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.kind < 3 AND b.st < s.en AND s.st < b.en)),
-owners AS (SELECT hash, count(DISTINCT coalesce(source, chr(1))) AS owners FROM found GROUP BY hash),
-judged AS (SELECT found.*, owners < {secrets.COPIED_OWNERS} AS live FROM found JOIN owners USING (hash)),
+owners AS (SELECT hash, count(DISTINCT coalesce(source, chr(1))) AS owners, count(DISTINCT doc_id) AS repositories FROM found GROUP BY hash),
+judged AS (SELECT found.*, owners < {secrets.COPIED_OWNERS} AND repositories < {secrets.COPIED_REPOSITORIES} AS live FROM found JOIN owners USING (hash)),
 per AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   coalesce(string_agg({written}, ',' ORDER BY st, kind) FILTER (WHERE kind < 3), '') AS base, coalesce(string_agg({written}, ',' ORDER BY st, kind) FILTER (WHERE kind < 3 OR live), '') AS spans,
   count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied FROM judged GROUP BY doc_id)

@@ -128,6 +128,19 @@ def test_ownership_separates_copies_from_live_values(spark):
     assert all(got[10 + i] == ("", 0, 1) for i in range(4))
 
 
+def test_repositories_decide_as_owners_do(spark):
+    few, many = "Zq8Rt5Lm2Xv9Bn4Ks7Wd1Pf6", "Ab3Cd4Ef5Gh6Ij7Kl8Mn9Op0"
+    rows = [(i, f"use {few} here", "en", "s1", 0) for i in range(secrets.COPIED_REPOSITORIES - 1)] + [(100 + i, f"use {many} here", "en", "s1", 0) for i in range(secrets.COPIED_REPOSITORIES)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(x == ("owned:4:28" if d < 100 else "") for d, x in got.items())
+
+
+def test_many_matches_in_one_text(spark):
+    text = " é ".join(f"token=abcdefgh{i} " + "0a" * 16 for i in range(30_000))
+    row = secrets.report(spark.createDataFrame([(1, text, None, "s", 0)], DOCS)).first()
+    assert [x for x in row["spans"].split(",") if not x.startswith("owned")] == [f"{k}:{s}:{e}" for k, s, e in brute.secrets(text)]
+
+
 def test_redaction(spark):
     rows = [(1, 'a password="hunter2hunter2" b', "en", "s", 29), (2, "clean", "en", "s", 5), (3, None, "en", "s", 0)]
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit("x"))).collect()}
