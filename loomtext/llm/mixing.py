@@ -1,9 +1,15 @@
 """Mixing sources to target weights.
 
 Words are summed per source; each source's target follows from its weight, and target / size is the rate at which
-its documents repeat. A document is emitted floor(rate) times, and once more if a draw seeded by its id's hash
-falls below the fraction, so that a rerun takes the same copies. A source of few or very unequal documents may miss
-its target by chance; so SEEDS seeds are tried in one aggregation, and each source takes the one that comes nearest.
+its documents repeat. A document is emitted floor(rate) times, and once more if its draw, seeded by the hash of its
+id, falls below a bound, so that a rerun takes the same copies. The bound is the fraction of the rate, held within
+strata: documents of one source and about one size share a stratum, the strata of a source get their shares of the
+second copies by rounding one running sum from a hash-seeded start, and in each the documents with the least draws
+have them. Over seeds every document has its second copy with a probability of the fraction, and a source misses its
+target by about one document instead of by the chance of independent draws.
+
+A stratum's bound is an order statistic of its draws: a histogram over HIST_BITS bits names the bin it lies in, and
+only that bin's draws are ranked. Joins meet a table of strata, which is broadcast if it is small.
 
 Nulls: a null text has size 0; null sources form one source, the last in order; a null doc_id draws as the empty
 string. Rows with equal doc_id share one draw, so repeated rows are taken alike. An empty table gives no rows.
@@ -16,95 +22,113 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.llm.storage import aside, discard, only, settle
+from loomtext.llm.storage import Scratch, aside, only, settle
 
 #: Weights by the source's place in code point order, over and over.
 WEIGHTS = (5, 2, 1)
 #: No target exceeds so many times its source's size.
 MOST_REPEATS = 3
-#: Source tables of at most so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Tables of at most so many strata are broadcast; larger ones are joined by shuffle.
+BROADCAST_STRATA = 50_000
 SEED = "mix-1:"
-#: Seeds that are tried for each source.
-SEEDS = 32
-_BITS = 1 << 48
+HIST_BITS = 8
+_BITS = 48
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def hashes(doc_id: Column, seed: str = SEED) -> tuple[Column, Column]:
-    """Two 48-bit numbers that depend on the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
-    return tuple(F.conv(F.substring(digest, at, 12), 16, 10).cast("long") for at in (1, 13))
+def draw(doc_id: Column, seed: str = SEED) -> Column:
+    """A number of 48 bits that depends on the seed and the id alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+
+
+def size_class(size: Column) -> Column:
+    """The number of bits of a size and the two after the first: sizes of a class differ by a fifth at most, from 8 on."""
+    bits = F.bin(size)
+    return (F.length(bits) * 4 + F.conv(F.rpad(F.substring(bits, 2, 2), 2, "0"), 2, 10).cast("int")).cast("int")
+
 
+def source_key(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
 
-def draw(first: Column, second: Column, number: Column) -> Column:
-    """The draw of a number of seed, in [0, 1): draws of any two numbers are independent."""
-    return F.pmod(first + number * second, F.lit(_BITS)).cast("double") / F.lit(float(_BITS))
+
+def ranked(per: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per source with ``place``, its number in code point order, null last. Ranges are numbered apart, so no task holds all sources."""
+    dealt = per.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id())
+    dealt = scratch.settle(dealt, "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.join(offsets, "part").withColumn("place", F.col("offset") + within - 1).drop("part", "offset")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """One row per source: source, source_size, target, rate.
 
-    Resharing the excess of capped sources until none is above its cap has a closed form: in order of cap / weight,
-    a source is capped while an equal share of what is left would exceed its cap. The comparison is in integers.
+    The share of a unit of weight rises as sources reach their caps; each round takes one sum over the sources that
+    the share so far leaves uncapped, and the last changes nothing. Comparisons are in integers.
     """
-    by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everywhere = Window.partitionBy(F.lit(1))
-    per = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("place", (F.row_number().over(by_name) - 1) % len(weights))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("place") + 1).cast("long"))
-        .withColumn("cap", F.col("source_size") * most)
-        .withColumn("ratio", F.col("cap").cast("double") / F.col("weight").cast("double"))
-        .withColumn("all_size", F.sum("source_size").over(everywhere))
-        .withColumn("left_size", F.col("all_size") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("capped", F.col("left_size") * F.col("weight") >= F.col("cap") * F.col("left_weight"))
-        .withColumn("free_size", F.col("all_size") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everywhere), F.lit(0)))
-        .withColumn("free_weight", F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everywhere))
-    )
-    share = F.col("weight").cast("double") * F.col("free_size").cast("double") / F.col("free_weight").cast("double")
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share)
+    scratch = Scratch()
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    per = settle(ranked(per, scratch).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).drop("place"), "mix-weights")
+    scratch.drop()
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    total = per.agg(F.sum(wide("source_size")).alias("s"), F.sum("weight").alias("w")).first()
+    free_size, free_weight = int(total["s"] or 0), int(total["w"] or 0)
+    while True:
+        capped = wide("weight") * F.lit(free_size).cast("decimal(18,0)") >= wide("cap") * F.lit(free_weight).cast("decimal(18,0)")
+        held = per.filter(capped).agg(F.sum(wide("cap")).alias("s"), F.sum("weight").alias("w")).first()
+        now = int(total["s"] or 0) - int(held["s"] or 0), int(total["w"] or 0) - int(held["w"] or 0)
+        if now == (free_size, free_weight) or now[1] <= 0:
+            break
+        free_size, free_weight = now
+    share = F.col("weight").cast("double") * F.lit(float(free_size)) / F.lit(float(max(1, free_weight)))
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(share)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     return per.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def seeds(sizes: DataFrame, per: DataFrame, tried: int = SEEDS) -> DataFrame:
-    """source, number: for each source the number of seed whose copies come nearest to its target.
+def strata(slim: DataFrame, per: DataFrame, seed: str, scratch: Scratch) -> DataFrame:
+    """One row per source and size class: source_key, size_class, source_size, target, whole and bound: a draw up to the bound has one copy more.
 
-    sizes: source, size, first, second; per: what ``targets`` gives. Ties go to the lowest number.
+    slim: source_key, size_class, draw; per: what ``targets`` gives.
     """
+    cells = slim.groupBy("source_key", "size_class").agg(F.count("*").alias("n"))
+    cells = cells.join(per.withColumn("source_key", source_key(F.col("source"))).drop("source"), "source_key")
     fraction = F.col("rate") - F.floor("rate")
-    taken = [F.sum(F.col("size") * (F.floor("rate") + (draw(F.col("first"), F.col("second"), F.lit(k)) < fraction).cast("long"))).alias(f"t{k}") for k in range(tried)]
-    found = joined(sizes, per).groupBy("source").agg(F.first("target").alias("target"), *taken)
-    missed = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}").cast("double") - F.col("target")).alias("by"), F.lit(k).alias("number")) for k in range(tried))))
-    return found.select("source", missed["number"].cast("long").alias("number"))
-
-
-def joined(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """Rows with what is known of their source; a settled table of sources is broadcast if it is small."""
-    small = per.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    named = per.withColumnRenamed("source", "of_source")
-    return rows.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    start = draw(F.col("source_key"), seed).cast("double") / F.lit(float(1 << _BITS))
+    order = Window.partitionBy("source_key").orderBy(F.desc("size_class"))
+    upto = F.sum("n").over(order)
+    copies = lambda n: F.floor(start + fraction * n.cast("double"))
+    cells = cells.withColumn("more", copies(upto) - copies(upto - F.col("n"))).withColumn("whole", F.floor("rate").cast("long"))
+    cells = scratch.settle(cells.select("source_key", "size_class", "source_size", "target", "whole", "more"), "mix-strata")
+    binned = slim.withColumn("bin", F.shiftright("draw", _BITS - HIST_BITS))
+    bins = binned.groupBy("source_key", "size_class", "bin").agg(F.count("*").alias("n")).join(cells.filter("more > 0").select("source_key", "size_class", "more"), ["source_key", "size_class"])
+    below = F.sum("n").over(Window.partitionBy("source_key", "size_class").orderBy("bin"))
+    edge = bins.withColumn("upto", below).filter((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("n") < F.col("more")))
+    edge = edge.select("source_key", "size_class", "bin", (F.col("more") - F.col("upto") + F.col("n")).alias("rank"))
+    at = F.row_number().over(Window.partitionBy("source_key", "size_class", "bin").orderBy("draw"))
+    found = binned.join(edge, ["source_key", "size_class", "bin"]).withColumn("at", at).filter("at = rank").select("source_key", "size_class", F.col("draw").alias("bound"))
+    return cells.join(found, ["source_key", "size_class"], "left").withColumn("bound", F.coalesce("bound", F.lit(-1).cast("long"))).drop("more")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
-    """Every document as ``doc`` (all its columns) with its size, its source's size, target and rate, and the copies taken."""
-    first, second = hashes(F.col("doc_id"), seed)
-    sized = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), first.alias("first"), second.alias("second"))
-    slim = settle(sized.drop("doc"), "mix-sizes")
-    per = settle(targets(slim.select("source", "size"), weights, most), "mix-targets")
-    numbers = settle(seeds(slim, per), "mix-seeds")
-    chosen = settle(joined(per, numbers), "mix-plan")
-    discard(slim)
-    more = (draw(F.col("first"), F.col("second"), F.col("number")) < F.col("rate") - F.floor("rate")).cast("int")
-    planned = joined(sized, chosen).withColumn("copies", (F.floor("rate") + more).cast("int"))
-    return planned.select("doc", "size", "source_size", "target", "rate", "copies")
+    """Every document as ``doc`` (all its columns) with its size, its source's size and target, and the copies taken."""
+    sized = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw"))
+    sized = sized.withColumn("source_key", source_key(F.col("source"))).withColumn("size_class", size_class(F.col("size")))
+    scratch = Scratch()
+    slim = scratch.settle(sized.drop("doc"), "mix-sizes")
+    per = scratch.settle(targets(slim.select("source", "size"), weights, most), "mix-targets")
+    plan = settle(strata(slim.select("source_key", "size_class", "draw"), per, seed, scratch), "mix-plan")
+    scratch.drop()
+    small = plan.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    planned = sized.join(F.broadcast(plan) if small else plan, ["source_key", "size_class"], "left")
+    copies = (F.col("whole") + (F.col("draw") <= F.col("bound")).cast("long")).cast("int")
+    return planned.select("doc", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -147,16 +171,20 @@ WITH sized AS (
 ), rated AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0 END AS rate FROM aimed
 ), drawn AS (
-  SELECT d.doc_id, d.size, d.source, r.source_size, r.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT AS a, ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 13, 12))::BIGINT AS b
+  SELECT d.doc_id, d.size, coalesce('s' || d.source, 'null') AS source, r.source_size, r.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction,
+    length(bin(d.size)) * 4 + CASE rpad(substr(bin(d.size), 2, 2), 2, '0') WHEN '11' THEN 3 WHEN '10' THEN 2 WHEN '01' THEN 1 ELSE 0 END AS class,
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
-), tried AS (
-  SELECT source, k, abs(sum(size * (whole + (((a + k * b) % 281474976710656)::DOUBLE / 281474976710656.0::DOUBLE < fraction)::BIGINT))::DOUBLE - any_value(target)) AS by_words
-  FROM drawn, range(32) r(k) GROUP BY source, k
-), chosen AS (
-  SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY by_words, k) AS place FROM tried) WHERE place = 1
+), cells AS (
+  SELECT source, class, count(*) AS n, any_value(fraction) AS fraction, ('0x' || substr(md5('mix-1:' || source), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS start FROM drawn GROUP BY source, class
+), shares AS (
+  SELECT source, class, floor(start + fraction * upto::DOUBLE) - floor(start + fraction * (upto - n)::DOUBLE) AS more
+  FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY class DESC) AS upto FROM cells)
+), bounds AS (
+  SELECT source, class, max(u) FILTER (WHERE place <= more) AS bound FROM (SELECT source, class, u, row_number() OVER (PARTITION BY source, class ORDER BY u) AS place FROM drawn)
+  JOIN shares USING (source, class) GROUP BY source, class
 ), taken AS (
-  SELECT d.*, whole + (((a + k * b) % 281474976710656)::DOUBLE / 281474976710656.0::DOUBLE < fraction)::BIGINT AS copies FROM drawn d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source
+  SELECT *, whole + coalesce(u <= bound, false)::BIGINT AS copies FROM drawn JOIN bounds USING (source, class)
 )
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM taken
 """

@@ -512,6 +512,19 @@ def test_mix_follows_the_plan(spark, tables):
     assert mixing.report(odd).count() == odd.count() and mixing.report(odd.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", (8, 2))
+def test_sources_meet_their_targets(spark, tables, monkeypatch, bits):
+    """A source misses its target by little more than its longest document, in the table and with a hot source and many equal sizes."""
+    monkeypatch.setattr(mixing, "HIST_BITS", bits)
+    rng = random.Random(6)
+    made = spark.createDataFrame([(i, "w " * rng.choice((1, 2, 7, 7, 40)), None, rng.choice(["hot", "hot", "b", "c", None]), 0) for i in range(900)], DOCS)
+    for docs in (tables("documents"), made):
+        rows = mixing.report(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+        for source in {r["source"] for r in rows}:
+            own = [r for r in rows if r["source"] == source]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1.5 * max(r["size"] for r in own)
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------
 
 
