@@ -1,15 +1,17 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are ordered by host, URL path and id, so that each stands beside those whose paths are nearest. A page's text
-lines are aligned by longest common subsequence with those of the page before and of the page after; lines shared
-with either are page furniture. Menus, adverts and footers that differ from page to page are not shared, and pages
-that are copies share everything; so elements say more where they are named: lines in menus, headers, footers,
-sidebars, notices, adverts, forms and comments go in any case, an article's lines stay, and differencing decides
-where a page has no article element. A page that is all shared with a neighbour is its copy and that neighbour says
-nothing.
+lines are aligned by longest common subsequence with those of the nearest page before and after that differs from
+it, and shared lines are deleted, on every page. Element names break ties: what stands in an article or main element
+is not deleted for being shared, as near copies share their text; and a line that differs from page to page, as
+menus, adverts and footers may, goes if its elements name it as such, or if the page has an article and it stands
+beside it. ``n_shared``, ``n_named`` and ``n_beside`` count what each rule removed; a line counts for the first.
 
-The order is made by a range partitioning over (host, path, page_id), so a host with very many pages is spread; a
-task holds three pages at a time. The first and last page of a partition have one neighbour less.
+The order is cut into parts at pages chosen by a hash of their place, about PAGES_PER_PART pages apart, and the page
+before and the page after each part come along; so a host of any size is spread, no page lacks a neighbour, and the
+result depends on the pages alone. A task holds one run of copies (their ids, and the lines once) and two pages. A
+run of copies that a cut parts has the pages beside it on its own side of the cut; a page whose lines another holds
+all is told nothing by that one.
 
 Nulls: a null html is empty, a null url has the empty host and path. Equal rows are copies. Extra columns are not read.
 """
@@ -19,11 +21,13 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.storage import map_batches, only
@@ -54,6 +58,10 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+#: Pages of a part, on average; more where a table would have over about MOST_PARTS parts, whose bounds pass through the driver.
+PAGES_PER_PART, MOST_PARTS = 1000, 4000
+
+
 class Line(NamedTuple):
     text: str
     furniture: bool
@@ -141,7 +149,29 @@ def lines(page: str) -> list[Line]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices of ``a`` in a longest common subsequence with ``b``: a longest increasing run over the matches."""
+    """Indices of ``a`` in a longest common subsequence with ``b``.
+
+    Equal ends belong to one in any case. Between them, lines that the other side lacks are left out, and the rest is
+    solved over its matches if they are few, and by bit vectors if lines recur very often; both are exact.
+    """
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    out = {*range(low), *range(len(a) - high, len(a))}
+    inner_b = b[low : len(b) - high]
+    known = set(inner_b)
+    place = [i for i in range(low, len(a) - high) if a[i] in known]
+    known = {a[i] for i in place}
+    rest_a, rest_b = [a[i] for i in place], [x for x in inner_b if x in known]
+    times = Counter(rest_b)
+    few = sum(times[x] for x in rest_a) <= 16 * (len(rest_a) + len(rest_b))
+    return out | {place[i] for i in (_by_matches if few else _by_bits)(rest_a, rest_b)}
+
+
+def _by_matches(a: list[str], b: list[str]) -> set[int]:
+    """A longest increasing run over all matches."""
     places: dict[str, list[int]] = {}
     for j, text in enumerate(b):
         places.setdefault(text, []).append(j)
@@ -163,53 +193,143 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_lines(own: list[Line], neighbours: list[list[Line]]) -> tuple[list[str], int]:
-    """The lines of the main text, and how many lines the neighbours share."""
+def _by_bits(a: list[str], b: list[str]) -> set[int]:
+    """Rows of the table of lengths as bit vectors, a bit for each of ``a``; every so many rows are kept and the others made again on the way back."""
+    masks: dict[str, int] = {}
+    for i, text in enumerate(a):
+        masks[text] = masks.get(text, 0) | 1 << i
+    full, every = (1 << len(a)) - 1, isqrt(len(b)) + 1
+
+    def after(row: int, text: str) -> int:
+        met = row & masks[text]
+        return ((row + met) | (row - met)) & full
+
+    row, kept = full, []
+    for j, text in enumerate(b):
+        if j % every == 0:
+            kept.append(row)
+        row = after(row, text)
+    out, i, j, rows = set(), len(a), len(b), {len(b): row}
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if j not in rows:
+            first = j // every * every
+            rows = {first: kept[j // every]}
+            for k in range(first, j):
+                rows[k + 1] = after(rows[k], b[k])
+        if not j or rows[j] >> (i - 1) & 1:
+            i -= 1
+            out.add(i)
+    return out
+
+
+def main_lines(own: list[Line], neighbours: list[list[Line]]) -> tuple[list[str], tuple[int, int, int]]:
+    """The lines of the main text, and how many were deleted as shared, as named and as beside an article."""
     texts, shared = [x.text for x in own], set()
     for other in neighbours:
         found = common_lines(texts, [x.text for x in other])
-        if len(found) < len(texts):
+        if len(found) < len(texts):  # a page that another holds whole is told nothing by it
             shared |= found
-    if any(x.article and not x.furniture for x in own):
-        kept = [x.text for x in own if x.article and not x.furniture]
-    else:
-        kept = [x.text for i, x in enumerate(own) if not x.furniture and i not in shared]
-    return kept, len(shared)
+    told = any(x.article and not x.furniture for x in own)
+    kept, gone = [], [0, 0, 0]
+    for i, x in enumerate(own):
+        inside = x.article and not x.furniture
+        if i in shared and not inside:
+            gone[0] += 1
+        elif x.furniture:
+            gone[1] += 1
+        elif told and not inside:
+            gone[2] += 1
+        else:
+            kept.append(x.text)
+    return kept, tuple(gone)
+
+
+_OUT = "page_id long, url string, text string, n_chars long, n_shared long, n_named long, n_beside long"
+#: Characters of results that are gathered before they are passed on.
+FLUSH_CHARS = 1 << 20
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads pages in order; a page is done once the next one is known."""
-    before = now = None
+    """Reads parts in order. A run of pages with equal lines is done once a page that differs, or the part's end, is met."""
+    names = [x.split()[0] for x in _OUT.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.string(), *(pa.int64(),) * 4)
+    part, before, run, members, rows, held = None, None, None, [], [], 0
 
     def done(after):
-        sides = [p[3] for p in (before, after) if p is not None and p[1] == now[1]]
-        kept, shared = main_lines(now[3], sides)
-        text = "\n".join(kept)
-        return now[0], now[2], text, len(text), shared
+        nonlocal held
+        if members:
+            sides = [p[1] for p in (before, after) if p is not None and p[0] == run[0]]
+            kept, gone = main_lines(run[1], sides)
+            text = "\n".join(kept)
+            held += len(text) * len(members)
+            rows.extend((page_id, url, text, len(text), *gone) for page_id, url in members)
+            members.clear()
 
-    def batch_of(rows):
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "url", "text", "n_chars", "n_shared"])
+    def batch_of():
+        nonlocal held
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+        rows.clear()
+        held = 0
+        return out
 
     for batch in batches:
-        rows = []
-        cols = batch.to_pydict()
-        for page_id, host, url, page in zip(cols["page_id"], cols["host"], cols["url"], cols["html"]):
-            after = (page_id, host, url, lines(page or ""))
-            if now is not None:
-                rows.append(done(after))
-            before, now = now, after
-        if rows:
-            yield batch_of(rows)
-    if now is not None:
-        yield batch_of([done(None)])
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_shared (lines shared with the nearest pages)."""
+        for at, role, page_id, host, url, page in zip(*(batch.column(c).to_pylist() for c in ("part", "role", "page_id", "host", "url", "html"))):
+            if at != part:
+                done(None)
+                part, before, run = at, None, None
+            now = (host, lines(page or ""))
+            if run is None or now != run:
+                done(now)
+                before, run = run, now
+            if role == 1:
+                members.append((page_id, url))
+            if held > FLUSH_CHARS:
+                yield batch_of()
+    done(None)
+    if rows:
+        yield batch_of()
+
+
+def _literals(strings: list[str]) -> Column:
+    """Strings without commas as one constant."""
+    return F.split(F.lit(",".join(strings)), ",") if strings else F.array().cast("array<string>")
+
+
+def _part_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are not above the key, by halving."""
+    given = _literals(bounds)
+
+    def halve(s, _):
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        upper, lower = F.struct((middle + 1).alias("low"), s["high"].alias("high")), F.struct(s["low"].alias("low"), middle.alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(F.get(given, middle) <= key, upper).otherwise(lower)
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve, lambda s: s["low"])
+
+
+def extract(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
+    """One row per page: page_id, url, text, n_chars, and the lines removed: n_shared, n_named, n_beside."""
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     placed = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
-    ordered = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "html")
-    return map_batches(ordered.select("page_id", "host", "url", "html"), _extract, "page_id long, url string, text string, n_chars long, n_shared long")
+    number = F.lpad(F.hex(F.coalesce("page_id", F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    placed = placed.withColumn("key", F.hex(F.concat("host", F.lit("\x00"), "path", F.lit("\x00"), number)))  # its order is that of host, path and id
+    keys = placed.select("key")
+    apart = max(pages_per_part, keys.count() // MOST_PARTS)
+    bounds = sorted(r[0] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(apart)) == 0).distinct().collect())
+    part = _part_of(F.col("key"), bounds)
+    ends = {r["part"]: r for r in keys.groupBy(part.alias("part")).agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()}
+    firsts, lasts = (_literals([ends[p][c] if p in ends else "" for p in range(len(bounds) + 1)]) for c in ("first", "last"))
+    to = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).alias("role"))
+    dealt = placed.withColumn("own", part)
+    before = F.when((F.col("key") == F.get(lasts, F.col("own"))) & (F.col("own") < len(bounds)), to(F.col("own") + 1, 0))
+    after = F.when((F.col("key") == F.get(firsts, F.col("own"))) & (F.col("own") > 0), to(F.col("own") - 1, 2))
+    dealt = dealt.withColumn("to", F.explode(F.filter(F.array(to(F.col("own"), 1), before, after), lambda x: x.isNotNull())))
+    ordered = dealt.select("to.part", "to.role", "page_id", "host", "url", "html", "key").repartition("part").sortWithinPartitions("part", "role", "key", "html")
+    return map_batches(ordered.drop("key"), _extract, _OUT)

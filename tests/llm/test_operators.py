@@ -350,13 +350,10 @@ ARTICLE = "<nav>menu</nav><div class='ad'>buy</div><article><header><h1>T</h1></
 def test_page_lines(spark):
     other = PAGE.replace("Four", "Six").replace("One", "Uno").replace("Hi", "Ho").replace(">end", ">fin").replace("<li>a<li>b", "<li>c<li>d")
     rows = [(1, "http://h/a/1", PAGE), (2, "http://h/a/2", other), (3, "http://k/x", ARTICLE), (4, None, None), (5, "http://k/x", ARTICLE), (6, "http://k/y", ""), (7, "bad", "plain text"), (8, "http://z/", "<p>unclosed <b"), (8, "http://z/", "<p>unclosed <b")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).coalesce(1)
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
-    try:
-        got = {r["page_id"]: (r["text"], r["n_chars"]) for r in pages.extract(df).collect()}
-        assert pages.extract(df).count() == len(rows)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in pages.extract(df).collect()}
+    assert pages.extract(df).count() == len(rows)
+    assert sorted(map(tuple, pages.extract(df, 1).collect())) == sorted(map(tuple, pages.extract(df.repartition(9), 1).collect()))
     assert got[1][0] == "Hi & low\nOne two three x\nFour five\na\nb\nend"
     assert got[3] == ("T\na < b é\nc", 11) and got[5] == got[3]
     assert got[4] == ("", 0) and got[6] == ("", 0) and got[7][0] == "plain text" and got[8][0] == "unclosed"
@@ -371,6 +368,60 @@ def test_common_lines():
     assert pages.common_lines([], ["a"]) == set()
 
 
+def test_common_lines_are_longest():
+    """Both ways of solving against the table of lengths, and lines that recur without end."""
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = (rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(0, 14)) for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        known = set(a) & set(b)
+        inner = [x for x in a if x in known], [x for x in b if x in known]
+        for found, (u, v) in ((pages.common_lines(a, b), (a, b)), (pages._by_bits(*inner), inner), (pages._by_matches(*inner), inner)):
+            rest = iter(v)
+            assert len(found) == table[-1][-1] and all(u[i] in rest for i in sorted(found))
+    a, b = rng.choices("xy", k=20_000), rng.choices("xy", k=20_000)
+    assert len(pages.common_lines(a, b)) > 14_000
+
+
+def plain_pages(rows):
+    """page_id -> text, host by host, each page beside the nearest that differ."""
+    from urllib.parse import urlsplit
+
+    def place(r):
+        at = urlsplit(r[1] or "")
+        return (at.hostname or "", at.path, r[0])
+
+    out, ordered = {}, sorted(rows, key=place)
+    read = [(place(r)[0], pages.lines(r[2] or "")) for r in ordered]
+    for i, r in enumerate(ordered):
+        sides = []
+        for step in (-1, 1):
+            j = i
+            while 0 <= j < len(read) and read[j] == read[i]:
+                j += step
+            if 0 <= j < len(read) and read[j][0] == read[i][0]:
+                sides.append(read[j][1])
+        out[r[0]] = "\n".join(pages.main_lines(read[i][1], sides)[0])
+    return out
+
+
+def test_pages_beside_their_nearest(spark):
+    """Pages without an article: shared lines go across parts and copies, as the plain version has it."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        body = "".join(f"<p>own {rng.randint(0, 10**9)}</p>" for _ in range(3)) if i % 10 else "<p>copy</p><p>of one</p>"
+        rows.append((i, f"http://h{i % 3}/p/{i // 12}/{i}", f"<div>Welcome</div><div>Menu</div>{body}<div>Imprint</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for apart in (1000, 7):
+        got = pages.extract(df, apart).collect()
+        assert {r["page_id"]: r["text"] for r in got} == plain_pages(rows)
+    assert sum(r["n_shared"] for r in got) >= 300
+
+
 def test_pages_of_the_table(spark, tables):
     import html
     import re
