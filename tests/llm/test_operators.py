@@ -613,17 +613,61 @@ def test_toxicity_on_held_out_rows(spark, tables):
 
 
 def test_grammar_scopes():
-    def kinds(classes):
+    t = toxicity
+    machine = t.grammar(t.PRIORS)
+
+    def run(classes):
         state, out = 0, []
         for c in classes:
-            state, kind = toxicity.GRAMMAR.step[state][c]
-            out.append(kind)
+            state, kind, weight = machine.step[state][c]
+            out.append((kind, weight))
         return out
 
-    t = toxicity
-    assert kinds([t.INSULT]) == [0]
-    assert kinds([t.NEGATION, t.OTHER, t.INSULT, t.OTHER, t.INSULT]) == [0, 4, 4, 4, 0]
-    assert kinds([t.REPORT, t.TARGET, t.INSULT]) == [0, 2, 3]
+    negated, reported, addressed = (t.PRIORS[k] for k in ("negated", "reported", "addressed"))
+    assert run([t.INSULT])[0] == (16, 0.0)
+    assert [k for k, _ in run([t.NEGATION, t.OTHER, t.INSULT, t.OTHER, t.INSULT])] == [0, 4, 20, 4, 16]
+    assert run([t.REPORT, t.TARGET, t.INSULT])[2] == (19, reported + addressed)
+    assert [k & 8 for k, _ in run([t.THREAT, t.OTHER, t.TARGET, t.THREAT])] == [0, 0, 8, 8]
+    assert [k & 8 for k, _ in run([t.THREAT, t.END, t.TARGET])] == [0, 0, 0]
+    assert run([t.NEGATION, t.THREAT, t.TARGET])[2] == (12, negated)
+
+
+def plain_score(model, text):
+    """Clause by clause and word by word, scopes looked up backwards."""
+    import re
+
+    t, total = toxicity, 0.0
+    listed = {w: c for c, ws in ((t.TARGET, t.TARGETS), (t.NEGATION, t.NEGATIONS), (t.REPORT, t.REPORTS), (t.THREAT, t.THREATS)) for w in ws}
+    for clause in re.split(r"[.;:!?\n]", text or ""):
+        kinds = []
+        for w in re.findall(r"[0-9a-z'\u0080-\U0010ffff]+", brute.lower(clause)):
+            weight = max((v for s, v in model.stems.items() if w.encode().startswith(s)), default=0.0)
+            kinds.append((t.INSULT if weight else listed.get(w, t.OTHER), weight))
+        best, waiting, targeted = 0.0, False, False
+        for i, (c, weight) in enumerate(kinds):
+            before = [k for k, _ in kinds[:i]]
+            arc = sum(model.weights[n] for n, x in (("negated", t.NEGATION in before[-t.REACH :]), ("reported", t.REPORT in before), ("addressed", t.TARGET in before)) if x)
+            if c == t.INSULT:
+                best = max(best, np.exp(arc + model.weights["lexicon"] * weight))
+            if c == t.THREAT and targeted or c == t.TARGET and waiting and not targeted:
+                best = max(best, np.exp(arc + model.weights["threat"]))
+            waiting |= c == t.THREAT
+            targeted |= c == t.TARGET
+        total += best
+    return 1 / (1 + np.exp(-np.clip(model.slope * np.log1p(total) + model.bias, -30, 30)))
+
+
+def test_scores_equal_a_plain_reading(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert model.stems and model.slope > 0
+    stem = max(model.stems, key=len).decode()
+    made = [f"you {stem}", f"not a {stem} at all {stem}", f"he said you {stem}; kill them", "I will kill you", "you will die. kill! you", "not kill you", "", None, f"x {stem}. {stem} {stem} no no {stem}"]
+    import pyarrow as pa
+
+    texts = made + [t for _, t in texts_of(docs)]
+    got = model.scores(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_score(model, x) for x in texts], atol=1e-9)
 
 
 # --- the catalogue ------------------------------------------------------------------------------------------
