@@ -629,7 +629,7 @@ def test_grammar_scopes():
     assert run([t.REPORT, t.TARGET, t.INSULT])[2] == (19, reported + addressed)
     assert [k & 8 for k, _ in run([t.THREAT, t.OTHER, t.TARGET, t.THREAT])] == [0, 0, 8, 8]
     assert [k & 8 for k, _ in run([t.THREAT, t.END, t.TARGET])] == [0, 0, 0]
-    assert run([t.NEGATION, t.THREAT, t.TARGET])[2] == (12, negated)
+    assert run([t.NEGATION, t.THREAT, t.TARGET])[2] == (12, t.PRIORS["threat"] + negated)
 
 
 def plain_score(model, text):
