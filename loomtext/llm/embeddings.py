@@ -1,13 +1,18 @@
-"""Embedding near-duplicates by exact comparison in blocks.
-
-All pairs of one label are compared: the vectors of a label are dealt into blocks, each pair of blocks meets in one
-group, and its cosines are one matrix product in double precision. Those that reach the threshold, less SLACK for
-rounding, are recomputed one by one, and those results alone make links. No pair is lost at any number of vectors;
-the work grows with the square of a label's distinct vectors. Equal vectors form one class that is compared once.
-What leaves a group is a count per vector and one edge per vector to its component in the group, never the pairs.
-
-Binary codes by randomised rotations (``Codes``) estimate cosines with a confidence bound. Tables keyed by bits of
-the codes lose links, the more the larger the table, so no pair is looked for by them.
+"""Embedding near-duplicates by randomised-rotation binary codes.
+
+Every distinct vector is coded once: the signs of its coordinates under ROTATIONS random rotations, one bit each, and
+a correction factor, the cosine of the vector with what its code decodes to (the sum of the signed axes). Code and
+factor are stored. For a coded x and a vector y, the cosine of y with x's decoded code, divided by x's factor, is an
+unbiased estimate of the cosine of x and y; and as angles obey the triangle inequality, it bounds that cosine: y can
+reach the threshold only if its angle to the decoded code is not above the code's own angle plus the threshold's.
+Pairs whose bound stays below the threshold are settled by the codes; the others, and only they, are recomputed from
+the full vectors in double precision, and those results alone make links. The bound holds always, so no pair is lost,
+whatever the dimension and the number of vectors.
+
+The vectors of a label are dealt into blocks and each pair of blocks meets in one group, where the estimates are one
+matrix product; the work grows with the square of a label's distinct vectors. Equal vectors form one class that is
+compared once. What leaves a group is a count per vector and one edge per vector to its component in the group,
+never the pairs.
 
 Nulls: a null label, a null or zero vector, one with null or non-finite components, or of another length, links
 with nothing. A row is compared as often as it stands in the table; rows with equal vec_id and label share a result
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,49 +35,47 @@ from loomtext.llm.storage import Scratch, map_batches, only, settle
 from loomtext.llm.words import spread
 
 ROTATIONS = 4
-#: Half width of the confidence interval in standard deviations of the estimate.
-EPSILON = 4.5
 BLOCK = 1024
-#: Labels of at most so many vectors are compared pair by pair, larger ones as matrices.
+#: Labels of at most so many vectors are estimated pair by pair, larger ones as matrices.
 FEW = 64
-#: More than rounding can part a cosine in a matrix product from the same one by itself.
-SLACK = 1e-9
+#: More than rounding can move an estimate in single precision.
+SLACK = 1e-5
 
 
+@functools.lru_cache(maxsize=8)
 def rotations(dim: int, count: int = ROTATIONS) -> np.ndarray:
+    """Random rotations side by side: a vector times it gives its coordinates under all of them."""
     rng = np.random.default_rng(20240 + dim)
-    return np.stack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)])
+    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)], axis=1)
 
 
-@functools.lru_cache(maxsize=8)
-def _plan(dim: int, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rotations side by side, and the code bits that make each table's key."""
-    rng, width = np.random.default_rng(77), ROTATIONS * dim
-    return np.concatenate([r.T for r in rotations(dim)], axis=1), np.stack([rng.choice(width, bits, replace=bits > width) for _ in range(tables)])
+def encoded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sign bits and correction factors of unit vectors."""
+    code = np.packbits(unit @ rotations(unit.shape[1]) >= 0, axis=1)
+    return code, np.einsum("ij,ij->i", decoded(code, unit.shape[1]), unit)
 
 
-class Codes:
-    """Codes, correction factors and keys of unit vectors of one dimension."""
+def decoded(code: np.ndarray, dim: int) -> np.ndarray:
+    """The unit vectors that codes stand for: the sum of the rotations' axes, each with its sign."""
+    axes = rotations(dim)
+    signs = np.unpackbits(code, axis=1, count=axes.shape[1]).astype(np.float64) * 2 - 1
+    sums = signs @ axes.T
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300)
 
-    def __init__(self, vectors: np.ndarray, bits: int, tables: int):
-        turn, chosen = _plan(vectors.shape[1], bits, tables)
-        self.turned = vectors @ turn
-        positive = self.turned >= 0
-        self.signs = np.where(positive, 1.0, -1.0)
-        self.factor = np.abs(self.turned).sum(1)  # of code and turned vector
-        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
-        self.keys = np.stack([positive[:, c] @ weight for c in chosen], axis=1)
 
+def least_cosine(factor: np.ndarray, threshold: float) -> np.ndarray:
+    """The cosine with the decoded code below which no vector reaches the threshold with the coded one."""
+    return np.cos(np.minimum(np.arccos(np.clip(factor, -1, 1)) + math.acos(threshold), math.pi)) - SLACK
 
-def estimated(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates of the cosines of coded vectors (rows) with turned ones (columns), and their half widths."""
-    m = signs.shape[1]
-    return (signs @ turned.T) / factor[:, None], half_width(factor, m)[:, None]
 
+def _coded(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, factor = encoded(_units(batch.column("embedding"), dim)) if batch.num_rows else (np.zeros((0, 1), np.uint8), np.zeros(0))
+            cols = [batch.column(c) for c in ("label", "class_id", "n", "embedding")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor)], ["label", "class_id", "n", "embedding", "code", "factor"])
 
-def half_width(factor: np.ndarray, m: int) -> np.ndarray:
-    f = factor / math.sqrt(m * ROTATIONS)
-    return EPSILON * np.sqrt((1 - f * f) / (f * f) / (m - 1))
+    return run
 
 
 def _units(batch_vectors: pa.Array, dim: int) -> np.ndarray:
@@ -99,9 +103,12 @@ def _links(dim: int, threshold: float):
             side = chunk.column("_side").to_numpy()
             name, n = chunk.column("class_id").to_numpy(), chunk.column("n").to_numpy()
             unit = _units(chunk.column("embedding").combine_chunks(), dim)
+            short = unit.astype(np.float32)
+            code = np.frombuffer(b"".join(chunk.column("code").to_pylist()), np.uint8).reshape(len(name), -1)
+            meant, least = decoded(code, dim).astype(np.float32), least_cosine(chunk.column("factor").to_numpy(), threshold).astype(np.float32)
             one, two = [], []
 
-            def settled(x, y):
+            def recomputed(x, y):
                 cosine = np.einsum("ij,ij->i", unit[x], unit[y])
                 one.append(x[cosine >= threshold])
                 two.append(y[cosine >= threshold])
@@ -113,18 +120,20 @@ def _links(dim: int, threshold: float):
             after = np.repeat(cut[1:][few], size[few]) - row - 1
             x, y = np.repeat(row, after), spread(row + 1, after)
             for at in range(0, len(x), 65536):
-                settled(x[at : at + 65536], y[at : at + 65536])
+                u, v = x[at : at + 65536], y[at : at + 65536]
+                open_ = np.einsum("ij,ij->i", meant[u], short[v]) >= least[u]
+                recomputed(u[open_], v[open_])
             for k in np.flatnonzero(~few):
                 rows = np.arange(cut[k], cut[k + 1])
                 left = rows[side[rows] == 0]
                 right = left if whole[k] else rows[side[rows] == 1]
                 for at in range(0, len(left), 256):
                     a = left[at : at + 256]
-                    i, j = np.nonzero(unit[a] @ unit[right].T >= threshold - SLACK)
+                    i, j = np.nonzero(meant[a] @ short[right].T >= least[a][:, None])
                     p, q = a[i], right[j]
                     for low in range(0, len(p), 65536):
                         u, v = p[low : low + 65536], q[low : low + 65536]
-                        settled(*((u[u < v], v[u < v]) if whole[k] else (u, v)))
+                        recomputed(*((u[u < v], v[u < v]) if whole[k] else (u, v)))
             x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (one, two))
             if len(x):
                 count = np.zeros(len(name), np.int64)
@@ -150,6 +159,8 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     links = None
     for dim in sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect()):
         own = classes.filter(F.size("embedding") == dim).select("label", "class_id", "n", "embedding")
+        kinds = dict(own.dtypes)
+        own = scratch.settle(map_batches(own, _coded(dim), f"label {kinds['label']}, class_id long, n long, embedding {kinds['embedding']}, code binary, factor double"), "vector-codes")
         blocked = block_pairs(own.select("label", "class_id"), ["label"], "class_id", BLOCK).join(own.drop("label"), "class_id")
         order = ["label", "_i", "_j"]
         found = map_batches(blocked.repartition(*order).sortWithinPartitions(*order), _links(dim, threshold), "class_id long, links long, root long")
