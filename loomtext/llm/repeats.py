@@ -1,16 +1,21 @@
 """Repeated passages by longest-previous-factor arrays.
 
-A byte is removed if it lies in a string of LENGTH bytes that also starts elsewhere. Two such strings hold the same
-anchor: the leftmost least hash of GRAM bytes within them. Texts are cut at anchors into contexts, the bytes of all
-strings that share one anchor; only anchors that recur are followed up, and equal contexts are one class with a
-count before anything is moved. The classes of an anchor meet in shards: suffix order by prefix doubling, common
-prefixes of neighbours, previous and next smaller positions in suffix order, and from them the longest previous
-factor of every start (cut off at LENGTH) with the place of its earlier occurrence. An anchor with very many classes
-is salted over shards, and the first occurrence of each string in each shard is counted over all of them by
-fingerprint: first of parts of neighbouring strings, then of subparts and single strings where a part recurs.
+A byte is removed if it lies in a string of LENGTH bytes that also starts elsewhere. Beside that, passages are found
+in words: runs of WORDS words (A-Z in lower case) that another document holds too, as passages of some fifty words
+may be shorter than LENGTH bytes. Both go the same way, over symbols that are bytes or words.
+
+Two equal strings hold the same anchor: the leftmost least hash of a gram (GRAM bytes, WORD_GRAM words) within them.
+Texts are cut at anchors into contexts, the symbols of all strings that share one anchor; only anchors that recur are
+followed up, and equal contexts are one class with a count before anything is moved. The classes of an anchor meet in
+shards: suffix order (by the hash of a first gram, then by prefix doubling), common prefixes of neighbours, previous
+and next smaller positions in suffix order, and from them the longest previous factor of every start (cut off at
+LENGTH) with the place of its earlier occurrence. An anchor with very many classes is salted over shards, and the
+first occurrence of each string in each shard is counted over all of them by fingerprint: first of parts of
+neighbouring strings, then of subparts and single strings where a part recurs.
 
 ``keep_first`` leaves the first occurrence (by doc_id and place) of what recurs, and otherwise every occurrence goes. Nulls: a null text is empty. Rows with equal texts give equal results, as copies of each other.
-Strings are judged on the input; matches never cross texts. Empty tables give no rows; extra columns are not read.
+Strings are judged on the input; matches never cross texts. Rows of one doc_id, null ones too, are one document where
+passages are asked for that another holds. Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,70 +30,106 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.graph import chunks
 from loomtext.llm.storage import Scratch, map_batches, only, settle
-from loomtext.llm.words import blocks, mixed, prefix_hashes, span_hashes, spread
+from loomtext.llm.words import LOWER, NOT_SPACE, _BYTE_VALUE, Block, blocks, mixed, prefix_hashes, prefix_sums, span_hashes, spread
 
 LENGTH, GRAM = 400, 64
+#: The same in words: a passage has over fifty.
+WORDS, WORD_GRAM = 51, 8
 #: Classes of one anchor that meet in one shard.
 PER_SHARD = 512
 #: Bytes of contexts that are put into one suffix order.
 SHARD_BYTES = 3 << 18
 #: Strings of an anchor are counted over shards in parts and subparts of so many neighbouring starts.
 PART, SUBPART = 30, 6
+#: Low bits of an anchor's key that hold its place, the same for all blocks, so that equal strings choose alike.
+PLACE_BITS = 26
+BYTE, WORD = 0, 1
+_SIZES = {BYTE: (LENGTH, GRAM), WORD: (WORDS, WORD_GRAM)}
+_WORD_SALT = np.uint64(0x8CB92BA72F3D8DD7)
 
 
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every run of window starts with one anchor: the anchor's place, the first and the last start."""
+def anchors(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of neighbouring starts with one anchor, the least of ``window`` hashes: its place, the first and the last start."""
     n = len(hashes)
-    bits = max(1, int(n).bit_length())
-    key = (hashes >> np.uint64(bits) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    bits = max(PLACE_BITS, n.bit_length())
     rows = -(-n // window)
     wide = np.full(rows * window, np.iinfo(np.uint64).max, dtype=np.uint64)
-    wide[:n] = key
+    wide[:n] = (hashes >> np.uint64(bits) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
     wide = wide.reshape(rows, window)
     ahead = np.minimum.accumulate(wide, axis=1).reshape(-1)
     behind = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    starts = n - window + 1
-    least = np.minimum(behind[:starts], ahead[window - 1 : window - 1 + starts])
+    least = np.minimum(behind[starts], ahead[starts + window - 1])
     place = (least & np.uint64((1 << bits) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return place[first], first, np.append(first[1:], starts) - 1
+    first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    return place[first], starts[first], starts[np.append(first[1:], len(starts)) - 1]
+
+
+_ANCHORS = "text_key long, doc long, n_bytes long, unit int, low int, high int, anchor int, gram long, context long"
+
+
+def _of_bytes(block: Block) -> tuple[np.ndarray, ...]:
+    """Per anchor of strings of bytes: text, place, first and last start in the text, gram and context."""
+    size = block.finish - block.begin
+    long = np.flatnonzero(size >= LENGTH)
+    starts = spread(block.begin[long], size[long] - LENGTH + 1)
+    if not len(starts):
+        return ()
+    prefix = prefix_hashes(block.data)
+    at = np.arange(len(block.data) - GRAM + 1)
+    grams = span_hashes(prefix, at, at + GRAM)
+    place, low, high = anchors(grams, starts, LENGTH - GRAM + 1)
+    text = np.searchsorted(block.finish, low, side="right")
+    context = mixed(span_hashes(prefix, low, high + LENGTH) + (place - low).astype(np.uint64))
+    return text, place, low - block.begin[text], high - block.begin[text], grams[place], context, place - low
+
+
+def word_values(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each word, its start and end in the block, and its text."""
+    start, end, owner = block.words(NOT_SPACE)
+    return mixed(span_hashes(prefix_hashes(LOWER[block.data]), start, end) ^ _WORD_SALT), start, end, owner
+
+
+def _of_words(block: Block) -> tuple[np.ndarray, ...]:
+    """The same of strings of words, places being numbers of words."""
+    value, _, _, owner = word_values(block)
+    n = len(value)
+    starts = np.flatnonzero(owner[: max(0, n - WORDS + 1)] == owner[WORDS - 1 :]) if n >= WORDS else np.zeros(0, np.int64)
+    if not len(starts):
+        return ()
+    prefix = prefix_sums(value)
+    at = np.arange(n - WORD_GRAM + 1)
+    grams = span_hashes(prefix, at, at + WORD_GRAM)
+    place, low, high = anchors(grams, starts, WORDS - WORD_GRAM + 1)
+    text = owner[low]
+    first = np.searchsorted(owner, text)
+    context = mixed(span_hashes(prefix, low, high + WORDS) + (place - low).astype(np.uint64))
+    return text, place, low - first, high - first, grams[place], context, place - low
+
+
+def _find_anchors(words: bool):
+    names = [x.split()[0] for x in _ANCHORS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.int32(),) * 4, pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc, size = (batch.column(c).to_numpy() for c in ("text_key", "doc", "n_bytes"))
+            for block in blocks(batch.column("text")):
+                for unit, found in ((BYTE, _of_bytes(block)), (WORD, _of_words(block) if words else ())):
+                    if found:
+                        text, _, low, high, gram, context, anchor = found
+                        row = text + block.first
+                        cols = (key[row], doc[row], size[row], np.full(len(row), unit), low, high, anchor, gram.view(np.int64), context.view(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], names)
 
-
-_ANCHORS = "text_key long, first_doc long, n_bytes long, low int, high int, anchor int, gram long, context long"
+    return run
 
 
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    window = LENGTH - GRAM + 1
-    for batch in batches:
-        key, first = batch.column("text_key").to_numpy(), batch.column("first_doc").to_numpy()
-        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for block in blocks(batch.column("text")):
-            if len(block.data) <= GRAM:
-                continue
-            prefix = prefix_hashes(block.data)
-            at = np.arange(len(block.data) - GRAM)
-            grams = span_hashes(prefix, at, at + GRAM)
-            for i in np.flatnonzero(block.finish - block.begin >= LENGTH).tolist():
-                begin, finish = int(block.begin[i]), int(block.finish[i])
-                place, low, high = anchors(grams[begin : finish - GRAM + 1], window)
-                gram = grams[begin + place]
-                context = mixed(span_hashes(prefix, begin + low, begin + high + LENGTH) + (place - low).astype(np.uint64))
-                n = len(place)
-                for part, x in zip(parts, (np.full(n, key[block.first + i]), np.full(n, first[block.first + i]), np.full(n, finish - begin), low, high, place - low, gram.view(np.int64), context.view(np.int64))):
-                    part.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        cols = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)).cast(k) for p, k in zip(parts, kinds)]
-        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _ANCHORS.split(", ")])
-
-
-def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 8, 16, 32, ... and at last ``depth`` bytes, by prefix doubling."""
-    n = len(data)
-    wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : k + n]
-    levels, have = [], 8
+def suffix_ranks(prefix: np.ndarray, depth: int, first: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... times ``first`` symbols and at last by ``depth``: of ``first`` symbols by hash, of more by prefix doubling."""
+    n = len(prefix) - 1
+    at = np.arange(n)
+    key = span_hashes(prefix, at, np.minimum(at + first, n))
+    levels, have = [], first
     while True:
         order = np.argsort(key)
         ranked = key[order]
@@ -104,23 +145,18 @@ def suffix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
         have += step
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Length of the common prefix of each suffix in order with the one before, up to the last depth."""
-    n, depth = len(data), levels[-1][0]
-    wide = np.concatenate((data, np.arange(2) + 256))
+def common_prefixes(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Length of the common prefix of each suffix in order with the one before, in whole grams of the first level, up to the last depth."""
+    first, depth = levels[0][0], levels[-1][0]
+    n, ranks = len(levels[0][1]), dict(levels)
     a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, len(order) - 1), dtype=np.int64)
     full = levels[-1][1][a] == levels[-1][1][b]
-    ranks = dict(levels)
-    for size in sorted((s for s, _ in levels if s & (s - 1) == 0), reverse=True):
+    for size in sorted((s for s, _ in levels if s % first == 0 and (s // first) & (s // first - 1) == 0), reverse=True):
         inside = (a < n) & (b < n)
         same = np.zeros(len(a), dtype=bool)
         same[inside] = ranks[size][a[inside]] == ranks[size][b[inside]]
         out[same] += size
         a, b = np.where(same, a + size, a), np.where(same, b + size, b)
-    for _ in range(7):
-        same = wide[np.minimum(a, n)] == wide[np.where(b < n, b, n + 1)]
-        out[same] += 1
-        a, b = a + same, b + same
     return np.concatenate(([0], np.where(full, depth, np.minimum(out, depth - 1))))
 
 
@@ -137,38 +173,43 @@ def smaller_positions(order: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarr
     return previous, low
 
 
-def longest_previous_factors(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each start (all positions by default): the length, up to ``depth``, of the longest match with an earlier start, and that start."""
-    starts = np.arange(len(data)) if starts is None else starts
-    levels = suffix_ranks(data, depth)
-    order = starts[np.argsort(levels[-1][1][starts] * np.int64(len(data) + 1) + starts)]
-    prefixes = common_prefixes(data, order, levels)
+def longest_previous_factors(prefix: np.ndarray, depth: int, starts: np.ndarray | None = None, first: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each start (all positions by default): the length, up to ``depth``, of the longest match with an earlier start, and that start; and ranks by ``depth`` symbols.
+
+    prefix: ``prefix_sums`` of the symbols. Lengths below ``depth`` are in whole multiples of ``first``.
+    """
+    n = len(prefix) - 1
+    starts = np.arange(n) if starts is None else starts
+    levels = suffix_ranks(prefix, depth, first)
+    order = starts[np.argsort(levels[-1][1][starts] * np.int64(n + 1) + starts)]
+    prefixes = common_prefixes(order, levels)
     before, p = smaller_positions(order, prefixes)
     after, q = smaller_positions(order[::-1], np.concatenate(([0], prefixes[:0:-1])))
     after, q = np.where(after >= 0, len(order) - 1 - after, -1)[::-1], q[::-1]
-    length, source = np.zeros(len(data), np.int64), np.full(len(data), -1)
+    length, source = np.zeros(n, np.int64), np.full(n, -1)
     length[order] = np.maximum(p, q)
     source[order] = np.where(np.maximum(p, q) > 0, order[np.where(p >= q, before, after)], -1)
-    return length, source
+    return length, source, levels[-1][1]
 
 
-_OPEN = "array<struct<mark:long,subs:array<struct<mark:long,strings:array<struct<start:int,mark:long>>>>>>"
-_SHARD = f"gram long, context long, spans array<struct<start:int,end:int>>, open {_OPEN}"
+_OPEN = "array<struct<mark:long,subs:array<struct<mark:long,strings:array<struct<start:int,mark:long,doc_low:long,doc_high:long>>>>>>"
+_SHARD = f"gram long, context long, unit int, spans array<struct<start:int,end:int>>, open {_OPEN}"
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_OPEN_TYPE = pa.list_(pa.struct([("mark", pa.int64()), ("subs", pa.list_(pa.struct([("mark", pa.int64()), ("strings", pa.list_(pa.struct([("start", pa.int32()), ("mark", pa.int64())])))])))]))
+_STRING_TYPE = pa.struct([("start", pa.int32()), ("mark", pa.int64()), ("doc_low", pa.int64()), ("doc_high", pa.int64())])
+_OPEN_TYPE = pa.list_(pa.struct([("mark", pa.int64()), ("subs", pa.list_(pa.struct([("mark", pa.int64()), ("strings", pa.list_(_STRING_TYPE))])))]))
 
 
 def _shards(keep_first: bool):
     """Covered spans of each context, and for salted anchors the first occurrence of each string in its shard."""
 
     def run(batches):
-        for table, cut in chunks(batches, ["gram", "salt"]):
+        for table, cut in chunks(batches, ["unit", "gram", "salt"]):
             at = 0
-            length = np.array([len(x) for x in table.column("bytes").to_pylist()])
+            length, unit = np.array([len(x) for x in table.column("bytes").to_pylist()]), table.column("unit").to_numpy()[cut[:-1]]
             total = np.add.reduceat(length, cut[:-1])
             while at < len(total):
                 to, held = at + 1, int(total[at])
-                while to < len(total) and held + total[to] <= SHARD_BYTES:
+                while to < len(total) and unit[to] == unit[at] and held + total[to] <= SHARD_BYTES:
                     held += int(total[to])
                     to += 1
                 yield _one_shard(table.slice(int(cut[at]), int(cut[to] - cut[at])), keep_first)
@@ -177,30 +218,50 @@ def _shards(keep_first: bool):
     return run
 
 
+def _symbols(texts: list[bytes], unit: int, size: np.ndarray) -> np.ndarray:
+    """Prefix sums over the symbols of some contexts, a symbol of no text after each, so that no string passes from one to the next."""
+    if unit == BYTE:
+        return prefix_sums(_BYTE_VALUE[np.frombuffer(b"\xff".join(texts), np.uint8)])
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    value = word_values(Block(data, np.zeros(1, np.int64), np.array([len(data)]), 0))[0]
+    out = np.zeros(int((size + 1).sum()), np.uint64)
+    out[spread(np.cumsum(size + 1) - (size + 1), size)] = value
+    return prefix_sums(out)
+
+
 def _one_shard(table: pa.Table, keep_first: bool) -> pa.RecordBatch:
     if keep_first:  # a shard may hold several salts of an anchor
-        table = table.sort_by([("first_doc", "ascending"), ("low", "ascending")])
+        table = table.sort_by([("doc", "ascending"), ("low", "ascending")])
     texts, times, salts, anchor = (table.column(c).to_pylist() for c in ("bytes", "times", "salts", "anchor"))
-    data = np.frombuffer(b"\xff".join(texts), np.uint8)  # a byte that no text holds, so no string passes from one to the next
-    size = np.array([len(x) for x in texts])
+    unit = table.column("unit")[0].as_py()
+    whole, first = _SIZES[unit]
+    size = np.array([len(x) for x in texts]) if unit == BYTE else table.column("high").to_numpy() - table.column("low").to_numpy() + whole
     begin = np.cumsum(size + 1) - (size + 1)
-    length, source = longest_previous_factors(data, LENGTH, spread(begin, size - LENGTH + 1))
-    twice = length >= LENGTH
-    if not keep_first:
-        twice[source[twice]] = True
-    prefix = prefix_hashes(data) if max(salts) > 1 else None
+    prefix, starts = _symbols(texts, unit, size), spread(begin, size - whole + 1)
+    length, source, rank = longest_previous_factors(prefix, whole, starts, first)
+    low = high = np.zeros(len(length), np.int64)
+    if unit == BYTE:
+        twice = length >= whole
+        if not keep_first:
+            twice[source[twice]] = True
+            twice[starts] |= np.repeat(np.array(times) > 1, size - whole + 1)
+    else:  # a string counts if documents that hold it differ
+        low, high = np.full(len(length), np.iinfo(np.int64).max), np.full(len(length), np.iinfo(np.int64).min)
+        for ends, column, least in ((low, "doc", np.minimum), (high, "doc_high", np.maximum)):
+            least.at(ends, rank[starts], np.repeat(table.column(column).to_numpy(), size - whole + 1))
+        low, high = low[rank], high[rank]
+        twice = low < high
     spans, opens = [], []
-    for b, n, copies, salted, place in zip(begin.tolist(), size.tolist(), times, salts, anchor):
-        found = twice[b : b + n - LENGTH + 1] | (copies > 1 and not keep_first)
-        left = np.flatnonzero(length[b : b + n - LENGTH + 1] < LENGTH)  # the first of each string, for those that other shards hold too
-        opens.append(_nested(prefix, b, left, place) if salted > 1 and len(left) else [])
-        edge = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
-        spans.append([{"start": int(s), "end": int(e) - 1 + LENGTH} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
-    cols = [table.column("gram").combine_chunks(), table.column("context").combine_chunks(), pa.array(spans, _SPANS_TYPE), pa.array(opens, _OPEN_TYPE)]
-    return pa.RecordBatch.from_arrays(cols, ["gram", "context", "spans", "open"])
+    for b, n, salted, place in zip(begin.tolist(), size.tolist(), salts, anchor):
+        left = np.flatnonzero(length[b : b + n - whole + 1] < whole)  # the first of each string, for those that other shards hold too
+        opens.append(_nested(prefix, b, left, place, whole, low, high) if salted > 1 and len(left) else [])
+        edge = np.diff(np.concatenate(([0], twice[b : b + n - whole + 1].astype(np.int8), [0])))
+        spans.append([{"start": int(s), "end": int(e) - 1 + whole} for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))])
+    cols = [table.column("gram").combine_chunks(), table.column("context").combine_chunks(), pa.array([unit] * len(texts), pa.int32()), pa.array(spans, _SPANS_TYPE), pa.array(opens, _OPEN_TYPE)]
+    return pa.RecordBatch.from_arrays(cols, ["gram", "context", "unit", "spans", "open"])
 
 
-def _nested(prefix: np.ndarray, begin: int, starts: np.ndarray, anchor: int) -> list[dict]:
+def _nested(prefix: np.ndarray, begin: int, starts: np.ndarray, anchor: int, whole: int, low: np.ndarray, high: np.ndarray) -> list[dict]:
     """Fingerprints of strings by their distance before the anchor, in parts and subparts; that of a part is of the bytes all its strings share."""
 
     def mark(first: int, n: int) -> int:
@@ -212,82 +273,101 @@ def _nested(prefix: np.ndarray, begin: int, starts: np.ndarray, anchor: int) ->
         ahead = anchor - start
         if ahead // PART != part:
             part, sub = ahead // PART, None
-            out.append({"mark": mark(anchor - part * PART, LENGTH - PART + 1), "subs": []})
+            out.append({"mark": mark(anchor - part * PART, whole - PART + 1), "subs": []})
         if ahead // SUBPART != sub:
             sub = ahead // SUBPART
-            out[-1]["subs"].append({"mark": mark(anchor - sub * SUBPART, LENGTH - SUBPART + 1), "strings": []})
-        out[-1]["subs"][-1]["strings"].append({"start": start, "mark": mark(start, LENGTH)})
+            out[-1]["subs"].append({"mark": mark(anchor - sub * SUBPART, whole - SUBPART + 1), "strings": []})
+        out[-1]["subs"][-1]["strings"].append({"start": start, "mark": mark(start, whole), "doc_low": int(low[begin + start]), "doc_high": int(high[begin + start])})
     return out
 
 
+_ASKED = ("gram", "context", "times", "salt", "salts", "unit", "anchor", "doc", "doc_high", "low", "high")
+
+
 def _slices(batches):
     """Cuts the contexts asked for out of each text."""
-    names = ("gram", "context", "times", "salt", "salts", "anchor", "first_doc", "low")
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in (*names, "bytes")}
+        out: dict[str, list] = {k: [] for k in (*_ASKED, "bytes")}
         for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
-            raw = text.encode()
+            raw, start, end = text.encode(), None, None
             for a in asked:
-                for k in names:
+                for k in _ASKED:
                     out[k].append(a[k])
-                out["bytes"].append(raw[a["low"] : a["high"] + LENGTH])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((k, pa.int64()) for k in names), ("bytes", pa.binary())]))
+                if a["unit"] == BYTE:
+                    out["bytes"].append(raw[a["low"] : a["high"] + LENGTH])
+                else:
+                    if start is None:
+                        data = np.frombuffer(raw + b" ", np.uint8)
+                        start, end, _ = Block(data, np.zeros(1, np.int64), np.array([len(data)]), 0).words(NOT_SPACE)
+                    out["bytes"].append(raw[start[a["low"]] : end[a["high"] + WORDS - 1]])
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((k, pa.int64()) for k in _ASKED), ("bytes", pa.binary())]))
 
 
 def _recurring(marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows whose (gram, mark) stands in more than one context."""
+    """Rows whose (gram, mark) stands in more than one context, and for strings of words in more than one document."""
     marked = scratch.settle(marked, "marks")
-    again = scratch.settle(marked.groupBy("gram", "mark").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "recurring-marks")
-    return marked.join(again, ["gram", "mark"])
+    again = marked.groupBy("gram", "mark")
+    if "doc_low" in marked.columns:
+        again = again.agg(F.count("*").alias("n"), F.min("doc_low").alias("low"), F.max("doc_high").alias("high"), F.first("unit").alias("of")).filter((F.col("n") > 1) & ((F.col("of") == BYTE) | (F.col("low") < F.col("high"))))
+        marked = marked.drop("doc_low", "doc_high")
+    else:
+        again = again.agg(F.count("*").alias("n")).filter("n > 1")
+    return marked.join(scratch.settle(again.select("gram", "mark"), "recurring-marks"), ["gram", "mark"])
 
 
 def repeated_spans(keyed: DataFrame, scratch: Scratch, keep_first: bool = False) -> DataFrame:
-    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings. Reads tables that ``scratch`` holds.
+    """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings; passages: the same of words that another document holds. Reads tables that ``scratch`` holds.
 
-    keyed: text_key, n_bytes, text and first_doc, by which texts are ordered where the first occurrence stays.
+    keyed: text_key, n_bytes, text and doc, by which texts are ordered where the first occurrence stays; passages are not looked for then.
     """
-    found = scratch.settle(map_batches(keyed.filter(F.col("n_bytes") >= LENGTH).select("text_key", "first_doc", "text"), _find_anchors, _ANCHORS), "anchors")
+    least = LENGTH if keep_first else min(LENGTH, 2 * WORDS - 1)
+    found = scratch.settle(map_batches(keyed.filter(F.col("n_bytes") >= least).select("text_key", "doc", "n_bytes", "text"), _find_anchors(not keep_first), _ANCHORS), "anchors")
     again = scratch.settle(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "recurring-grams")
     places = scratch.settle(found.join(again, "gram"), "recurring-anchors")
-    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.min(F.struct("first_doc", "low", "text_key", "n_bytes", "high", "anchor")).alias("at"))
-    classes = scratch.settle(classes.select("gram", "context", "times", "at.*"), "contexts")
+    classes = places.groupBy("gram", "context").agg(F.count("*").alias("times"), F.max("doc").alias("doc_high"), F.min(F.struct("doc", "low", "text_key", "n_bytes", "high", "anchor", "unit")).alias("at"))
+    classes = scratch.settle(classes.select("gram", "context", "times", "doc_high", "at.*"), "contexts")
     per = scratch.settle(classes.groupBy("gram").agg(F.count("*").alias("classes")).withColumn("salts", F.ceil(F.col("classes") / PER_SHARD)), "classes-per-gram")
     dealt = classes.join(per, "gram").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
     alone = F.col("classes") == 1
-    one = F.struct("gram", "context", "times", "salt", "salts", "anchor", "first_doc", "low", "high")
-    asked = dealt.filter(~alone).groupBy("text_key", "n_bytes").agg(F.collect_list(one).alias("asked"))
-    sliced = keyed.join(asked, ["text_key", "n_bytes"]).dropDuplicates(["text_key", "n_bytes"]).select("text", "asked")
-    sliced = map_batches(sliced, _slices, "gram long, context long, times long, salt long, salts long, anchor long, first_doc long, low long, bytes binary")
-    sharded = scratch.settle(map_batches(sliced.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "first_doc", "low"), _shards(keep_first), _SHARD), "shards")
-    parts = _recurring(sharded.select("gram", "context", F.explode("open").alias("o")).select("gram", "context", "o.*"), scratch)
-    subs = _recurring(parts.select("gram", "context", F.explode("subs").alias("o")).select("gram", "context", "o.*"), scratch)
-    common = _recurring(subs.select("gram", "context", F.explode("strings").alias("o")).select("gram", "context", "o.*"), scratch)
+    asked = dealt.filter(~alone).groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct(*_ASKED)).alias("asked"))
+    texts = keyed.groupBy("text_key", "n_bytes").agg(F.first("text").alias("text"))  # one of each text before any is moved
+    sliced = map_batches(texts.join(asked, ["text_key", "n_bytes"]).select("text", "asked"), _slices, ", ".join(f"{k} long" for k in _ASKED) + ", bytes binary")
+    order = ["unit", "gram", "salt"]
+    sharded = scratch.settle(map_batches(sliced.repartition("gram", "salt").sortWithinPartitions(*order, "doc", "low"), _shards(keep_first), _SHARD), "shards")
+    held = ["gram", "context", "unit"]
+    parts = _recurring(sharded.select(*held, F.explode("open").alias("o")).select(*held, "o.*"), scratch)
+    subs = _recurring(parts.select(*held, F.explode("subs").alias("o")).select(*held, "o.*"), scratch)
+    common = _recurring(subs.select(*held, F.explode("strings").alias("o")).select(*held, "o.*"), scratch)
     if keep_first:
-        common = scratch.settle(common.join(classes.select("gram", "context", "first_doc", "low"), ["gram", "context"]).withColumn("place", F.struct("first_doc", F.col("low") + F.col("start"))), "open-places")
+        common = scratch.settle(common.join(classes.select("gram", "context", "doc", "low"), ["gram", "context"]).withColumn("place", F.struct("doc", F.col("low") + F.col("start"))), "open-places")
         common = common.join(common.groupBy("gram", "mark").agg(F.min("place").alias("least")), ["gram", "mark"]).filter("place > least")
-    late = common.select("gram", "context", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("spans"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + LENGTH).cast("int").alias("end")))
+    whole = F.when(F.col("unit") == BYTE, LENGTH).otherwise(WORDS)
+    late = common.select("gram", "context", F.array(F.struct("start", (F.col("start") + whole).cast("int").alias("end"))).alias("spans"))
+    all_of = F.array(F.struct(F.lit(0).alias("start"), (F.col("high") - F.col("low") + whole).cast("int").alias("end")))
     spans = sharded.select("gram", "context", "spans").filter(F.size("spans") > 0).unionByName(late)
-    once = places.select("text_key", "first_doc", "n_bytes", "low", "high", "gram", "context").distinct()
     if keep_first:
-        first = classes.select("gram", "context", F.col("first_doc").alias("of_doc"), F.col("low").alias("of_low"))
-        once = scratch.settle(once.join(first, ["gram", "context"]).withColumn("is_first", (F.col("first_doc") == F.col("of_doc")) & (F.col("low") == F.col("of_low"))), "places-in-order")
-        copies = once.filter("not is_first").select("text_key", "n_bytes", "low", whole.alias("spans"))
+        first = classes.select("gram", "context", F.col("doc").alias("of_doc"), F.col("low").alias("of_low"))
+        once = places.select("text_key", "doc", "n_bytes", "unit", "low", "high", "gram", "context").distinct()
+        once = scratch.settle(once.join(first, ["gram", "context"]).withColumn("is_first", (F.col("doc") == F.col("of_doc")) & (F.col("low") == F.col("of_low"))), "places-in-order")
+        copies = once.filter("not is_first").select("text_key", "n_bytes", "unit", "low", all_of.alias("spans"))
         once = once.filter("is_first")
     else:
-        spans = spans.unionByName(dealt.filter(alone).select("gram", "context", whole.alias("spans")))
-    placed = once.join(spans, ["gram", "context"]).select("text_key", "n_bytes", "low", "spans")
+        once = places.select("text_key", "n_bytes", "unit", "low", "gram", "context").distinct()
+        recurs = (F.col("unit") == BYTE) | (F.col("doc") < F.col("doc_high"))
+        spans = spans.unionByName(dealt.filter(alone & recurs).select("gram", "context", all_of.alias("spans")))
+    placed = once.join(spans, ["gram", "context"]).select("text_key", "n_bytes", "unit", "low", "spans")
     if keep_first:
         placed = placed.unionByName(copies)
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("low")).alias("start"), (s["end"] + F.col("low")).alias("end")))
-    return placed.withColumn("spans", moved).groupBy("text_key", "n_bytes").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    of = lambda unit: F.flatten(F.collect_list(F.when(F.col("unit") == unit, F.col("spans"))))
+    return placed.withColumn("spans", moved).groupBy("text_key", "n_bytes").agg(of(BYTE).alias("spans"), of(WORD).alias("passages"))
 
 
 def _remaining(batches):
     for batch in batches:
-        counts: list[tuple[int, int]] = []
+        counts: list[tuple[int, int, int, int]] = []
         digests, kept = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+        for text, spans, passages in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "passages"))):
             raw, at, removed, runs, pieces = text.encode(), 0, 0, 0, []
             to = -1
             for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
@@ -301,12 +381,23 @@ def _remaining(batches):
                     at = to = end
             pieces.append(raw[at:])
             rest = b"".join(pieces)
-            counts.append((removed, runs))
+            counts.append((removed, runs, *_covered(passages)))
             digests.append(hashlib.sha256(rest).hexdigest())
             kept.append(rest)
-        cols = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans")}
-        removed = pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*cols.values(), *removed, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], [*cols, "n_removed", "n_spans", "kept_sha256", "rest"])
+        cols = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans", "passages")}
+        counted = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*cols.values(), *counted, pa.array(digests, pa.string()), pa.array(kept, pa.binary())], [*cols, "n_removed", "n_spans", "n_shared_words", "n_passages", "kept_sha256", "rest"])
+
+
+def _covered(spans: list[dict] | None) -> tuple[int, int]:
+    """How much some spans cover, and in how many runs."""
+    n = runs = 0
+    to = -1
+    for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
+        runs += start > to
+        n += max(0, end - max(start, to))
+        to = max(to, end)
+    return n, runs
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -315,20 +406,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def strip(docs: DataFrame, keep_first: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``rest``, the bytes that are left of each text."""
+    """doc_id, n_bytes, n_removed, n_spans, n_shared_words, n_passages, kept_sha256 and ``rest``, the bytes that are left of each text.
+
+    n_shared_words counts the words in passages of WORDS words or more that another document holds, n_passages their
+    runs; both are 0 with ``keep_first``.
+    """
     keyed, scratch = _keyed(docs), Scratch()
     if keep_first:
-        firsts = settle(keyed.groupBy("text_key", "n_bytes").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("first_doc")), "first-documents")
+        firsts = settle(keyed.groupBy("text_key", "n_bytes").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc")), "first-documents")
         keyed = keyed.join(firsts, ["text_key", "n_bytes"])
     else:
-        keyed = keyed.withColumn("first_doc", F.lit(0).cast("long"))
+        keyed = keyed.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     spans = settle(repeated_spans(keyed, scratch, keep_first), "spans")
     scratch.drop()
     joined = keyed.join(spans, ["text_key", "n_bytes"], "left")
     if keep_first:  # a later copy of a whole text goes with all that may recur
         all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")))
-        joined = joined.withColumn("spans", F.when((F.col("doc_id") != F.col("first_doc")) & (F.col("n_bytes") >= LENGTH), all_).otherwise(F.col("spans")))
-    return map_batches(joined.select("doc_id", "n_bytes", "text", "spans"), _remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary")
+        joined = joined.withColumn("spans", F.when((F.col("doc_id") != F.col("doc")) & (F.col("n_bytes") >= LENGTH), all_).otherwise(F.col("spans")))
+    return map_batches(joined.select("doc_id", "n_bytes", "text", "spans", "passages"), _remaining, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared_words long, n_passages long, kept_sha256 string, rest binary")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -93,16 +93,22 @@ SELECT d.doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-REPEATS = """
+REPEATS = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
 again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 starts AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS opens FROM w SEMI JOIN again USING (k)),
 runs AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts) GROUP BY doc_id, run),
 gaps AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, z FROM runs),
+pw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+pk AS MATERIALIZED (SELECT doc_id, i, md5_number(array_to_string(l[i + 1:i + 51], ' ')) AS k FROM (SELECT doc_id, l, unnest(range(len(l) - 50)) AS i FROM pw WHERE len(l) > 50)),
+shared AS (SELECT k FROM pk GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+opened AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 51 THEN 0 ELSE 1 END AS opens FROM pk SEMI JOIN shared USING (k)),
+passages AS (SELECT doc_id, min(i) AS a, max(i) + 51 AS z FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened) GROUP BY doc_id, run),
+counted AS (SELECT doc_id, count(*) AS n_passages, sum(z - a)::BIGINT AS n_shared_words FROM passages GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS part FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE part || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(n_shared_words, 0) AS n_shared_words, coalesce(n_passages, 0) AS n_passages,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE part || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
 ORACLE_SQL = {

@@ -45,9 +45,14 @@ def _power(base: np.uint64, key: str, n: int) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64; ``span_hashes`` reads the hash of any span from them."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _power(_BASE, "base", len(data)), out=out[1:])
+    """Polynomial prefix sums modulo 2**64 over bytes; ``span_hashes`` reads the hash of any span from them."""
+    return prefix_sums(_BYTE_VALUE[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """The same over symbols of any kind, given by 64-bit values."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_BASE, "base", len(values)), out=out[1:])
     return out
 
 

@@ -68,6 +68,23 @@ def repeats(rows, length):
     return out
 
 
+def shared_words(rows, n):
+    """[(covered words, runs)] of strings of n words that a row of another id holds too, in order of rows."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for _, t in rows]
+    holders = defaultdict(set)
+    for (d, _), w in zip(rows, words):
+        for i in range(len(w) - n + 1):
+            holders[tuple(w[i : i + n])].add(d)
+    out = []
+    for w in words:
+        hit = [0] * (len(w) + 1)
+        for i in range(len(w) - n + 1):
+            if len(holders[tuple(w[i : i + n])]) > 1:
+                hit[i : i + n] = [1] * n
+        out.append((sum(hit), sum(hit[i] > (hit[i - 1] if i else 0) for i in range(len(w)))))
+    return out
+
+
 def contamination(rows, items, window=10):
     """[(n_words, n_hit, items)] in order of rows."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import catalog, chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, toxicity
+from loomtext.llm.words import prefix_hashes
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -300,7 +301,7 @@ def test_longest_previous_factors():
                 k += 1
             return k
 
-        length, source = repeats.longest_previous_factors(x, depth)
+        length, source, _ = repeats.longest_previous_factors(prefix_hashes(x), depth)
         assert length.tolist() == [max((common(i, j) for j in range(i)), default=0) for i in range(n)]
         assert all(source[i] < i and common(i, source[i]) == length[i] for i in range(n) if length[i])
 
@@ -342,10 +343,33 @@ def test_strings_split_over_salts(spark, monkeypatch):
     assert got == sorted((d, *x) for (d, _), x in zip(rows, brute.repeats(rows, 400)))
 
 
+@pytest.mark.parametrize("shards", [None, (2, 1), (1, 1)])
+def test_shared_passages_equal_brute_force(spark, monkeypatch, shards):
+    """Passages of short words, below the bytes of a removed string: within a document, in copies, in many documents, over salts."""
+    if shards:
+        monkeypatch.setattr(repeats, "PER_SHARD", shards[0])
+        monkeypatch.setattr(repeats, "SHARD_BYTES", shards[1])
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 4))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    shared = [text(n) for n in (51, 50, 60, 70)]
+    rows = [(i, f"{text(rng.randint(0, 90))} {shared[i % 4]}\n{text(rng.randint(0, 60))}") for i in range(40)]
+    twice, own = text(55), text(300)
+    rows += [(50, f"{twice} x {twice}"), (51, own), (52, own.upper()), (52, own), (53, None), (54, ""), (55, text(50)), (60, " ".join([shared[2]] * 3)), (61, "la " * 400), (62, f"{text(9)} " + "la " * 52), (63, "mi " * 300)]
+    rows += [(None, f"{text(20)} {twice}"), (64, text(100)), (64, text(100)), (65, f"{text(60)} é {shared[3]}")]
+    rows += [(70, "la " * 60 + shared[0]), (71, shared[0] + " " + shared[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_shared_words"], r["n_passages"]) for r in repeats.report(docs).collect())
+    assert got == sorted((len((t or "").encode()), *x) for (_, t), x in zip(rows, brute.shared_words(rows, 51)))
+    assert sum(x[2] for x in got) > 30
+
+
 def test_repeats_on_the_table(spark, tables):
     rows = texts_of(tables("documents"))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(tables("documents")).collect()}
+    found = repeats.report(tables("documents")).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found}
     assert got == {d: x for (d, _), x in zip(rows, brute.repeats(rows, 400))}
+    assert {r["doc_id"]: (r["n_shared_words"], r["n_passages"]) for r in found} == {d: x for (d, _), x in zip(rows, brute.shared_words(rows, 51))}
     assert repeats.report(tables("documents").filter("false")).count() == 0
 
 
