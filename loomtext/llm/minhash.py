@@ -8,8 +8,9 @@ Texts with equal sets form one class, and classes are what is compared. In each
 to one centre (the class that shares most buckets), each with its best centre only; those already joined need no
 further comparison. Where a bucket still holds several components, its members are estimated block by block, and
 those that may be linked across components form families; within a family, blocks of full sets are compared as
-matrices. Neither step emits pairs: a block gives one edge per member. A pair at the threshold shares no band with probability under 1e-6 and
-is estimated below the bar with probability under 1e-5; all other results are exact.
+matrices. Neither step emits pairs: a block gives one edge per member. A pair at a similarity of 0.8 shares no band
+with probability (1 - 0.8^5)^38 = 2.8e-7, one at 0.85 with 2.0e-10, and either is estimated below the bar with
+probability under 1e-5; all other results are exact.
 
 Nulls: a null text has no words. A text without words links with nothing. A null doc_id is its own component's id
 only if no other is in it. Rows with equal doc_id and text are alike in every column. Extra columns are not read.
@@ -28,7 +29,7 @@ from loomtext.llm.graph import block_pairs, components, groups
 from loomtext.llm.storage import Scratch, aside, map_batches, only, settle
 from loomtext.llm.words import LOWER, NOT_SPACE, Block, blocks, mixed, prefix_hashes, span_hashes, starts_by_text
 
-BANDS, ROWS, BITS = 32, 6, 4
+BANDS, ROWS, BITS = 38, 5, 4
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is given up.
 SIGMAS = 4.75
 BLOCK = 2048
@@ -39,7 +40,7 @@ PER_CENTRE = 256
 
 _MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _LANES = 64 // BITS
-WORDS64 = BANDS * ROWS // _LANES
+WORDS64 = -(-BANDS * ROWS // _LANES)
 _LOW = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
 
 
@@ -95,7 +96,9 @@ def _signatures(size: int):
                 for r in range(ROWS):
                     band = mixed(band * np.uint64(0x9FB21C651E98DF25) + minima[:, r::ROWS])
                 band = mixed(band + np.arange(BANDS, dtype=np.uint64))
-                lanes = (mixed(minima) & np.uint64((1 << BITS) - 1)).reshape(len(sets), WORDS64, _LANES)
+                lanes = np.zeros((len(sets), WORDS64 * _LANES), dtype=np.uint64)  # those that are left over are equal everywhere
+                lanes[:, : BANDS * ROWS] = mixed(minima) & np.uint64((1 << BITS) - 1)
+                lanes = lanes.reshape(len(sets), WORDS64, _LANES)
                 packed.append(np.bitwise_or.reduce(lanes << (np.arange(_LANES, dtype=np.uint64) * np.uint64(BITS)), axis=2))
                 counts.append(count)
                 nodes.append(node)
@@ -103,16 +106,16 @@ def _signatures(size: int):
             if not batch.num_rows:
                 continue
             count = np.concatenate(counts)
-            cols = [batch.column("doc_id"), pa.array(count), _binary(np.concatenate(nodes), 16), _binary(np.concatenate(keys), 8 * BANDS), _binary(np.concatenate(packed), 8 * WORDS64)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "node", "bands", "packed"])
+            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array(count), _binary(np.concatenate(nodes), 16), _binary(np.concatenate(keys), 8 * BANDS), _binary(np.concatenate(packed), 8 * WORDS64)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands", "packed"])
 
     return run
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node (128 bits that name the set), bands, packed."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(slim, _signatures(size), "doc_id long, n_shingles long, node binary, bands binary, packed binary")
+    """doc_id, text_key, n_shingles, node (128 bits that name the set), bands, packed."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return map_batches(slim, _signatures(size), "doc_id long, text_key long, n_shingles long, node binary, bands binary, packed binary")
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -251,7 +254,9 @@ def _confirm(size: int, percent: int):
                     i, done = done, done + 1
                     if cols["role"][i] == 0:
                         centre, name = s, cols["centre"][i]
-                    elif name == cols["centre"][i]:
+                    else:
+                        if name != cols["centre"][i]:
+                            raise RuntimeError(f"the text of centre {cols['centre'][i]!r} is missing")
                         at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
                         common = int((centre[at] == s).sum())
                         if 100 * common >= percent * (len(centre) + len(s) - common):
@@ -277,6 +282,12 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Links are pairs with 100 * intersection >= percent * union of their ``size``-word shingle sets.
     """
+    found = _clustered(docs, size, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, group (that names its component; null without words), component_id."""
     docs, least = only(docs, "doc_id", "text"), bar(percent / 100)
     scratch = Scratch()
     signed = settle(signatures(docs, size), "signatures")
@@ -315,11 +326,11 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     named = classes.join(labels, "node", "left").select("node", "doc_id", label)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = settle(named.join(smallest, "label").select("node", "component_id"), "components")
+    of_node = settle(named.join(smallest, "label").select("node", "component_id", F.col("label").alias("group")), "components")
     scratch.drop()
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "group", component.alias("component_id"))
 
 
 def _node_of(size: int):
@@ -343,13 +354,26 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which each group of near duplicates keeps the one with the smallest id."""
+    """The documents of which each group of near duplicates keeps one: that with the smallest id.
+
+    Rows are told apart by id and text. Where several rows of a group share the smallest id, one text of them stays;
+    equal rows are one; a row whose id another group's row has too is judged in its own group.
+    """
     docs, restored = aside(docs, "doc_id", "text")
-    clustered = cluster(docs, size, percent)
-    gone = settle(clustered.filter(~F.col("kept")).select(F.col("doc_id").alias("of_id")).distinct(), "dropped")
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")), "left_anti")
-    twice = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("of_id"))
-    if twice.isEmpty():
+    rows = settle(_clustered(docs, size, percent), "near-duplicates")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.filter(~first).select("doc_id", "text_key")
+    twice = rows.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("of_id"))
+    some_twice = not twice.isEmpty()
+    if some_twice:
+        again = rows.filter(first & F.col("group").isNotNull()).join(twice, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
+        one = again.groupBy(F.col("group").alias("of_group"), F.col("doc_id").alias("of_id")).agg(F.min("text_key").alias("stays"))
+        others = again.join(one, (F.col("group") == F.col("of_group")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") > F.col("stays")))
+        gone = gone.unionByName(others.select("doc_id", "text_key"))
+    gone = settle(gone.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).distinct(), "dropped")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key"))
+    left = docs.join(gone, same, "left_anti")
+    if not some_twice:
         return restored(left)
-    again = F.col("doc_id").eqNullSafe(F.col("of_id"))
+    again = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id"))
     return restored(left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"])))

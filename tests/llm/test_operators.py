@@ -274,6 +274,16 @@ def test_families_larger_than_a_block(spark, monkeypatch):
     assert got == brute.near_duplicates(rows, 3, 85)
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(13)
+    a, b, c = (" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)) for _ in "abc")
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, c + " x"), (8, c + " y"), (9, c), (4, None), (4, ""), (None, a), (5, b + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("group", F.lit("g"))
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()), key=str)
+    assert [x for x in left if x[0] != 8] == sorted([(3, a), (5, b + " z"), (4, None), (4, "")], key=str)
+    assert [d for d, _ in left].count(8) == 1 and len({t for d, t in left if d == 8} & {c + " x", c + " y"}) == 1
+
+
 def test_near_duplicates_odd_rows(spark):
     odd = odd_documents(spark)
     got = minhash.cluster(odd, 3, 85).collect()
