@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TURNS = "conv_id long, turn long, role string, text string"
-
+from loomtext.storage import new_path
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/streams/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+TURNS = "conv_id long, turn long, role string, text string"
 
 
 def turns_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -46,7 +37,7 @@ def fold_stream(edits: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str = "update") -> DataFrame:
     """Runs a stream over all that is there and returns its batches with their number."""
     spark = stream.sparkSession
-    out, marks = shared_path(spark, name), shared_path(spark, f"{name}-marks")
+    out, marks = new_path(spark, name), new_path(spark, f"{name}-marks")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
