@@ -6,8 +6,9 @@ is indexed: suffix order by prefix doubling, Burrows-Wheeler transform in a wave
 positions. All windows are searched backward at once, occurrences are located by walking to a sampled position, and
 each document's occurrences merge into removal spans.
 
-The benchmark reaches the executors in blocks of at most BLOCK_WORDS words, one pass over the documents a block, so
-nothing unbounded is broadcast. No shuffle takes place; a lost executor costs its tasks only.
+The benchmark reaches the executors in blocks of about BLOCK_WORDS words, one pass over the documents a block; between
+passes they are written to the shared folder, so the driver and the tasks hold one block at a time, whatever the
+size of the benchmark. No shuffle takes place; a lost executor costs its tasks only.
 
 Nulls: a null text has no words, an item without words has no windows, a null item_id counts as the empty string.
 Repeated rows are judged alike. Empty tables give empty or clean results. Further columns pass through.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.storage import aside, map_batches, only
+from loomtext.llm.storage import aside, discard, map_batches, only, settle
 from loomtext.llm.words import ALNUM, LOWER, blocks, prefix_hashes, span_hashes, spread
 
 WINDOW = 10
@@ -242,11 +243,15 @@ def _benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | No
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with ``_n_words``, ``_spans`` (words and bytes of each run of hit words) and ``_items`` (ids with occurring windows)."""
-    found = docs
-    for items in [*_benchmark_blocks(benchmark)] or [[]]:
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-        schema = ", ".join([*kinds, "_n_words long", "_spans array<struct<start:long,end:long,from_byte:long,to_byte:long>>", "_items array<string>"])
-        found = map_batches(found, _search(Patterns(items, window)), schema)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    schema = ", ".join([*kinds, "_n_words long", "_spans array<struct<start:long,end:long,from_byte:long,to_byte:long>>", "_items array<string>"])
+    parts = _benchmark_blocks(benchmark)
+    found, before = map_batches(docs, _search(Patterns(next(parts, []), window)), schema), None
+    for items in parts:
+        now = settle(found, "benchmark-block")
+        if before is not None:
+            discard(before)
+        found, before = map_batches(now, _search(Patterns(items, window)), schema), now
     return found
 
 

@@ -1,14 +1,13 @@
-"""Intermediate tables in the folder that the cluster shares, so that a lost executor never loses lineage cuts."""
+"""Batches of bounded bytes for Python, and columns kept apart by name; tables are settled by ``loomtext.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from loomtext.llm import memory
+from loomtext.storage import Scratch, discard, settle  # noqa: F401
 
 
 #: Bytes of rows that reach a Python worker at a time. Texts may be very long, so rows are no measure.
@@ -40,47 +39,3 @@ def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame
 def only(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns alone."""
     return aside(docs, *needed)[0].select(*needed)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomtext-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and returns it reread: lineage ends at replicated files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomtext/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_path = path
-    return out
-
-
-class Scratch:
-    """Tables that an operator settles on its way, dropped together once its result is settled."""
-
-    def __init__(self):
-        self.held: list[DataFrame] = []
-
-    def settle(self, df: DataFrame, name: str) -> DataFrame:
-        self.held.append(settle(df, name))
-        return self.held[-1]
-
-    def drop(self) -> None:
-        for df in self.held:
-            discard(df)
-        self.held.clear()
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what ``settle`` wrote, once nothing reads it any more."""
-    path = getattr(df, "settled_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
