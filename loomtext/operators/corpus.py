@@ -1,4 +1,4 @@
-"""The token relation and corpus statistics that every retrieval operator derives from."""
+"""Documents with fields and how their texts are analysed: what an index is built from."""
 
 from __future__ import annotations
 
@@ -12,17 +12,14 @@ from loomtext.functions import text as T
 
 @dataclass(frozen=True)
 class Corpus:
-    """Documents with an id and one text column per field.
-
-    Query operators read each document once: tokens of a field are an array in its row, so positions, frequencies
-    and lengths of all query terms come without a shuffle, and only aggregates leave the task.
-    """
+    """Documents with an id and one text column per field, stopwords, and a stemmer (none or porter)."""
 
     docs: DataFrame
     id: str = "doc_id"
     fields: dict[str, str] = field(default_factory=lambda: {"body": "text"})
     stop: tuple[str, ...] = ()
     possessive: bool = False
+    stemmer: str = "none"
 
     @staticmethod
     def documents(spark: SparkSession, sf_dir: str, **options) -> Corpus:
@@ -40,63 +37,3 @@ class Corpus:
         """doc_id, field, pos, term in long form: positions first, stopwords dropped after."""
         long = self.docs.select(F.col(self.id).alias("doc_id"), F.lit(name).alias("field"), F.posexplode(self.tokens_of(name)).alias("pos", "term"))
         return long.filter(~F.col("term").isin(*self.stop)) if self.stop else long
-
-    def lengths(self, name: str = "body") -> DataFrame:
-        """doc_id, dl_all (positions), dl_indexed (without stopwords)."""
-        toks = self.tokens_of(name)
-        indexed = F.filter(toks, lambda t: ~t.isin(*self.stop)) if self.stop else toks
-        return self.docs.select(F.col(self.id).alias("doc_id"), F.size(toks).cast("long").alias("dl_all"), F.size(indexed).cast("long").alias("dl_indexed"))
-
-    def field_stats(self, name: str = "body") -> DataFrame:
-        """One row: field, num_docs, doc_count (with the field), sum_tf, avg_len."""
-        n = self.lengths(name)
-        return n.agg(
-            F.lit(name).alias("field"), F.count("*").alias("num_docs"), F.count_if(F.col("dl_indexed") > 0).alias("doc_count"),
-            F.sum("dl_indexed").alias("sum_tf"), (F.sum("dl_indexed") / F.count_if(F.col("dl_indexed") > 0)).alias("avg_len"),
-        )
-
-    def terms(self, name: str = "body") -> DataFrame:
-        """The dictionary: term, df, ctf. Frequencies are summed per document in its row, so each pair moves once."""
-        toks = self.tokens(name)
-        return toks.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-
-    def postings(self, terms: list[str], name: str = "body") -> DataFrame:
-        """term, doc_id, tf, positions of some terms."""
-        own = self.docs.select(F.col(self.id).alias("doc_id"), self.tokens_of(name).alias("tok"))
-        lists = own.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), T.positions(F.col("tok"), t).alias("positions")) for t in terms))).alias("p"))
-        return lists.filter(F.size("p.positions") > 0).select("p.term", "doc_id", F.size("p.positions").cast("long").alias("tf"), "p.positions")
-
-    def term_vector(self, doc_ids: list[int], name: str = "body") -> DataFrame:
-        """doc_id, term, tf, positions of some documents."""
-        some = Corpus(self.docs.filter(F.col(self.id).isin(*doc_ids)), self.id, self.fields, self.stop, self.possessive)
-        return some.tokens(name).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-    def write_index(self, path: str) -> None:
-        """Tokens in long form, partitioned by field and sorted by term, so that a term's scan skips row groups."""
-        for name in self.fields:
-            self.tokens(name).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id", "pos").write.mode("append").partitionBy("field").parquet(path)
-
-
-class Indexes:
-    """Named token tables; the first opened is current."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.open_, self.current = spark, {}, None
-
-    def open(self, path: str) -> DataFrame:
-        self.open_[path] = self.spark.read.parquet(path)
-        self.current = self.current or path
-        return self.open_[path]
-
-    def switch(self, path: str) -> None:
-        if path not in self.open_:
-            raise ValueError(f"index {path} is not open")
-        self.current = path
-
-    def tokens(self) -> DataFrame:
-        return self.open_[self.current]
-
-    def scan(self, term: str, field_: str = "body") -> DataFrame:
-        """Postings of one term: doc_id, tf, positions."""
-        rows = self.tokens().filter((F.col("field") == field_) & (F.col("term") == term))
-        return rows.groupBy("doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))

@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.operators.corpus import Corpus
+from loomtext.operators.index import Index
 from loomtext.plans.compile import Model, scored_trees, search, top_k
 from loomtext.plans.query import Node, parse, wrap
 
 
-def expansion_terms(corpus: Corpus, best: DataFrame, terms: int = 20, mu: float = 0.0) -> DataFrame:
+#: The term vectors of at most so many documents are read by their ids, those of more by a join.
+BY_ID = 10_000
+
+
+def expansion_terms(index: Index, best: DataFrame, terms: int = 20, mu: float = 0.0) -> DataFrame:
     """qid, term, weight: every term t of the feedback documents d (best: qid, doc_id, score) by
     the sum of (tf + mu p) / (len + mu) * score * ln(1 / p), p being t's share of the collection.
     """
-    body = corpus.docs.select(F.col(corpus.id).alias("doc_id"), corpus.tokens_of("body").alias("tok"))
-    few = F.broadcast(best.select("qid", F.col("doc_id").alias(corpus.id), "score"))  # at most the k documents of each query
-    fed = corpus.docs.join(few, corpus.id).select("qid", F.col(corpus.id).alias("doc_id"), "score", corpus.tokens_of("body").alias("tok"))
-    tf = fed.select("qid", "doc_id", "score", F.size("tok").alias("len"), F.explode("tok").alias("term"))
-    tf = tf.filter(~F.col("term").rlike("[.,]")).groupBy("qid", "doc_id", "score", "len", "term").agg(F.count("*").alias("tf"))
-    tf = tf.persist()  # the terms of k documents a query, read four times
-    wanted = tf.select("term").distinct()
-    long = body.select(F.explode("tok").alias("term"))
-    ctf = long.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("ctf"))
-    total = body.agg(F.sum(F.size("tok")).cast("double").alias("c"))
-    docs = tf.select("qid", "doc_id", "score", "len").distinct()
-    pairs = tf.select("qid", "term").distinct().join(docs, "qid").join(tf.select("qid", "doc_id", "term", "tf"), ["qid", "doc_id", "term"], "left")
+    few = best.select("qid", "doc_id", "score").limit(BY_ID + 1).collect()
+    if len(few) <= BY_ID:
+        best = index.spark.createDataFrame(few, "qid string, doc_id long, score double")
+        vectors = index.term_vectors(sorted({r["doc_id"] for r in few}))
+    else:
+        vectors = index.term_vectors()
+    docs = best.select("qid", "doc_id", "score").join(vectors.select("doc_id", F.col("dl").alias("len")).distinct(), "doc_id")
+    tf = vectors.join(best.select("qid", "doc_id"), "doc_id").filter(~F.col("term").rlike("[.,]")).select("qid", "doc_id", "term", "tf")
+    pairs = tf.select("qid", "term").distinct().join(docs, "qid").join(tf, ["qid", "doc_id", "term"], "left")
+    ctf = index.dictionary().select("term", "ctf")
+    total = index.table("fields").filter(F.col("field") == "body").select(F.col("sum_tf").cast("double").alias("c"))
     p = F.col("ctf").cast("double") / F.col("c")
     weight = (F.coalesce("tf", F.lit(0)) + F.lit(mu) * p) / (F.col("len") + F.lit(mu)) * F.col("score") * F.ln(F.lit(1.0) / p)
     weighed = pairs.join(ctf, "term").crossJoin(F.broadcast(total)).groupBy("qid", "term").agg(F.round(F.sum(weight), 8).alias("weight"))
@@ -40,21 +43,19 @@ def expansion_query(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("qid").agg(F.concat(F.lit("#WAND( "), F.array_join(parts, " "), F.lit(" )")).alias("query"))
 
 
-def expanded_search(corpus: Corpus, queries: dict[str, str], model: Model, docs: int = 10, terms: int = 20, mu: float = 0.0, original: float = 0.6, k: int = 100) -> DataFrame:
+def expanded_search(index: Index, queries: dict[str, str], model: Model, docs: int = 10, terms: int = 20, mu: float = 0.0, original: float = 0.6, k: int = 100) -> DataFrame:
     """Results of #wand(w original (1 - w) expansion). The expansion's few terms pass through the driver, as they make the plan."""
     if model.name != "indri":
         raise ValueError("feedback needs the Indri model")
-    best = search(corpus, queries, model, docs).persist()
     found: dict[str, list[tuple[float, str]]] = {}
-    for r in expansion_terms(corpus, best, terms, mu).orderBy("qid", "rank").collect():
+    for r in expansion_terms(index, search(index, queries, model, docs), terms, mu).orderBy("qid", "rank").collect():
         found.setdefault(r["qid"], []).append((round(r["weight"], 4), r["term"]))
-    best.unpersist()
     trees = {}
     for qid, text in queries.items():
-        tree = parse(wrap(text, "indri"), corpus.stop)
+        tree = parse(wrap(text, "indri"), index.stop, index.stem)
         more = found.get(qid)
         if more:
             expansion = Node("wand", tuple(Node("score", (Node("term", term=t),)) for _, t in more), tuple(w for w, _ in more))
             tree = Node("wand", (tree, expansion), (original, 1 - original))
         trees[qid] = tree
-    return top_k(scored_trees(corpus, trees, model), k)
+    return top_k(scored_trees(index, {q: t for q, t in trees.items() if t}, model), k)

@@ -1,4 +1,4 @@
-"""Features for learning to rank: eighteen per (query, document), one row pass over the corpus."""
+"""Features for learning to rank: eighteen per (query, document), from the postings of the queries' terms and the stored lengths of the candidates."""
 
 from __future__ import annotations
 
@@ -7,34 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import text as T
-from loomtext.operators.corpus import Corpus
-from loomtext.plans.compile import Model
+from loomtext.operators.index import Index
+from loomtext.plans.compile import Model, gathered, search, statistics
+from loomtext.plans.query import Node
 
 FIELDS = ("body", "title", "url", "inlink")
 FEATURES = tuple(f"f{i}" for i in range(1, 19))
 
 
-def raw_features(corpus: Corpus, queries: dict[str, list[str]], spam: Column, page_rank: Column, url: Column, k: int = 100, bm25: Model = Model("bm25"), indri: Model = Model("indri")) -> DataFrame:
+def raw_features(index: Index, queries: dict[str, list[str]], spam: Column, page_rank: Column, url: Column, k: int = 100, bm25: Model = Model("bm25"), indri: Model = Model("indri")) -> DataFrame:
     """qid, doc_id, f1..f18 of each query's best k documents by BM25 on body. A feature of an empty field is null.
 
-    queries: the analysed terms of each, repeats kept. f1 spam score, f2 url depth, f3 Wikipedia, f4 page rank; then
+    queries: the analysed terms of each, repeats kept. spam, page_rank and url are expressions over the stored columns. f1 spam score, f2 url depth, f3 Wikipedia, f4 page rank; then
     BM25, Indri and overlap for body, title, url, inlink; f17 a cosine-like share of body; f18 repeats f15.
     """
     terms = sorted({t for ts in queries.values() for t in ts})
     place = {t: i for i, t in enumerate(terms)}
-    toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), spam.cast("double").alias("f1"), T.url_depth(url).cast("double").alias("f2"), T.is_wikipedia(url).cast("double").alias("f3"), F.coalesce(page_rank, F.lit(0.0)).alias("f4"), *(corpus.tokens_of(f).alias(f"tok_{f}") for f in FIELDS))
-    count = lambda f, t: (F.size(f"few_{f}") - F.size(F.array_remove(f"few_{f}", t))).cast("double")
-    body = F.array_sort("tok_body")
-    squares = F.aggregate(body, F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s")),
-        lambda s, t: F.when(s["t"] == t, F.struct(t.alias("t"), (s["n"] + 1).alias("n"), s["s"].alias("s"))).otherwise(F.struct(t.alias("t"), F.lit(1.0).alias("n"), (s["s"] + s["n"] * s["n"]).alias("s"))),
-        lambda s: s["s"] + s["n"] * s["n"])
-    toks = toks.select("*", *(F.filter(f"tok_{f}", lambda x: x.isin(*terms)).alias(f"few_{f}") for f in FIELDS))
-    counted = toks.select("doc_id", "f1", "f2", "f3", "f4", squares.alias("squares"), *(F.size(f"tok_{f}").cast("double").alias(f"dl_{f}") for f in FIELDS), *(count(f, t).alias(f"tf_{f}_{i}") for f in FIELDS for t, i in place.items()))
-    stats = counted.agg(
-        F.count("*").cast("double").alias("num_docs"), *(F.sum(f"dl_{f}").alias(f"sum_{f}") for f in FIELDS), *(F.count_if(F.col(f"dl_{f}") > 0).cast("double").alias(f"docs_{f}") for f in FIELDS),
-        *(F.count_if(F.col(f"tf_{f}_{i}") > 0).cast("double").alias(f"df_{f}_{i}") for f in FIELDS for i in place.values()), *(F.sum(f"tf_{f}_{i}").alias(f"ctf_{f}_{i}") for f in FIELDS for i in place.values()),
-    )
-    rows = counted.crossJoin(F.broadcast(stats))
+    node = {(f, t): Node("term", term=t, field=f) for f in FIELDS for t in terms}
+    best = search(index, {q: " ".join(ts) for q, ts in queries.items()}, bm25, k).select("qid", "doc_id", "rank")  # k rows a query
+    docs = index.table("documents").join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    own = docs.select("doc_id", spam.cast("double").alias("f1"), T.url_depth(url).cast("double").alias("f2"), T.is_wikipedia(url).cast("double").alias("f3"), F.coalesce(page_rank, F.lit(0.0)).alias("f4"), F.col("sq_body").alias("squares"), *(F.col(f"dl_{f}").cast("double").alias(f"dl_{f}") for f in FIELDS))
+    found, held = gathered(index, list(node.values()))
+    counts = found.select("doc_id", *(F.col(f"tf_{held[n]}").cast("double").alias(f"tf_{f}_{place[t]}") for (f, t), n in node.items()))
+    names = [f"tf_{f}_{i}" for f in FIELDS for i in place.values()]
+    stats = statistics(index, list(FIELDS), {n: f"{f}_{place[t]}" for (f, t), n in node.items()})
+    stats = stats.select(*(F.col(c).cast("double").alias(c) for c in stats.columns))
+    rows = own.join(counts, "doc_id", "left").fillna(0.0, names).crossJoin(F.broadcast(stats))
 
     def of_query(qid: str, words: list[str]) -> Column:
         n, found = float(len(words)), {}
@@ -64,8 +62,7 @@ def raw_features(corpus: Corpus, queries: dict[str, list[str]], spam: Column, pa
         return F.when(match, F.struct(F.lit(qid).alias("qid"), *(found[x].alias(x) for x in FEATURES[4:])))
 
     every = rows.select("doc_id", "f1", "f2", "f3", "f4", F.explode(F.filter(F.array(*(of_query(q, ws) for q, ws in queries.items())), lambda r: r.isNotNull())).alias("r"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("f5", 6)), "doc_id"))
-    return every.select("r.qid", "doc_id", "f1", "f2", "f3", "f4", *(f"r.{x}" for x in FEATURES[4:])).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return every.select("r.qid", "doc_id", "f1", "f2", "f3", "f4", *(f"r.{x}" for x in FEATURES[4:])).join(F.broadcast(best), ["qid", "doc_id"])
 
 
 def scaled(features: DataFrame, disabled: tuple[int, ...] = (), least_max: float | None = None) -> DataFrame:

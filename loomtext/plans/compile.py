@@ -1,8 +1,9 @@
-"""Query trees as Column expressions over one row per document, and ranked results as DataFrames.
+"""Query trees as Column expressions over one row per matching document, and ranked results as DataFrames.
 
-Every positional node becomes an array of positions in the row. One aggregation over the corpus gives df and ctf of
-all of them together with field statistics; the single row it returns joins every document, where scores are plain
-expressions. Queries of a batch share both passes. The only shuffle is of the best k rows of each task.
+The postings of a batch's terms, and no others, are read from the index and brought together by document, positions
+only where a node asks for proximity. df and ctf of terms come from the dictionary, those of other positional nodes
+from the same rows; with the field statistics they are a single row that joins every document, where scores are plain
+expressions. What moves is the postings of the query's terms and the best k rows of each task.
 """
 
 from __future__ import annotations
@@ -13,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtext.functions import text as T
 from loomtext.operators import proximity
-from loomtext.operators.corpus import Corpus
+from loomtext.operators.index import Index
 from loomtext.plans.query import Node, field_of, parse, wrap
 
 
@@ -55,29 +55,68 @@ class _Plan:
                 self._visit(a)
 
 
-def positions_of(node: Node) -> Column:
-    """The positions of a positional node, over columns tok_<field>."""
+def terms_of(node: Node) -> list[Node]:
+    """The terms of a positional node."""
+    return [node] if node.op == "term" else [t for a in node.args for t in terms_of(a)]
+
+
+def positions_of(node: Node, held: dict[Node, str]) -> Column:
+    """The positions of a positional node, over columns pos_<name> of its terms; a term that is not there has none."""
     if node.op == "term":
-        return T.positions(F.col(f"tok_{node.field}"), node.term)
-    args = [positions_of(a) for a in node.args]
+        return F.coalesce(F.col(f"pos_{held[node]}"), F.array().cast("array<int>"))
+    args = [positions_of(a, held) for a in node.args]
     if node.op == "syn":
         return proximity.synonyms(args)
     return proximity.near(args, node.distance) if node.op == "near" else proximity.within(args, node.distance)
 
 
-def _among(field: str, terms: list[str]) -> Column:
-    """The tokens of a field that are among some terms: one pass, after which counts are over a few tokens."""
-    return F.filter(f"tok_{field}", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
-
-
-def frequency_of(node: Node) -> Column:
-    """How often a positional node stands in a document, over columns tok_<field> and few_<field> (its query terms alone)."""
+def frequency_of(node: Node, held: dict[Node, str]) -> Column:
+    """How often a positional node stands in a document, over columns tf_<name> of terms and pos_<name> where places count."""
     if node.op == "term":
-        few = F.col(f"few_{node.field}")
-        return F.size(few) - F.size(F.array_remove(few, node.term))
-    if node.op == "syn" and all(a.op == "term" for a in node.args):
-        return sum((frequency_of(a) for a in node.args[1:]), frequency_of(node.args[0]))
-    return F.size(positions_of(node))
+        return F.coalesce(F.col(f"tf_{held[node]}"), F.lit(0).cast("long"))
+    if _counted(node):
+        return sum((frequency_of(a, held) for a in node.args[1:]), frequency_of(node.args[0], held))
+    return F.size(positions_of(node, held)).cast("long")
+
+
+def _counted(node: Node) -> bool:
+    """Whether frequencies of its terms are enough for a node."""
+    return node.op == "term" or node.op == "syn" and all(a.op == "term" for a in node.args)
+
+
+def gathered(index: Index, nodes: list[Node]) -> tuple[DataFrame, dict[Node, str]]:
+    """One row per document that holds a term of the nodes: doc_id, dl_<field> where it does, tf_<name>, pos_<name>; and the terms' names."""
+    placed = list(dict.fromkeys(t for n in nodes if not _counted(n) for t in terms_of(n)))
+    held = {t: f"t{i}" for i, t in enumerate(dict.fromkeys(t for n in nodes for t in terms_of(n)))}
+    fields = list(dict.fromkeys(t.field for t in held))
+    columns = ("term", "doc_id", "tf", "dl", *(("positions",) if placed else ()))
+    rows = None
+    for f in fields:
+        own = index.postings([t.term for t in held if t.field == f], f, columns).withColumn("of", F.lit(f))
+        rows = own if rows is None else rows.unionByName(own)
+    here = lambda t: (F.col("of") == t.field) & (F.col("term") == t.term)
+    return rows.groupBy("doc_id").agg(
+        *(F.max(F.when(F.col("of") == f, F.col("dl"))).alias(f"dl_{f}") for f in fields), *(F.max(F.when(here(t), F.col("tf"))).alias(f"tf_{n}") for t, n in held.items()),
+        *(F.max(F.when(here(t), F.col("positions"))).alias(f"pos_{held[t]}") for t in placed),
+    ), held
+
+
+def statistics(index: Index, fields: list[str], terms: dict[Node, str]) -> DataFrame:
+    """One row: num_docs, sum_<field>, docs_<field>, and df_<name>, ctf_<name> of terms."""
+    of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    whole = index.table("fields").agg(F.max("num_docs").alias("num_docs"), *(of(f, "sum_tf").alias(f"sum_{f}") for f in fields), *(of(f, "doc_count").alias(f"docs_{f}") for f in fields))
+    for f in dict.fromkeys(t.field for t in terms):
+        own = {t: n for t, n in terms.items() if t.field == f}
+        count = lambda t, c: F.coalesce(F.max(F.when(F.col("term") == t.term, F.col(c))), F.lit(0).cast("long"))
+        some = index.dictionary(f, [t.term for t in own]).agg(*(count(t, "df").alias(f"df_{n}") for t, n in own.items()), *(count(t, "ctf").alias(f"ctf_{n}") for t, n in own.items()))
+        whole = whole.crossJoin(F.broadcast(some))  # a row each
+    return whole
+
+
+def positional(index: Index, node: Node) -> DataFrame:
+    """doc_id, tf, positions of a positional node."""
+    rows, held = gathered(index, [Node("near", (node,))])  # any node that asks for places
+    return rows.select("doc_id", positions_of(node, held).alias("positions")).filter(F.size("positions") > 0).select("doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 class _Scores:
@@ -172,34 +211,32 @@ class _Scores:
         return self._any(parts), score, default
 
 
-def scored(corpus: Corpus, queries: dict[str, str], model: Model, stem=None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """qid, doc_id, score of every match of a batch of queries, wrapped in the model's default operator."""
-    trees = {q: parse(wrap(text, model.name), corpus.stop, stem) for q, text in queries.items()}
-    return scored_trees(corpus, {q: t for q, t in trees.items() if t}, model, keep)
+def scored(index: Index, queries: dict[str, str], model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """qid, doc_id, score of every match of a batch of queries, wrapped in the model's default operator and analysed as the index is."""
+    trees = {q: parse(wrap(text, model.name), index.stop, index.stem) for q, text in queries.items()}
+    return scored_trees(index, {q: t for q, t in trees.items() if t}, model, keep)
 
 
-def scored_trees(corpus: Corpus, trees: dict[str, Node], model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+def scored_trees(index: Index, trees: dict[str, Node], model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep: stored columns that come along."""
     plan = _Plan(list(trees.values()))
-    toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *keep, *(corpus.tokens_of(f).alias(f"tok_{f}") for f in plan.fields))
-    indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
-    wanted = {f: sorted({t.term for n in plan.nodes for t in ([n] if n.op == "term" else n.args if n.op == "syn" else []) if t.op == "term" and t.field == f}) for f in plan.fields}
-    toks = toks.select("*", *(_among(f, ws).alias(f"few_{f}") for f, ws in wanted.items()))
-    counted = toks.select(
-        "doc_id", *keep, *(F.size(f"tok_{f}").alias(f"dl_{f}") for f in plan.fields), *(indexed(f).alias(f"il_{f}") for f in plan.fields),
-        *(frequency_of(n).alias(f"tf_{c}") for n, c in plan.nodes.items()),
-    )
-    stats = counted.agg(
-        F.count("*").alias("num_docs"),
-        *(F.sum(f"il_{f}").alias(f"sum_{f}") for f in plan.fields), *(F.count_if(F.col(f"il_{f}") > 0).alias(f"docs_{f}") for f in plan.fields),
-        *(F.count_if(F.col(f"tf_{c}") > 0).alias(f"df_{c}") for c in plan.nodes.values()), *(F.sum(f"tf_{c}").alias(f"ctf_{c}") for c in plan.nodes.values()),
-    )
+    if not plan.nodes:
+        return index.table("documents").select(F.lit("").alias("qid"), "doc_id", *keep, F.lit(0.0).alias("score")).filter("false")
+    rows, held = gathered(index, list(plan.nodes))
+    counted = rows.select("doc_id", *(f"dl_{f}" for f in plan.fields), *(frequency_of(n, held).alias(f"tf_{c}") for n, c in plan.nodes.items()))
+    elsewhere = plan.fields if model.name == "indri" and len(plan.fields) > 1 else []  # lengths of fields that hold none of the terms
+    if keep or elsewhere:
+        counted = counted.drop(*(f"dl_{f}" for f in elsewhere)).join(index.table("documents").select("doc_id", *keep, *(f"dl_{f}" for f in elsewhere)), "doc_id")
+    stats = statistics(index, plan.fields, {n: c for n, c in plan.nodes.items() if n.op == "term"})
+    others = [c for n, c in plan.nodes.items() if n.op != "term"]
+    if others:
+        found = counted.agg(*(F.count_if(F.col(f"tf_{c}") > 0).alias(f"df_{c}") for c in others), *(F.coalesce(F.sum(f"tf_{c}"), F.lit(0)).alias(f"ctf_{c}") for c in others))
+        stats = stats.crossJoin(F.broadcast(found))
     joined = counted.crossJoin(F.broadcast(stats))
     rules, results = _Scores(plan, model), []
     for qid, tree in trees.items():
         match, score, _ = rules.of(tree)
         results.append(F.when(match, F.struct(F.lit(qid).alias("qid"), score.alias("score"))))
-    if not results:
-        return counted.select(F.lit("").alias("qid"), "doc_id", *keep, F.lit(0.0).alias("score")).filter("false")
     every = joined.select("doc_id", *keep, F.explode(F.filter(F.array(*results), lambda r: r.isNotNull())).alias("r"))
     return every.select("r.qid", "doc_id", *keep, "r.score")
 
@@ -211,5 +248,5 @@ def top_k(matches: DataFrame, k: int = 100, decimals: int = 6) -> DataFrame:
     return rounded.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def search(corpus: Corpus, queries: dict[str, str], model: Model, k: int = 100, stem=None) -> DataFrame:
-    return top_k(scored(corpus, queries, model, stem), k)
+def search(index: Index, queries: dict[str, str], model: Model, k: int = 100) -> DataFrame:
+    return top_k(scored(index, queries, model), k)

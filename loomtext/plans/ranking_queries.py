@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.operators import diversity, feedback, ltor
-from loomtext.operators.corpus import Corpus
 from loomtext.plans.compile import Model, search
-from loomtext.plans.retrieval_queries import BASE, BM25_TF, INDRI, PAGES, pages_corpus, ranked_sql, terms_sql
+from loomtext.plans.retrieval_queries import BASE, BM25_TF, INDRI, PAGES, documents_index, pages_index, ranked_sql, terms_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,15 +40,15 @@ ex AS MATERIALIZED (SELECT term, weight, rank FROM (SELECT term, weight, row_num
 
 @query(f"WITH {_FED} SELECT 'q1' AS qid, term, round(weight, 6) AS weight, rank FROM ex")
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = Corpus.documents(spark, sf_dir)
-    best = search(corpus, {"q1": "aich that"}, Model("indri"), 10)
-    return feedback.expansion_terms(corpus, best).withColumn("weight", F.round("weight", 6))
+    index = documents_index(spark, sf_dir)
+    best = search(index, {"q1": "aich that"}, Model("indri"), 10)
+    return feedback.expansion_terms(index, best).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {_FED} SELECT 'q1' AS qid, '#WAND( ' || string_agg(printf('%.4f %s', weight, term), ' ' ORDER BY rank) || ' )' AS query FROM ex")
 def prf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = Corpus.documents(spark, sf_dir)
-    return feedback.expansion_query(feedback.expansion_terms(corpus, search(corpus, {"q1": "aich that"}, Model("indri"), 10)))
+    index = documents_index(spark, sf_dir)
+    return feedback.expansion_query(feedback.expansion_terms(index, search(index, {"q1": "aich that"}, Model("indri"), 10)))
 
 
 @query(
@@ -63,7 +62,7 @@ xt AS MATERIALIZED (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM t WHERE ter
     )
 )
 def prf_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.expanded_search(Corpus.documents(spark, sf_dir), {"q1": "aich that"}, Model("indri"))
+    return feedback.expanded_search(documents_index(spark, sf_dir), {"q1": "aich that"}, Model("indri"))
 
 
 _TERMS = {"q1": ["of", "the", "the"], "q2": ["que", "de"]}
@@ -71,10 +70,10 @@ _FEATURES = [f"f{i}" for i in range(1, 19)]
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = pages_corpus(spark, sf_dir)
+    index = pages_index(spark, sf_dir)
     spam = F.col("doc_id") % 100
     page_rank = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") * 37 % 101).cast("double") / 10)
-    return ltor.raw_features(corpus, _TERMS, spam, page_rank, F.col("raw_url"))
+    return ltor.raw_features(index, _TERMS, spam, page_rank, F.col("raw_url"))
 
 
 def _features_sql() -> str:
@@ -132,7 +131,7 @@ _RUNS = {"q1": "aich that", "q1.1": "aich", "q1.2": "that of", "q2": "of in", "q
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(Corpus.documents(spark, sf_dir), _RUNS, Model("bm25"))
+    return search(documents_index(spark, sf_dir), _RUNS, Model("bm25"))
 
 
 def _runs_sql() -> str:

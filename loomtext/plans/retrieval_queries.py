@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import STOPWORDS
 from loomtext.operators import proximity
 from loomtext.operators.corpus import Corpus
-from loomtext.plans.compile import Model, search
-from loomtext.plans.query import parse, wrap
+from loomtext.operators.index import Index, index_of
+from loomtext.plans.compile import Model, positional, search
+from loomtext.plans.query import Node, parse, wrap
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,6 +50,11 @@ def query(sql: str | None = None):
     return add
 
 
+def documents_index(spark: SparkSession, sf_dir: str, **options) -> Index:
+    """The stored index of ``documents``."""
+    return index_of(f"{sf_dir}/documents.parquet", Corpus.documents(spark, sf_dir, **options))
+
+
 def listed(positions) -> F.Column:
     return F.array_join(F.transform(positions, lambda p: p.cast("string")), ",")
 
@@ -61,22 +67,23 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT 'body' AS field, n::BIGINT AS num_docs, dc::BIGINT AS doc_count, c::BIGINT AS sum_tf, round(c / dc, 6) AS avg_len FROM s")
 def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus.documents(spark, sf_dir).field_stats().withColumn("avg_len", F.round("avg_len", 6))
+    return documents_index(spark, sf_dir).field_stats().withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(f"WITH {BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM t GROUP BY term")
 def term_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus.documents(spark, sf_dir).terms()
+    return documents_index(spark, sf_dir).dictionary()
 
 
 @query(f"WITH {BASE} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t WHERE term IN ('aich', 'that', 'zzz') GROUP BY term, doc_id")
 def postings_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus.documents(spark, sf_dir).postings(["aich", "that", "zzz"]).withColumn("positions", listed("positions"))
+    return documents_index(spark, sf_dir).postings(["aich", "that", "zzz"]).withColumn("positions", listed("positions"))
 
 
-@query(f"WITH {BASE} SELECT doc_id, term, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t WHERE doc_id IN (0, 7, 11) GROUP BY doc_id, term")
+@query(f"WITH {BASE} SELECT doc_id, term, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t GROUP BY doc_id, term")
 def term_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus.documents(spark, sf_dir).term_vector([0, 7, 11]).withColumn("positions", listed("positions"))
+    """The term vectors of all documents."""
+    return documents_index(spark, sf_dir).term_vectors().drop("dl").withColumn("positions", listed("positions"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -84,13 +91,13 @@ _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 @query(f"WITH {BASE} SELECT doc_id, len(l)::BIGINT AS dl_all, len(list_filter(l, lambda x: x NOT IN ({_STOP})))::BIGINT AS dl_indexed FROM d")
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus.documents(spark, sf_dir, stop=STOPWORDS).lengths()
+    return documents_index(spark, sf_dir, stop=STOPWORDS).lengths()
 
 
 @query(f"WITH {BASE} SELECT term, df, ctf, rank FROM (SELECT term, df, ctf, row_number() OVER (ORDER BY df DESC, term) AS rank FROM (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM t WHERE term NOT IN ({_STOP}) GROUP BY term)) WHERE rank BETWEEN 11 AND 20")
 def dictionary_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second page of ten of the dictionary by df, stopwords removed."""
-    best = Corpus.documents(spark, sf_dir, stop=STOPWORDS).terms().orderBy(F.desc("df"), "term").limit(20)
+    best = documents_index(spark, sf_dir, stop=STOPWORDS).dictionary().orderBy(F.desc("df"), "term").limit(20)
     from pyspark.sql.window import Window
 
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long")).filter("rank > 10")
@@ -105,7 +112,7 @@ def external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark, sf_dir, model: str, text: str, **options) -> DataFrame:
-    return search(Corpus.documents(spark, sf_dir, **options), {"q1": text}, Model(model))
+    return search(documents_index(spark, sf_dir, **options), {"q1": text}, Model(model))
 
 
 @query(f"WITH {BASE}, {terms_sql('aich', 'aien')} " + ranked_sql("SELECT doc_id, 1.0::DOUBLE AS score FROM tf GROUP BY doc_id HAVING count(*) = 2"))
@@ -130,15 +137,12 @@ def ranked_or_max_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BASE} SELECT doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t WHERE term IN ('aich', 'aien', 'ach') GROUP BY doc_id")
 def syn_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _postings(spark, sf_dir, lambda p: proximity.synonyms(p), "aich", "aien", "ach")
-
+    return _postings(spark, sf_dir, "syn", "aich", "aien", "ach")
 
-def _postings(spark, sf_dir, fold, *terms: str) -> DataFrame:
-    from loomtext.functions.text import positions
 
-    toks = Corpus.documents(spark, sf_dir).tokenised()
-    found = toks.select("doc_id", fold([positions(F.col("tok_body"), t) for t in terms]).alias("positions"))
-    return found.filter(F.size("positions") > 0).select("doc_id", F.size("positions").cast("long").alias("tf"), listed("positions").alias("positions"))
+def _postings(spark, sf_dir, op: str, *terms: str, distance: int = 0) -> DataFrame:
+    node = Node(op, tuple(Node("term", term=t) for t in terms), distance=distance)
+    return positional(documents_index(spark, sf_dir), node).withColumn("positions", listed("positions"))
 
 
 @query(f"WITH {BASE}, {terms_sql('aich', 'aien', 'that')} " + ranked_sql(f"SELECT doc_id, sum({BM25_TF}) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id"))
@@ -184,6 +188,11 @@ def pages_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(docs, fields={"title": "title", "url": "raw_url", "body": "body", "inlink": "inlink"})
 
 
+def pages_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of ``pages``, which keeps the url as it is."""
+    return index_of(f"{sf_dir}/pages.parquet", pages_corpus(spark, sf_dir), ("raw_url",))
+
+
 PAGES = r"""
 g AS MATERIALIZED (SELECT page_id AS doc_id, url AS raw_url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
   array_to_string(regexp_extract_all(html, '<p>([^<]*)', 1), ' ') AS body, array_to_string(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), ' ') AS inlink FROM pages),
@@ -199,7 +208,7 @@ fd AS MATERIALIZED (SELECT field, term, count(*)::DOUBLE AS df, sum(tf)::DOUBLE
 
 @query(f"WITH {PAGES}, q AS (SELECT * FROM (VALUES ('of', 'body'), ('the', 'title'), ('en', 'url')) q(term, field)) " + ranked_sql(f"SELECT ft.doc_id, sum({BM25_TF}) AS score FROM q JOIN ft USING (term, field) JOIN fd USING (term, field) JOIN fs USING (field) JOIN f ON f.doc_id = ft.doc_id AND f.field = q.field GROUP BY ft.doc_id"))
 def multi_field_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(pages_corpus(spark, sf_dir), {"q1": "of the.title en.url"}, Model("bm25"))
+    return search(pages_index(spark, sf_dir), {"q1": "of the.title en.url"}, Model("bm25"))
 
 
 _NEAR2 = """
@@ -210,7 +219,7 @@ near AS MATERIALIZED (SELECT doc_id, pos FROM o WHERE term = 'the' AND before =
 @query(f"WITH {BASE}, {_NEAR2} SELECT doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM near GROUP BY doc_id")
 def near2_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window form over the token table."""
-    return proximity.near_two(Corpus.documents(spark, sf_dir).tokens(), "of", "the", 2).withColumn("positions", listed("positions"))
+    return proximity.near_two(documents_index(spark, sf_dir).tokens(["of", "the"]), "of", "the", 2).withColumn("positions", listed("positions"))
 
 
 @query(f"WITH {BASE}, {_NEAR2}, tf AS (SELECT doc_id, count(*)::DOUBLE AS tf FROM near GROUP BY doc_id), df AS (SELECT count(*)::DOUBLE AS df FROM tf) " + ranked_sql(f"SELECT doc_id, {BM25_TF} AS score FROM tf JOIN d USING (doc_id), s, df"))
@@ -239,7 +248,7 @@ st AS (
 SELECT doc_id, count(hit) AS tf, string_agg(hit::VARCHAR, ',' ORDER BY hit) AS positions FROM st WHERE hit IS NOT NULL GROUP BY doc_id"""
 )
 def near3_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _postings(spark, sf_dir, lambda p: proximity.near(p, 4), "the", "of", "and")
+    return _postings(spark, sf_dir, "near", "the", "of", "and", distance=4)
 
 
 @query(
@@ -254,7 +263,7 @@ st AS (
 SELECT doc_id, count(hit) AS tf, string_agg(hit::VARCHAR, ',' ORDER BY hit) AS positions FROM st WHERE hit IS NOT NULL GROUP BY doc_id"""
 )
 def window_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _postings(spark, sf_dir, lambda p: proximity.within(p, 8), "of", "that", "the")
+    return _postings(spark, sf_dir, "window", "of", "that", "the", distance=8)
 
 
 @query(
@@ -297,7 +306,7 @@ def stopword_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two queries in one plan."""
-    return search(Corpus.documents(spark, sf_dir), {"q1": "aich that", "q2": "aien that"}, Model("bm25"), k=10)
+    return search(documents_index(spark, sf_dir), {"q1": "aich that", "q2": "aien that"}, Model("bm25"), k=10)
 
 
 def tree_text(text: str, model: str) -> str:
@@ -332,20 +341,14 @@ def qrel_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAGES} SELECT field, n::BIGINT AS num_docs, dc::BIGINT AS doc_count, c::BIGINT AS sum_tf, round(c / dc, 6) AS avg_len FROM fs")
 def list_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields and their statistics."""
-    corpus = pages_corpus(spark, sf_dir)
-    made = [corpus.field_stats(f).withColumn("avg_len", F.round("avg_len", 6)) for f in corpus.fields]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+    return pages_index(spark, sf_dir).field_stats().withColumn("avg_len", F.round("avg_len", 6))
 
 
-@query("SELECT page_id, url AS raw_url, page_id::VARCHAR AS external_id, (page_id % 100)::BIGINT AS spam_score FROM pages WHERE page_id IN (1, 3, 5)")
+@query("SELECT page_id, url AS raw_url, page_id::VARCHAR AS external_id, (page_id % 100)::BIGINT AS spam_score FROM pages")
 def stored_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored attributes of some internal ids, by a semi join; the spam score is a stand-in."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    wanted = spark.createDataFrame([(1,), (3,), (5,), (-1,)], "page_id long")
-    return pages.join(wanted, "page_id", "left_semi").select("page_id", F.col("url").alias("raw_url"), F.col("page_id").cast("string").alias("external_id"), (F.col("page_id") % 100).alias("spam_score"))
+    """Stored attributes of all internal ids; the spam score is a stand-in."""
+    stored = pages_index(spark, sf_dir).table("documents")
+    return stored.select(F.col("doc_id").alias("page_id"), "raw_url", F.col("doc_id").cast("string").alias("external_id"), (F.col("doc_id") % 100).alias("spam_score"))
 
 
 @query(
@@ -355,4 +358,4 @@ SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 )
 def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of ten results."""
-    return search(Corpus.documents(spark, sf_dir), {"q1": "aich that"}, Model("bm25"), k=30).filter("rank > 20")
+    return search(documents_index(spark, sf_dir), {"q1": "aich that"}, Model("bm25"), k=30).filter("rank > 20")
