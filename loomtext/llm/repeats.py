@@ -37,8 +37,8 @@ LENGTH, GRAM = 400, 64
 WORDS, WORD_GRAM = 51, 8
 #: Classes of one anchor that meet in one shard.
 PER_SHARD = 512
-#: Bytes of contexts that are put into one suffix order.
-SHARD_BYTES = 3 << 18
+#: Bytes of contexts that are put into one suffix order, and of texts that are cut at anchors together: their arrays stay in a core's cache.
+SHARD_BYTES, BLOCK_BYTES = 3 << 14, 1 << 15
 #: Strings of an anchor are counted over shards in parts and subparts of so many neighbouring starts.
 PART, SUBPART = 30, 6
 #: Low bits of an anchor's key that hold its place, the same for all blocks, so that equal strings choose alike.
@@ -113,13 +113,15 @@ def _find_anchors(words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, size = (batch.column(c).to_numpy() for c in ("text_key", "doc", "n_bytes"))
-            for block in blocks(batch.column("text")):
+            parts: list[tuple[np.ndarray, ...]] = []
+            for block in blocks(batch.column("text"), BLOCK_BYTES):
                 for unit, found in ((BYTE, _of_bytes(block)), (WORD, _of_words(block) if words else ())):
                     if found:
                         text, _, low, high, gram, context, anchor = found
                         row = text + block.first
-                        cols = (key[row], doc[row], size[row], np.full(len(row), unit), low, high, anchor, gram.view(np.int64), context.view(np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds)], names)
+                        parts.append((key[row], doc[row], size[row], np.full(len(row), unit), low, high, anchor, gram.view(np.int64), context.view(np.int64)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(zip(*parts), kinds)], names)
 
     return run
 
@@ -207,6 +209,7 @@ def _shards(keep_first: bool):
             at = 0
             length, unit = np.array([len(x) for x in table.column("bytes").to_pylist()]), table.column("unit").to_numpy()[cut[:-1]]
             total = np.add.reduceat(length, cut[:-1])
+            total = np.where(unit == WORD, total // 4, total)  # words are fewer symbols
             while at < len(total):
                 to, held = at + 1, int(total[at])
                 while to < len(total) and unit[to] == unit[at] and held + total[to] <= SHARD_BYTES:
