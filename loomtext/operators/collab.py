@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os.path
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,12 +12,43 @@ from pyspark.sql.window import Window
 
 #: Result codes and their messages; 999 stands for what is unknown.
 MESSAGES = {
-    "000": "success", "102": "duplicate username", "103": "bad username", "104": "duplicate email", "105": "bad email", "106": "passwords differ",
-    "111": "no such document", "112": "no permission", "113": "malformed request", "117": "bad position", "122": "unknown action", "999": "unknown error",
-}
-#: Actions of messages on a document's channel.
-DOC_ACTIONS = ("doc/init", "doc/add", "doc/delete", "doc/update")
-ACTIONS = ("chat", "addUser", "delUser", *DOC_ACTIONS)
+    "000": "Success",
+    "001": "Sign up successfully",
+    "002": "Successfully Connect Websocket",
+    "101": "Django Error",
+    "102": "Username has been registered",
+    "103": "Username should only contain digits!",
+    "104": "Email has been registered",
+    "105": "Illegal email format",
+    "106": "Repeat password is not the same with origin password",
+    "107": "Username or password wrong",
+    "108": "User not active",
+    "109": "Document Title could not be empty",
+    "110": "Require document id",
+    "111": "Cannot find document id",
+    "112": "Not recognize request path",
+    "113": "Malformed request",
+    "114": "Nickname needed in chat request",
+    "115": "Docid needed in chat request",
+    "116": "User id needed in request",
+    "117": "User not found",
+    "118": "Indice error",
+    "119": "Illegal docid",
+    "120": "User not log in",
+    "121": "Unsupported Request Method",
+    "122": "Document has been deleted",
+    "123": "Illegal Token",
+    "124": "Email not found",
+    "125": "Change password failed",
+    "126": "Unsupported notification type",
+    "127": "No such notification",
+    "128": "Sending email failed",
+    "999": "Unknow Error",
+}
+#: Actions of one part, and the second parts of those of two.
+WHOLE_ACTIONS, EDIT_ACTIONS = ("chat", "addUser", "delUser"), ("init", "add", "delete", "update")
+#: The most characters of names and passwords, and of an address that asks for a new password.
+NAME_CHARS, MAIL_CHARS = 50, 100
 
 
 def owned(docs: DataFrame, user: int) -> DataFrame:
@@ -30,15 +62,19 @@ def shared(docs: DataFrame, shares: DataFrame, user: int) -> DataFrame:
     return docs.filter(F.col("is_delete") == "0").join(mine, "doc_id", "left_semi").orderBy(F.desc("saved"), "doc_id")
 
 
+def _rights(docs: DataFrame, shares: DataFrame) -> DataFrame:
+    """user_id, doc_id of everyone who created a document or shares it: two ways as a union, so that either joins by hash."""
+    return docs.select(F.col("creator").alias("user_id"), "doc_id").unionByName(shares.select("user_id", "doc_id")).distinct().withColumn("may", F.lit(True))
+
+
 def access(requests: DataFrame, docs: DataFrame, shares: DataFrame) -> DataFrame:
-    """Requests (user_id, doc_id) with a code: 000, 111 for a document that is missing or deleted, 112 for no right.
+    """Requests (user_id, doc_id) with a code: 111 for a document that is missing or not the user's to see, 122 for a deleted one, 000.
 
-    The two ways to a right are two equi-joins, not one with an OR, so either can run by hash.
+    Requests may have ``signed_in``; 120 where it is false.
     """
-    by_owner = docs.select("doc_id", F.col("creator").alias("user_id"))
-    rights = by_owner.unionByName(shares.select("doc_id", "user_id")).distinct().withColumn("may", F.lit(True))
-    joined = requests.join(rights, ["user_id", "doc_id"], "left").join(docs.select("doc_id", "is_delete"), "doc_id", "left")
-    code = F.when(F.col("is_delete").isNull() | (F.col("is_delete") == "1"), "111").when(F.col("may").isNull(), "112").otherwise("000")
+    joined = requests.join(_rights(docs, shares), ["user_id", "doc_id"], "left").join(docs.select("doc_id", "is_delete"), "doc_id", "left")
+    out = F.when(~F.col("signed_in"), "120") if "signed_in" in requests.columns else F.when(F.lit(False), "120")
+    code = out.when(F.col("is_delete").isNull() | F.col("may").isNull(), "111").when(F.col("is_delete") == "1", "122").otherwise("000")
     return joined.select("user_id", "doc_id", code.alias("code"))
 
 
@@ -59,7 +95,7 @@ def delete(docs: DataFrame, shares: DataFrame, notices: DataFrame, doc_id: int,
     left = shares.filter(~((F.col("doc_id") == doc_id) & (F.col("user_id") == user)))
     kept = notices.join(owner, "doc_id", "left_anti")
     share = shares.filter((F.col("doc_id") == doc_id) & (F.col("user_id") == user)).select("doc_id")
-    code = owner.unionByName(share).agg(F.when(F.count("*") > 0, "000").otherwise("112").alias("code"))
+    code = owner.unionByName(share).agg(F.when(F.count("*") > 0, "000").otherwise("111").alias("code"))
     return after, left, kept, code
 
 
@@ -143,19 +179,128 @@ def difference(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("e", edit("before", "after")).select("*", "e.*").drop("e")
 
 
-def route(messages: DataFrame) -> DataFrame:
-    """Raw JSON messages (id, raw) with their fields and a code: 113 malformed, 122 unknown action, 117 bad position, 000."""
-    schema = "data struct<action:string,uid:string,docid:string,start:string,end:string,content:string>"
-    d = F.from_json("raw", schema)["data"]
-    number = lambda c: F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
-    parsed = messages.withColumn("d", d)
-    action = F.col("d.action")
-    place = action.isin("doc/add", "doc/delete", "doc/update")
+def route(messages: DataFrame, users: DataFrame, docs: DataFrame, shares: DataFrame) -> DataFrame:
+    """Raw JSON messages (id, raw) with action, channel, doc_id and a code, by the checks in their order.
+
+    113 for what is no message, lacks a field, or has ids or places that are no numbers; 117 for an unknown user
+    (users: user_id); 111 for a document that is missing or not the user's to see, 122 for a deleted one; then an
+    action of one part is known or 113, the second part of one of two is known or 112, and more parts are 113.
+    """
+    schema = "data struct<action:string,uid:string,docid:string,start:string,end:string,content:string,shared_user:string>"
+    number = lambda c: F.coalesce(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
+    as_long = lambda c: F.when(number(c), F.try_to_number(F.trim(c), F.lit("S999999999999999999"))).cast("long")
+    parsed = messages.withColumn("d", F.from_json("raw", schema)["data"]).withColumn("parts", F.split(F.regexp_replace("d.action", "^/+|/+$", ""), "/"))
+    parsed = parsed.withColumn("user_id", as_long(F.col("d.uid"))).withColumn("doc_id", as_long(F.col("d.docid")))
+    known = users.select("user_id", F.lit(True).alias("known")).distinct()
+    joined = parsed.join(known, "user_id", "left").join(_rights(docs, shares), ["user_id", "doc_id"], "left").join(docs.select("doc_id", "is_delete"), "doc_id", "left")
+    n, first, second = F.size("parts"), F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
+    named = F.col("d.action").isNotNull()
     code = (
-        F.when(action.isNull() | ~number(F.col("d.docid")) | ~number(F.col("d.uid")), "113").when(~action.isin(*ACTIONS), "122")
-        .when(place & ~(number(F.col("d.start")) & number(F.col("d.end"))), "117").otherwise("000")
+        F.when(~F.coalesce(named, F.lit(False)) | ~number(F.col("d.uid")), "113").when(F.col("known").isNull(), "117").when(~number(F.col("d.docid")), "113")
+        .when(F.col("may").isNull() | F.col("is_delete").isNull(), "111").when(F.col("is_delete") == "1", "122").when(F.col("d.content").isNull(), "113")
+        .when(n == 1, F.when(first == "chat", "000").when(first.isin(*WHOLE_ACTIONS) & F.col("d.shared_user").isNotNull(), "000").otherwise("113"))
+        .when(n > 2, "113").when(~second.isin(*EDIT_ACTIONS), "112").when(second == "init", "000")
+        .when(number(F.col("d.start")) & number(F.col("d.end")), "000").otherwise("113")
     )
-    return parsed.select("id", action.alias("action"), F.split_part(action, F.lit("/"), F.lit(1)).alias("channel"), F.try_to_number("d.docid", F.lit("999999999999")).cast("long").alias("doc_id"), code.alias("code"))
+    return joined.select("id", F.when(n <= 2, F.element_at("parts", -1)).alias("action"), first.alias("channel"), "doc_id", code.alias("code"))
+
+
+def notice_code(messages: DataFrame, users: DataFrame, notices: DataFrame) -> DataFrame:
+    """Requests on notices (id, message_type, doc_id, nid, other_user) with a code: 126 for an unknown type, 113 for a missing field, 127 for no such notice, 117 for an unknown user.
+
+    An invitation names its user, an answer gives a number; users: user_id, username. Type 3, read, asks for no user.
+    """
+    by_name = users.select(F.col("username").alias("other_user"), F.lit(True).alias("named")).distinct()
+    by_id = users.select(F.col("user_id").cast("string").alias("other_user"), F.lit(True).alias("numbered")).distinct()
+    known = notices.select("nid", F.lit(True).alias("there")).distinct()
+    kind = F.col("message_type")
+    joined = messages.join(by_name, "other_user", "left").join(by_id, "other_user", "left").join(known, "nid", "left")
+    invites = F.when(F.col("doc_id").isNull() | F.col("other_user").isNull(), "113").when(F.col("named").isNull(), "117").otherwise("000")
+    answers = F.when(F.col("nid").isNull(), "113").when(F.col("there").isNull(), "127").when(kind == "3", "000").when(F.col("other_user").isNull(), "113").when(F.col("numbered").isNull(), "117").otherwise("000")
+    return joined.select("id", F.when(kind.isNull(), "113").when(~kind.isin("0", "1", "2", "3"), "126").when(kind == "0", invites).otherwise(answers).alias("code"))
+
+
+def _given(*columns: str, most: int = NAME_CHARS) -> Column:
+    """Whether all fields of a form are there and none is too long."""
+    return reduce(Column.__and__, (F.coalesce(F.length(F.trim(F.col(c))), F.lit(0)).between(1, most) for c in columns))
+
+
+def signin_code(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests (request_id, username, password): 113 for a bad field, 107 for a name or password that does not fit, 000. accounts: username, password."""
+    fits = accounts.select("username", "password", F.lit(True).alias("fits")).distinct()
+    joined = requests.join(fits, ["username", "password"], "left")
+    return joined.select("request_id", F.when(~_given("username", "password"), "113").when(F.col("fits").isNull(), "107").otherwise("000").alias("code"))
+
+
+def activate_code(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests (request_id, username, token): 113 for a bad field, 107 for an unknown user, 123 for another token, 000. accounts: username, token, one row a name."""
+    joined = requests.join(accounts.select("username", F.col("token").alias("of_user"), F.lit(True).alias("known")), "username", "left")
+    same = F.col("token").eqNullSafe(F.col("of_user"))
+    return joined.select("request_id", F.when(~_given("username", "token"), "113").when(F.col("known").isNull(), "107").when(~same, "123").otherwise("000").alias("code"))
+
+
+def forget_code(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Requests (request_id, email): 113 for what is no address, 124 for an unknown one, 000. accounts: email."""
+    from loomtext.functions.text import is_email
+
+    joined = requests.join(accounts.select("email", F.lit(True).alias("known")).distinct(), "email", "left")
+    good = _given("email", most=MAIL_CHARS) & F.coalesce(is_email(F.col("email")), F.lit(False))
+    return joined.select("request_id", F.when(~good, "113").when(F.col("known").isNull(), "124").otherwise("000").alias("code"))
+
+
+def reset_code(requests: DataFrame) -> DataFrame:
+    """Requests (request_id, password, repeat): 113 for a bad field, 106 where the two differ, 000."""
+    return requests.select("request_id", F.when(~_given("password", "repeat"), "113").when(F.col("password") != F.col("repeat"), "106").otherwise("000").alias("code"))
+
+
+def stays(events: DataFrame) -> DataFrame:
+    """room, user_id, since, until: when users are in rooms, from events (room, seq, user_id, action join or leave). until is null for those who are still there.
+
+    A second join without a leave between them, and a leave of one who is not there, change nothing.
+    """
+    own = Window.partitionBy("room", "user_id").orderBy("seq")
+    turns = events.withColumn("before", F.lag("action").over(own)).filter(~F.col("action").eqNullSafe(F.coalesce("before", F.lit("leave"))))
+    return turns.withColumn("until", F.lead("seq").over(own)).filter("action = 'join'").select("room", "user_id", F.col("seq").alias("since"), "until")
+
+
+def present(at: DataFrame, stayed: DataFrame) -> DataFrame:
+    """Rows (room, seq, ...) once for each user that is in the room then, as ``receiver``: an equi-join by room, narrowed by time."""
+    there = stayed.select("room", F.col("user_id").alias("receiver"), "since", "until")
+    joined = at.join(there, "room").filter((F.col("since") <= F.col("seq")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))))
+    return joined.drop("since", "until")
+
+
+def welcomes(events: DataFrame) -> DataFrame:
+    """room, seq, user_id, receiver: who joins is announced to all in the room, themselves too."""
+    stayed = stays(events)
+    return present(stayed.select("room", F.col("since").alias("seq"), "user_id"), stayed)
+
+
+def dispatch(packets: DataFrame) -> DataFrame:
+    """Adds ``target``, where a client takes a packet (flag, action): a failure leads to the login or the profile page, a success to the chat, the editor or the access list."""
+    action = F.coalesce("action", F.lit(""))
+    went = F.when(F.col("flag") == "120", "login").when(F.col("flag") != "000", "profile")
+    return packets.withColumn("target", went.when(action.contains("chat"), "chat").when(action.contains("doc"), "editor").when(action.contains("access"), "access"))
+
+
+#: Fixed values, in milliseconds: the first delay of a client that connects again, its growth, and the longest.
+FIRST_DELAY, DELAY_GROWTH, LONGEST_DELAY = 1000, 1.5, 50_000
+
+
+def reconnect_delay(attempt: Column) -> Column:
+    """Milliseconds before an attempt, counted from 0."""
+    return F.least(F.lit(float(LONGEST_DELAY)), F.lit(float(FIRST_DELAY)) * F.pow(F.lit(DELAY_GROWTH), attempt.cast("double")))
+
+
+def key_values(operations: DataFrame) -> DataFrame:
+    """key, value, members, counter after operations (key, seq, op, value): put and remove set the value, add puts it into a set, raise and lower count.
+
+    Every part is an aggregation with partial sums, so a hot key is summed before it moves.
+    """
+    op = F.col("op")
+    last = F.max_by(F.when(op == "put", F.col("value")), F.when(op.isin("put", "remove"), F.col("seq")))
+    members = F.count_distinct(F.when(op == "add", F.col("value")))
+    return operations.groupBy("key").agg(last.alias("value"), members.alias("members"), F.sum(F.when(op == "raise", 1).when(op == "lower", -1).otherwise(0)).alias("counter"))
 
 
 def unread(notices: DataFrame, user: int) -> DataFrame:
@@ -200,7 +345,7 @@ def document_json(docs: DataFrame, shares: DataFrame, users: DataFrame) -> DataF
     named = shares.join(users, "user_id").groupBy("doc_id").agg(F.array_sort(F.collect_set("username")).alias("shared"))
     joined = docs.join(named, "doc_id", "left")
     body = F.struct("doc_id", "title", F.coalesce("shared", F.array().cast("array<string>")).alias("shared"))
-    return joined.select("doc_id", F.to_json(F.struct(F.lit("000").alias("flag"), body.alias("data"), F.lit("success").alias("message"))).alias("json"))
+    return joined.select("doc_id", F.to_json(F.struct(F.lit("000").alias("flag"), body.alias("data"), F.lit(MESSAGES["000"]).alias("message"))).alias("json"))
 
 
 def create(docs: DataFrame, doc_id: int, user: int, title: str, content: str) -> DataFrame:

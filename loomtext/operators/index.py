@@ -23,8 +23,12 @@ from loomtext.functions import text as T
 from loomtext.operators.corpus import Corpus
 from loomtext.storage import new_path
 
-TABLES = ("postings", "dictionary", "vectors", "documents", "fields")
-#: Rows of a row group at most, so that the bounds of sorted terms are narrow.
+_SCHEMAS = {
+    "postings": "term string, doc_id {id}, tf long, positions array<int>, dl long, field string",
+    "dictionary": "term string, df long, ctf long, field string",
+    "vectors": "doc_id {id}, term string, tf long, positions array<int>, dl long, field string",
+}
+#: Bytes of a row group, so that the bounds of sorted terms are narrow.
 ROW_GROUP_BYTES = 8 << 20
 
 
@@ -44,10 +48,15 @@ class Index:
     """The tables under a path, and how texts were analysed for them."""
 
     def __init__(self, spark: SparkSession, path: str, stop: tuple[str, ...] = (), stemmer: str = "none"):
-        self.spark, self.path, self.stop, self.stemmer = spark, path, stop, stemmer
+        self.spark, self.path, self.stop, self.stemmer, self._id = spark, path, stop, stemmer, ""
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A table of the index; those by field are read by schema, as an empty corpus leaves them without files."""
+        reader = self.spark.read
+        if name in _SCHEMAS:
+            self._id = self._id or reader.parquet(f"{self.path}/documents").schema["doc_id"].dataType.simpleString()
+            reader = reader.schema(_SCHEMAS[name].format(id=self._id))
+        return reader.parquet(f"{self.path}/{name}")
 
     @property
     def stem(self):
@@ -60,30 +69,31 @@ class Index:
     def build(corpus: Corpus, path: str, stored: tuple[str, ...] = ()) -> Index:
         spark = corpus.docs.sparkSession
         write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
+        toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(c for c in stored if c != corpus.id), *(corpus.tokens_of(f).alias(f"tok_{f}") for f in corpus.fields))
+        indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
+        counted = toks.select(
+            "doc_id", *(c for c in stored if c != corpus.id), *(F.size(f"tok_{f}").cast("long").alias(f"dl_{f}") for f in corpus.fields),
+            *(indexed(f).cast("long").alias(f"il_{f}") for f in corpus.fields), *(squared(F.col(f"tok_{f}")).alias(f"sq_{f}") for f in corpus.fields),
+        )
+        write(counted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{path}/documents")
+        index = Index(spark, path, corpus.stop, corpus.stemmer)
         for name in corpus.fields:
-            tok = corpus.tokens_of(name)
-            long = corpus.docs.select(F.col(corpus.id).alias("doc_id"), F.size(tok).cast("long").alias("dl"), F.posexplode(tok).alias("pos", "term"))
+            own = corpus.docs.select(F.col(corpus.id).alias("doc_id"), corpus.tokens_of(name).alias("tok"))
+            long = own.select("doc_id", F.size("tok").cast("long").alias("dl"), F.posexplode("tok").alias("pos", "term"))
             long = long.filter(~F.col("term").isin(*corpus.stop)) if corpus.stop else long
             if corpus.stemmer != "none":
                 long = long.join(T.stems(long, "term", corpus.stemmer), F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
             lists = long.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
             named = lists.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
             write(named.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")).partitionBy("field").parquet(f"{path}/postings")
-            made = spark.read.parquet(f"{path}/postings").filter(F.col("field") == name)
+            made = index.table("postings").filter(F.col("field") == name)
             counts = made.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
             write(counts.repartitionByRange("term").sortWithinPartitions("term")).partitionBy("field").parquet(f"{path}/dictionary")
             write(made.select("field", "doc_id", "term", "tf", "positions", "dl").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "term")).partitionBy("field").parquet(f"{path}/vectors")
-        toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(c for c in stored if c != corpus.id), *(corpus.tokens_of(f).alias(f"tok_{f}") for f in corpus.fields))
-        indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
-        counted = toks.select(
-            "doc_id", *(c for c in stored if c != corpus.id), *(F.size(f"tok_{f}").cast("long").alias(f"dl_{f}") for f in corpus.fields),
-            *(indexed(f).cast("long").alias(f"il_{f}") for f in corpus.fields), *(squared(F.col(f"tok_{f}")).alias(f"sq_{f}") for f in corpus.fields),
-        )
-        write(counted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{path}/documents")
-        docs = spark.read.parquet(f"{path}/documents")
+        docs = index.table("documents")
         stats = lambda f: docs.agg(F.lit(f).alias("field"), F.count("*").alias("num_docs"), F.count_if(F.col(f"il_{f}") > 0).alias("doc_count"), F.coalesce(F.sum(f"il_{f}"), F.lit(0)).alias("sum_tf"))
         write(reduce(DataFrame.unionByName, map(stats, corpus.fields)).coalesce(1)).parquet(f"{path}/fields")
-        return Index(spark, path, corpus.stop, corpus.stemmer)
+        return index
 
     def postings(self, terms: list[str], name: str = "body", columns: tuple[str, ...] = ("term", "doc_id", "tf", "positions")) -> DataFrame:
         """The lists of some terms of a field."""

@@ -81,6 +81,27 @@ def synonyms(args: list[Column]) -> Column:
     return F.array_sort(F.concat(*args))
 
 
+def at_or_past(positions: Column, place: Column) -> Column:
+    """The first position that is not before a place; null if the list is exhausted."""
+    return F.array_min(F.filter(positions, lambda x: x >= place))
+
+
+def past(positions: Column, place: Column) -> Column:
+    """The first position after a place; null if the list is exhausted."""
+    return F.array_min(to_come(positions, place))
+
+
+def to_come(positions: Column, place: Column) -> Column:
+    """What is left of a list after a place."""
+    return F.filter(positions, lambda x: x > place)
+
+
+def appended(positions: Column, place: Column) -> Column:
+    """A list and one more position; raises when a row is read whose last position is not before it."""
+    grown = F.concat(positions, F.array(place.cast("int")))
+    return F.when(F.coalesce(F.array_max(positions), F.lit(-1)) < place, grown).otherwise(F.raise_error(F.lit("positions must be appended in order")).cast("array<int>"))
+
+
 def near_two(tokens: DataFrame, a: str, b: str, distance: int) -> DataFrame:
     """NEAR of two distinct terms over a token table (doc_id, pos, term): b matches if the element before it is an a close enough."""
     order = Window.partitionBy("doc_id").orderBy("pos")

@@ -51,7 +51,7 @@ def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edits_of(turns: DataFrame) -> DataFrame:
     action = F.element_at(F.array(F.lit("add"), F.lit("update"), F.lit("delete")), (F.col("turn") % 3 + 1).cast("int"))
     start = (F.col("turn") * 2).cast("int")
-    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), action.alias("action"), start.alias("start"), (start + 5).alias("end"), F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("content"))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), action.alias("action"), start.alias("start"), (start + 5).alias("end"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 _DOCS = """docs AS (SELECT o_orderkey AS doc_id, o_orderpriority AS title, o_custkey AS creator, o_orderdate AS saved, CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS is_delete FROM orders),
@@ -71,18 +71,22 @@ def shared_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collab.shared(_docs(spark, sf_dir), _shares(spark, sf_dir), 7).select("doc_id", "title")
 
 
+def message_sql(code: str = "code") -> str:
+    return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in collab.MESSAGES.items()) + f" ELSE '{collab.MESSAGES['999']}' END"
+
+
 @query(
-    f"""WITH {_DOCS}, req AS (SELECT c_custkey AS user_id, c_custkey * 3 AS doc_id FROM customer UNION SELECT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey % 7 = 0 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 = 0)
-SELECT *, CASE code WHEN '111' THEN 'no such document' WHEN '112' THEN 'no permission' ELSE 'success' END AS message FROM (
-SELECT req.user_id, req.doc_id, CASE WHEN is_delete IS NULL OR is_delete = '1' THEN '111' WHEN creator <> req.user_id AND s.user_id IS NULL THEN '112' ELSE '000' END AS code
+    f"""WITH {_DOCS}, req AS (SELECT c_custkey AS user_id, c_custkey * 3 AS doc_id FROM customer UNION SELECT user_id, doc_id FROM shares UNION SELECT creator, doc_id FROM docs)
+SELECT *, {message_sql()} AS message FROM (
+SELECT req.user_id, req.doc_id, CASE WHEN req.user_id % 10 = 0 THEN '120' WHEN is_delete IS NULL OR (creator <> req.user_id AND s.user_id IS NULL) THEN '111' WHEN is_delete = '1' THEN '122' ELSE '000' END AS code
 FROM req LEFT JOIN docs USING (doc_id) LEFT JOIN shares s ON s.doc_id = req.doc_id AND s.user_id = req.user_id)"""
 )
 def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every share, every creator, and a guess of each customer; every tenth user is not signed in."""
     docs, shares = _docs(spark, sf_dir), _shares(spark, sf_dir)
-    own = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") * 3).alias("doc_id"))
-    some = shares.filter(F.col("doc_id") % 7 == 0).select("user_id", "doc_id")
-    creators = docs.filter(F.col("doc_id") % 5 == 0).select(F.col("creator").alias("user_id"), "doc_id")
-    return collab.with_messages(collab.access(own.union(some).union(creators).distinct(), docs, shares))
+    guesses = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") * 3).alias("doc_id"))
+    asked = guesses.union(shares.select("user_id", "doc_id")).union(docs.select(F.col("creator").alias("user_id"), "doc_id")).distinct()
+    return collab.with_messages(collab.access(asked.withColumn("signed_in", F.col("user_id") % 10 != 0), docs, shares))
 
 
 @query(f"WITH {_DOCS}, {_NOTICES} SELECT count(*) AS left_notices, count(*) FILTER (WHERE has_read = '0') AS left_unread FROM notices WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE creator = 7)")
@@ -143,7 +147,7 @@ def room_counts(turns: DataFrame) -> DataFrame:
     return turns.groupBy(F.col("conv_id").alias("room")).agg(F.count("*").alias("messages"), F.count_distinct("role").alias("handles"))
 
 
-EDIT_FOLD_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 3 AS a, (turn * 2)::INTEGER AS s, (turn * 2 + 5)::INTEGER AS f, substr(coalesce(text, ''), 1, 20) AS c FROM conversations),
+EDIT_FOLD_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 3 AS a, (turn * 2)::INTEGER AS s, (turn * 2 + 5)::INTEGER AS f, coalesce(text, '') AS c FROM conversations),
 n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
 st AS (
   SELECT doc_id, 0::BIGINT AS i, '' AS content FROM n
@@ -194,22 +198,148 @@ def signup_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collab.signup_code(users, taken)
 
 
+#: What message k of _MESSAGES_OF says: action, and how it departs from a good one.
+_KINDS = (
+    ("chat", ""), ("doc/init", ""), ("doc/add", ""), ("/doc/update/", ""), ("doc/delete", ""), ("addUser", "shared_user"), ("delUser", ""), ("sing", ""), ("doc/sing", ""), ("a/b/c", ""),
+    ("doc/add", "start"), ("chat", "uid"), ("chat", "docid"), ("chat", "content"), ("chat", "json"), ("chat", "nobody"),
+)
+
+
 @query(
-    """WITH m AS (SELECT event_id AS id, event_id % 11 AS k FROM events)
-SELECT id, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'chat' WHEN k = 2 THEN 'sing' ELSE 'doc/add' END AS action, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'chat' WHEN k = 2 THEN 'sing' ELSE 'doc' END AS channel,
-  CASE WHEN k = 0 OR k = 3 THEN NULL ELSE id END AS doc_id, CASE WHEN k IN (0, 3) THEN '113' WHEN k = 2 THEN '122' WHEN k = 4 THEN '117' ELSE '000' END AS code FROM m"""
+    f"""WITH {_DOCS}, m AS (SELECT event_id AS id, (event_id % {len(_KINDS)})::INTEGER AS k, event_id % 15000 AS doc_id, user_id FROM events),
+t AS (SELECT *, [{', '.join("'" + a + "'" for a, _ in _KINDS)}][k + 1] AS a, [{', '.join("'" + x + "'" for _, x in _KINDS)}][k + 1] AS off FROM m),
+u AS (SELECT id, k, a, off, CASE WHEN off = 'docid' THEN NULL ELSE doc_id END AS doc_id, CASE WHEN off = 'nobody' THEN -5 WHEN off = 'uid' THEN NULL WHEN k % 2 = 0 THEN creator ELSE user_id END AS user_id, creator, is_delete FROM t LEFT JOIN docs USING (doc_id)),
+p AS (SELECT u.*, string_split(trim(a, '/'), '/') AS parts, s.user_id IS NOT NULL OR creator = u.user_id AS may FROM u LEFT JOIN shares s ON s.doc_id = u.doc_id AND s.user_id = u.user_id)
+SELECT id, CASE WHEN off = 'json' OR len(parts) > 2 THEN NULL ELSE parts[-1] END AS action, CASE WHEN off <> 'json' THEN parts[1] END AS channel, CASE WHEN off <> 'json' THEN doc_id END AS doc_id,
+  CASE WHEN off = 'json' OR user_id IS NULL THEN '113' WHEN user_id NOT IN (SELECT c_custkey FROM customer) THEN '117' WHEN off = 'docid' THEN '113' WHEN is_delete IS NULL OR NOT coalesce(may, false) THEN '111'
+    WHEN is_delete = '1' THEN '122' WHEN off = 'content' THEN '113' WHEN len(parts) = 1 THEN CASE WHEN a = 'chat' OR off = 'shared_user' THEN '000' ELSE '113' END
+    WHEN len(parts) > 2 THEN '113' WHEN parts[2] = 'sing' THEN '112' WHEN off = 'start' THEN '113' ELSE '000' END AS code FROM p"""
 )
 def message_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, k = F.col("event_id").cast("string"), F.col("event_id") % 11
-    action = F.when(k == 1, "chat").when(k == 2, "sing").otherwise("doc/add")
-    raw = F.concat(F.lit('{"data":{"action":"'), action, F.lit('","uid":"5","docid":"'), F.when(k == 3, "x").otherwise(i), F.lit('","start":"'), F.when(k == 4, "one").otherwise("1"), F.lit('","end":"2","content":"c"}}'))
-    messages = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(k == 0, "not json").otherwise(raw).alias("raw"))
-    return collab.route(messages)
+    """Events as messages of sixteen kinds, half of them by the creator of the document they name."""
+    docs, k = _docs(spark, sf_dir), F.col("event_id") % len(_KINDS)
+    of = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in _KINDS)), (k + 1).cast("int"))
+    events = _table(spark, sf_dir, "events").select("event_id", of(0).alias("action"), of(1).alias("off"), (F.col("event_id") % 15000).alias("doc_id"), "user_id").join(docs.select("doc_id", "creator"), "doc_id", "left")
+    off = F.col("off")
+    field = lambda name, value, there=True: F.when(F.lit(there), F.concat(F.lit(f',"{name}":"'), value.cast("string"), F.lit('"'))).otherwise("")
+    user = F.when(off == "nobody", F.lit(-5)).when(k % 2 == 0, F.col("creator")).otherwise(F.col("user_id"))
+    body = F.concat(
+        F.lit('{"data":{"action":"'), "action", F.lit('"'), F.when((off == "uid") | user.isNull(), "").otherwise(field("uid", user)), field("docid", F.when(off == "docid", F.lit("x")).otherwise(F.col("doc_id").cast("string"))),
+        field("start", F.when(off == "start", "one").otherwise("1")), field("end", F.lit("2")), F.when(off == "content", "").otherwise(field("content", F.lit("c"))), F.when(off == "shared_user", field("shared_user", F.lit("3"))).otherwise(""), F.lit("}}"),
+    )
+    messages = events.select(F.col("event_id").alias("id"), F.when(off == "json", "not json").otherwise(body).alias("raw"))
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return collab.route(messages, users, docs, _shares(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_NOTICES}, m AS (SELECT nid AS id, CASE nid % 6 WHEN 5 THEN '9' WHEN 4 THEN NULL ELSE (nid % 6)::VARCHAR END AS t, CASE WHEN nid % 7 = 0 THEN NULL ELSE nid * 2 END AS about, CASE WHEN nid % 7 <> 1 THEN doc_id END AS doc_id,
+  CASE WHEN nid % 5 = 0 THEN NULL WHEN nid % 6 = 0 THEN 'user_' || receiver::VARCHAR ELSE receiver::VARCHAR END AS other FROM notices)
+SELECT id, CASE WHEN t IS NULL THEN '113' WHEN t = '9' THEN '126'
+  WHEN t = '0' THEN CASE WHEN doc_id IS NULL OR other IS NULL THEN '113' WHEN other NOT IN (SELECT 'user_' || c_custkey::VARCHAR FROM customer) THEN '117' ELSE '000' END
+  WHEN about IS NULL THEN '113' WHEN about NOT IN (SELECT nid FROM notices) THEN '127' WHEN t = '3' THEN '000' WHEN other IS NULL THEN '113' WHEN other NOT IN (SELECT c_custkey::VARCHAR FROM customer) THEN '117' ELSE '000' END AS code FROM m"""
+)
+def notice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notices, i = _notices(spark, sf_dir), F.col("nid")
+    kind = F.when(i % 6 == 5, "9").when(i % 6 == 4, F.lit(None)).otherwise((i % 6).cast("string"))
+    name = F.when(i % 5 == 0, F.lit(None)).when(i % 6 == 0, F.concat(F.lit("user_"), F.col("receiver").cast("string"))).otherwise(F.col("receiver").cast("string"))
+    asked = notices.select(i.alias("id"), kind.alias("message_type"), F.when(i % 7 != 1, F.col("doc_id")).alias("doc_id"), F.when(i % 7 != 0, i * 2).alias("nid"), name.alias("other_user"))
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("username"))
+    return collab.notice_code(asked, users, notices)
+
+
+_ACCOUNTS = "accounts AS (SELECT c_custkey AS k, c_name AS username, 'pw' || (c_custkey % 3)::VARCHAR AS password, md5(c_name) AS token, replace(lower(c_name), '#', '-') || '@example.com' AS email FROM customer)"
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, name = F.col("c_custkey"), F.col("c_name")
+    email = F.concat(F.replace(F.lower(name), F.lit("#"), F.lit("-")), F.lit("@example.com"))
+    return _table(spark, sf_dir, "customer").select(key.alias("k"), name.alias("username"), F.concat(F.lit("pw"), (key % 3).cast("string")).alias("password"), F.md5(name.cast("binary")).alias("token"), email.alias("email"))
+
+
+@query(f"WITH {_ACCOUNTS} SELECT k AS request_id, CASE WHEN k % 7 = 0 THEN '113' WHEN k % 3 <> 1 THEN '107' ELSE '000' END AS code FROM accounts")
+def signin_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone tries one password; every seventh name is too long."""
+    known = _accounts(spark, sf_dir)
+    asked = known.select(F.col("k").alias("request_id"), F.when(F.col("k") % 7 == 0, F.repeat(F.lit("x"), F.lit(51))).otherwise(F.col("username")).alias("username"), F.lit("pw1").alias("password"))
+    return collab.signin_code(asked, known)
+
+
+@query(f"WITH {_ACCOUNTS} SELECT k AS request_id, CASE WHEN k % 7 = 0 THEN '113' WHEN k % 7 = 1 THEN '107' WHEN k % 7 = 2 THEN '123' ELSE '000' END AS code FROM accounts")
+def activation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, by = _accounts(spark, sf_dir), F.col("k") % 7
+    asked = known.select(F.col("k").alias("request_id"), F.when(by == 1, "nobody").otherwise(F.col("username")).alias("username"), F.when(by == 0, "").when(by == 2, "wrong").otherwise(F.col("token")).alias("token"))
+    return collab.activate_code(asked, known)
+
+
+@query(f"WITH {_ACCOUNTS} SELECT k AS request_id, CASE WHEN k % 5 = 0 THEN '113' WHEN k % 5 = 1 THEN '124' ELSE '000' END AS code FROM accounts")
+def forgotten_passwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, by = _accounts(spark, sf_dir), F.col("k") % 5
+    return collab.forget_code(known.select(F.col("k").alias("request_id"), F.when(by == 0, "no address").when(by == 1, "nobody@example.com").otherwise(F.col("email")).alias("email")), known)
+
+
+@query("SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 = 0 THEN '113' WHEN c_custkey % 4 = 1 THEN '106' ELSE '000' END AS code FROM customer")
+def password_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.col("c_custkey") % 4
+    return collab.reset_code(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.when(by == 0, "").otherwise("new").alias("password"), F.when(by == 1, "other").otherwise("new").alias("repeat")))
+
+
+_STAYS = """ev AS (SELECT event_id % 40 AS room, event_id AS seq, user_id % 30 AS user_id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'join' ELSE 'leave' END AS action FROM events),
+tr AS (SELECT * FROM (SELECT *, lag(action, 1, 'leave') OVER (PARTITION BY room, user_id ORDER BY seq) AS before FROM ev) WHERE action <> before),
+st AS MATERIALIZED (SELECT room, user_id, since, until FROM (SELECT room, user_id, seq AS since, lead(seq) OVER (PARTITION BY room, user_id ORDER BY seq) AS until, action FROM tr) WHERE action = 'join')"""
+
+
+def _room_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    action = F.when(F.col("event_type").isin("view", "click", "signup"), "join").otherwise("leave")
+    return _table(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("room"), F.col("event_id").alias("seq"), (F.col("user_id") % 30).alias("user_id"), action.alias("action"))
+
+
+@query(f"WITH {_STAYS} SELECT room, user_id, since FROM st WHERE until IS NULL")
+def room_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is in each room after all joins and leaves."""
+    return collab.stays(_room_events(spark, sf_dir)).filter("until is null").select("room", "user_id", "since")
+
+
+@query(f"WITH {_STAYS} SELECT a.room, a.since AS seq, a.user_id, b.user_id AS receiver FROM st a JOIN st b ON a.room = b.room AND b.since <= a.since AND (b.until IS NULL OR a.since < b.until)")
+def room_welcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collab.welcomes(_room_events(spark, sf_dir))
+
+
+@query(f"WITH {_STAYS} SELECT ev.room, ev.seq, count(*) AS receivers FROM ev JOIN st ON st.room = ev.room AND st.since <= ev.seq AND (st.until IS NULL OR ev.seq < st.until) AND st.user_id <> ev.user_id GROUP BY ev.room, ev.seq")
+def room_broadcasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a message to all others who are connected then."""
+    events = _room_events(spark, sf_dir)
+    sent = collab.present(events.select("room", "seq", "user_id"), collab.stays(events)).filter(F.col("receiver") != F.col("user_id"))
+    return sent.groupBy("room", "seq").agg(F.count("*").alias("receivers"))
+
+
+@query("""SELECT target, count(*) AS packets FROM (SELECT CASE event_id % 9 WHEN 0 THEN 'login' WHEN 1 THEN 'profile' WHEN 2 THEN 'chat' WHEN 3 THEN 'access' WHEN 4 THEN NULL ELSE 'editor' END AS target FROM events) GROUP BY target""")
+def packet_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = F.col("event_id") % 9
+    packets = _table(spark, sf_dir, "events").select(F.when(by == 0, "120").when(by == 1, "111").otherwise("000").alias("flag"), F.when(by == 2, "chat").when(by == 3, "access/add").when(by == 4, "other").otherwise("doc/add").alias("action"))
+    return collab.dispatch(packets).groupBy("target").agg(F.count("*").alias("packets"))
+
+
+@query("SELECT r_regionkey AS attempt, least(50000.0::DOUBLE, 1000.0::DOUBLE * pow(1.5::DOUBLE, r_regionkey)) AS delay FROM region UNION ALL SELECT n_nationkey + 5, least(50000.0::DOUBLE, 1000.0::DOUBLE * pow(1.5::DOUBLE, n_nationkey + 5)) FROM nation")
+def reconnect_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attempts = _table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("attempt")).union(_table(spark, sf_dir, "nation").select(F.col("n_nationkey") + 5))
+    return attempts.withColumn("delay", collab.reconnect_delay(F.col("attempt")))
+
+
+@query(
+    """WITH o AS (SELECT user_id % 200 AS key, event_id AS seq, event_type AS t, (event_id % 17)::VARCHAR AS value FROM events)
+SELECT key, nullif(arg_max(CASE WHEN t = 'view' THEN value ELSE '' END, seq) FILTER (WHERE t IN ('view', 'error')), '') AS value, count(DISTINCT value) FILTER (WHERE t = 'click') AS members,
+  sum(CASE t WHEN 'purchase' THEN 1 WHEN 'signup' THEN -1 ELSE 0 END)::BIGINT AS counter FROM o GROUP BY key"""
+)
+def key_value_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "put").when(kind == "error", "remove").when(kind == "click", "add").when(kind == "purchase", "raise").otherwise("lower")
+    return collab.key_values(_table(spark, sf_dir, "events").select((F.col("user_id") % 200).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 17).cast("string").alias("value")))
 
 
 @query(
     f"""WITH {_DOCS}, named AS (SELECT doc_id, string_agg('"' || s_name || '"', ',' ORDER BY s_name) AS names FROM shares JOIN supplier ON s_suppkey = user_id GROUP BY doc_id)
-SELECT doc_id, '{{"flag":"000","data":{{"doc_id":' || doc_id::VARCHAR || ',"title":"' || title || '","shared":[' || coalesce(names, '') || ']}},"message":"success"}}' AS json FROM docs LEFT JOIN named USING (doc_id)"""
+SELECT doc_id, '{{"flag":"000","data":{{"doc_id":' || doc_id::VARCHAR || ',"title":"' || title || '","shared":[' || coalesce(names, '') || ']}},"message":"Success"}}' AS json FROM docs LEFT JOIN named USING (doc_id)"""
 )
 def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"))
@@ -309,7 +439,7 @@ def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 3 AS a, (turn * 2)::INTEGER AS s, (turn * 2 + 5)::INTEGER AS f, substr(coalesce(text, ''), 1, 20) AS c FROM conversations),
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, turn % 3 AS a, (turn * 2)::INTEGER AS s, (turn * 2 + 5)::INTEGER AS f, coalesce(text, '') AS c FROM conversations),
 n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
 st AS (
   SELECT doc_id, 0::BIGINT AS i, '' AS content FROM n

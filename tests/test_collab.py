@@ -27,7 +27,7 @@ def test_delete_and_rename(spark):
     assert after.filter("is_delete = '1'").first()["doc_id"] == 1 and kept.count() == 1 and code.first()[0] == "000"
     _, left, kept, code = collab.delete(docs, shares, notices, 2, 7)
     assert left.count() == 1 and kept.count() == 2 and code.first()[0] == "000"
-    assert collab.delete(docs, shares, notices, 2, 9)[3].first()[0] == "112"
+    assert collab.delete(docs, shares, notices, 2, 9)[3].first()[0] == "111"
     renamed, cleared = collab.rename(docs, shares, 1, 7, "new")
     assert renamed.filter("title = 'new'").count() == 1 and cleared.count() == 1
 
@@ -48,3 +48,34 @@ def test_markdown_html():
     assert markdown.to_html("'''java\nx<1\n'''") == '<pre><code class="java">x&lt;1</code></pre>'
     assert markdown.to_html("**open") == "<p>**open</p>"
     assert markdown.to_html("![i](http://h/p.png)") == '<p><img src="http://h/p.png" alt="i"></p>'
+
+
+def test_codes_of_access_and_messages(spark):
+    """The cases of the checks, one by one, in their order."""
+    docs = spark.createDataFrame([(1, 10, "0"), (2, 10, "1"), (3, 11, "0")], "doc_id long, creator long, is_delete string")
+    shares = spark.createDataFrame([(3, 10)], "doc_id long, user_id long")
+    users = spark.createDataFrame([(10,), (11,)], "user_id long")
+    asked = spark.createDataFrame([(10, 1, True), (10, 2, True), (10, 3, True), (11, 1, True), (10, 9, True), (10, 1, False)], "user_id long, doc_id long, signed_in boolean")
+    assert sorted(tuple(r) for r in collab.access(asked, docs, shares).collect()) == sorted([(10, 1, "000"), (10, 2, "122"), (10, 3, "000"), (11, 1, "111"), (10, 9, "111"), (10, 1, "120")])
+    good = {"action": "doc/add", "uid": "10", "docid": "1", "start": "0", "end": "2", "content": "x"}
+    cases = [
+        (good, "000"), (good | {"uid": 10, "docid": 3}, "000"), (good | {"uid": "12"}, "117"), (good | {"uid": "ten"}, "113"), (good | {"docid": "4"}, "111"), (good | {"docid": "2"}, "122"), (good | {"uid": "11"}, "111"),
+        (good | {"action": "chat"}, "000"), (good | {"action": "/chat/"}, "000"), (good | {"action": "sing"}, "113"), (good | {"action": "addUser"}, "113"), (good | {"action": "delUser", "shared_user": "3"}, "000"),
+        (good | {"action": "doc/sing"}, "112"), (good | {"action": "any/init", "start": "no"}, "000"), (good | {"action": "a/b/c"}, "113"), (good | {"start": "one"}, "113"), ({k: v for k, v in good.items() if k != "end"}, "113"),
+        ({k: v for k, v in good.items() if k != "content"}, "113"), ({k: v for k, v in good.items() if k != "action"}, "113"), ({k: v for k, v in good.items() if k != "docid"}, "113"), (None, "113"),
+    ]
+    import json
+
+    rows = spark.createDataFrame([(i, json.dumps({"data": d}) if d else "[") for i, (d, _) in enumerate(cases)], "id long, raw string")
+    got = {r["id"]: r["code"] for r in collab.route(rows, users, docs, shares).collect()}
+    assert [got[i] for i in range(len(cases))] == [c for _, c in cases]
+
+
+def test_rooms(spark):
+    events = [(1, 1, 5, "join"), (1, 2, 6, "join"), (1, 3, 5, "join"), (1, 4, 5, "leave"), (1, 5, 9, "leave"), (1, 6, 7, "join"), (1, 7, 5, "join")]
+    df = spark.createDataFrame(events, "room long, seq long, user_id long, action string")
+    assert sorted((r["user_id"], r["since"], r["until"]) for r in collab.stays(df).collect()) == [(5, 1, 4), (5, 7, None), (6, 2, None), (7, 6, None)]
+    heard = {}
+    for r in collab.welcomes(df).collect():
+        heard.setdefault(r["seq"], set()).add(r["receiver"])
+    assert heard == {1: {5}, 2: {5, 6}, 6: {6, 7}, 7: {5, 6, 7}}

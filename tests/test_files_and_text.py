@@ -3,8 +3,10 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions.porter import stem
-from loomtext.operators.corpus import Corpus, Indexes
+from loomtext.operators.corpus import Corpus
 from loomtext.operators.feedback import expansion_query
+from loomtext.operators.index import Index, Indexes
+from loomtext.plans.compile import Model, search
 from loomtext.sources import files
 
 
@@ -64,11 +66,50 @@ def test_text_functions(spark):
 def test_index_round_trip(spark, tmp_path):
     corpus = Corpus(spark.createDataFrame([(1, "the cat the"), (2, "cat"), (3, None)], "doc_id long, text string"), stop=("the",))
     path = f"file://{tmp_path}/index"
-    corpus.write_index(path)
+    made = Index.build(corpus, path)
     indexes = Indexes(spark)
-    indexes.open(path)
-    assert {r["doc_id"]: r["positions"] for r in indexes.scan("cat").collect()} == {1: [1], 2: [0]}
+    indexes.open(path, ("the",))
+    assert {r["doc_id"]: (r["tf"], r["positions"]) for r in indexes.scan("cat").collect()} == {1: (1, [1]), 2: (1, [0])}
     assert indexes.scan("the").count() == 0
     with pytest.raises(ValueError):
         indexes.switch("elsewhere")
-    assert {r["doc_id"]: (r["dl_all"], r["dl_indexed"]) for r in corpus.lengths().collect()} == {1: (3, 1), 2: (1, 1), 3: (0, 0)}
+    with pytest.raises(Exception):
+        indexes.open(f"file://{tmp_path}/none")
+    assert {r["doc_id"]: (r["dl_all"], r["dl_indexed"]) for r in made.lengths().collect()} == {1: (3, 1), 2: (1, 1), 3: (0, 0)}
+    assert tuple(made.field_stats().select("num_docs", "doc_count", "sum_tf").first()) == (3, 2, 2)
+    assert [tuple(r) for r in made.dictionary().collect()] == [("cat", 2, 2)]
+    assert sorted((r["doc_id"], r["term"]) for r in made.term_vectors([2]).collect()) == [(2, "cat")]
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    none = Corpus(spark.createDataFrame([], "doc_id long, text string"))
+    assert search(Index.build(none, f"file://{tmp_path}/empty"), {"q": "a b"}, Model("bm25")).count() == 0
+
+
+def test_stems_meet_on_both_sides(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Running dogs ran"), (2, "run, dog; run"), (3, "cats")], "doc_id long, text string")
+    index = Index.build(Corpus(docs, stemmer="porter"), f"file://{tmp_path}/stems")
+    assert sorted(r["doc_id"] for r in search(index, {"q": "runs"}, Model("ranked")).collect()) == [1, 2]
+    assert {(r["doc_id"], r["tf"]) for r in index.postings(["run"]).collect()} == {(1, 1), (2, 2)}
+    assert [r["positions"] for r in index.postings(["run"]).filter("doc_id = 2").collect()] == [[0, 2]]
+
+
+def test_queries_read_their_terms_only(spark, tmp_path):
+    """The term filter is pushed into the scan of the lists, and no text is analysed when a query runs."""
+    docs = spark.createDataFrame([(i, f"a{i} common word") for i in range(50)], "doc_id long, text string")
+    index = Index.build(Corpus(docs), f"file://{tmp_path}/plan")
+    for text, columns in (("common a7", False), ("#near/2(common word)", True)):
+        plan = search(index, {"q": text}, Model("bm25"))._jdf.queryExecution().executedPlan().toString()
+        assert "In(term, [" in plan or "EqualTo(term," in plan
+        assert "regexp" not in plan and ("positions" in plan) == columns and "text#" not in plan
+
+
+def test_a_database_table(spark):
+    """Through JDBC, in ranges of a key: Derby comes with Spark."""
+    url = "jdbc:derby:memory:loomtext;create=true"
+    rows = spark.createDataFrame([(i, f"u{i}") for i in range(40)], "id long, name string")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "people").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    from loomtext.sources import database
+
+    read = database.table(spark, url, "people", "id", (0, 40), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert read.rdd.getNumPartitions() == 4 and sorted(r["NAME"] if "NAME" in read.columns else r["name"] for r in read.collect()) == sorted(f"u{i}" for i in range(40))

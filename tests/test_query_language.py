@@ -25,14 +25,16 @@ def test_errors(text):
         parse(text)
 
 
-def test_unsupported_models(spark):
+def test_unsupported_models(spark, tmp_path):
     from loomtext.operators.corpus import Corpus
+    from loomtext.operators.index import Index
     from loomtext.plans.compile import Model, UnsupportedOperator, search
 
-    corpus = Corpus(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    index = Index.build(Corpus(docs), f"file://{tmp_path}/all")
     for model, text in (("bm25", "#sum(#and(a b) a)"), ("indri", "#or(a b)"), ("bm25", "#wand(1 a 2 b)")):
         with pytest.raises(UnsupportedOperator):
-            search(corpus, {"q": text}, Model(model)).collect()
+            search(index, {"q": text}, Model(model)).collect()
     assert wrap("a", "ranked") == "#or(a)"
-    assert search(corpus, {"q": "#or(a zzz)"}, Model("ranked")).collect()[0]["score"] == 1.0
-    assert search(Corpus(corpus.docs, stop=("a",)), {"q": "a"}, Model("bm25")).count() == 0
+    assert search(index, {"q": "#or(a zzz)"}, Model("ranked")).collect()[0]["score"] == 1.0
+    assert search(Index.build(Corpus(docs, stop=("a",)), f"file://{tmp_path}/stop"), {"q": "a"}, Model("bm25")).count() == 0
