@@ -170,7 +170,7 @@ def cluster(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         return alone.withColumn("kept", F.lit(True))
     links = scratch.settle(links, "vector-links")
     counts = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    labels = components(links, "class_id", "root").select(F.col("node").alias("class_id"), "label").withColumnRenamed("label", "part")
+    labels = components(links, "class_id", "root", scratch=scratch).select(F.col("node").alias("class_id"), "label").withColumnRenamed("label", "part")
     part = F.coalesce("part", "class_id").alias("part")
     named = classes.join(labels, "class_id", "left").join(counts, "class_id", "left").select("class_id", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), part)
     smallest = named.groupBy("part").agg(F.min("vec_id").alias("component_id"))

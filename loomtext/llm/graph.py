@@ -9,30 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.storage import discard, settle
+from loomtext.llm.storage import Scratch, discard, settle
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """node, label (the smallest node reachable) of every node in ``edges``, by alternating large and small stars.
 
-    Every round writes its edges to the shared folder, so lineage never grows. A node with very many links is met
-    by aggregation and an equi-join only, which adaptive execution can split.
+    Every round writes its edges to the shared folder, so lineage never grows. What is known of each node is written
+    before it meets the edges: both sides of that equi-join are then plain shuffles, of which adaptive execution
+    splits the one with a node of very many links. ``scratch`` drops the last round's edges with its other tables.
     """
     now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
         large = now.join(least.withColumnRenamed("u", "v"), "v").select(F.col("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = settle(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least-of-large")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         new = settle(small, "small-star")
         discard(large)
+        discard(low)
         next_mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(now)
         now = new
         if next_mark == mark:
+            if scratch is not None:
+                scratch.held.append(now)
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         mark = next_mark
 

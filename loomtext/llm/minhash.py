@@ -310,19 +310,19 @@ def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     chosen = signed.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = scratch.settle(_texts_of(docs, chosen, size), "texts")
     first = scratch.settle(confirm(best, texts, size, percent), "first-links")
-    joined = components(first, "node", "centre")
+    joined = components(first, "node", "centre", scratch)
 
     label = F.coalesce("label", "node").alias("label")
     members = shared.drop("size").join(joined, "node", "left").select("node", "band", "key", label)
     torn = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     loaded = members.join(torn, "key").join(packed, "node")
     blocked = block_pairs(loaded, ["key"], "node", BLOCK).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    families = components(map_batches(blocked, _across(least), "node binary, centre binary"), "node", "centre")
+    families = components(map_batches(blocked, _across(least), "node binary, centre binary"), "node", "centre", scratch)
     read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
     blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
     second = map_batches(blocked, _exact(size, percent), "node binary, centre binary")
     links = scratch.settle(first.unionByName(second), "links")
-    labels = components(links, "node", "centre")
+    labels = components(links, "node", "centre", scratch)
 
     named = classes.join(labels, "node", "left").select("node", "doc_id", label)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -3,10 +3,12 @@
 Words are summed per source; each source's target follows from its weight, and target / size is the rate at which
 its documents repeat. A document is emitted floor(rate) times, and once more if its draw, seeded by the hash of its
 id, falls below a bound, so that a rerun takes the same copies. The bound is the fraction of the rate, held within
-strata: documents of one source and about one size share a stratum, the strata of a source get their shares of the
-second copies by rounding one running sum from a hash-seeded start, and in each the documents with the least draws
-have them. Over seeds every document has its second copy with a probability of the fraction, and a source misses its
-target by about one document instead of by the chance of independent draws.
+strata: documents of one source and about one size share a stratum. From the longest documents to the shortest, a
+stratum's share of second copies is the fraction that the words still wanted are of the words still to come, rounded
+by a hash-seeded number; in each stratum the documents with the least draws have them. Whatever the longer documents
+took, the expected share of the next stratum stays the fraction of the rate (a ratio outside of [0, 1] aside), so over
+seeds every document has its second copy with that probability, and a source misses its target by about one of its
+shortest documents instead of by the chance of independent draws.
 
 A stratum's bound is an order statistic of its draws: a histogram over HIST_BITS bits names the bin it lies in, and
 only that bin's draws are ranked. Joins meet a table of strata, which is broadcast if it is small.
@@ -95,17 +97,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def strata(slim: DataFrame, per: DataFrame, seed: str, scratch: Scratch) -> DataFrame:
     """One row per source and size class: source_key, size_class, source_size, target, whole and bound: a draw up to the bound has one copy more.
 
-    slim: source_key, size_class, draw; per: what ``targets`` gives.
+    slim: source_key, size_class, size, draw; per: what ``targets`` gives.
     """
-    cells = slim.groupBy("source_key", "size_class").agg(F.count("*").alias("n"))
-    cells = cells.join(per.withColumn("source_key", source_key(F.col("source"))).drop("source"), "source_key")
-    fraction = F.col("rate") - F.floor("rate")
-    start = draw(F.col("source_key"), seed).cast("double") / F.lit(float(1 << _BITS))
-    order = Window.partitionBy("source_key").orderBy(F.desc("size_class"))
-    upto = F.sum("n").over(order)
-    copies = lambda n: F.floor(start + fraction * n.cast("double"))
-    cells = cells.withColumn("more", copies(upto) - copies(upto - F.col("n"))).withColumn("whole", F.floor("rate").cast("long"))
-    cells = scratch.settle(cells.select("source_key", "size_class", "source_size", "target", "whole", "more"), "mix-strata")
+    cells = slim.groupBy("source_key", "size_class").agg(F.count("*").alias("n"), F.sum("size").cast("double").alias("words"))
+    start = draw(F.concat("source_key", F.lit(":"), F.col("size_class").cast("string")), seed).cast("double") / F.lit(float(1 << _BITS))
+    one = F.struct((-F.col("size_class")).alias("order"), "size_class", F.col("n").cast("double").alias("n"), "words", start.alias("start"))
+    sources = cells.groupBy("source_key").agg(F.sort_array(F.collect_list(one)).alias("cells"))  # a source has as many as sizes have classes
+    sources = sources.join(per.withColumn("source_key", source_key(F.col("source"))).drop("source"), "source_key").withColumn("whole", F.floor("rate").cast("long"))
+
+    def step(s, c):
+        fraction = F.when(s["words"] > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), s["wanted"] / s["words"]))).otherwise(F.lit(0.0))
+        more = F.floor(c["start"] + fraction * c["n"])
+        taken = F.struct(c["size_class"].alias("size_class"), more.alias("more"))
+        return F.struct((s["wanted"] - more.cast("double") * (c["words"] / c["n"])).alias("wanted"), (s["words"] - c["words"]).alias("words"), F.concat(s["out"], F.array(taken)).alias("out"))
+
+    wanted = F.col("target") - F.col("whole").cast("double") * F.col("source_size").cast("double")
+    first = F.struct(wanted.alias("wanted"), F.col("source_size").cast("double").alias("words"), F.array().cast("array<struct<size_class:int,more:bigint>>").alias("out"))
+    shares = sources.withColumn("cell", F.explode(F.aggregate("cells", first, step, lambda s: s["out"])))
+    cells = scratch.settle(shares.select("source_key", "cell.size_class", "source_size", "target", "whole", "cell.more"), "mix-strata")
     binned = slim.withColumn("bin", F.shiftright("draw", _BITS - HIST_BITS))
     bins = binned.groupBy("source_key", "size_class", "bin").agg(F.count("*").alias("n")).join(cells.filter("more > 0").select("source_key", "size_class", "more"), ["source_key", "size_class"])
     below = F.sum("n").over(Window.partitionBy("source_key", "size_class").orderBy("bin"))
@@ -123,7 +132,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     scratch = Scratch()
     slim = scratch.settle(sized.drop("doc"), "mix-sizes")
     per = scratch.settle(targets(slim.select("source", "size"), weights, most), "mix-targets")
-    plan = settle(strata(slim.select("source_key", "size_class", "draw"), per, seed, scratch), "mix-plan")
+    plan = settle(strata(slim.select("source_key", "size_class", "size", "draw"), per, seed, scratch), "mix-plan")
     scratch.drop()
     small = plan.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     planned = sized.join(F.broadcast(plan) if small else plan, ["source_key", "size_class"], "left")
@@ -144,7 +153,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 REPORT_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
@@ -175,11 +184,19 @@ WITH sized AS (
     length(bin(d.size)) * 4 + CASE rpad(substr(bin(d.size), 2, 2), 2, '0') WHEN '11' THEN 3 WHEN '10' THEN 2 WHEN '01' THEN 1 ELSE 0 END AS class,
     ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
-), cells AS (
-  SELECT source, class, count(*) AS n, any_value(fraction) AS fraction, ('0x' || substr(md5('mix-1:' || source), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS start FROM drawn GROUP BY source, class
+), cells AS MATERIALIZED (
+  SELECT source, class, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i,
+    any_value(target) - any_value(whole)::DOUBLE * any_value(source_size)::DOUBLE AS wanted, any_value(source_size)::DOUBLE AS all_words,
+    ('0x' || substr(md5('mix-1:' || source || ':' || class::VARCHAR), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE AS start FROM drawn GROUP BY source, class
+), steps AS (
+  SELECT DISTINCT source, 0::BIGINT AS i, wanted, all_words AS words, NULL::INTEGER AS class, NULL::DOUBLE AS more FROM cells
+  UNION ALL
+  SELECT source, i, wanted - more * (cell_words / n), words - cell_words, class, more FROM (
+    SELECT c.source, c.i, s.wanted, s.words, c.words AS cell_words, c.n, c.class::INTEGER AS class,
+      floor(c.start + CASE WHEN s.words > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, s.wanted / s.words)) ELSE 0.0::DOUBLE END * c.n) AS more
+    FROM steps s JOIN cells c ON c.source = s.source AND c.i = s.i + 1)
 ), shares AS (
-  SELECT source, class, floor(start + fraction * upto::DOUBLE) - floor(start + fraction * (upto - n)::DOUBLE) AS more
-  FROM (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY class DESC) AS upto FROM cells)
+  SELECT source, class, more FROM steps WHERE i > 0
 ), bounds AS (
   SELECT source, class, max(u) FILTER (WHERE place <= more) AS bound FROM (SELECT source, class, u, row_number() OVER (PARTITION BY source, class ORDER BY u) AS place FROM drawn)
   JOIN shares USING (source, class) GROUP BY source, class
