@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.operators.index import Index
+from loomtext.operators.index import BY_ID, Index
 from loomtext.plans.compile import Model, scored_trees, search, top_k
 from loomtext.plans.query import Node, parse, wrap
 
 
-#: The term vectors of at most so many documents are read by their ids, those of more by a join.
-BY_ID = 10_000
-
-
 def expansion_terms(index: Index, best: DataFrame, terms: int = 20, mu: float = 0.0) -> DataFrame:
     """qid, term, weight: every term t of the feedback documents d (best: qid, doc_id, score) by
     the sum of (tf + mu p) / (len + mu) * score * ln(1 / p), p being t's share of the collection.

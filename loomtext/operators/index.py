@@ -30,6 +30,8 @@ _SCHEMAS = {
 }
 #: Bytes of a row group, so that the bounds of sorted terms are narrow.
 ROW_GROUP_BYTES = 8 << 20
+#: Documents that are read by their ids; more are met by a join.
+BY_ID = 10_000
 
 
 def squared(tokens: Column) -> Column:
@@ -113,6 +115,14 @@ class Index:
         own = self.table("vectors").filter(F.col("field") == name)
         return (own if doc_ids is None else own.filter(F.col("doc_id").isin(*doc_ids))).select("doc_id", "term", "tf", "positions", "dl")
 
+    def documents_of(self, rows: DataFrame) -> DataFrame:
+        """Lengths and stored columns of the documents that rows (doc_id) name: by their ids if they are few, so that the scan skips the others, else by a join."""
+        ids = [r[0] for r in rows.select("doc_id").distinct().limit(BY_ID + 1).collect()]
+        documents = self.table("documents")
+        if len(ids) <= BY_ID:
+            return documents.filter(F.col("doc_id").isin(*sorted(ids))) if ids else documents.filter("false")
+        return documents.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+
     def field_stats(self) -> DataFrame:
         """field, num_docs, doc_count, sum_tf, avg_len."""
         return self.table("fields").withColumn("avg_len", F.col("sum_tf") / F.col("doc_count"))

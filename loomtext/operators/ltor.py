@@ -10,8 +10,11 @@ from loomtext.functions import text as T
 from loomtext.operators.index import Index
 from loomtext.plans.compile import Model, gathered, search, statistics
 from loomtext.plans.query import Node
+from loomtext.storage import settle
 
 FIELDS = ("body", "title", "url", "inlink")
+#: Candidates of a batch that are broadcast; those of larger batches are joined by shuffle.
+BROADCAST_ROWS = 100_000
 FEATURES = tuple(f"f{i}" for i in range(1, 19))
 
 
@@ -24,8 +27,10 @@ def raw_features(index: Index, queries: dict[str, list[str]], spam: Column, page
     terms = sorted({t for ts in queries.values() for t in ts})
     place = {t: i for i, t in enumerate(terms)}
     node = {(f, t): Node("term", term=t, field=f) for f in FIELDS for t in terms}
-    best = search(index, {q: " ".join(ts) for q, ts in queries.items()}, bm25, k).select("qid", "doc_id", "rank")  # k rows a query
-    docs = index.table("documents").join(F.broadcast(best.select("doc_id").distinct()), "doc_id", "left_semi")
+    best = search(index, {q: " ".join(ts) for q, ts in queries.items()}, bm25, k).select("qid", "doc_id", "rank")
+    best = settle(best, "candidates")  # k rows a query at most, read twice
+    few = F.broadcast if k * len(queries) <= BROADCAST_ROWS else (lambda rows: rows)
+    docs = index.documents_of(best)
     own = docs.select("doc_id", spam.cast("double").alias("f1"), T.url_depth(url).cast("double").alias("f2"), T.is_wikipedia(url).cast("double").alias("f3"), F.coalesce(page_rank, F.lit(0.0)).alias("f4"), F.col("sq_body").alias("squares"), *(F.col(f"dl_{f}").cast("double").alias(f"dl_{f}") for f in FIELDS))
     found, held = gathered(index, list(node.values()))
     counts = found.select("doc_id", *(F.col(f"tf_{held[n]}").cast("double").alias(f"tf_{f}_{place[t]}") for (f, t), n in node.items()))
@@ -62,7 +67,7 @@ def raw_features(index: Index, queries: dict[str, list[str]], spam: Column, page
         return F.when(match, F.struct(F.lit(qid).alias("qid"), *(found[x].alias(x) for x in FEATURES[4:])))
 
     every = rows.select("doc_id", "f1", "f2", "f3", "f4", F.explode(F.filter(F.array(*(of_query(q, ws) for q, ws in queries.items())), lambda r: r.isNotNull())).alias("r"))
-    return every.select("r.qid", "doc_id", "f1", "f2", "f3", "f4", *(f"r.{x}" for x in FEATURES[4:])).join(F.broadcast(best), ["qid", "doc_id"])
+    return every.select("r.qid", "doc_id", "f1", "f2", "f3", "f4", *(f"r.{x}" for x in FEATURES[4:])).join(few(best), ["qid", "doc_id"])
 
 
 def scaled(features: DataFrame, disabled: tuple[int, ...] = (), least_max: float | None = None) -> DataFrame:

@@ -40,8 +40,10 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.explode(found).alias("l")).select("doc_id", "l.label", "l.url", (F.col("l.bang") == "!").alias("is_image"))
 
 
+#: Marks and the elements they open and close.
 _MARKS = {"**": ("<b>", "</b>"), "__": ('<p class="underline">', "</p>"), "--": ('<p class="strike">', "</p>"), "~~": ('<p class="strike">', "</p>"), "*": ("<i>", "</i>")}
 _INLINE = re.compile(LINK + r"|\*\*|__|--|~~|\*")
+#: Languages of code fences.
 _LANGUAGES = ("java", "python", "javascript", "c++", "html", "css", "sql")
 
 
