@@ -1,6 +1,6 @@
 """MinHash near-duplicates with b-bit signatures.
 
-Each text's set of word shingles gives ROWS * BANDS minima. Bands of whole minima name candidates; of every minimum
+Each text's set of word shingles gives minima in bands of ROWS. Bands of whole minima name candidates; of every minimum
 BITS low bits are packed, and the count of equal lanes, corrected for chance collisions, estimates a pair's
 similarity, so that only pairs that may reach the threshold are confirmed, on their full sets.
 
@@ -8,9 +8,9 @@ Texts with equal sets form one class, and classes are what is compared. In each
 to one centre (the class that shares most buckets), each with its best centre only; those already joined need no
 further comparison. Where a bucket still holds several components, its members are estimated block by block, and
 those that may be linked across components form families; within a family, blocks of full sets are compared as
-matrices. Neither step emits pairs: a block gives one edge per member. A pair at a similarity of 0.8 shares no band
-with probability (1 - 0.8^5)^38 = 2.8e-7, one at 0.85 with 2.0e-10, and either is estimated below the bar with
-probability under 1e-5; all other results are exact.
+matrices. Neither step emits pairs: a block gives one edge per member. There are as many bands as the
+threshold asks for (46 at 0.8, 30 at 0.85): a pair at the threshold shares no band with probability under MISSED and
+is estimated below the bar with probability under 1e-5; all other results are exact.
 
 Nulls: a null text has no words. A text without words links with nothing. A null doc_id is its own component's id
 only if no other is in it. Rows with equal doc_id and text are alike in every column. Extra columns are not read.
@@ -18,6 +18,7 @@ only if no other is in it. Rows with equal doc_id and text are alike in every co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from loomtext.llm.graph import block_pairs, components, groups
 from loomtext.llm.storage import Scratch, aside, map_batches, only, settle
 from loomtext.llm.words import LOWER, NOT_SPACE, Block, blocks, mixed, prefix_hashes, span_hashes, starts_by_text
 
-BANDS, ROWS, BITS = 38, 5, 4
+ROWS, BITS = 6, 4
+#: Probability that a pair at the threshold shares no band.
+MISSED = 1e-6
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is given up.
 SIGMAS = 4.75
 BLOCK = 2048
@@ -38,12 +41,24 @@ EXACT_BLOCK = 256
 #: Members that are confirmed against one copy of their centre's text.
 PER_CENTRE = 256
 
-_MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 _LANES = 64 // BITS
-WORDS64 = -(-BANDS * ROWS // _LANES)
 _LOW = np.uint64(sum(1 << (BITS * k) for k in range(_LANES)))
 
 
+def bands_for(threshold: float) -> int:
+    """How many bands leave a pair at the threshold in none with probability MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS)) if threshold < 1 else 1
+
+
+def _multipliers(bands: int) -> np.ndarray:
+    return mixed(np.arange(1, bands * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+
+
+def packed_words(bands: int) -> int:
+    """64-bit words that hold BITS of each minimum."""
+    return -(-bands * ROWS // _LANES)
+
+
 def shingle_sets(block: Block, size: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted; a text of fewer words is one shingle."""
     data = LOWER[block.data]
@@ -73,7 +88,9 @@ def _binary(data: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def _signatures(size: int):
+def _signatures(size: int, bands: int):
+    width, multipliers = packed_words(bands), _multipliers(bands)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes, keys, packed = [], [], [], []
@@ -81,7 +98,7 @@ def _signatures(size: int):
                 sets = shingle_sets(block, size)
                 count = np.array([len(s) for s in sets], dtype=np.int64)
                 node = np.zeros((len(sets), 2), dtype=np.uint64)
-                minima = np.zeros((len(sets), BANDS * ROWS), dtype=np.uint64)
+                minima = np.zeros((len(sets), bands * ROWS), dtype=np.uint64)
                 some = np.flatnonzero(count)
                 if len(some):
                     all_ = np.concatenate([sets[i] for i in some])
@@ -89,16 +106,16 @@ def _signatures(size: int):
                     node[some, 0] = np.add.reduceat(mixed(all_), at)
                     node[some, 1] = np.add.reduceat(mixed(all_ ^ np.uint64(0x5851F42D4C957F2D)), at)
                     buffer = np.empty_like(all_)
-                    for k, m in enumerate(_MULTIPLIERS):
+                    for k, m in enumerate(multipliers):
                         np.multiply(all_, m, out=buffer)
                         minima[some, k] = np.minimum.reduceat(buffer, at)
-                band = np.zeros((len(sets), BANDS), dtype=np.uint64)
+                band = np.zeros((len(sets), bands), dtype=np.uint64)
                 for r in range(ROWS):
                     band = mixed(band * np.uint64(0x9FB21C651E98DF25) + minima[:, r::ROWS])
-                band = mixed(band + np.arange(BANDS, dtype=np.uint64))
-                lanes = np.zeros((len(sets), WORDS64 * _LANES), dtype=np.uint64)  # those that are left over are equal everywhere
-                lanes[:, : BANDS * ROWS] = mixed(minima) & np.uint64((1 << BITS) - 1)
-                lanes = lanes.reshape(len(sets), WORDS64, _LANES)
+                band = mixed(band + np.arange(bands, dtype=np.uint64))
+                lanes = np.zeros((len(sets), width * _LANES), dtype=np.uint64)  # those that are left over are equal everywhere
+                lanes[:, : bands * ROWS] = mixed(minima) & np.uint64((1 << BITS) - 1)
+                lanes = lanes.reshape(len(sets), width, _LANES)
                 packed.append(np.bitwise_or.reduce(lanes << (np.arange(_LANES, dtype=np.uint64) * np.uint64(BITS)), axis=2))
                 counts.append(count)
                 nodes.append(node)
@@ -106,34 +123,34 @@ def _signatures(size: int):
             if not batch.num_rows:
                 continue
             count = np.concatenate(counts)
-            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array(count), _binary(np.concatenate(nodes), 16), _binary(np.concatenate(keys), 8 * BANDS), _binary(np.concatenate(packed), 8 * WORDS64)]
+            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array(count), _binary(np.concatenate(nodes), 16), _binary(np.concatenate(keys), 8 * bands), _binary(np.concatenate(packed), 8 * width)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "node", "bands", "packed"])
 
     return run
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """doc_id, text_key, n_shingles, node (128 bits that name the set), bands, packed."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return map_batches(slim, _signatures(size), "doc_id long, text_key long, n_shingles long, node binary, bands binary, packed binary")
+    return map_batches(slim, _signatures(size, bands), "doc_id long, text_key long, n_shingles long, node binary, bands binary, packed binary")
 
 
-def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+def estimates(one: np.ndarray, many: np.ndarray, lanes: int) -> np.ndarray:
     """Similarities of packed signatures: the share of equal lanes, less what chance makes equal."""
     differ = one ^ many
     fold = differ.copy()
     for k in range(1, BITS):
         fold |= differ >> np.uint64(k)
-    equal = 1 - np.bitwise_count(fold & _LOW).sum(-1) / (BANDS * ROWS)
+    equal = 1 - np.bitwise_count(fold & _LOW).sum(-1) / lanes
     chance = 0.5**BITS
     return (equal - chance) / (1 - chance)
 
 
-def bar(threshold: float) -> float:
+def bar(threshold: float, lanes: int) -> float:
     """The least estimate of a pair that may reach the threshold."""
     chance = 0.5**BITS
     p = chance + (1 - chance) * threshold
-    return threshold - SIGMAS * (p * (1 - p) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
+    return threshold - SIGMAS * (p * (1 - p) / lanes) ** 0.5 / (1 - chance)
 
 
 def _unpacked(column, width: int) -> np.ndarray:
@@ -141,11 +158,11 @@ def _unpacked(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, width)
 
 
-def _estimate_rows(least: float):
+def _estimate_rows(least: float, bands: int):
     def run(batches):
         for batch in batches:
-            one, two = _unpacked(batch.column("packed"), WORDS64), _unpacked(batch.column("centre_packed"), WORDS64)
-            e = estimates(one, two)
+            one, two = (_unpacked(batch.column(c), packed_words(bands)) for c in ("packed", "centre_packed"))
+            e = estimates(one, two, bands * ROWS)
             table = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("centre"), pa.array(e)], ["node", "centre", "estimate"])
             yield table.filter(pa.array(e >= least))
 
@@ -182,19 +199,19 @@ def _sides(group: pa.Table) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
     return same, left, left if same else np.flatnonzero(side == 1), np.array(group.column("node").to_pylist(), dtype=object)
 
 
-def _across(least: float):
+def _across(least: float, bands: int):
     """Joins the members of a bucket that stand in different components and may reach the threshold."""
 
     def run(batches):
         for group in groups(batches, ["key", "_i", "_j"]):
             same, left, right, node = _sides(group)
             _, label = np.unique(np.array(group.column("label").to_pylist(), dtype=object), return_inverse=True)
-            packed = _unpacked(group.column("packed"), WORDS64)
+            packed = _unpacked(group.column("packed"), packed_words(bands))
             one, two = [], []
             for at, x in enumerate(left):
                 rest = right[at + 1 :] if same else right
                 rest = rest[label[rest] != label[x]]
-                y = rest[estimates(packed[x], packed[rest]) >= least]
+                y = rest[estimates(packed[x], packed[rest], bands * ROWS) >= least]
                 one.append(np.full(len(y), x))
                 two.append(y)
             if (edges := _edges(node, one, two)) is not None:
@@ -288,14 +305,15 @@ def cluster(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, group (that names its component; null without words), component_id."""
-    docs, least = only(docs, "doc_id", "text"), bar(percent / 100)
+    docs, bands = only(docs, "doc_id", "text"), bands_for(percent / 100)
+    least = bar(percent / 100, bands * ROWS)
     scratch = Scratch()
-    signed = settle(signatures(docs, size), "signatures")
+    signed = settle(signatures(docs, size, bands), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
     classes = scratch.settle(classes, "classes")
     piece = lambda i: F.substring("bands", i * 8 + 1, F.lit(8))
-    banded = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, piece(i)))).alias("band", "key"))
+    banded = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, piece(i)))).alias("band", "key"))
     shared = scratch.settle(banded.join(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key"), "shared-buckets")
     rank = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = scratch.settle(shared.join(rank, "node"), "weighed-buckets")
@@ -303,7 +321,7 @@ def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     star = weighed.join(centres, "key").filter("node <> centre").select("node", "centre").distinct()
     packed = classes.select("node", "packed")
     estimated = star.join(packed, "node").join(packed.select(F.col("node").alias("centre"), F.col("packed").alias("centre_packed")), "centre")
-    best = map_batches(estimated, _estimate_rows(least), "node binary, centre binary, estimate double").groupBy("node").agg(F.max_by("centre", F.struct("estimate", "centre")).alias("centre"))
+    best = map_batches(estimated, _estimate_rows(least, bands), "node binary, centre binary, estimate double").groupBy("node").agg(F.max_by("centre", F.struct("estimate", "centre")).alias("centre"))
     best = scratch.settle(best, "best-centres")
 
     wanted = shared.select("node").distinct()
@@ -317,7 +335,7 @@ def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     torn = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
     loaded = members.join(torn, "key").join(packed, "node")
     blocked = block_pairs(loaded, ["key"], "node", BLOCK).repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    families = components(map_batches(blocked, _across(least), "node binary, centre binary"), "node", "centre", scratch)
+    families = components(map_batches(blocked, _across(least, bands), "node binary, centre binary"), "node", "centre", scratch)
     read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
     blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
     second = map_batches(blocked, _exact(size, percent), "node binary, centre binary")
