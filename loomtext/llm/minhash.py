@@ -380,18 +380,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     docs, restored = aside(docs, "doc_id", "text")
     rows = settle(_clustered(docs, size, percent), "near-duplicates")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = rows.filter(~first).select("doc_id", "text_key")
     twice = rows.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("of_id"))
-    some_twice = not twice.isEmpty()
-    if some_twice:
-        again = rows.filter(first & F.col("group").isNotNull()).join(twice, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
-        one = again.groupBy(F.col("group").alias("of_group"), F.col("doc_id").alias("of_id")).agg(F.min("text_key").alias("stays"))
-        others = again.join(one, (F.col("group") == F.col("of_group")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") > F.col("stays")))
-        gone = gone.unionByName(others.select("doc_id", "text_key"))
+    of_row = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id"))
+    gone = rows.filter(~first)
+    if twice.isEmpty():  # an id tells a row
+        return restored(docs.join(settle(gone.select(F.col("doc_id").alias("of_id")), "dropped"), of_row, "left_anti"))
+    again = rows.filter(first & F.col("group").isNotNull()).join(twice, F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
+    one = again.groupBy(F.col("group").alias("of_group"), F.col("doc_id").alias("of_id")).agg(F.min("text_key").alias("stays"))
+    others = again.join(one, (F.col("group") == F.col("of_group")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") > F.col("stays")))
+    gone = gone.select("doc_id", "text_key").unionByName(others.select("doc_id", "text_key"))
     gone = settle(gone.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).distinct(), "dropped")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_key"))
-    left = docs.join(gone, same, "left_anti")
-    if not some_twice:
-        return restored(left)
-    again = F.col("doc_id").cast("long").eqNullSafe(F.col("of_id"))
-    return restored(left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"])))
+    left = docs.join(gone, of_row & (F.xxhash64("text") == F.col("of_key")), "left_anti")
+    return restored(left.join(twice, of_row, "left_anti").unionByName(left.join(twice, of_row, "left_semi").dropDuplicates(["doc_id", "text"])))
