@@ -59,7 +59,7 @@ _SPACE = re.compile(r"\s+")
 
 
 #: Pages of a part, on average; more where a table would have over about MOST_PARTS parts, whose bounds pass through the driver.
-PAGES_PER_PART, MOST_PARTS = 1000, 4000
+PAGES_PER_PART, MOST_PARTS = 250, 4000
 
 
 class Line(NamedTuple):
