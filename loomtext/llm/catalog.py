@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, sql, toxicity
+from loomtext.llm import blockmax, chat, decontaminate, embeddings, importance, langid, minhash, mixing, pages, repeats, secrets, sql, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op5_repeated_passages, op6_page_text, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity)}
-ORACLE_SQL = sql.ORACLE_SQL | {"op9_source_mix": mixing.REPORT_SQL}
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secret_scan, op3_language_id, op4_minhash_dedup, op5_repeated_passages, op6_page_text, op7_chat_format, op8_decontaminate, op9_source_mix, op10_toxicity, op11_importance_resample, op12_ranked_search, op13_warc_archive)}
+ORACLE_SQL = sql.ORACLE_SQL | {
+    "op9_source_mix": mixing.REPORT_SQL, "op11_importance_resample": importance.REPORT_SQL, "op12_ranked_search": blockmax.REPORT_SQL, "op13_warc_archive": warc.REPORT_SQL,
+}
