@@ -67,9 +67,11 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(data: np.ndarray) -> np.ndarray:
     ends = np.flatnonzero(data < 128)
+    if not len(ends):
+        return np.zeros(0, dtype=np.int64)
     starts = np.concatenate(([0], ends[:-1] + 1))
     within = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((data & 127).astype(np.int64) << (7 * within), starts) if len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * within), starts)
 
 
 def postings(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -106,7 +106,7 @@ class Archive:
     def __init__(self, uri: str, dictionary: bytes):
         files, path = fs.FileSystem.from_uri(uri)
         files.create_dir(posixpath.dirname(path), recursive=True)
-        self.uri, self.out = uri, files.open_output_stream(path)
+        self.uri, self.out = uri, files.open_output_stream(path, compression=None)
         self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
         self.squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary) if dictionary else None)
         self.n_records, self.n_bytes = 0, 8 + len(dictionary)
@@ -124,7 +124,7 @@ class Archive:
 def records_in(uri: str) -> Iterator[dict]:
     """The records of an archive, one in memory at a time."""
     files, path = fs.FileSystem.from_uri(uri)
-    with files.open_input_stream(path) as source:
+    with files.open_input_stream(path, compression=None) as source:
         magic, size = struct.unpack("<II", source.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError(f"{uri} has no dictionary before its records")
@@ -137,7 +137,7 @@ def records_in(uri: str) -> Iterator[dict]:
             if one.eof:
                 yield parsed(b"".join(parts))
                 rest, one, parts = one.unused_data, opened.decompressobj(), []
-        if any(parts):
+        if parts:
             raise ValueError(f"{uri} ends within a record")
 
 
