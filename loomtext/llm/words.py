@@ -13,8 +13,12 @@ import pyarrow as pa
 #: Texts are gathered into blocks of about so many bytes; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Hashes are polynomials modulo this prime. Modulo a power of two they would not do: whatever the base, strings that follow the
+#: Thue-Morse sequence and its complement would meet.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASE = 0x1E3779B97F4A7C15 % PRIME
+_INVERSE = pow(_BASE, -1, PRIME)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -28,38 +32,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
+#: Elements that are worked on at a time, so that all that stands between stays in a core's cache.
+_STRIDE = 1 << 14
 
 
-def _power(base: np.uint64, key: str, n: int) -> np.ndarray:
-    have = _powers.get(key)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo PRIME; a difference that wraps around is the larger one."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.minimum(x, x - _P)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below 2 * PRIME and below PRIME, from halves of 31 bits."""
+    low, u31, u30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30)
+    xh, xl, yh, yl = a >> u31, a & low, b >> u31, b & low
+    middle = xl * yh
+    middle += xh * yl
+    xh *= yh
+    xl *= yl
+    xh += xh
+    xh += xl
+    xh += middle >> u30
+    middle &= np.uint64((1 << 30) - 1)
+    middle <<= u31
+    xh += middle
+    return _reduced(xh)
+
+
+#: Bytes stand for themselves and one, so that a zero byte counts.
+_BYTE_VALUE = np.arange(1, 257, dtype=np.uint64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base, by doubling."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        have, size = np.ones(1, dtype=np.uint64), max(n, 2 * BLOCK_BYTES)
+        while len(have) < size:
+            have = np.concatenate((have, times(have, np.full(len(have), pow(base, len(have), PRIME), dtype=np.uint64))))
         if size <= 8 * BLOCK_BYTES:
-            _powers[key] = have
+            _powers[base] = have
     return have[:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64 over bytes; ``span_hashes`` reads the hash of any span from them."""
+    """Polynomial prefix sums modulo PRIME over bytes; ``span_hashes`` reads the hash of any span from them."""
     return prefix_sums(_BYTE_VALUE[data])
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """The same over symbols of any kind, given by 64-bit values."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _power(_BASE, "base", len(values)), out=out[1:])
+    n, power = len(values), _power(_BASE, len(values))
+    out, last = np.zeros(n + 1, dtype=np.uint64), np.uint64(0)
+    small, u30 = n and int(values.max()) < 1 << 10, np.uint64(30)
+    low = np.uint64((1 << 30) - 1)
+    for i in range(0, n, _STRIDE):
+        v, y = values[i : i + _STRIDE], power[i : i + _STRIDE]
+        if small:  # halves of the powers: sums of a stride's products stay below 2**55
+            high, each = np.cumsum(v * (y >> u30)), np.cumsum(v * (y & low))
+        else:
+            each = times(_reduced(v), y)
+            high, each = np.cumsum(each >> u30), np.cumsum(each & low)
+        # high * 2**30 modulo PRIME turns its bits round
+        each += (high & np.uint64((1 << 31) - 1)) << u30
+        each += high >> np.uint64(31)
+        each += last
+        out[i + 1 : i + 1 + len(v)] = each = _reduced(each)
+        last = each[-1]
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """One hash for each span; equal bytes give equal hashes wherever they stand."""
-    h = (prefix[end] - prefix[start]) * _power(_INVERSE, "inverse", len(prefix))[start]
-    return mixed(h + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    out, inverse = np.empty(len(start), dtype=np.uint64), _power(_INVERSE, len(prefix))
+    for i in range(0, len(start), _STRIDE):
+        s, e = start[i : i + _STRIDE], end[i : i + _STRIDE]
+        h = prefix[e]
+        h += _P
+        h -= prefix[s]
+        h = times(h, inverse[s])
+        h += (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        out[i : i + _STRIDE] = mixed(h)
+    return out
 
 
 def table_of(word_bytes) -> np.ndarray:
