@@ -2,7 +2,7 @@
 
 Words are summed per source; each source's target follows from its weight, and target / size is the rate at which
 its documents repeat. A document is emitted floor(rate) times, and once more if its draw, seeded by the hash of its
-id, falls below a bound, so that a rerun takes the same copies. The bound is the fraction of the rate, held within
+id and text, falls below a bound, so that a rerun takes the same copies. The bound is the fraction of the rate, held within
 strata: documents of one source and about one size share a stratum. From the longest documents to the shortest, a
 stratum's share of second copies is the fraction that the words still wanted are of the words still to come, rounded
 by a hash-seeded number; in each stratum the documents with the least draws have them. Whatever the longer documents
@@ -14,7 +14,7 @@ A stratum's bound is an order statistic of its draws: a histogram over HIST_BITS
 only that bin's draws are ranked. Joins meet a table of strata, which is broadcast if it is small.
 
 Nulls: a null text has size 0; null sources form one source, the last in order; a null doc_id draws as the empty
-string. Rows with equal doc_id share one draw, so repeated rows are taken alike. An empty table gives no rows.
+string, with its text. Rows that repeat both id and text share one draw and are taken alike. An empty table gives no rows.
 Columns beyond those named pass through ``mix``; names that clash with the working columns are kept apart.
 """
 
@@ -41,9 +41,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number of 48 bits that depends on the seed and the id alone."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
+def draw(key: Column, seed: str = SEED) -> Column:
+    """A number of 48 bits that depends on the seed and the key alone."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 12), 16, 10).cast("long")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What a row is drawn by: its id and its text, so that rows without ids, or of one id, have draws of their own."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
 
 
 def size_class(size: Column) -> Column:
@@ -127,7 +132,7 @@ def strata(slim: DataFrame, per: DataFrame, seed: str, scratch: Scratch) -> Data
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """Every document as ``doc`` (all its columns) with its size, its source's size and target, and the copies taken."""
-    sized = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw"))
+    sized = docs.select(F.struct("*").alias("doc"), "source", word_count(F.col("text")).alias("size"), draw(row_key(F.col("doc_id"), F.col("text")), seed).alias("draw"))
     sized = sized.withColumn("source_key", source_key(F.col("source"))).withColumn("size_class", size_class(F.col("size")))
     scratch = Scratch()
     slim = scratch.settle(sized.drop("doc"), "mix-sizes")
@@ -154,7 +159,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 REPORT_SQL = r"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -182,7 +187,7 @@ WITH RECURSIVE sized AS (
 ), drawn AS (
   SELECT d.doc_id, d.size, coalesce('s' || d.source, 'null') AS source, r.source_size, r.target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS fraction,
     length(bin(d.size)) * 4 + CASE rpad(substr(bin(d.size), 2, 2), 2, '0') WHEN '11' THEN 3 WHEN '10' THEN 2 WHEN '01' THEN 1 ELSE 0 END AS class,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.digest), 1, 12))::BIGINT AS u
   FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 ), cells AS MATERIALIZED (
   SELECT source, class, count(*)::DOUBLE AS n, sum(size)::DOUBLE AS words, row_number() OVER (PARTITION BY source ORDER BY class DESC) AS i,
