@@ -7,17 +7,19 @@ is not deleted for being shared, as near copies share their text; and a line tha
 menus, adverts and footers may, goes if its elements name it as such, or if the page has an article and it stands
 beside it. ``n_shared``, ``n_named`` and ``n_beside`` count what each rule removed; a line counts for the first.
 
-The order is cut into parts at pages chosen by a hash of their place, about PAGES_PER_PART pages apart, and the page
-before and the page after each part come along; so a host of any size is spread, no page lacks a neighbour, and the
-result depends on the pages alone. A task holds one run of copies (their ids, and the lines once) and two pages. A
-run of copies that a cut parts has the pages beside it on its own side of the cut; a page whose lines another holds
-all is told nothing by that one.
+The order is cut into parts at pages chosen by a hash of their place, about PAGES_PER_PART pages apart. With each part
+comes the last page before it that differs from its first, and the first page after it that differs from its last: a
+first pass digests the lines of every page, and the runs at the parts' ends tell how far back or on that page stands,
+over as many parts as a run of copies fills. So a host or a run of copies of any size is spread, and the result is the
+same wherever the cuts fall. A task holds one run of copies (their ids, and the lines once) and two pages. A page whose
+lines another holds all is told nothing by that one.
 
 Nulls: a null html is empty, a null url has the empty host and path. Equal rows are copies. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.storage import map_batches, only
+from loomtext.llm.storage import Scratch, map_batches, only
 
 #: Element names of HTML by what they do here.
 _RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title".split())
@@ -294,14 +296,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def _literals(strings: list[str]) -> Column:
-    """Strings without commas as one constant."""
-    return F.split(F.lit(",".join(strings)), ",") if strings else F.array().cast("array<string>")
-
-
 def _part_of(key: Column, bounds: list[str]) -> Column:
     """How many bounds are not above the key, by halving."""
-    given = _literals(bounds)
+    given = F.split(F.lit(",".join(bounds)), ",") if bounds else F.array().cast("array<string>")
 
     def halve(s, _):
         middle = F.shiftright(s["low"] + s["high"], 1)
@@ -312,6 +309,38 @@ def _part_of(key: Column, bounds: list[str]) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve, lambda s: s["low"])
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each page's host and lines: equal ones are copies."""
+    for batch in batches:
+        host, page = (batch.column(c).to_pylist() for c in ("host", "html"))
+        made = [hashlib.blake2b(repr((h, lines(p or ""))).encode("utf-8", "surrogatepass"), digest_size=16).digest() for h, p in zip(host, page)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("copy"), pa.array(made, pa.binary())], ["key", "copy", "lines"])
+
+
+def _carried(ends: dict[int, dict], parts: int) -> list[tuple[str, int, int, int]]:
+    """key, copy, part and role of the pages that parts need from others: of each part's ends, the nearest page beyond that differs.
+
+    ends: of each part that has pages, the place and the lines of its first and last page, and the places of the last page
+    that differs from the last (``tail``) and of the first that differs from the first (``head``).
+    """
+    out = []
+    for step, role, edge, far, inner in ((1, 0, "first", "last", "tail"), (-1, 2, "last", "first", "head")):
+        seen: dict | None = None  # of the parts passed so far, the nearest with pages
+        found: tuple | None = None  # the nearest page that differs from the page at the end of ``seen``
+        for part in range(parts) if step > 0 else range(parts - 1, -1, -1):
+            own = ends.get(part)
+            if own is None:
+                continue
+            before = None
+            if seen is not None:
+                before = seen[far] if seen[f"{far}_lines"] != own[f"{edge}_lines"] else found
+            if before is not None:
+                out.append((*before, part, role))
+            found = own[inner] if own[inner] is not None else before
+            seen = own
+    return out
+
+
 def extract(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, and the lines removed: n_shared, n_named, n_beside."""
     url = F.coalesce("url", F.lit(""))
@@ -319,17 +348,24 @@ def extract(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     placed = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
     number = F.lpad(F.hex(F.coalesce("page_id", F.lit(-(2**63))).bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    placed = placed.withColumn("key", F.hex(F.concat("host", F.lit("\x00"), "path", F.lit("\x00"), number)))  # its order is that of host, path and id
-    keys = placed.select("key")
-    apart = max(pages_per_part, keys.count() // MOST_PARTS)
-    bounds = sorted(r[0] for r in keys.filter(F.pmod(F.xxhash64("key"), F.lit(apart)) == 0).distinct().collect())
-    part = _part_of(F.col("key"), bounds)
-    ends = {r["part"]: r for r in keys.groupBy(part.alias("part")).agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()}
-    firsts, lasts = (_literals([ends[p][c] if p in ends else "" for p in range(len(bounds) + 1)]) for c in ("first", "last"))
-    to = lambda part, role: F.struct(part.cast("int").alias("part"), F.lit(role).alias("role"))
-    dealt = placed.withColumn("own", part)
-    before = F.when((F.col("key") == F.get(lasts, F.col("own"))) & (F.col("own") < len(bounds)), to(F.col("own") + 1, 0))
-    after = F.when((F.col("key") == F.get(firsts, F.col("own"))) & (F.col("own") > 0), to(F.col("own") - 1, 2))
-    dealt = dealt.withColumn("to", F.explode(F.filter(F.array(to(F.col("own"), 1), before, after), lambda x: x.isNotNull())))
-    ordered = dealt.select("to.part", "to.role", "page_id", "host", "url", "html", "key").repartition("part").sortWithinPartitions("part", "role", "key", "html")
-    return map_batches(ordered.drop("key"), _extract, _OUT)
+    key = F.hex(F.concat("host", F.lit("\x00"), "path", F.lit("\x00"), number))  # its order is that of host, path and id
+    placed = placed.withColumn("key", key).withColumn("copy", F.xxhash64("url", "html"))
+    scratch = Scratch()
+    slim = scratch.settle(map_batches(placed.select("key", "copy", "host", "html"), _digests, "key string, copy long, lines binary"), "page-digests")
+    apart = max(pages_per_part, slim.count() // MOST_PARTS)
+    bounds = sorted(r[0] for r in slim.filter(F.pmod(F.xxhash64("key"), F.lit(apart)) == 0).select("key").distinct().collect())
+    part, place = _part_of(F.col("key"), bounds), F.struct("key", "copy")
+    ends = slim.groupBy(part.alias("part")).agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("lines", place).alias("first_lines"), F.max_by("lines", place).alias("last_lines")
+    )
+    ends = scratch.settle(ends, "page-ends")  # a row a part
+    differs = lambda side: F.when(F.col("lines") != F.col(f"{side}_lines"), F.struct("key", "copy"))
+    inner = slim.withColumn("part", part).join(F.broadcast(ends.select("part", "first_lines", "last_lines")), "part").groupBy("part").agg(F.min(differs("first")).alias("head"), F.max(differs("last")).alias("tail"))
+    known = {r["part"]: r.asDict() for r in ends.join(inner, "part").collect()}
+    carried = pages.sparkSession.createDataFrame(_carried(known, len(bounds) + 1), "key string, copy long, part int, role int")
+    scratch.drop()
+    whose = carried.groupBy("key", "copy").agg(F.collect_list(F.struct("part", "role")).alias("more"))  # at most two rows a part
+    dealt = placed.join(F.broadcast(whose), ["key", "copy"], "left").withColumn("own", F.array(F.struct(part.cast("int").alias("part"), F.lit(1).alias("role"))))
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("more").isNull(), F.col("own")).otherwise(F.concat("own", "more"))))
+    ordered = dealt.select("to.part", "to.role", "page_id", "host", "url", "html", "key", "copy").repartition("part").sortWithinPartitions("part", "role", "key", "copy")
+    return map_batches(ordered.drop("key", "copy"), _extract, _OUT)

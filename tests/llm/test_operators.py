@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.llm import catalog, chat, decontaminate, embeddings, langid, minhash, mixing, pages, repeats, secrets, toxicity
-from loomtext.llm.words import prefix_hashes
+from loomtext.llm.words import prefix_hashes, span_hashes
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -112,6 +112,24 @@ def test_embeddings_empty(spark):
     assert embeddings.cluster(df).count() == 0
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("n", (512, 1024, 2048))
+def test_strings_that_meet_modulo_powers_of_two(spark, n):
+    """Words without a letter in common at any place have hashes of their own."""
+    for letters in ("ab", "Ga"):
+        texts = [thue_morse(n, letters), thue_morse(n, letters[::-1])]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        hashes = span_hashes(prefix_hashes(data), np.array([0, n]), np.array([n, 2 * n]))
+        assert hashes[0] != hashes[1]
+    texts = [thue_morse(n, "ab"), thue_morse(n, "ba")]
+    docs = spark.createDataFrame([(i, t, None, None, n) for i, t in enumerate(texts)], DOCS)
+    assert {r["component_id"] for r in minhash.cluster(docs, size=3, percent=85).collect()} == {0, 1}
+    assert [r["contaminated"] for r in decontaminate.report(docs, spark.createDataFrame([(1, texts[0])], "item_id long, text string")).orderBy("doc_id").collect()] == [True, False]
+
+
 # --- secrets ------------------------------------------------------------------------------------------------
 
 SECRETS = [
@@ -465,6 +483,17 @@ def test_pages_beside_their_nearest(spark):
     assert sum(r["n_shared"] for r in got) >= 300
 
 
+@pytest.mark.parametrize("parts", (1, 2, 3, 250))
+def test_copies_over_cuts(spark, parts):
+    """Runs of equal pages that cuts part, and that fill whole parts, read as they do in one part."""
+    rows = [(0, "http://h/a/0", "<div>Terms of use</div><p>first</p>")]
+    rows += [(i, f"http://h/b/{i}", "<div>Terms of use</div><p>copy</p>") for i in range(1, 30)]
+    rows += [(30, "http://h/c/1", "<div>Other</div><p>copy</p>"), *((i, f"http://h/d/{i}", "<div>Other</div><p>again</p>") for i in range(31, 50)), (50, "http://i/a", "<div>Other</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df, parts).collect()}
+    assert got == plain_pages(rows) and len({got[i] for i in range(1, 30)}) == 1
+
+
 def test_pages_of_the_table(spark, tables):
     import html
     import re
@@ -606,6 +635,13 @@ def test_mix_follows_the_plan(spark, tables):
     assert mixing.report(odd).count() == odd.count() and mixing.report(odd.filter("false")).count() == 0
 
 
+def test_rows_without_ids_have_draws_of_their_own(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * (1 + i * 7 % 23), None, f"s{i % 3}", 0) for i in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = mixing.plan_mix(docs).groupBy("doc.source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(taken) == 3 and all(abs(r["taken"] - r["target"]) <= 0.03 * r["target"] for r in taken)
+
+
 @pytest.mark.parametrize("bits", (8, 2))
 def test_sources_meet_their_targets(spark, tables, monkeypatch, bits):
     """A source misses its target by little more than its longest document, in the table and with a hot source and many equal sizes."""
