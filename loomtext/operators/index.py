@@ -1,10 +1,16 @@
-"""A stored inverted index: tables that queries read by term or by document instead of the texts.
+"""A stored inverted index of segments: tables that queries read by term or by document instead of the texts.
 
 postings      field, term, doc_id, tf, positions, dl     by field, sorted by term
 dictionary    field, term, df, ctf                       by field, sorted by term
 vectors       field, doc_id, term, tf, positions, dl     by field, sorted by doc_id
 documents     doc_id, stored columns, dl_, il_, sq_ of each field, sorted by doc_id
-fields        field, num_docs, doc_count, sum_tf
+blocks        range, field, term, n, most_tf, least_dl, docs, tfs, dls     bucketed by document range (integer ids)
+
+Every batch of documents is a segment with tables of its own; a manifest names the segments, the analysis they share (fields,
+stopwords, possessives, stemmer) and each segment's statistics, so that a path is all that opening an index takes. A version
+of the manifest is a file that is created once or not at all: of two writers at a time one commits and the other raises, and
+what a lost job has written is in no manifest. Segments of about one size are merged from their tables, not from the texts;
+``vacuum`` deletes what no longer stands in the manifest.
 
 A term's filter reaches the scan, where sorted files skip row groups and pages by their bounds, so a query reads the
 postings of its own terms only. ``dl`` counts all positions of a field, ``il`` those without stopwords, ``sq`` is the
@@ -14,24 +20,33 @@ are analysed by what the index holds.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators.corpus import Corpus
-from loomtext.storage import new_path
+from loomtext.storage import shared_folder
 
 _SCHEMAS = {
     "postings": "term string, doc_id {id}, tf long, positions array<int>, dl long, field string",
     "dictionary": "term string, df long, ctf long, field string",
     "vectors": "doc_id {id}, term string, tf long, positions array<int>, dl long, field string",
 }
+_BLOCKS = "range long, field string, term string, n int, most_tf long, least_dl long, docs array<{id}>, tfs array<long>, dls array<long>"
 #: Bytes of a row group, so that the bounds of sorted terms are narrow.
 ROW_GROUP_BYTES = 8 << 20
 #: Documents that are read by their ids; more are met by a join.
 BY_ID = 10_000
+#: Documents of a range, on average; documents of a bucket of ranges.
+RANGE_DOCS, BUCKET_DOCS = 64, 500_000
+#: So many segments of one size are merged; sizes are told apart by powers of it.
+MERGE_AT = 4
 
 
 def squared(tokens: Column) -> Column:
@@ -46,19 +61,69 @@ def squared(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(tokens), first, step, lambda s: s["s"] + s["n"] * s["n"])
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 class Index:
-    """The tables under a path, and how texts were analysed for them."""
+    """An index under a path, as one version of its manifest has it."""
+
+    def __init__(self, spark: SparkSession, path: str, manifest: dict):
+        self.spark, self.path, self.manifest = spark, path, manifest
+        self.stop, self.stemmer, self.fields = tuple(manifest["stop"]), manifest["stemmer"], tuple(manifest["fields"])
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Index:
+        """The latest version of an index. Raises ValueError where there is none."""
+        fs, where = _path(spark, f"{path}/manifest")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+        if not names:
+            raise ValueError(f"no index at {path}")
+        stream = fs.open(_path(spark, f"{path}/manifest/{names[-1]}")[1])
+        try:
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return Index(spark, path, json.loads(text))
+
+    def _commit(self, **changes) -> Index:
+        """The next version. Raises if another writer has made it."""
+        manifest = self.manifest | changes | {"version": self.manifest["version"] + 1}
+        fs, where = _path(self.spark, f"{self.path}/manifest/{manifest['version']:08d}.json")
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as e:
+            raise RuntimeError(f"version {manifest['version']} of the index at {self.path} has been written by another") from e
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        return Index(self.spark, self.path, manifest)
+
+    @property
+    def segments(self) -> list[dict]:
+        return self.manifest["segments"]
 
-    def __init__(self, spark: SparkSession, path: str, stop: tuple[str, ...] = (), stemmer: str = "none"):
-        self.spark, self.path, self.stop, self.stemmer, self._id = spark, path, stop, stemmer, ""
+    def _where(self, segment: dict) -> str:
+        return f"{self.path}/segments/{segment['name']}"
 
     def table(self, name: str) -> DataFrame:
-        """A table of the index; those by field are read by schema, as an empty corpus leaves them without files."""
+        """A table of all segments; those by field are read by schema, as an empty corpus leaves them without files. ``fields`` sums the segments' statistics."""
+        if name == "fields":
+            rows = [(f, *(sum(s["stats"][f][i] for s in self.segments) for i in range(3))) for f in self.fields]
+            return self.spark.createDataFrame(rows, "field string, num_docs long, doc_count long, sum_tf long")
         reader = self.spark.read
         if name in _SCHEMAS:
-            self._id = self._id or reader.parquet(f"{self.path}/documents").schema["doc_id"].dataType.simpleString()
-            reader = reader.schema(_SCHEMAS[name].format(id=self._id))
-        return reader.parquet(f"{self.path}/{name}")
+            reader = reader.schema(_SCHEMAS[name].format(id=self.manifest["id_type"]))
+        return reduce(DataFrame.unionByName, (reader.parquet(f"{self._where(s)}/{name}") for s in self.segments))
+
+    def blocks(self, segment: dict) -> DataFrame:
+        """A segment's blocks, bucketed by document range: rows of one range are in one task, so lists meet without a shuffle."""
+        where = f"{self._where(segment)}/blocks"
+        name = "loomtext_blocks_" + hashlib.md5(where.encode()).hexdigest()[:16]
+        if not self.spark.catalog.tableExists(name):
+            columns = _BLOCKS.format(id=self.manifest["id_type"]).replace("range long", "`range` long")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`range`) SORTED BY (field, term, `range`) INTO {segment['buckets']} BUCKETS LOCATION '{where}'")
+        return self.spark.table(name)
 
     @property
     def stem(self):
@@ -67,35 +132,104 @@ class Index:
 
         return stem if self.stemmer == "porter" else None
 
+    def _corpus(self, docs: DataFrame) -> Corpus:
+        m = self.manifest
+        return Corpus(docs, m["id"], dict(m["fields"]), tuple(m["stop"]), m["possessive"], m["stemmer"])
+
     @staticmethod
     def build(corpus: Corpus, path: str, stored: tuple[str, ...] = ()) -> Index:
-        spark = corpus.docs.sparkSession
-        write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
-        toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(c for c in stored if c != corpus.id), *(corpus.tokens_of(f).alias(f"tok_{f}") for f in corpus.fields))
+        """Writes a corpus as the first segment of an index."""
+        id_type = corpus.docs.schema[corpus.id].dataType.simpleString()
+        manifest = {
+            "version": 0, "id": corpus.id, "id_type": id_type, "fields": dict(corpus.fields), "stop": list(corpus.stop), "possessive": corpus.possessive, "stemmer": corpus.stemmer,
+            "stored": [c for c in stored if c != corpus.id], "range_width": None, "appended": 0, "segments": [],
+        }
+        index = Index(corpus.docs.sparkSession, path, manifest)
+        if id_type in ("bigint", "int", "smallint", "tinyint"):
+            low, high, n = corpus.docs.agg(F.min(corpus.id), F.max(corpus.id), F.count(corpus.id)).first()
+            manifest["range_width"] = max(1, (high - low + 1) * RANGE_DOCS // n) if n else 1
+        return index._commit(segments=[index._analysed(corpus)], appended=1)
+
+    def append(self, docs: DataFrame, merge: bool = True) -> Index:
+        """The index with a batch of documents as a segment of its own, analysed as the others are; ids must be new. Small segments are merged. The manifest counts batches in ``appended``."""
+        key = self.manifest["id"]
+        known = docs.select(F.col(key).alias("doc_id")).join(self.table("documents").select("doc_id"), "doc_id", "left_semi").first()
+        if known is not None:
+            raise ValueError(f"document {known[0]} is in the index")
+        grown = self._commit(segments=[*self.segments, self._analysed(self._corpus(docs))], appended=self.manifest["appended"] + 1)
+        return grown.merged() if merge else grown
+
+    def merged(self) -> Index:
+        """The index after merging: while MERGE_AT segments are of one size, by powers of MERGE_AT, they become one."""
+        index = self
+        while True:
+            sizes: dict[int, list[dict]] = {}
+            for s in index.segments:
+                sizes.setdefault(max(1, s["docs"]).bit_length() // (MERGE_AT.bit_length() - 1), []).append(s)
+            many = next((own for _, own in sorted(sizes.items()) if len(own) >= MERGE_AT), None)
+            if many is None:
+                return index
+            part = Index(index.spark, index.path, index.manifest | {"segments": many})
+            one = index._written(part.table("documents"), {f: part.table("postings").filter(F.col("field") == f) for f in index.fields})
+            index = index._commit(segments=[*(s for s in index.segments if s not in many), one])
+
+    def vacuum(self) -> list[str]:
+        """Deletes the segments that this version does not name, and returns their names. Readers of earlier versions lose them."""
+        fs, where = _path(self.spark, f"{self.path}/segments")
+        gone = sorted({x.getPath().getName() for x in fs.listStatus(where)} - {s["name"] for s in self.segments})
+        for name in gone:
+            fs.delete(_path(self.spark, f"{self.path}/segments/{name}")[1], True)
+        return gone
+
+    def _analysed(self, corpus: Corpus) -> dict:
+        """Writes a corpus as a segment."""
+        stored = self.manifest["stored"]
+        toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *stored, *(corpus.tokens_of(f).alias(f"tok_{f}") for f in corpus.fields))
         indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
         counted = toks.select(
-            "doc_id", *(c for c in stored if c != corpus.id), *(F.size(f"tok_{f}").cast("long").alias(f"dl_{f}") for f in corpus.fields),
+            "doc_id", *stored, *(F.size(f"tok_{f}").cast("long").alias(f"dl_{f}") for f in corpus.fields),
             *(indexed(f).cast("long").alias(f"il_{f}") for f in corpus.fields), *(squared(F.col(f"tok_{f}")).alias(f"sq_{f}") for f in corpus.fields),
         )
-        write(counted.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{path}/documents")
-        index = Index(spark, path, corpus.stop, corpus.stemmer)
+        lists = {}
         for name in corpus.fields:
             own = corpus.docs.select(F.col(corpus.id).alias("doc_id"), corpus.tokens_of(name).alias("tok"))
             long = own.select("doc_id", F.size("tok").cast("long").alias("dl"), F.posexplode("tok").alias("pos", "term"))
             long = long.filter(~F.col("term").isin(*corpus.stop)) if corpus.stop else long
             if corpus.stemmer != "none":
                 long = long.join(T.stems(long, "term", corpus.stemmer), F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
-            lists = long.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-            named = lists.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
-            write(named.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")).partitionBy("field").parquet(f"{path}/postings")
-            made = index.table("postings").filter(F.col("field") == name)
+            grouped = long.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            lists[name] = grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
+        return self._written(counted, lists)
+
+    def _written(self, documents: DataFrame, lists: dict[str, DataFrame]) -> dict:
+        """Writes the tables of a segment from its documents and each field's postings, and returns its entry in the manifest."""
+        segment = {"name": f"s-{uuid.uuid4().hex}"}
+        where, schema = self._where(segment), lambda name: self.spark.read.schema(_SCHEMAS[name].format(id=self.manifest["id_type"]))
+        write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
+        write(documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{where}/documents")
+        for name, own in lists.items():
+            write(own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")).partitionBy("field").parquet(f"{where}/postings")
+            made = schema("postings").parquet(f"{where}/postings").filter(F.col("field") == name)
             counts = made.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-            write(counts.repartitionByRange("term").sortWithinPartitions("term")).partitionBy("field").parquet(f"{path}/dictionary")
-            write(made.select("field", "doc_id", "term", "tf", "positions", "dl").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "term")).partitionBy("field").parquet(f"{path}/vectors")
-        docs = index.table("documents")
-        stats = lambda f: docs.agg(F.lit(f).alias("field"), F.count("*").alias("num_docs"), F.count_if(F.col(f"il_{f}") > 0).alias("doc_count"), F.coalesce(F.sum(f"il_{f}"), F.lit(0)).alias("sum_tf"))
-        write(reduce(DataFrame.unionByName, map(stats, corpus.fields)).coalesce(1)).parquet(f"{path}/fields")
-        return index
+            write(counts.repartitionByRange("term").sortWithinPartitions("term")).partitionBy("field").parquet(f"{where}/dictionary")
+            write(made.select("field", "doc_id", "term", "tf", "positions", "dl").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "term")).partitionBy("field").parquet(f"{where}/vectors")
+        docs = self.spark.read.parquet(f"{where}/documents")
+        some = [x for f in lists for x in (F.count_if(F.col(f"il_{f}") > 0), F.coalesce(F.sum(f"il_{f}"), F.lit(0)))]
+        n, *counted = docs.agg(F.count("*"), *some).first()
+        segment |= {"docs": n, "stats": {f: [n, counted[2 * i], counted[2 * i + 1]] for i, f in enumerate(lists)}, "buckets": max(8, min(4096, n // BUCKET_DOCS))}
+        if self.manifest["range_width"]:
+            self._write_blocks(schema("postings").parquet(f"{where}/postings"), segment)
+        return segment
+
+    def _write_blocks(self, postings: DataFrame, segment: dict) -> None:
+        place = F.floor(F.col("doc_id") / F.lit(self.manifest["range_width"])).cast("long")
+        each = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl")))
+        made = postings.groupBy(place.alias("range"), "field", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), each.alias("all"))
+        made = made.select("range", "field", "term", "n", "most_tf", "least_dl", F.col("all.doc_id").alias("docs"), F.col("all.tf").alias("tfs"), F.col("all.dl").alias("dls"))
+        where = f"{self._where(segment)}/blocks"
+        name = "loomtext_blocks_" + hashlib.md5(where.encode()).hexdigest()[:16]
+        bucketed = made.repartition(segment["buckets"], "range").write.option("parquet.block.size", ROW_GROUP_BYTES).option("path", where)
+        bucketed.bucketBy(segment["buckets"], "range").sortBy("field", "term", "range").saveAsTable(name)
 
     def postings(self, terms: list[str], name: str = "body", columns: tuple[str, ...] = ("term", "doc_id", "tf", "positions")) -> DataFrame:
         """The lists of some terms of a field."""
@@ -108,7 +242,8 @@ class Index:
     def dictionary(self, name: str = "body", terms: list[str] | None = None) -> DataFrame:
         """term, df, ctf: the whole dictionary of a field, or some terms of it."""
         own = self.table("dictionary").filter(F.col("field") == name)
-        return (own if terms is None else own.filter(F.col("term").isin(*terms))).select("term", "df", "ctf")
+        own = (own if terms is None else own.filter(F.col("term").isin(*terms))).select("term", "df", "ctf")
+        return own if len(self.segments) == 1 else own.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
     def term_vectors(self, doc_ids: list[int] | None = None, name: str = "body") -> DataFrame:
         """doc_id, term, tf, positions, dl of all or some documents."""
@@ -132,23 +267,25 @@ class Index:
         return self.table("documents").select("doc_id", F.col(f"dl_{name}").alias("dl_all"), F.col(f"il_{name}").alias("dl_indexed"))
 
 
-_built: dict[tuple, Index] = {}
-
-
 def written_when(spark: SparkSession, path: str) -> tuple:
     """Time and size of a table's files, which tell whether an index of it still holds."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, where = _path(spark, path)
     return fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength()
 
 
+def kept_at(spark: SparkSession, *key) -> str:
+    """The path in the shared folder of what a key names, the same for every application."""
+    return f"{shared_folder(spark)}/loomtext/indexes/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+
+
 def index_of(source: str, corpus: Corpus, stored: tuple[str, ...] = ()) -> Index:
-    """The index of a corpus read from ``source``: built in the shared folder once an application, and opened from then on."""
+    """The index of a corpus read from ``source``: built in the shared folder by the first application that asks, and opened by all from then on."""
     spark = corpus.docs.sparkSession
-    key = (spark.sparkContext.applicationId, source, written_when(spark, source), tuple(corpus.fields.items()), corpus.stop, corpus.possessive, corpus.stemmer, stored)
-    if key not in _built:
-        _built[key] = Index.build(corpus, new_path(spark, "index"), stored)
-    return _built[key]
+    path = kept_at(spark, source, written_when(spark, source), tuple(corpus.fields.items()), corpus.stop, corpus.possessive, corpus.stemmer, stored)
+    try:
+        return Index.open(spark, path)
+    except ValueError:
+        return Index.build(corpus, path, stored)
 
 
 class Indexes:
@@ -157,9 +294,9 @@ class Indexes:
     def __init__(self, spark: SparkSession):
         self.spark, self.open_, self.current = spark, {}, None
 
-    def open(self, path: str, stop: tuple[str, ...] = (), stemmer: str = "none") -> Index:
-        self.open_[path] = Index(self.spark, path, stop, stemmer)
-        self.open_[path].table("fields")  # raises where there is no index
+    def open(self, path: str) -> Index:
+        """Opens an index as it was built: its analysis comes from its manifest."""
+        self.open_[path] = Index.open(self.spark, path)
         self.current = self.current or path
         return self.open_[path]
 
@@ -170,5 +307,6 @@ class Indexes:
         return self.open_[path]
 
     def scan(self, term: str, field: str = "body") -> DataFrame:
-        """Postings of one term of the current index: doc_id, tf, positions."""
-        return self.open_[self.current].postings([term], field, ("doc_id", "tf", "positions"))
+        """Postings of one term of the current index, analysed as its texts were: doc_id, tf, positions."""
+        index = self.open_[self.current]
+        return index.postings([index.stem(term) if index.stem else term], field, ("doc_id", "tf", "positions"))

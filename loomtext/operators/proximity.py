@@ -1,4 +1,4 @@
-"""Ordered and unordered proximity over arrays of positions, as folds inside the row."""
+"""Ordered and unordered proximity over arrays of positions, each as one sweep inside the row."""
 
 from __future__ import annotations
 
@@ -17,63 +17,117 @@ def _bound(args: list[Column], body) -> Column:
     return let(F.struct(*(a.alias(f"a{i}") for i, a in enumerate(args))), lambda s: body([s[f"a{i}"] for i in range(len(args))]))
 
 
+#: Bytes of matches that are gathered before they join the others, so that a match does not copy all before it.
+_CHUNK = 512
+_NONE = "array<int>"
+
+
+def _kept(state: Column, value: Column, hit: Column) -> list[Column]:
+    """``full`` and ``last`` of a state with one more match if there is a hit: four bytes each. A fold copies strings and arrays of its state at every step, bytes it does not."""
+    more = F.concat(state["last"], F.unhex(F.lpad(F.hex(value), 8, "0")))
+    flush = hit & (F.length(state["last"]) >= _CHUNK - 4)
+    none = F.lit(bytearray())
+    return [F.when(flush, F.concat(state["full"], more)).otherwise(state["full"]).alias("full"), F.when(flush, none).when(hit, more).otherwise(state["last"]).alias("last")]
+
+
+def _empty() -> list[Column]:
+    return [F.lit(bytearray()).alias("full"), F.lit(bytearray()).alias("last")]
+
+
+def _matches(state: Column) -> Column:
+    def read(raw):
+        n = (F.length(raw) / 4).cast("int")
+        each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.hex(F.substring(raw, i * 4 + 1, 4)), 16, 10).cast("int"))
+        return F.when(n > 0, each).otherwise(F.array().cast(_NONE))
+
+    return let(F.concat(state["full"], state["last"]), read)
+
+
+def _swept(args: list[Column], first: Column, step, turns: Column) -> Column:
+    """One sweep: so many steps from a first state. A document that lacks an argument has no match."""
+    empty = F.lit(False)
+    for a in args:
+        empty = empty | (F.size(a) == 0)
+    none = F.array().cast(_NONE)
+    return F.when(empty, none).otherwise(F.aggregate(F.when(empty, none).otherwise(F.sequence(F.lit(1), turns)), first, step, _matches))
+
+
+def _with(state: Column, value: Column, body) -> Column:
+    """body(state, value) with value computed once. Unlike ``let`` it copies nothing, so a state that has gathered much costs no more."""
+    return F.aggregate(F.array(value), state, body)
+
+
+def _cursors(args: list[Column], place) -> list[Column]:
+    return [place(i).alias(f"i{i}") for i in range(len(args))]
+
+
 def near(args: list[Column], distance: int) -> Column:
     """Positions of the last argument where each follows the one before within ``distance``.
 
-    A fold over the first argument's positions; the state is the last position reached, which the next start must pass.
+    One sweep with a cursor in each argument, and no cursor ever moves back: a start lies past the last position reached,
+    so what follows it does too. A step moves one cursor, or goes on to the next argument, or back to the first.
     """
     return _bound(args, lambda bound: _near(bound, distance))
 
 
 def _near(args: list[Column], distance: int) -> Column:
-    def follow(walk: Column, other: Column) -> Column:
-        """walk moved to the next position of ``other``, if it is close enough; an exhausted argument ends the document."""
-        ended = F.struct(F.lit(2**31 - 1).alias("at"), F.lit(False).alias("ok"))
-        stuck = lambda w: F.struct(w["at"].alias("at"), F.lit(False).alias("ok"))
-        reach = lambda w, n: F.when(~w["ok"], w).when(n.isNull(), ended).when(n - w["at"] <= distance, F.struct(n.alias("at"), F.lit(True).alias("ok"))).otherwise(stuck(w))
-        return let(walk, lambda w: let(F.array_min(F.filter(other, lambda x: x > w["at"])), lambda n: reach(w, n)))
+    if len(args) == 1:
+        return args[0]
+    last = len(args) - 1
+
+    def move(state, head):
+        back = head <= F.when(state["turn"] == 0, state["skip"]).otherwise(state["reached"])
+        close = (state["turn"] == 0) | (head - state["reached"] <= distance)
+        hit = ~back & close & (state["turn"] == last)
+        moved = F.struct(
+            *_cursors(args, lambda i: F.when(back & (state["turn"] == i), state[f"i{i}"] + 1).otherwise(state[f"i{i}"])),
+            F.when(back, state["turn"]).when(hit | ~close, 0).otherwise(state["turn"] + 1).alias("turn"),
+            F.when(~back & close, head).otherwise(state["reached"]).alias("reached"),
+            F.when(hit, head).when(~back & ~close, state["reached"]).otherwise(state["skip"]).alias("skip"),
+            *_kept(state, head, hit),
+        )
+        return F.when(head.isNull(), state).otherwise(moved)  # an exhausted argument ends the document
 
-    def step(state, start):
-        walk = F.struct(start.alias("at"), F.lit(True).alias("ok"))
-        for other in args[1:]:
-            walk = follow(walk, other)
-        moved = let(walk, lambda w: F.struct(w["at"].alias("skip"), F.when(w["ok"], F.concat(state["out"], F.array(w["at"]))).otherwise(state["out"]).alias("out")))
-        return F.when(start <= state["skip"], state).otherwise(moved)
+    def step(state, _):
+        head = F.lit(None).cast("int")
+        for i, a in enumerate(args):
+            head = F.when(state["turn"] == i, F.get(a, state[f"i{i}"])).otherwise(head)
+        return _with(state, head, move)
 
-    first = F.struct(F.lit(-1).alias("skip"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(args[0], first, step, lambda s: s["out"])
+    turns = F.size(args[0]) * (len(args) + 1) + len(args) + 1
+    for a in args:
+        turns = turns + F.size(a)
+    first = F.struct(*_cursors(args, lambda i: F.lit(0)), F.lit(0).alias("turn"), F.lit(-1).alias("reached"), F.lit(-1).alias("skip"), *_empty())
+    return _swept(args, first, step, turns)
 
 
 def within(args: list[Column], width: int) -> Column:
     """Largest positions of places where all arguments stand within ``width``, in any order; every match uses its positions up.
 
-    The state is one index per argument; a step advances all on a match, and otherwise those at the least position.
+    The state is one cursor per argument; a step advances all on a match, and otherwise those at the least position.
     """
     return _bound(args, lambda bound: _within(bound, width))
 
 
 def _within(args: list[Column], width: int) -> Column:
-    steps = F.lit(0)
+    turns = F.lit(1)
     for a in args:
-        steps = steps + F.size(a)
+        turns = turns + F.size(a)
+
+    def move(state, h):
+        each = [h[f"h{i}"] for i in range(len(args))]
+        low, high = (F.least(*each), F.greatest(*each)) if len(each) > 1 else (each[0], each[0])
+        hit, over = high - low < width, F.lit(False)
+        for x in each:
+            over = over | x.isNull()
+        moved = F.struct(*_cursors(args, lambda i: state[f"i{i}"] + F.when(hit | (each[i] == low), 1).otherwise(0)), *_kept(state, high, hit))
+        return F.when(over, state).otherwise(moved)
 
     def step(state, _):
-        def move(h):
-            low, high = F.array_min(h), F.array_max(h)
-            hit = high - low < width
-            ahead = F.transform(h, lambda x, i: F.get(state["at"], i) + F.when(hit | (x == low), 1).otherwise(0))
-            out = F.when(hit, F.concat(state["out"], F.array(high))).otherwise(state["out"])
-            return F.when(F.exists(h, lambda x: x.isNull()), state).otherwise(F.struct(ahead.alias("at"), out.alias("out")))
-
-        return let(F.array(*(F.get(a, state["at"][i]) for i, a in enumerate(args))), move)
-
-    none = F.array().cast("array<int>")
-    first = F.struct(F.array(*(F.lit(0) for _ in args)).alias("at"), none.alias("out"))
-    turns = F.when(steps > 0, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(none)
-    empty = F.lit(False)
-    for a in args:
-        empty = empty | (F.size(a) == 0)
-    return F.when(empty, none).otherwise(F.aggregate(turns, first, step, lambda s: s["out"]))
+        return _with(state, F.struct(*(F.get(a, state[f"i{i}"]).alias(f"h{i}") for i, a in enumerate(args))), move)
+
+    first = F.struct(*_cursors(args, lambda i: F.lit(0)), *_empty())
+    return _swept(args, first, step, turns)
 
 
 def synonyms(args: list[Column]) -> Column:

@@ -217,17 +217,17 @@ def scored(index: Index, queries: dict[str, str], model: Model, keep: tuple[str,
     return scored_trees(index, {q: t for q, t in trees.items() if t}, model, keep)
 
 
-def scored_trees(index: Index, trees: dict[str, Node], model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep: stored columns that come along."""
+def scored_trees(index: Index, trees: dict[str, Node], model: Model, keep: tuple[str, ...] = (), gather=gathered, count=statistics) -> DataFrame:
+    """keep: stored columns that come along. gather: what brings the postings of nodes together by document. count: what gives their statistics as one row."""
     plan = _Plan(list(trees.values()))
     if not plan.nodes:
         return index.table("documents").select(F.lit("").alias("qid"), "doc_id", *keep, F.lit(0.0).alias("score")).filter("false")
-    rows, held = gathered(index, list(plan.nodes))
+    rows, held = gather(index, list(plan.nodes))
     counted = rows.select("doc_id", *(f"dl_{f}" for f in plan.fields), *(frequency_of(n, held).alias(f"tf_{c}") for n, c in plan.nodes.items()))
     elsewhere = plan.fields if model.name == "indri" and len(plan.fields) > 1 else []  # lengths of fields that hold none of the terms
     if keep or elsewhere:
         counted = counted.drop(*(f"dl_{f}" for f in elsewhere)).join(index.table("documents").select("doc_id", *keep, *(f"dl_{f}" for f in elsewhere)), "doc_id")
-    stats = statistics(index, plan.fields, {n: c for n, c in plan.nodes.items() if n.op == "term"})
+    stats = count(index, plan.fields, {n: c for n, c in plan.nodes.items() if n.op == "term"})
     others = [c for n, c in plan.nodes.items() if n.op != "term"]
     if others:
         found = counted.agg(*(F.count_if(F.col(f"tf_{c}") > 0).alias(f"df_{c}") for c in others), *(F.coalesce(F.sum(f"tf_{c}"), F.lit(0)).alias(f"ctf_{c}") for c in others))

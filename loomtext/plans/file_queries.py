@@ -163,7 +163,7 @@ def query_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index opened by its path, switched to, and one list scanned."""
     indexes = Indexes(spark)
-    indexes.open(documents_index(spark, sf_dir, stop=T.STOPWORDS).path, T.STOPWORDS)
+    indexes.open(documents_index(spark, sf_dir, stop=T.STOPWORDS).path)
     path = documents_index(spark, sf_dir).path
     indexes.open(path)
     indexes.switch(path)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomtext.functions.text import STOPWORDS
 from loomtext.operators import proximity
 from loomtext.operators.corpus import Corpus
-from loomtext.operators.index import Index, index_of
+from loomtext.operators.index import Index, index_of, kept_at, written_when
+from loomtext.plans.bounded import bounded_search
 from loomtext.plans.compile import Model, positional, search
 from loomtext.plans.query import Node, parse, wrap
 
@@ -359,3 +360,55 @@ SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of ten results."""
     return search(documents_index(spark, sf_dir), {"q1": "aich that"}, Model("bm25"), k=30).filter("rank > 20")
+
+
+_BATCHES = 5
+
+
+def segmented_index(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of ``documents`` that has grown by batches: a base, then one batch after another, small segments merged. Opened by its path alone."""
+    docs, source = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{sf_dir}/documents.parquet"
+    path = kept_at(spark, "segments", source, written_when(spark, source))
+    batch = lambda i: docs.filter(F.pmod("doc_id", F.lit(_BATCHES)) == i)  # noqa: E731  all together are the table
+    try:
+        index = Index.open(spark, path)
+    except ValueError:
+        index = Index.build(Corpus(batch(0)), path)
+    for i in range(index.manifest["appended"], _BATCHES):
+        index = index.append(batch(i))
+    return Index.open(spark, path)
+
+
+@query(f"WITH {BASE}, {terms_sql('aich', 'aien', 'that')} " + ranked_sql(f"SELECT doc_id, sum({BM25_TF}) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id"))
+def segments_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(segmented_index(spark, sf_dir), {"q1": "aich aien that"}, Model("bm25"))
+
+
+@query(f"WITH {BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS ctf FROM t GROUP BY term")
+def segments_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary summed over segments."""
+    return segmented_index(spark, sf_dir).dictionary()
+
+
+@query(f"WITH {BASE} SELECT 'body' AS field, n::BIGINT AS num_docs, dc::BIGINT AS doc_count, c::BIGINT AS sum_tf, round(c / dc, 6) AS avg_len FROM s")
+def segments_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics summed over segments, from the manifest."""
+    return segmented_index(spark, sf_dir).field_stats().withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {BASE}, {terms_sql('aich', 'aien', 'that')} " + ranked_sql(f"SELECT doc_id, sum({BM25_TF}) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id", k=10))
+def bounded_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best by document ranges and their bounds, over the segments."""
+    return bounded_search(segmented_index(spark, sf_dir), {"q1": "aich aien that"}, k=10).rows
+
+
+@query(
+    f"WITH {BASE}, {terms_sql('aich', 'aien', 'that', 'the')} "
+    + " UNION ALL ".join(
+        ranked_sql(f"SELECT doc_id, sum({BM25_TF} * CASE WHEN term = 'aien' THEN {n} ELSE 1 END) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s WHERE term IN ({ts}) GROUP BY doc_id", q, 10)
+        for q, ts, n in (("q1", "'aich', 'that'", 1), ("q2", "'aien', 'that', 'the'", 2))
+    )
+)
+def bounded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two queries, one with a term twice and one that lowers scores, by ranges that both share."""
+    return bounded_search(documents_index(spark, sf_dir), {"q1": "aich that", "q2": "aien aien that the"}, k=10).rows

@@ -68,7 +68,7 @@ def test_index_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     made = Index.build(corpus, path)
     indexes = Indexes(spark)
-    indexes.open(path, ("the",))
+    indexes.open(path)
     assert {r["doc_id"]: (r["tf"], r["positions"]) for r in indexes.scan("cat").collect()} == {1: (1, [1]), 2: (1, [0])}
     assert indexes.scan("the").count() == 0
     with pytest.raises(ValueError):

@@ -52,8 +52,27 @@ def test_hand_cases(spark):
     assert run(spark, lambda a: proximity.near(a, 9), [([1, 3], [2, 5], [4, 6])]) == [[4]]
 
 
-def test_folds_equal_walks(spark):
+def test_sweeps_equal_walks(spark):
     rng = random.Random(5)
     cases = [tuple(sorted(rng.sample(range(30), rng.randint(0, 8))) for _ in range(3)) for _ in range(300)]
     assert run(spark, lambda a: proximity.near(a, 4), cases) == [near_walk(c, 4) for c in cases]
     assert run(spark, lambda a: proximity.within(a, 6), cases) == [window_walk(c, 6) if all(c) else [] for c in cases]
+
+
+def test_sweeps_are_linear(spark):
+    """Four times the positions take about four times as long, with a match at every other place and with none."""
+    import time
+
+    def seconds(n, fold, step):
+        lists = [[step * i + k for i in range(n)] for k in range(3)]
+        rows = spark.createDataFrame([(i, *lists) for i in range(2)], "i int, a array<int>, b array<int>, c array<int>")
+        best = 1e9
+        for _ in range(3):
+            start = time.perf_counter()
+            found = rows.select(F.size(fold([F.col("a"), F.col("b"), F.col("c")])).alias("n")).collect()[0]["n"]
+            best = min(best, time.perf_counter() - start)
+        return best, found
+
+    for fold in (lambda a: proximity.near(a, 3), lambda a: proximity.within(a, 4)):
+        (few, n), (many, m) = seconds(4000, fold, 5), seconds(16000, fold, 5)
+        assert (n, m) == (4000, 16000) and many < 8 * few + 0.5
