@@ -14,16 +14,18 @@ def expansion_terms(index: Index, best: DataFrame, terms: int = 20, mu: float =
     """qid, term, weight: every term t of the feedback documents d (best: qid, doc_id, score) by
     the sum of (tf + mu p) / (len + mu) * score * ln(1 / p), p being t's share of the collection.
     """
-    few = best.select("qid", "doc_id", "score").limit(BY_ID + 1).collect()
+    best = best.select("qid", "doc_id", "score")
+    few = best.limit(BY_ID + 1).collect()
+    ids = None
     if len(few) <= BY_ID:
-        best = index.spark.createDataFrame(few, "qid string, doc_id long, score double")
-        vectors = index.term_vectors(sorted({r["doc_id"] for r in few}))
-    else:
-        vectors = index.term_vectors()
-    docs = best.select("qid", "doc_id", "score").join(vectors.select("doc_id", F.col("dl").alias("len")).distinct(), "doc_id")
+        best, ids = index.spark.createDataFrame(few, best.schema), sorted({r["doc_id"] for r in few})
+    docs = best.join(index.documents_of(best, ids).select("doc_id", F.col("dl_body").alias("len")), "doc_id")
+    vectors = index.of_documents(index.term_vectors(), best, ids)
     tf = vectors.join(best.select("qid", "doc_id"), "doc_id").filter(~F.col("term").rlike("[.,]")).select("qid", "doc_id", "term", "tf")
     pairs = tf.select("qid", "term").distinct().join(docs, "qid").join(tf, ["qid", "doc_id", "term"], "left")
-    ctf = index.dictionary().select("term", "ctf")
+    named = [r[0] for r in tf.select("term").distinct().limit(BY_ID + 1).collect()] if ids is not None else []
+    ctf = index.dictionary(terms=sorted(named)) if 0 < len(named) <= BY_ID else index.dictionary().join(tf.select("term").distinct(), "term", "left_semi")
+    ctf = ctf.select("term", "ctf")
     total = index.table("fields").filter(F.col("field") == "body").select(F.col("sum_tf").cast("double").alias("c"))
     p = F.col("ctf").cast("double") / F.col("c")
     weight = (F.coalesce("tf", F.lit(0)) + F.lit(mu) * p) / (F.col("len") + F.lit(mu)) * F.col("score") * F.ln(F.lit(1.0) / p)

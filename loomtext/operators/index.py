@@ -250,13 +250,21 @@ class Index:
         own = self.table("vectors").filter(F.col("field") == name)
         return (own if doc_ids is None else own.filter(F.col("doc_id").isin(*doc_ids))).select("doc_id", "term", "tf", "positions", "dl")
 
-    def documents_of(self, rows: DataFrame) -> DataFrame:
-        """Lengths and stored columns of the documents that rows (doc_id) name: by their ids if they are few, so that the scan skips the others, else by a join."""
+    @staticmethod
+    def ids_of(rows: DataFrame) -> list | None:
+        """The ids that rows (doc_id) name, if they are at most BY_ID."""
         ids = [r[0] for r in rows.select("doc_id").distinct().limit(BY_ID + 1).collect()]
-        documents = self.table("documents")
-        if len(ids) <= BY_ID:
-            return documents.filter(F.col("doc_id").isin(*sorted(ids))) if ids else documents.filter("false")
-        return documents.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        return sorted(i for i in ids if i is not None) if len(ids) <= BY_ID else None
+
+    def of_documents(self, table: DataFrame, rows: DataFrame, ids: list | None) -> DataFrame:
+        """The rows of a table for the documents that rows name: by their ids if they are few, so that the scan skips the others, else by a join."""
+        if ids is None:
+            return table.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        return table.filter(F.col("doc_id").isin(*ids)) if ids else table.filter("false")
+
+    def documents_of(self, rows: DataFrame, ids: list | None) -> DataFrame:
+        """Lengths and stored columns of the documents that rows name."""
+        return self.of_documents(self.table("documents"), rows, ids)
 
     def field_stats(self) -> DataFrame:
         """field, num_docs, doc_count, sum_tf, avg_len."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import text as T
+from loomtext.operators import ranksvm
 from loomtext.operators.index import Index
+from loomtext.operators.ranksvm import Ranker
 from loomtext.plans.compile import Model, gathered, search, statistics
 from loomtext.plans.query import Node
 from loomtext.storage import settle
@@ -30,9 +32,10 @@ def raw_features(index: Index, queries: dict[str, list[str]], spam: Column, page
     best = search(index, {q: " ".join(ts) for q, ts in queries.items()}, bm25, k).select("qid", "doc_id", "rank")
     best = settle(best, "candidates")  # k rows a query at most, read twice
     few = F.broadcast if k * len(queries) <= BROADCAST_ROWS else (lambda rows: rows)
-    docs = index.documents_of(best)
+    ids = index.ids_of(best)
+    docs = index.documents_of(best, ids)
     own = docs.select("doc_id", spam.cast("double").alias("f1"), T.url_depth(url).cast("double").alias("f2"), T.is_wikipedia(url).cast("double").alias("f3"), F.coalesce(page_rank, F.lit(0.0)).alias("f4"), F.col("sq_body").alias("squares"), *(F.col(f"dl_{f}").cast("double").alias(f"dl_{f}") for f in FIELDS))
-    found, held = gathered(index, list(node.values()))
+    found, held = gathered(index, list(node.values()), lambda lists: index.of_documents(lists, best, ids))
     counts = found.select("doc_id", *(F.col(f"tf_{held[n]}").cast("double").alias(f"tf_{f}_{place[t]}") for (f, t), n in node.items()))
     names = [f"tf_{f}_{i}" for f in FIELDS for i in place.values()]
     stats = statistics(index, list(FIELDS), {n: f"{f}_{place[t]}" for (f, t), n in node.items()})
@@ -90,21 +93,11 @@ def svm_light(features: DataFrame, relevance: Column) -> DataFrame:
     return features.select("qid", "doc_id", F.concat(relevance.cast("int").cast("string"), F.lit(" qid:"), F.col("qid"), F.lit(" "), values, F.lit(" # "), F.col("doc_id").cast("string")).alias("line"))
 
 
-def rerank(features: DataFrame, relevance: Column, cost: float = 0.001) -> DataFrame:
-    """Trains a linear ranker on differences of features within each query, and sorts by its score, ties by the rank before."""
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def train(features: DataFrame, relevance: Column, cost: float = 0.001) -> Ranker:
+    """A linear ranker of the features that are there."""
+    return ranksvm.train(features, relevance, tuple(f for f in FEATURES if f in features.columns), cost)
 
-    cols = [f for f in FEATURES if f in features.columns]
-    labelled = features.withColumn("rel", relevance.cast("int"))
-    a, b = labelled.alias("a"), labelled.alias("b")
-    pairs = a.join(b, (F.col("a.qid") == F.col("b.qid")) & (F.col("a.rel") != F.col("b.rel")))
-    differences = pairs.select((F.col("a.rel") > F.col("b.rel")).cast("double").alias("label"), *((F.col(f"a.{f}") - F.col(f"b.{f}")).alias(f) for f in cols))
-    vectors = VectorAssembler(inputCols=cols, outputCol="features")
-    model = LinearSVC(regParam=cost, fitIntercept=False, maxIter=50).fit(vectors.transform(differences))
-    weights = F.array(*map(F.lit, model.coefficients.toArray().tolist()))
-    products = F.zip_with(vector_to_array("features"), weights, lambda x, y: x * y)
-    scored = vectors.transform(features).withColumn("score", F.round(F.aggregate(products, F.lit(0.0), lambda s, x: s + x), 6))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank"))
-    return scored.select("qid", "doc_id", "score", place.cast("long").alias("new_rank"))
+
+def rerank(features: DataFrame, relevance: Column, cost: float = 0.001, tests: DataFrame | None = None) -> DataFrame:
+    """Trains a ranker on some queries' features and ranks those of ``tests``, queries of their own, or the same: qid, doc_id, score, new_rank."""
+    return train(features, relevance, cost).rank(features if tests is None else tests)

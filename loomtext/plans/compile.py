@@ -84,15 +84,18 @@ def _counted(node: Node) -> bool:
     return node.op == "term" or node.op == "syn" and all(a.op == "term" for a in node.args)
 
 
-def gathered(index: Index, nodes: list[Node]) -> tuple[DataFrame, dict[Node, str]]:
-    """One row per document that holds a term of the nodes: doc_id, dl_<field> where it does, tf_<name>, pos_<name>; and the terms' names."""
+def gathered(index: Index, nodes: list[Node], only=lambda rows: rows) -> tuple[DataFrame, dict[Node, str]]:
+    """One row per document that holds a term of the nodes: doc_id, dl_<field> where it does, tf_<name>, pos_<name>; and the terms' names.
+
+    only: takes what is wanted of the postings before they meet.
+    """
     placed = list(dict.fromkeys(t for n in nodes if not _counted(n) for t in terms_of(n)))
     held = {t: f"t{i}" for i, t in enumerate(dict.fromkeys(t for n in nodes for t in terms_of(n)))}
     fields = list(dict.fromkeys(t.field for t in held))
     columns = ("term", "doc_id", "tf", "dl", *(("positions",) if placed else ()))
     rows = None
     for f in fields:
-        own = index.postings([t.term for t in held if t.field == f], f, columns).withColumn("of", F.lit(f))
+        own = only(index.postings([t.term for t in held if t.field == f], f, columns)).withColumn("of", F.lit(f))
         rows = own if rows is None else rows.unionByName(own)
     here = lambda t: (F.col("of") == t.field) & (F.col("term") == t.term)
     return rows.groupBy("doc_id").agg(

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.operators import diversity, feedback, ltor
+from loomtext.operators import diversity, feedback, ltor, ranksvm
+from loomtext.operators.ranksvm import Ranker
 from loomtext.plans.compile import Model, search
 from loomtext.plans.retrieval_queries import BASE, BM25_TF, INDRI, PAGES, documents_index, pages_index, ranked_sql, terms_sql
 
@@ -69,11 +70,11 @@ _TERMS = {"q1": ["of", "the", "the"], "q2": ["que", "de"]}
 _FEATURES = [f"f{i}" for i in range(1, 19)]
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _features(spark: SparkSession, sf_dir: str, terms: dict[str, list[str]] = _TERMS) -> DataFrame:
     index = pages_index(spark, sf_dir)
     spam = F.col("doc_id") % 100
     page_rank = F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") * 37 % 101).cast("double") / 10)
-    return ltor.raw_features(index, _TERMS, spam, page_rank, F.col("raw_url"))
+    return ltor.raw_features(index, terms, spam, page_rank, F.col("raw_url"))
 
 
 def _features_sql() -> str:
@@ -124,7 +125,34 @@ def svmlight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ltor_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ltor.rerank(_scaled(spark, sf_dir), F.col("doc_id") % 3)
+    """Trained on two queries, the ranker orders two others."""
+    tests = ltor.scaled(_features(spark, sf_dir, {"q3": ["la", "el"], "q4": ["and", "of"]})).select("qid", "doc_id", "rank", *(F.round(f, 6).alias(f) for f in _FEATURES))
+    return ltor.rerank(_scaled(spark, sf_dir), F.col("doc_id") % 3, tests=tests)
+
+
+_WEIGHTS = tuple((i * 7 % 11 - 5) / 4 for i in range(1, 19))
+_WEIGHED = " + ".join(f"({w}::DOUBLE * {f})" for w, f in zip(_WEIGHTS, _FEATURES))
+
+
+@query(
+    f"WITH {_features_sql()}, sc AS (SELECT qid, doc_id, rank, {_SCALED} FROM raw WINDOW w AS (PARTITION BY qid)), r AS (SELECT qid, doc_id, rank, round({_WEIGHED}, 6) AS score FROM sc) "
+    "SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, doc_id) AS new_rank FROM r"
+)
+def ltor_ranked_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking step under a model that is given."""
+    return Ranker(tuple(_FEATURES), _WEIGHTS).rank(_scaled(spark, sf_dir))
+
+
+@query(
+    f"WITH {_features_sql()}, sc AS (SELECT qid, doc_id, rank, {_SCALED} FROM raw WINDOW w AS (PARTITION BY qid)), r AS MATERIALIZED (SELECT qid, doc_id, doc_id % 3 AS rel, round({_WEIGHED}, 6) AS s FROM sc) "
+    """SELECT a.qid, a.doc_id, count(*) FILTER (WHERE a.rel > b.rel AND b.s >= a.s - 1::DOUBLE) AS n_over, count(*) FILTER (WHERE a.rel < b.rel AND b.s <= a.s + 1::DOUBLE) AS n_under
+FROM r a JOIN r b USING (qid) GROUP BY a.qid, a.doc_id"""
+)
+def ltor_violated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document stands in a pair that a model violates, counted without pairs."""
+    rows = _scaled(spark, sf_dir)
+    score = Ranker(tuple(_FEATURES), _WEIGHTS).rank(rows).select("qid", "doc_id", (F.col("doc_id") % 3).cast("int").alias("rel"), F.col("score").alias("s"))
+    return ranksvm.pair_counts(score, [0, 1, 2]).select("qid", "doc_id", "n_over", "n_under")
 
 
 _RUNS = {"q1": "aich that", "q1.1": "aich", "q1.2": "that of", "q2": "of in", "q2.1": "of", "q2.2": "in to"}
