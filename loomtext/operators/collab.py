@@ -6,10 +6,15 @@ import os.path
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from loomtext.operators.rope import Rope, moved
+
 #: Result codes and their messages; 999 stands for what is unknown.
 MESSAGES = {
     "000": "Success",
@@ -84,18 +89,18 @@ def with_messages(rows: DataFrame, code: str = "code") -> DataFrame:
     return rows.withColumn("message", F.coalesce(F.try_element_at(table, F.col(code)), F.lit(MESSAGES["999"])))
 
 
-def delete(docs: DataFrame, shares: DataFrame, notices: DataFrame, doc_id: int, user: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Documents, shares and notices after a user deletes a document, and the code.
+def delete(docs: DataFrame, shares: DataFrame, notices: DataFrame, doc_id: int | None, user: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, shares and notices after a user deletes a document, or all that are theirs (None), and the code.
 
     The owner marks it deleted and its notices go; one it is shared with only leaves it.
     """
-    mine = (F.col("doc_id") == doc_id) & (F.col("creator") == user)
+    named = F.lit(True) if doc_id is None else F.col("doc_id") == doc_id
+    mine, with_me = named & (F.col("creator") == user), named & (F.col("user_id") == user)
     owner = docs.filter(mine).select("doc_id")
     after = docs.withColumn("is_delete", F.when(mine, "1").otherwise(F.col("is_delete")))
-    left = shares.filter(~((F.col("doc_id") == doc_id) & (F.col("user_id") == user)))
+    left = shares.filter(~with_me)
     kept = notices.join(owner, "doc_id", "left_anti")
-    share = shares.filter((F.col("doc_id") == doc_id) & (F.col("user_id") == user)).select("doc_id")
-    code = owner.unionByName(share).agg(F.when(F.count("*") > 0, "000").otherwise("111").alias("code"))
+    code = owner.unionByName(shares.filter(with_me).select("doc_id")).agg(F.when(F.count("*") > 0, "000").otherwise("111").alias("code"))
     return after, left, kept, code
 
 
@@ -143,13 +148,62 @@ def splice(text: Column, action: Column, start: Column, end: Column, content: Co
     return F.concat(F.substring(text, F.lit(1), low), middle, F.substring(text, after + 1, n))
 
 
+_EDIT = ("doc_id", "seq", "action", "start", "end", "content")
+
+
 def fold_edits(edits: DataFrame, initial: DataFrame | None = None, client: bool = False) -> DataFrame:
-    """doc_id, content, n_edits after all edits (doc_id, seq, action, start, end, content) in order of seq."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "action", "start", "end", "content")))
-    per = edits.groupBy("doc_id").agg(ordered.alias("edits"))
-    per = per.join(initial, "doc_id", "left") if initial is not None else per.withColumn("text", F.lit(""))
-    folded = F.aggregate("edits", F.coalesce("text", F.lit("")), lambda t, e: splice(t, e["action"], e["start"], e["end"], e["content"], client))
-    return per.select("doc_id", folded.alias("content"), F.size("edits").cast("long").alias("n_edits"))
+    """doc_id, content, n_edits after all edits (doc_id, seq, action, start, end, content) in order of seq.
+
+    Edits are dealt out by document, sorted, and streamed through a rope (``operators.rope``), so a task holds one
+    document's text and an edit costs the same whether it is the first or the hundred thousandth. Edits with a
+    ``base`` were made against that version of the document (the number of edits before it) and are rebased: their
+    places move with the edits since. initial: doc_id, text of documents before their edits; those without edits have no row.
+    """
+    based = "base" in edits.columns
+    columns = [*(F.col(c) for c in _EDIT), (F.col("base") if based else F.lit(None)).cast("long").alias("base")]
+    rows = edits.select(*columns).withColumn("first", F.lit(1))
+    if initial is not None:
+        known = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("seq", "action", "start", "end")]
+        rows = rows.unionByName(initial.select("doc_id", *known, F.col("text").alias("content"), F.lit(None).cast("long").alias("base"), F.lit(0).alias("first")))
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "first", "seq", "action", "start", "end", "content")
+    schema = T.StructType([edits.schema["doc_id"], T.StructField("content", T.StringType()), T.StructField("n_edits", T.LongType())])
+
+    def run(batches):
+        names = schema.fieldNames()
+        key, rope, done, n, begun = None, Rope(), [], 0, False
+
+        def out():
+            return [(key, rope.text(), n)] if begun and n else []
+
+        for batch in batches:
+            made = []
+            for doc_id, _, action, start, end, content, base, first in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or doc_id != key:
+                    made += out()
+                    key, rope, done, n, begun = doc_id, Rope(), [], 0, True
+                if first == 0:
+                    rope = Rope(content or "")
+                    continue
+                start, end = rebased(start, end, done[base:] if base is not None else ())
+                done_now = rope.edit(action, start, end, content, client)
+                n += 1
+                if based:
+                    done.append(done_now)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names)
+        if out():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out()), types)], names)
+
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    return ordered.mapInArrow(run, schema)
+
+
+def rebased(start: int | None, end: int | None, since) -> tuple[int, int]:
+    """An edit's places after the edits made since its version."""
+    start, end = start or 0, end or 0
+    for low, high, put in since:
+        start, end = moved(start, low, high, put), moved(end, low, high, put)
+    return start, end
 
 
 def caret(position: Column, end: Column, action: Column, start: Column, content: Column) -> Column:

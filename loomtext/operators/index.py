@@ -21,17 +21,15 @@ are analysed by what the index holds.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators.corpus import Corpus
-from loomtext.storage import shared_folder
+from loomtext.storage import commit_manifest, hadoop_path, latest_manifest, shared_folder
 
 _SCHEMAS = {
     "postings": "term string, doc_id {id}, tf long, positions array<int>, dl long, field string",
@@ -61,11 +59,6 @@ def squared(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(tokens), first, step, lambda s: s["s"] + s["n"] * s["n"])
 
 
-def _path(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 class Index:
     """An index under a path, as one version of its manifest has it."""
 
@@ -76,28 +69,14 @@ class Index:
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
         """The latest version of an index. Raises ValueError where there is none."""
-        fs, where = _path(spark, f"{path}/manifest")
-        names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
-        if not names:
+        manifest = latest_manifest(spark, path)
+        if manifest is None:
             raise ValueError(f"no index at {path}")
-        stream = fs.open(_path(spark, f"{path}/manifest/{names[-1]}")[1])
-        try:
-            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Index(spark, path, json.loads(text))
+        return Index(spark, path, manifest)
 
     def _commit(self, **changes) -> Index:
-        """The next version. Raises if another writer has made it."""
-        manifest = self.manifest | changes | {"version": self.manifest["version"] + 1}
-        fs, where = _path(self.spark, f"{self.path}/manifest/{manifest['version']:08d}.json")
-        try:
-            out = fs.create(where, False)
-        except Py4JJavaError as e:
-            raise RuntimeError(f"version {manifest['version']} of the index at {self.path} has been written by another") from e
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        return Index(self.spark, self.path, manifest)
+        """The next version."""
+        return Index(self.spark, self.path, commit_manifest(self.spark, self.path, self.manifest | changes))
 
     @property
     def segments(self) -> list[dict]:
@@ -175,10 +154,10 @@ class Index:
 
     def vacuum(self) -> list[str]:
         """Deletes the segments that this version does not name, and returns their names. Readers of earlier versions lose them."""
-        fs, where = _path(self.spark, f"{self.path}/segments")
+        fs, where = hadoop_path(self.spark, f"{self.path}/segments")
         gone = sorted({x.getPath().getName() for x in fs.listStatus(where)} - {s["name"] for s in self.segments})
         for name in gone:
-            fs.delete(_path(self.spark, f"{self.path}/segments/{name}")[1], True)
+            fs.delete(hadoop_path(self.spark, f"{self.path}/segments/{name}")[1], True)
         return gone
 
     def _analysed(self, corpus: Corpus) -> dict:
@@ -277,7 +256,7 @@ class Index:
 
 def written_when(spark: SparkSession, path: str) -> tuple:
     """Time and size of a table's files, which tell whether an index of it still holds."""
-    fs, where = _path(spark, path)
+    fs, where = hadoop_path(spark, path)
     return fs.getFileStatus(where).getModificationTime(), fs.getContentSummary(where).getLength()
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtext.functions import text as T
-from loomtext.operators import collab, markdown
+from loomtext.operators import changes, collab, markdown
+from loomtext.operators.changes import ChangeLog
 from loomtext.plans.retrieval_queries import pages_corpus
+from loomtext.storage import new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,9 +93,8 @@ def access_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS}, {_NOTICES} SELECT count(*) AS left_notices, count(*) FILTER (WHERE has_read = '0') AS left_unread FROM notices WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE creator = 7)")
 def soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notices that are left when customer 7 deletes all its documents: an anti-join."""
-    mine = _docs(spark, sf_dir).filter(F.col("creator") == 7).select("doc_id")
-    left = _notices(spark, sf_dir).join(mine, "doc_id", "left_anti")
+    """Notices that are left when customer 7 deletes all its documents."""
+    _, _, left, _ = collab.delete(_docs(spark, sf_dir).withColumn("is_delete", F.lit("0")), _shares(spark, sf_dir), _notices(spark, sf_dir), None, 7)
     return left.agg(F.count("*").alias("left_notices"), F.count_if(F.col("has_read") == "0").alias("left_unread"))
 
 
@@ -451,3 +452,52 @@ SELECT st.doc_id, content, n AS n_edits FROM st JOIN n ON n.doc_id = st.doc_id A
 def edit_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The browser's fold: an add removes its range as well."""
     return collab.fold_edits(edits_of(_table(spark, sf_dir, "conversations")), client=True)
+
+
+def _change_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Documents are made of orders, shared with suppliers and renamed between their third and fourth share; then shares end and documents are deleted or left."""
+    key, line, later = F.col("o_orderkey"), F.col("l_linenumber"), F.lit(10**12).cast("long")
+    orders = _table(spark, sf_dir, "orders")
+    lines = _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == key)
+    change = lambda rows, seq, kind, by, user=None, title=None, content=None: rows.select(
+        seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), key.cast("long").alias("doc_id"), by.cast("long").alias("by"), (F.lit(None) if user is None else user).cast("long").alias("user_id"),
+        (F.lit(None) if title is None else title).cast("string").alias("title"), (F.lit(None) if content is None else content).cast("string").alias("content"))
+    owner, user = F.col("o_custkey"), F.col("l_suppkey")
+    made = change(orders, key, "create", owner, title=F.col("o_orderpriority"), content=F.concat(F.lit("text "), key.cast("string")))
+    shared = change(lines, later + key * 1000 + line * 100, "share", F.when(line % 5 != 0, owner).otherwise(-1), user)
+    renamed = change(orders.filter(key % 3 == 0), later + key * 1000 + 350, "rename", F.when(key % 2 == 0, owner).otherwise(-1), title=F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("new "), key.cast("string"))))
+    ended = change(lines.filter((line == 1) & (key % 2 == 1)), 2 * later + key * 10 + 1, "unshare", owner, user)
+    deleted = change(orders.filter(key % 7 == 0), 2 * later + key * 10 + 5, "delete", owner).unionByName(change(lines.filter((line == 2) & (key % 7 == 1)), 2 * later + key * 10 + 5, "delete", user))
+    return [made, shared.unionByName(renamed), ended.unionByName(deleted)]
+
+
+def _change_log(spark: SparkSession, sf_dir: str) -> ChangeLog:
+    log = ChangeLog.open(spark, new_path(spark, "changes"))
+    made, shared, ended = _change_batches(spark, sf_dir)
+    return log.append(made).append(shared).compact().append(ended)
+
+
+_CHANGED = "o AS (SELECT o_orderkey::BIGINT AS k, o_custkey::BIGINT AS c, o_orderpriority AS t FROM orders), l AS (SELECT k, c, l_linenumber AS n, l_suppkey::BIGINT AS u FROM lineitem JOIN o ON k = l_orderkey)"
+
+
+@query(
+    f"""WITH {_CHANGED} SELECT k AS doc_id, CASE WHEN k % 6 = 0 AND k % 4 <> 0 THEN 'new ' || k::VARCHAR ELSE t END AS title, c AS creator, 'text ' || k::VARCHAR AS content,
+  CASE WHEN k % 7 = 0 OR k % 7 = 1 AND EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND n = 2 AND u = c) THEN '1' ELSE '0' END AS is_delete FROM o"""
+)
+def change_log_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a log of changes has them, compacted on the way."""
+    return _change_log(spark, sf_dir).documents()
+
+
+@query(
+    f"""WITH {_CHANGED} SELECT DISTINCT k AS doc_id, u AS user_id FROM l WHERE n % 5 <> 0 AND NOT (k % 6 = 0 AND n * 100 < 350)
+  AND NOT (k % 2 = 1 AND EXISTS (SELECT 1 FROM l m WHERE m.k = l.k AND m.u = l.u AND m.n = 1)) AND NOT (k % 7 = 1 AND u <> c AND EXISTS (SELECT 1 FROM l m WHERE m.k = l.k AND m.u = l.u AND m.n = 2))"""
+)
+def change_log_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _change_log(spark, sf_dir).shares()
+
+
+@query(f"WITH {_CHANGED}, {_NOTICES}, gone AS (SELECT k FROM o WHERE k % 7 = 0 OR k % 7 = 1 AND EXISTS (SELECT 1 FROM l WHERE l.k = o.k AND n = 2 AND u = c)) SELECT nid, doc_id, receiver FROM notices WHERE doc_id NOT IN (SELECT k FROM gone)")
+def change_log_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices of documents that the log has not deleted."""
+    return changes.notices_left(_notices(spark, sf_dir), _change_log(spark, sf_dir).documents()).select("nid", "doc_id", "receiver")

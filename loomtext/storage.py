@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,3 +59,35 @@ class Scratch:
         for df in self.held:
             discard(df)
         self.held.clear()
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system and the path of a uri, as Spark itself reads it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def latest_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of highest version under a path, if there is one."""
+    fs, where = hadoop_path(spark, f"{path}/manifest")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+    if not names:
+        return None
+    stream = fs.open(hadoop_path(spark, f"{path}/manifest/{names[-1]}")[1])
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_manifest(spark: SparkSession, path: str, manifest: dict) -> dict:
+    """Writes a manifest as the next version: a file that is created once. Raises RuntimeError if another writer has made that version."""
+    manifest = manifest | {"version": manifest["version"] + 1}
+    fs, where = hadoop_path(spark, f"{path}/manifest/{manifest['version']:08d}.json")
+    try:
+        out = fs.create(where, False)
+    except Py4JJavaError as e:
+        raise RuntimeError(f"version {manifest['version']} at {path} has been written by another") from e
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    return manifest
