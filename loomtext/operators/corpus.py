@@ -12,7 +12,7 @@ from loomtext.functions import text as T
 
 @dataclass(frozen=True)
 class Corpus:
-    """Documents with an id and one text column per field, stopwords, and a stemmer (none or porter)."""
+    """Documents with an id and one text column per field, stopwords, a stemmer (none, porter or dictionary) and the rule that cuts tokens (runs or words)."""
 
     docs: DataFrame
     id: str = "doc_id"
@@ -20,6 +20,7 @@ class Corpus:
     stop: tuple[str, ...] = ()
     possessive: bool = False
     stemmer: str = "none"
+    rule: str = "runs"
 
     @staticmethod
     def documents(spark: SparkSession, sf_dir: str, **options) -> Corpus:
@@ -27,7 +28,7 @@ class Corpus:
 
     def tokens_of(self, name: str) -> Column:
         """Tokens of a field, stopwords included, as their positions count."""
-        return T.tokens(F.col(self.fields[name]), possessive=self.possessive)
+        return T.tokens(F.col(self.fields[name]), possessive=self.possessive, rule=self.rule)
 
     def tokenised(self, names: list[str] | None = None) -> DataFrame:
         """id and ``tok_<field>`` arrays."""

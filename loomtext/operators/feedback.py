@@ -50,7 +50,7 @@ def expanded_search(index: Index, queries: dict[str, str], model: Model, docs: i
         found.setdefault(r["qid"], []).append((round(r["weight"], 4), r["term"]))
     trees = {}
     for qid, text in queries.items():
-        tree = parse(wrap(text, "indri"), index.stop, index.stem)
+        tree = parse(wrap(text, "indri"), index.stop, index.stem, index.find)
         more = found.get(qid)
         if more:
             expansion = Node("wand", tuple(Node("score", (Node("term", term=t),)) for _, t in more), tuple(w for w, _ in more))

@@ -24,6 +24,7 @@ import hashlib
 import uuid
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str, manifest: dict):
         self.spark, self.path, self.manifest = spark, path, manifest
         self.stop, self.stemmer, self.fields = tuple(manifest["stop"]), manifest["stemmer"], tuple(manifest["fields"])
+        self._forms: dict[str, str] = {}
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
@@ -109,24 +111,42 @@ class Index:
         """What query words go through, as the terms did."""
         from loomtext.functions.porter import stem
 
-        return stem if self.stemmer == "porter" else None
+        return {"none": None, "porter": stem, "dictionary": self._form_of}[self.stemmer]
+
+    def _form_of(self, word: str) -> str:
+        """The form that the lexicon has for a query's word."""
+        if word not in self._forms:
+            tried = T.inflected_from(word)
+            known = {r[0] for r in self.spark.read.parquet(f"{self.path}/lexicon").filter(F.col("word").isin(*tried)).collect()} if tried else set()
+            self._forms[word] = next((w for w in tried if w in known), word)
+        return self._forms[word]
+
+    @property
+    def find(self):
+        """What cuts query words into tokens, as the texts were; None for runs of letters and digits."""
+        if self.manifest["rule"] == "runs":
+            return None
+        return regex.compile(T.word_pattern("")).findall
 
     def _corpus(self, docs: DataFrame) -> Corpus:
         m = self.manifest
-        return Corpus(docs, m["id"], dict(m["fields"]), tuple(m["stop"]), m["possessive"], m["stemmer"])
+        return Corpus(docs, m["id"], dict(m["fields"]), tuple(m["stop"]), m["possessive"], m["stemmer"], m["rule"])
 
     @staticmethod
     def build(corpus: Corpus, path: str, stored: tuple[str, ...] = ()) -> Index:
         """Writes a corpus as the first segment of an index."""
         id_type = corpus.docs.schema[corpus.id].dataType.simpleString()
         manifest = {
-            "version": 0, "id": corpus.id, "id_type": id_type, "fields": dict(corpus.fields), "stop": list(corpus.stop), "possessive": corpus.possessive, "stemmer": corpus.stemmer,
+            "version": 0, "id": corpus.id, "id_type": id_type, "fields": dict(corpus.fields), "stop": list(corpus.stop), "possessive": corpus.possessive, "stemmer": corpus.stemmer, "rule": corpus.rule,
             "stored": [c for c in stored if c != corpus.id], "range_width": None, "appended": 0, "segments": [],
         }
         index = Index(corpus.docs.sparkSession, path, manifest)
         if id_type in ("bigint", "int", "smallint", "tinyint"):
             low, high, n = corpus.docs.agg(F.min(corpus.id), F.max(corpus.id), F.count(corpus.id)).first()
             manifest["range_width"] = max(1, (high - low + 1) * RANGE_DOCS // n) if n else 1
+        if corpus.stemmer == "dictionary":  # the first batch's words decide, for later batches too
+            words = reduce(DataFrame.unionByName, (corpus.docs.select(F.explode(corpus.tokens_of(f)).alias("word")) for f in corpus.fields))
+            words.distinct().repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/lexicon")
         return index._commit(segments=[index._analysed(corpus)], appended=1)
 
     def append(self, docs: DataFrame, merge: bool = True) -> Index:
@@ -175,7 +195,8 @@ class Index:
             long = own.select("doc_id", F.size("tok").cast("long").alias("dl"), F.posexplode("tok").alias("pos", "term"))
             long = long.filter(~F.col("term").isin(*corpus.stop)) if corpus.stop else long
             if corpus.stemmer != "none":
-                long = long.join(T.stems(long, "term", corpus.stemmer), F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
+                stems = T.dictionary_stems(long, "term", self.spark.read.parquet(f"{self.path}/lexicon")) if corpus.stemmer == "dictionary" else T.stems(long, "term", corpus.stemmer)
+                long = long.join(stems, F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
             grouped = long.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
             lists[name] = grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
         return self._written(counted, lists)
@@ -268,7 +289,7 @@ def kept_at(spark: SparkSession, *key) -> str:
 def index_of(source: str, corpus: Corpus, stored: tuple[str, ...] = ()) -> Index:
     """The index of a corpus read from ``source``: built in the shared folder by the first application that asks, and opened by all from then on."""
     spark = corpus.docs.sparkSession
-    path = kept_at(spark, source, written_when(spark, source), tuple(corpus.fields.items()), corpus.stop, corpus.possessive, corpus.stemmer, stored)
+    path = kept_at(spark, source, written_when(spark, source), tuple(corpus.fields.items()), corpus.stop, corpus.possessive, corpus.stemmer, corpus.rule, stored)
     try:
         return Index.open(spark, path)
     except ValueError:

@@ -103,7 +103,7 @@ def bounded_search(index: Index, queries: dict[str, str], model: Model = Model("
 
     report: counts the blocks as well, which takes a pass over their heads.
     """
-    trees = {q: parse(wrap(text, model.name), index.stop, index.stem) for q, text in queries.items()}
+    trees = {q: parse(wrap(text, model.name), index.stop, index.stem, index.find) for q, text in queries.items()}
     trees = {q: t for q, t in trees.items() if t}
     terms = {q: terms_of_sum(t) for q, t in trees.items()}
     if model.name != "bm25" or not trees or any(t is None for t in terms.values()) or not index.manifest["range_width"]:

@@ -216,7 +216,7 @@ class _Scores:
 
 def scored(index: Index, queries: dict[str, str], model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """qid, doc_id, score of every match of a batch of queries, wrapped in the model's default operator and analysed as the index is."""
-    trees = {q: parse(wrap(text, model.name), index.stop, index.stem) for q, text in queries.items()}
+    trees = {q: parse(wrap(text, model.name), index.stop, index.stem, index.find) for q, text in queries.items()}
     return scored_trees(index, {q: t for q, t in trees.items() if t}, model, keep)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions import text as T
 from loomtext.functions.text import STOPWORDS
 from loomtext.operators import proximity
 from loomtext.operators.corpus import Corpus
@@ -412,3 +413,55 @@ def bounded_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bounded_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two queries, one with a term twice and one that lowers scores, by ranges that both share."""
     return bounded_search(documents_index(spark, sf_dir), {"q1": "aich that", "q2": "aien aien that the"}, k=10).rows
+
+
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '" + T.word_pattern("", "").replace("'", "''") + "')"
+
+
+@query(f"WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS l FROM documents) SELECT doc_id, len(l)::BIGINT AS n_tokens, len(list_distinct(l))::BIGINT AS n_terms, md5(array_to_string(l, ' ')) AS digest FROM w")
+def word_break_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by the word-break rules."""
+    toks = Corpus.documents(spark, sf_dir, rule="words").tokenised()
+    return toks.select("doc_id", F.size("tok_body").cast("long").alias("n_tokens"), F.size(F.array_distinct("tok_body")).cast("long").alias("n_terms"), F.md5(F.array_join("tok_body", " ")).alias("digest"))
+
+
+_MARKED = r"""CASE doc_id % 4 WHEN 0 THEN replace(text, ' the ', ' the''s 3.14 ') WHEN 1 THEN replace(text, ' of ', ' 1,000.5_of 漢字かな ') WHEN 2 THEN replace(text, ' and ', ' wi-fi U.S.A. カタカナ ') ELSE text END"""
+
+
+@query(f"WITH m AS (SELECT doc_id, {_MARKED} AS text FROM documents), w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS l FROM m) SELECT doc_id, len(l)::BIGINT AS n_tokens, md5(array_to_string(l, ' ')) AS digest FROM w")
+def word_break_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over texts with apostrophes, numbers, ideographs and katakana put in, as the documents have few."""
+    docs = Corpus.documents(spark, sf_dir).docs
+    toks = Corpus(docs.select("doc_id", F.expr(_MARKED.replace("''s", "\\'s")).alias("text")), rule="words").tokenised()
+    return toks.select("doc_id", F.size("tok_body").cast("long").alias("n_tokens"), F.md5(F.array_join("tok_body", " ")).alias("digest"))
+
+
+def _forms_sql() -> str:
+    """Forms of a word w in SQL, in order, as the stemmer tries them."""
+    cases = []
+    for ending, put in T.INFLECTIONS:
+        base = f"left(w, len(w) - {len(ending)})"
+        ends = f"ends_with(w, '{ending}')" + (" AND NOT ends_with(w, 'ss')" if ending == "s" else "")
+        for p in put:
+            cases.append(f"CASE WHEN {ends} AND len({base}) > 1 AND right({base}, 1) = substr({base}, len({base}) - 1, 1) THEN left({base}, len({base}) - 1) END" if p == "=" else f"CASE WHEN {ends} THEN {base} || '{p}' END")
+    return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL AND len(x) >= {T.LEAST_STEM})"
+
+
+_FORMS = f"""v AS MATERIALIZED (SELECT DISTINCT term AS w FROM t), f AS (SELECT w, unnest(forms) AS form, generate_subscripts(forms, 1) AS i FROM (SELECT w, {_forms_sql()} AS forms FROM v)),
+k AS (SELECT w, min_by(form, i) AS form FROM f WHERE form IN (SELECT w FROM v) GROUP BY w), st AS MATERIALIZED (SELECT v.w AS word, coalesce(form, v.w) AS stem FROM v LEFT JOIN k USING (w))"""
+
+
+@query(f"WITH {BASE}, {_FORMS} SELECT word, stem FROM st")
+def dictionary_stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form of every word of ``documents``, the documents' own words being the lexicon."""
+    words = documents_index(spark, sf_dir).dictionary().select(F.col("term").alias("word"))
+    return T.dictionary_stems(words, "word", words)
+
+
+@query(
+    f"WITH {BASE}, {_FORMS}, tf AS MATERIALIZED (SELECT doc_id, stem AS term, count(*)::DOUBLE AS tf FROM t JOIN st ON word = term WHERE stem IN (SELECT coalesce((SELECT stem FROM st WHERE word = q), q) FROM (VALUES ('ends'), ('that')) v(q)) GROUP BY ALL), "
+    f"df AS (SELECT term, count(*)::DOUBLE AS df, sum(tf)::DOUBLE AS ctf FROM tf GROUP BY term) " + ranked_sql(f"SELECT doc_id, sum({BM25_TF}) AS score FROM tf JOIN df USING (term) JOIN d USING (doc_id), s GROUP BY doc_id", k=20)
+)
+def dictionary_stem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose texts and query are stemmed by the index's own words."""
+    return search(documents_index(spark, sf_dir, stemmer="dictionary"), {"q1": "ends that"}, Model("bm25"), k=20)
