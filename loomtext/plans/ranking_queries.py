@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomtext.operators import diversity, feedback, ltor, ranksvm
 from loomtext.operators.ranksvm import Ranker
 from loomtext.plans.compile import Model, search
+from loomtext.plans.observed import measured, totals
 from loomtext.plans.retrieval_queries import BASE, BM25_TF, INDRI, PAGES, documents_index, pages_index, ranked_sql, terms_sql
 
 QUERIES: dict = {}
@@ -235,3 +236,14 @@ def ia_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     qrels = labels.select(F.explode(F.array(F.lit("q1"), F.lit("q2"))).alias("qid"), "doc_id", F.col("quality").alias("rel"))
     qrels = qrels.withColumn("intent", F.concat("qid", F.lit("."), (F.col("doc_id") % 2 + 1).cast("string")))
     return diversity.intent_precision(_runs(spark, sf_dir).filter(F.instr("qid", ".") == 0), qrels, 20)
+
+
+@query(
+    f"""WITH {BASE}, {terms_sql('aich', 'that')} SELECT 'dictionary' AS query, count(DISTINCT term) AS rows_out, TRUE AS ran FROM t
+  UNION ALL SELECT 'search', least(100, (SELECT count(DISTINCT doc_id) FROM tf)), TRUE UNION ALL SELECT 'lengths', (SELECT count(*) FROM d), TRUE"""
+)
+def observed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries measured: the rows that each gave, and whether a stage ran and read rows for it."""
+    index = documents_index(spark, sf_dir)
+    made = {"dictionary": index.dictionary, "search": lambda: search(index, {"q1": "aich that"}, Model("bm25")), "lengths": index.lengths}
+    return totals(measured(spark, made)).select("query", "rows_out", ((F.col("stages") > 0) & (F.col("rows_read") > 0)).alias("ran"))
