@@ -122,10 +122,11 @@ def _inflected_from(word: Column) -> Column:
     return F.filter(F.array(*found), lambda w: w.isNotNull() & (F.length(w) >= LEAST_STEM))
 
 
-def dictionary_stems(words: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:
-    """word, stem for the distinct words of a column: the first form that a word may come from and that stands in the lexicon (word); the word itself where none does."""
+def dictionary_stems(words: DataFrame, column: str, lexicon: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """word, stem for the distinct words of a column: the first form that a word may come from and that stands in the lexicon (word); the word itself where none does, or where it is in ``keep``."""
     distinct = words.select(F.col(column).alias("word")).filter("word is not null").distinct()
-    tried = distinct.select("word", F.posexplode(_inflected_from(F.col("word"))).alias("place", "form"))
+    free = distinct.filter(~F.col("word").isin(*keep)) if keep else distinct
+    tried = free.select("word", F.posexplode(_inflected_from(F.col("word"))).alias("place", "form"))
     known = tried.join(lexicon.select(F.col("word").alias("form")).distinct(), "form", "left_semi").groupBy("word").agg(F.min_by("form", "place").alias("form"))
     return distinct.join(known, "word", "left").select("word", F.coalesce("form", "word").alias("stem"))
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os.path
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,20 +215,29 @@ def difference(pairs: DataFrame) -> DataFrame:
 
     Two empty texts make no edit; equal texts make an empty add.
     """
-    @F.pandas_udf("struct<action:string,start:long,end:long,content:string>")
-    def edit(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(before.fillna(""), after.fillna("")):
-            if not a and not b:
-                rows.append((None, None, None, None))
-                continue
-            left = len(os.path.commonprefix([a, b]))
-            right = len(os.path.commonprefix([a[left:][::-1], b[left:][::-1]]))
-            end, content = len(a) - right, b[left : len(b) - right]
-            rows.append(("add" if end == left else "update" if content else "delete", left, end, content))
-        return pd.DataFrame(rows, columns=["action", "start", "end", "content"])
-
-    return pairs.withColumn("e", edit("before", "after")).select("*", "e.*").drop("e")
+    a, b = F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))
+    with_left = pairs.withColumn("_a", a).withColumn("_b", b).withColumn("_left", _common(F.col("_a"), F.col("_b"), lambda t, n: F.substring(t, F.lit(1), n), F.least(F.length("_a"), F.length("_b"))))
+    rest = F.least(F.length("_a"), F.length("_b")) - F.col("_left")
+    ends = lambda t, n: F.substring(t, F.length(t) - n + 1, n)
+    both = with_left.withColumn("_right", _common(F.col("_a"), F.col("_b"), ends, rest))
+    some = (F.length("_a") > 0) | (F.length("_b") > 0)
+    end = F.length("_a") - F.col("_right")
+    put = F.substring(F.col("_b"), F.col("_left") + 1, F.length("_b") - F.col("_right") - F.col("_left"))
+    kind = F.when(end == F.col("_left"), "add").when(F.length(put) > 0, "update").otherwise("delete")
+    made = {"action": kind, "start": F.col("_left").cast("long"), "end": end.cast("long"), "content": put}
+    return both.select(*pairs.columns, *(F.when(some, v).alias(k) for k, v in made.items()))
+
+
+def _common(a: Column, b: Column, part, most: Column) -> Column:
+    """The largest n up to ``most`` for which part(a, n) equals part(b, n), by halving."""
+    steps = F.sequence(F.lit(0), F.length(F.bin(most)))
+
+    def halve(s, _):
+        middle = F.shiftright(s["low"] + s["high"] + 1, 1)
+        up, down = F.struct(middle.alias("low"), s["high"].alias("high")), F.struct(s["low"].alias("low"), (middle - 1).alias("high"))
+        return F.when(s["low"] >= s["high"], s).when(part(a, middle) == part(b, middle), up).otherwise(down)
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), most.alias("high")), halve, lambda s: s["low"])
 
 
 def route(messages: DataFrame, users: DataFrame, docs: DataFrame, shares: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -465,3 +466,45 @@ def dictionary_stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_stem_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search whose texts and query are stemmed by the index's own words."""
     return search(documents_index(spark, sf_dir, stemmer="dictionary"), {"q1": "ends that"}, Model("bm25"), k=20)
+
+
+@query(f"WITH {BASE}, {_FORMS} SELECT word, CASE WHEN word IN ('ends', 'thes', 'reed') THEN word ELSE stem END AS stem FROM st")
+def dictionary_stems_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with words that are left as they are."""
+    words = documents_index(spark, sf_dir).dictionary().select(F.col("term").alias("word"))
+    return T.dictionary_stems(words, "word", words, ("ends", "thes", "reed"))
+
+
+def _trees(queries: DataFrame, model: str, stop: tuple[str, ...]) -> DataFrame:
+    """qid, tree: the rewritten tree of every query (qid, text), ``nothing`` where nothing is left, ``error`` where the parser refuses."""
+    @F.pandas_udf("string")
+    def tree(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return str(parse(wrap(text, model), stop) or "nothing")
+            except ValueError:
+                return "error"
+
+        return texts.map(one)
+
+    return queries.select("qid", tree("text").alias("tree"))
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: len(x) > 1) AS l FROM benchmark),
+k AS (SELECT item_id, l, list_filter(l[1:1], lambda x: x NOT IN ({_STOP})) AS a, list_filter(l[2:3], lambda x: x NOT IN ({_STOP})) AS b, list_filter(l[4:6], lambda x: x NOT IN ({_STOP})) AS c FROM w),
+p AS (SELECT item_id, l, list_transform(a, lambda x: '#score(' || x || '.body)')
+  || CASE len(b) WHEN 0 THEN [] WHEN 1 THEN ['#score(' || b[1] || '.body)'] ELSE ['#score(#near/2(' || b[1] || '.body ' || b[2] || '.body))'] END
+  || CASE len(c) WHEN 0 THEN [] WHEN 1 THEN ['#score(' || c[1] || '.title)'] ELSE ['#and(' || array_to_string(list_transform(c, lambda x: '#score(' || x || '.title)'), ' ') || ')'] END AS parts FROM k)
+SELECT item_id AS qid, CASE WHEN item_id % 5 = 4 THEN 'error' WHEN len(parts) = 0 THEN 'nothing' WHEN len(parts) = 1 THEN parts[1] ELSE '#sum(' || array_to_string(parts, ' ') || ')' END AS tree FROM p WHERE len(l) >= 6"""
+)
+def benchmark_query_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of every benchmark text as a structured query, parsed, pruned of stopwords and of operators that lose their arguments; one in five has a positional operator over a scored one."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x) > 1)
+    at = lambda i: F.get("w", F.lit(i))
+    near = F.concat(F.lit(" #near/2("), at(1), F.lit(" "), at(2), F.lit(")"))
+    fields = F.concat(F.lit(" #and("), at(3), F.lit(".title "), at(4), F.lit(".title "), at(5), F.lit(".title)"))
+    refused = F.concat(F.lit(" #window/8("), at(1), F.lit("zz #and("), at(2), F.lit("zz x))"))  # no stopwords, so both operators stay
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), words.alias("w")).filter(F.size("w") >= 6)
+    text = F.concat(at(0), F.when(F.col("qid") % 5 == 4, refused).otherwise(F.concat(near, fields)))
+    return _trees(rows.select("qid", text.alias("text")), "bm25", STOPWORDS)
