@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.operators import collab, ltor, proximity
 from loomtext.operators.index import Indexes
-from loomtext.plans.query import parse, wrap
 from loomtext.plans.ranking_queries import _features, _features_sql
 from loomtext.plans.retrieval_queries import BASE, documents_index, listed
 from loomtext.sources import database, files
@@ -89,11 +88,11 @@ def metric_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'p' || item_id::VARCHAR AS name, 'v=' || item_id::VARCHAR AS bad, item_id AS value FROM benchmark WHERE item_id % 3 = 0")
 def parameter_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``key=value`` lines among comments, blanks and lines of three pieces. A parameter file is the driver's own, of a few lines."""
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id").orderBy("item_id").collect()
-    text = "\n".join({0: f" p{i} = {i} ", 1: f"# p{i}={i}", 2: f"p{i}=v={i}"}[i % 3] for i in (r[0] for r in rows))
-    found = files.parameters(text)
-    return spark.createDataFrame([(k, f"v={v}", int(v)) for k, v in found.items()], "name string, bad string, value long")
+    """``key=value`` lines among comments, blanks and lines of three pieces."""
+    i = F.col("item_id").cast("string")
+    line = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" p"), i, F.lit(" = "), i, F.lit(" "))).when(F.col("item_id") % 3 == 1, F.concat(F.lit("# p"), i, F.lit("="), i)).otherwise(F.concat(F.lit("p"), i, F.lit("=v="), i))
+    found = files.parameter_rows(_lines(spark, sf_dir, "benchmark", "item_id", line))
+    return found.select("name", F.concat(F.lit("v="), F.col("value")).alias("bad"), F.col("value").cast("long").alias("value"))
 
 
 @query("SELECT 'q' || (item_id % 2)::VARCHAR || ': ' || 'w' || item_id::VARCHAR AS line FROM benchmark")
@@ -142,23 +141,6 @@ def possessives_and_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
-@query(
-    "SELECT * FROM (VALUES ('a', '#sum(#score(aich.body) #score(aien.body))'), ('b', '#and(#score(x.title) #score(y.title))'), ('c', 'error'), "
-    "('d', '#or(#and(#score(x.body) #score(y.body)) #score(#near/2(u.body v.body)))'), ('e', '#score(x.body)'), ('f', 'nothing'), ('g', 'error'), ('h', 'error')) v(name, tree)"
-)
-def query_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text form of rewritten queries: pruned, collapsed, typed; and what the parser refuses."""
-    texts = {"a": ("bm25", "the aich #near/1(of the) aien"), "b": ("indri", "#wand(0.7 #and(x.title y.title) 0.3 #or(the))"), "c": ("indri", "x.title #syn(w z.url)"), "d": ("unranked", "#and(x y) #near/2(u v)"), "e": ("bm25", "#sum(#syn(x))"), "f": ("bm25", "the of"), "g": ("bm25", "#near/2(#and(x y) z)"), "h": ("bm25", "x) #sum(y")}
-    rows = []
-    for name, (model, text) in texts.items():
-        try:
-            tree = parse(wrap(text, model), T.STOPWORDS)
-            rows.append((name, str(tree) if tree else "nothing"))
-        except ValueError:
-            rows.append((name, "error"))
-    return spark.createDataFrame(rows, "name string, tree string")
-
-
 @query(f"WITH {BASE} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM t WHERE term = 'aich' GROUP BY term, doc_id")
 def index_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index opened by its path, switched to, and one list scanned."""

@@ -27,6 +27,14 @@ def parameters(text: str, required: tuple[str, ...] = ()) -> dict[str, str]:
     return found
 
 
+def parameter_rows(rows: DataFrame) -> DataFrame:
+    """name, value of ``key=value`` lines (line_no, line), read as ``parameters`` does; of a name that comes again the last counts."""
+    parts = F.split("line", "=", -1)
+    good = (F.trim("line") != "") & ~F.ltrim("line").startswith("#") & (F.size(parts) == 2)
+    pairs = rows.filter(good).select("line_no", F.trim(F.get(parts, F.lit(0))).alias("name"), F.trim(F.get(parts, F.lit(1))).alias("value"))
+    return pairs.groupBy("name").agg(F.max_by("value", "line_no").alias("value"))
+
+
 def queries(rows: DataFrame) -> DataFrame:
     """qid, query: split at the first colon; a line without one raises when it is read."""
     at = F.instr("line", ":")

@@ -38,3 +38,23 @@ def test_unsupported_models(spark, tmp_path):
     assert wrap("a", "ranked") == "#or(a)"
     assert search(index, {"q": "#or(a zzz)"}, Model("ranked")).collect()[0]["score"] == 1.0
     assert search(Index.build(Corpus(docs, stop=("a",)), f"file://{tmp_path}/stop"), {"q": "a"}, Model("bm25")).count() == 0
+
+
+#: Queries by model, and the text of their trees.
+TREES = [
+    ("bm25", "the aich #near/1(of the) aien", "#sum(#score(aich.body) #score(aien.body))"), ("indri", "#wand(0.7 #and(x.title y.title) 0.3 #or(the))", "#and(#score(x.title) #score(y.title))"),
+    ("indri", "x.title #syn(w z.url)", "error"), ("unranked", "#and(x y) #near/2(u v)", "#or(#and(#score(x.body) #score(y.body)) #score(#near/2(u.body v.body)))"), ("bm25", "#sum(#syn(x))", "#score(x.body)"),
+    ("bm25", "the of", "nothing"), ("bm25", "#near/2(#and(x y) z)", "error"), ("bm25", "x) #sum(y", "error"),
+]
+
+
+def test_trees_of_the_hand_table():
+    from loomtext.functions.text import STOPWORDS
+
+    def tree(model, text):
+        try:
+            return str(parse(wrap(text, model), STOPWORDS) or "nothing")
+        except ValueError:
+            return "error"
+
+    assert [tree(m, q) for m, q, _ in TREES] == [t for _, _, t in TREES]
