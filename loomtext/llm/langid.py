@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.storage import aside, map_batches, only
+from loomtext.llm.storage import aside, kept_model, map_batches, only
 from loomtext.llm.words import ALNUM, NOT_SPACE, Block, blocks, prefix_hashes, span_hashes, spread
 
 #: Labelled rows that are learned from, over all languages.
@@ -224,13 +224,18 @@ def train(docs: DataFrame, learnable: Column, sample_rows: int = SAMPLE_ROWS) ->
     share, within = F.pmod(hashed, F.lit(1 << 31)) / float(1 << 31), F.lit(False)
     for lang, n in counts.items():
         within = within | ((F.col("lang") == lang) & (share < each / n))
-    words: dict[str, list[bytes]] = {x: [] for x in languages}
     sample = sorted(map(tuple, labelled.filter(within).select("lang", "text").distinct().collect()))
+    return kept_model(docs.sparkSession, "langid", (sample, HIDDEN, STEPS, BATCH, PIECE, FAMILIAR), lambda: fit(sample))
+
+
+def fit(sample: list[tuple[str, str]]) -> LanguageModel:
+    """A model of (language, text) rows."""
+    words: dict[str, list[bytes]] = {x: [] for x, _ in sample}
     for lang, text in sample:
         for block in blocks(pa.array([text])):
             raw = block.data.tobytes()
             words[lang] += [raw[s:e] for s, e, _ in zip(*map(np.ndarray.tolist, pieces(block)))]
-    languages = [x for x in languages if words[x]]
+    languages = sorted(x for x in words if words[x])
     model = LanguageModel(languages)
     if sample:
         learn_trigrams(model, [text for _, text in sample])

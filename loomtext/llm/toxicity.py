@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.minhash import shingle_sets
-from loomtext.llm.storage import map_batches, only
+from loomtext.llm.storage import kept_model, map_batches, only
 from loomtext.llm.words import LOWER, Block, blocks, prefix_hashes, span_hashes, starts_by_text, table_of
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 7500
@@ -304,7 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> Model:
     texts, y = [texts[i] for i in order], y[order]
     if not 0 < y.sum() < len(y):
         return Model({}, float(np.log(counts[1] / counts[0])))
-    return fit(texts, y, counts[1] / (counts[0] + counts[1]))
+    prior = counts[1] / (counts[0] + counts[1])
+    return kept_model(docs.sparkSession, "toxicity", (texts, y.tolist(), prior, PRIORS, SHRINK), lambda: fit(texts, y, prior))
 
 
 def _score(model: Model):

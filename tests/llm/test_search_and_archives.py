@@ -15,7 +15,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from loomtext.llm import blockmax, catalog, crc, importance, warc
+from loomtext.llm import blockmax, catalog, crc, importance, langid, warc
 from tests.llm import brute
 from tests.llm.test_operators import odd_documents
 from tests.oracle import same
@@ -212,3 +212,17 @@ def test_records_that_are_damaged_raise(spark, tmp_path):
     (tmp_path / "a/y.warc.zst").write_bytes((tmp_path / "a/x.warc.zst").read_bytes()[: -rng.randint(1, 9)])
     with pytest.raises(ValueError, match="ends within"):
         list(warc.records_in(f"file://{tmp_path}/a/y.warc.zst"))
+
+
+# --- kept models ----------------------------------------------------------------------------------------------
+
+
+def test_models_are_trained_once(spark, sf_dir, monkeypatch):
+    """The same rows find the model that was kept, other rows train one of their own."""
+    calls, fit = [], langid.fit
+    monkeypatch.setattr(langid, "fit", lambda sample: calls.append(len(sample)) or fit(sample))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 3 = 0")
+    first, again = (langid.report(docs).collect() for _ in range(2))
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(calls) == 1
+    langid.report(docs.filter("doc_id > 30"))
+    assert len(calls) == 2
