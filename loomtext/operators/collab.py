@@ -243,7 +243,8 @@ def _common(a: Column, b: Column, part, most: Column) -> Column:
 def route(messages: DataFrame, users: DataFrame, docs: DataFrame, shares: DataFrame) -> DataFrame:
     """Raw JSON messages (id, raw) with action, channel, doc_id and a code, by the checks in their order.
 
-    113 for what is no message, lacks a field, or has ids or places that are no numbers; 117 for an unknown user
+    113 for what is no message, lacks a field, or has ids or places that are no numbers (a JSON null is a field that is there, and a place may
+    be a JSON number with a fraction); 117 for an unknown user
     (users: user_id); 111 for a document that is missing or not the user's to see, 122 for a deleted one; then an
     action of one part is known or 113, the second part of one of two is known or 112, and more parts are 113.
     """
@@ -251,6 +252,9 @@ def route(messages: DataFrame, users: DataFrame, docs: DataFrame, shares: DataFr
     number = lambda c: F.coalesce(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(False))
     as_long = lambda c: F.when(number(c), F.try_to_number(F.trim(c), F.lit("S999999999999999999"))).cast("long")
     parsed = messages.withColumn("d", F.from_json("raw", schema)["data"]).withColumn("parts", F.split(F.regexp_replace("d.action", "^/+|/+$", ""), "/"))
+    parsed = parsed.withColumn("fields", F.map_keys(F.from_json("raw", "data map<string,string>")["data"])).withColumn("places", F.from_json("raw", "data struct<start:double,end:double>")["data"])
+    there = lambda c: F.coalesce(F.array_contains("fields", c), F.lit(False))
+    place = lambda c: number(F.col(f"d.{c}")) | F.col(f"places.{c}").isNotNull()
     parsed = parsed.withColumn("user_id", as_long(F.col("d.uid"))).withColumn("doc_id", as_long(F.col("d.docid")))
     known = users.select("user_id", F.lit(True).alias("known")).distinct()
     joined = parsed.join(known, "user_id", "left").join(_rights(docs, shares), ["user_id", "doc_id"], "left").join(docs.select("doc_id", "is_delete"), "doc_id", "left")
@@ -258,10 +262,10 @@ def route(messages: DataFrame, users: DataFrame, docs: DataFrame, shares: DataFr
     named = F.col("d.action").isNotNull()
     code = (
         F.when(~F.coalesce(named, F.lit(False)) | ~number(F.col("d.uid")), "113").when(F.col("known").isNull(), "117").when(~number(F.col("d.docid")), "113")
-        .when(F.col("may").isNull() | F.col("is_delete").isNull(), "111").when(F.col("is_delete") == "1", "122").when(F.col("d.content").isNull(), "113")
-        .when(n == 1, F.when(first == "chat", "000").when(first.isin(*WHOLE_ACTIONS) & F.col("d.shared_user").isNotNull(), "000").otherwise("113"))
+        .when(F.col("may").isNull() | F.col("is_delete").isNull(), "111").when(F.col("is_delete") == "1", "122").when(~there("content"), "113")
+        .when(n == 1, F.when(first == "chat", "000").when(first.isin(*WHOLE_ACTIONS) & there("shared_user"), "000").otherwise("113"))
         .when(n > 2, "113").when(~second.isin(*EDIT_ACTIONS), "112").when(second == "init", "000")
-        .when(number(F.col("d.start")) & number(F.col("d.end")), "000").otherwise("113")
+        .when(place("start") & place("end"), "000").otherwise("113")
     )
     return joined.select("id", F.when(n <= 2, F.element_at("parts", -1)).alias("action"), first.alias("channel"), "doc_id", code.alias("code"))
 

@@ -79,3 +79,12 @@ def test_rooms(spark):
     for r in collab.welcomes(df).collect():
         heard.setdefault(r["seq"], set()).add(r["receiver"])
     assert heard == {1: {5}, 2: {5, 6}, 6: {6, 7}, 7: {5, 6, 7}}
+
+
+def test_fields_that_are_null_and_places_with_fractions(spark):
+    bodies = ['"content":null', '"content":"c"', '"content":null,"start":1.5,"end":2', '"content":"c","start":"1.5","end":2', '"content":"c","start":true,"end":2', '"other":1', '"content":"c","shared_user":null']
+    actions = ["chat", "chat", "doc/add", "doc/add", "doc/add", "chat", "addUser"]
+    rows = [(i, f'{{"data":{{"action":"{a}","uid":"7","docid":1,{b}}}}}') for i, (a, b) in enumerate(zip(actions, bodies))]
+    docs = spark.createDataFrame([(1, 7, "0")], "doc_id long, creator long, is_delete string")
+    found = collab.route(spark.createDataFrame(rows, "id int, raw string"), spark.createDataFrame([(7,)], "user_id long"), docs, spark.createDataFrame([], "doc_id long, user_id long"))
+    assert [r["code"] for r in found.orderBy("id").collect()] == ["000", "000", "000", "113", "113", "113", "000"]
