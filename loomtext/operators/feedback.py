@@ -20,7 +20,7 @@ def expansion_terms(index: Index, best: DataFrame, terms: int = 20, mu: float =
     if len(few) <= BY_ID:
         best, ids = index.spark.createDataFrame(few, best.schema), sorted({r["doc_id"] for r in few})
     docs = best.join(index.documents_of(best, ids).select("doc_id", F.col("dl_body").alias("len")), "doc_id")
-    vectors = index.of_documents(index.term_vectors(), best, ids)
+    vectors = index.term_vectors(ids) if ids else index.of_documents(index.term_vectors(), best, ids)
     tf = vectors.join(best.select("qid", "doc_id"), "doc_id").filter(~F.col("term").rlike("[.,]")).select("qid", "doc_id", "term", "tf")
     pairs = tf.select("qid", "term").distinct().join(docs, "qid").join(tf, ["qid", "doc_id", "term"], "left")
     named = [r[0] for r in tf.select("term").distinct().limit(BY_ID + 1).collect()] if ids is not None else []

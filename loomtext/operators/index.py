@@ -1,10 +1,13 @@
 """A stored inverted index of segments: tables that queries read by term or by document instead of the texts.
 
-postings      field, term, doc_id, tf, positions, dl     by field, sorted by term
+vectors       range, chunk, docs: of each document its id, stored columns, dl_, il_, sq_ of each field, its terms with their places
+blocks        range, field, term, n, most_tf, least_dl, total, docs, tfs, dls, positions     bucketed by document range, sorted by term
 dictionary    field, term, df, ctf                       by field, sorted by term
-vectors       field, doc_id, term, tf, positions, dl     by field, sorted by doc_id
 documents     doc_id, stored columns, dl_, il_, sq_ of each field, sorted by doc_id
-blocks        range, field, term, n, most_tf, least_dl, docs, tfs, dls     bucketed by document range (integer ids)
+
+Texts are shuffled once, by document range, and analysed there: a document's tokens are grouped by term inside its row, and the
+documents of a range, or of a chunk of it where texts are long, meet in one row, whose blocks are made inside it. Tokens and postings
+are never shuffled, so what moves is about the size of the texts.
 
 Every batch of documents is a segment with tables of its own; a manifest names the segments, the analysis they share (fields,
 stopwords, possessives, stemmer) and each segment's statistics, so that a path is all that opening an index takes. A version
@@ -21,29 +24,31 @@ are analysed by what the index holds.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from functools import reduce
 
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtext.functions import text as T
 from loomtext.operators.corpus import Corpus
 from loomtext.storage import commit_manifest, hadoop_path, latest_manifest, shared_folder
 
-_SCHEMAS = {
-    "postings": "term string, doc_id {id}, tf long, positions array<int>, dl long, field string",
-    "dictionary": "term string, df long, ctf long, field string",
-    "vectors": "doc_id {id}, term string, tf long, positions array<int>, dl long, field string",
-}
-_BLOCKS = "range long, field string, term string, n int, most_tf long, least_dl long, docs array<{id}>, tfs array<long>, dls array<long>"
+_DICTIONARY = "term string, df long, ctf long, field string"
+_BLOCKS = "`range` long, field string, term string, n int, most_tf long, least_dl long, total long, docs array<{id}>, tfs array<long>, dls array<long>, positions array<array<int>>"
+#: Enters the key of kept indexes: those of another layout are not opened.
+LAYOUT = 2
 #: Bytes of a row group, so that the bounds of sorted terms are narrow.
 ROW_GROUP_BYTES = 8 << 20
 #: Documents that are read by their ids; more are met by a join.
 BY_ID = 10_000
-#: Documents of a range, on average; documents of a bucket of ranges.
-RANGE_DOCS, BUCKET_DOCS = 64, 500_000
+#: Documents of a range, on average.
+RANGE_DOCS = 64
+#: Bytes of text of a bucket, about, and the fewest buckets; characters of a chunk of a range.
+BUCKET_BYTES, LEAST_BUCKETS, CHUNK_CHARS = 16 << 20, 8, 1 << 20
 #: So many segments of one size are merged; sizes are told apart by powers of it.
 MERGE_AT = 4
 
@@ -60,6 +65,60 @@ def squared(tokens: Column) -> Column:
     return F.aggregate(F.array_sort(tokens), first, step, lambda s: s["s"] + s["n"] * s["n"])
 
 
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _heads(rows: Column, key: str) -> Column:
+    """key, at: where each value of a key begins in sorted rows."""
+    marked = F.transform(rows, lambda x, i: F.struct(x[key].alias(key), i.alias("at")))
+    return F.filter(marked, lambda x, i: (i == 0) | (x[key] != F.get(rows, i - 1)[key]))
+
+
+def inverted(tokens: Column, stop: tuple[str, ...] = (), stems: Column | None = None) -> Column:
+    """dl, il, sq, terms, starts, places of a document's tokens: the distinct terms in order, and for each where its places start in ``places``."""
+    def kept(tok):
+        rows = F.transform(tok, lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("p")))
+        rows = F.filter(rows, lambda x: ~x["t"].isin(*stop)) if stop else rows
+        return rows if stems is None else F.transform(rows, lambda x: F.struct(F.coalesce(F.try_element_at(stems, x["t"]), x["t"]).alias("t"), x["p"].alias("p")))
+
+    def of_heads(tok, rows, heads):
+        if stop or stems is not None:
+            sq = squared(tok)
+        else:
+            sq = F.aggregate(F.transform(heads["at"], lambda at, j: F.coalesce(F.get(heads, j + 1)["at"], F.size(rows)) - at), F.lit(0.0), lambda a, n: a + n * n)
+        return F.struct(F.size(tok).cast("long").alias("dl"), F.size(rows).cast("long").alias("il"), sq.alias("sq"), heads["t"].alias("terms"), heads["at"].alias("starts"), rows["p"].alias("places"))
+
+    return let(tokens, lambda tok: let(F.sort_array(kept(tok)), lambda rows: let(_heads(rows, "t"), lambda heads: of_heads(tok, rows, heads))))
+
+
+def _postings_of(doc: Column, field: str) -> Column:
+    """term, doc_id, tf, dl, positions of the terms of a document's field."""
+    def posting(term, j):
+        start = F.get(doc[f"starts_{field}"], j)
+        n = F.coalesce(F.get(doc[f"starts_{field}"], j + 1), F.size(doc[f"places_{field}"])) - start
+        return F.struct(term.alias("term"), doc["doc_id"].alias("doc_id"), n.cast("long").alias("tf"), doc[f"dl_{field}"].alias("dl"), F.slice(doc[f"places_{field}"], start + 1, n).alias("positions"))
+
+    return F.transform(doc[f"terms_{field}"], posting)
+
+
+def _blocks_of(docs: Column, field: str) -> Column:
+    """The blocks of a field of some documents."""
+    def block(head, rows, n):
+        own = lambda l: F.struct(
+            F.lit(field).alias("field"), head["term"].alias("term"), F.size(l).alias("n"), F.array_max(l["tf"]).alias("most_tf"), F.array_min(l["dl"]).alias("least_dl"),
+            F.aggregate(l["tf"], F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), l["doc_id"].alias("docs"), l["tf"].alias("tfs"), l["dl"].alias("dls"), l["positions"].alias("positions"),
+        )
+        return let(F.slice(rows, head["at"] + 1, n), own)
+
+    def of(rows, heads):
+        return F.transform(heads, lambda h, j: block(h, rows, F.coalesce(F.get(heads, j + 1)["at"], F.size(rows)) - h["at"]))
+
+    every = F.sort_array(F.flatten(F.transform(docs, lambda d: _postings_of(d, field))))
+    return let(every, lambda rows: let(_heads(rows, "term"), lambda heads: of(rows, heads)))
+
+
 class Index:
     """An index under a path, as one version of its manifest has it."""
 
@@ -93,17 +152,24 @@ class Index:
             rows = [(f, *(sum(s["stats"][f][i] for s in self.segments) for i in range(3))) for f in self.fields]
             return self.spark.createDataFrame(rows, "field string, num_docs long, doc_count long, sum_tf long")
         reader = self.spark.read
-        if name in _SCHEMAS:
-            reader = reader.schema(_SCHEMAS[name].format(id=self.manifest["id_type"]))
+        if name == "dictionary":
+            reader = reader.schema(_DICTIONARY)
         return reduce(DataFrame.unionByName, (reader.parquet(f"{self._where(s)}/{name}") for s in self.segments))
 
+    def _documents_in(self, segment: dict, ids: list | None = None) -> DataFrame:
+        """doc: the analysed documents of a segment, or of the ranges that hold some ids."""
+        rows = self.spark.read.parquet(f"{self._where(segment)}/vectors")
+        width = self.manifest["range_width"]
+        if ids is not None and width:  # as doubles, which the engine divides too
+            rows = rows.filter(F.col("range").isin(*{math.floor(float(i) / float(width)) for i in ids}))
+        return rows.select(F.explode("docs").alias("doc"))
+
     def blocks(self, segment: dict) -> DataFrame:
         """A segment's blocks, bucketed by document range: rows of one range are in one task, so lists meet without a shuffle."""
         where = f"{self._where(segment)}/blocks"
         name = "loomtext_blocks_" + hashlib.md5(where.encode()).hexdigest()[:16]
         if not self.spark.catalog.tableExists(name):
-            columns = _BLOCKS.format(id=self.manifest["id_type"]).replace("range long", "`range` long")
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`range`) SORTED BY (field, term, `range`) INTO {segment['buckets']} BUCKETS LOCATION '{where}'")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_BLOCKS.format(id=self.manifest['id_type'])}) USING parquet CLUSTERED BY (`range`) SORTED BY (field, term, `range`) INTO {segment['buckets']} BUCKETS LOCATION '{where}'")
         return self.spark.table(name)
 
     @property
@@ -138,12 +204,14 @@ class Index:
         id_type = corpus.docs.schema[corpus.id].dataType.simpleString()
         manifest = {
             "version": 0, "id": corpus.id, "id_type": id_type, "fields": dict(corpus.fields), "stop": list(corpus.stop), "possessive": corpus.possessive, "stemmer": corpus.stemmer, "rule": corpus.rule,
-            "stored": [c for c in stored if c != corpus.id], "range_width": None, "appended": 0, "segments": [],
+            "stored": [c for c in stored if c != corpus.id], "range_width": None, "ranges": 1, "appended": 0, "segments": [],
         }
         index = Index(corpus.docs.sparkSession, path, manifest)
         if id_type in ("bigint", "int", "smallint", "tinyint"):
-            low, high, n = corpus.docs.agg(F.min(corpus.id), F.max(corpus.id), F.count(corpus.id)).first()
-            manifest["range_width"] = max(1, (high - low + 1) * RANGE_DOCS // n) if n else 1
+            ends, n = corpus.docs.agg(F.percentile_approx(corpus.id, [0.05, 0.95]), F.count(corpus.id)).first()  # without the ends: a stray id does not widen ranges
+            manifest["range_width"] = max(1, math.ceil((ends[1] - ends[0] + 1) / 0.9 * RANGE_DOCS / n)) if n else 1
+        else:
+            manifest["ranges"] = corpus.docs.count() // RANGE_DOCS + 1
         if corpus.stemmer == "dictionary":  # the first batch's words decide, for later batches too
             words = reduce(DataFrame.unionByName, (corpus.docs.select(F.explode(corpus.tokens_of(f)).alias("word")) for f in corpus.fields))
             words.distinct().repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/lexicon")
@@ -169,7 +237,9 @@ class Index:
             if many is None:
                 return index
             part = Index(index.spark, index.path, index.manifest | {"segments": many})
-            one = index._written(part.table("documents"), {f: part.table("postings").filter(F.col("field") == f) for f in index.fields})
+            docs = reduce(DataFrame.unionByName, (part._documents_in(s) for s in many))
+            places = sum((F.size(F.col("doc")[f"places_{f}"]) for f in index.fields[1:]), F.size(F.col("doc")[f"places_{index.fields[0]}"]))
+            one = index._written(docs.select("doc", F.col("doc")["doc_id"].alias("doc_id"), (places * 6).cast("long").alias("chars")), F.col("doc"), sum(s["bytes"] for s in many))
             index = index._commit(segments=[*(s for s in index.segments if s not in many), one])
 
     def vacuum(self) -> list[str]:
@@ -182,58 +252,71 @@ class Index:
 
     def _analysed(self, corpus: Corpus) -> dict:
         """Writes a corpus as a segment."""
-        stored = self.manifest["stored"]
-        toks = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *stored, *(corpus.tokens_of(f).alias(f"tok_{f}") for f in corpus.fields))
-        indexed = lambda f: F.size(F.filter(f"tok_{f}", lambda t: ~t.isin(*corpus.stop)) if corpus.stop else F.col(f"tok_{f}"))
-        counted = toks.select(
-            "doc_id", *stored, *(F.size(f"tok_{f}").cast("long").alias(f"dl_{f}") for f in corpus.fields),
-            *(indexed(f).cast("long").alias(f"il_{f}") for f in corpus.fields), *(squared(F.col(f"tok_{f}")).alias(f"sq_{f}") for f in corpus.fields),
-        )
-        lists = {}
-        for name in corpus.fields:
-            own = corpus.docs.select(F.col(corpus.id).alias("doc_id"), corpus.tokens_of(name).alias("tok"))
-            long = own.select("doc_id", F.size("tok").cast("long").alias("dl"), F.posexplode("tok").alias("pos", "term"))
-            long = long.filter(~F.col("term").isin(*corpus.stop)) if corpus.stop else long
-            if corpus.stemmer != "none":
-                stems = T.dictionary_stems(long, "term", self.spark.read.parquet(f"{self.path}/lexicon")) if corpus.stemmer == "dictionary" else T.stems(long, "term", corpus.stemmer)
-                long = long.join(stems, F.col("term") == F.col("word")).select("doc_id", "dl", "pos", F.col("stem").alias("term"))
-            grouped = long.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-            lists[name] = grouped.select(F.lit(name).alias("field"), "term", "doc_id", "tf", "positions", "dl")
-        return self._written(counted, lists)
-
-    def _written(self, documents: DataFrame, lists: dict[str, DataFrame]) -> dict:
-        """Writes the tables of a segment from its documents and each field's postings, and returns its entry in the manifest."""
-        segment = {"name": f"s-{uuid.uuid4().hex}"}
-        where, schema = self._where(segment), lambda name: self.spark.read.schema(_SCHEMAS[name].format(id=self.manifest["id_type"]))
-        write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES)
-        write(documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{where}/documents")
-        for name, own in lists.items():
-            write(own.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")).partitionBy("field").parquet(f"{where}/postings")
-            made = schema("postings").parquet(f"{where}/postings").filter(F.col("field") == name)
-            counts = made.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ctf"))
-            write(counts.repartitionByRange("term").sortWithinPartitions("term")).partitionBy("field").parquet(f"{where}/dictionary")
-            write(made.select("field", "doc_id", "term", "tf", "positions", "dl").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "term")).partitionBy("field").parquet(f"{where}/vectors")
-        docs = self.spark.read.parquet(f"{where}/documents")
-        some = [x for f in lists for x in (F.count_if(F.col(f"il_{f}") > 0), F.coalesce(F.sum(f"il_{f}"), F.lit(0)))]
-        n, *counted = docs.agg(F.count("*"), *some).first()
-        segment |= {"docs": n, "stats": {f: [n, counted[2 * i], counted[2 * i + 1]] for i, f in enumerate(lists)}, "buckets": max(8, min(4096, n // BUCKET_DOCS))}
-        if self.manifest["range_width"]:
-            self._write_blocks(schema("postings").parquet(f"{where}/postings"), segment)
-        return segment
-
-    def _write_blocks(self, postings: DataFrame, segment: dict) -> None:
-        place = F.floor(F.col("doc_id") / F.lit(self.manifest["range_width"])).cast("long")
-        each = F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl")))
-        made = postings.groupBy(place.alias("range"), "field", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), each.alias("all"))
-        made = made.select("range", "field", "term", "n", "most_tf", "least_dl", F.col("all.doc_id").alias("docs"), F.col("all.tf").alias("tfs"), F.col("all.dl").alias("dls"))
+        stored, fields, texts = self.manifest["stored"], self.fields, list(dict.fromkeys(corpus.fields.values()))
+        chars = lambda of: reduce(lambda a, b: a + b, (F.coalesce(of(c), F.lit(0)).cast("long") for c in texts))
+        size = corpus.docs.agg(F.coalesce(F.sum(chars(F.octet_length)), F.lit(0))).first()[0]
+        docs = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(F.col(c).alias(f"of_{c}") for c in stored), *(F.col(c).alias(f"text_{c}") for c in texts), chars(F.char_length).alias("chars"))
+        stems = None
+        if corpus.stemmer != "none":
+            docs, stems = docs.join(self._stems(corpus), "doc_id", "left").withColumn("stems", F.coalesce("stems", F.create_map().cast("map<string,string>"))), F.col("stems")
+        of = lambda f: inverted(T.tokens(F.col(f"text_{corpus.fields[f]}"), possessive=corpus.possessive, rule=corpus.rule), tuple(corpus.stop), stems)
+        parts = lambda f, x: [x[c].alias(f"{c}_{f}") for c in ("dl", "il", "sq", "terms", "starts", "places")]
+        doc = let(
+            F.struct(*(of(f).alias(f) for f in fields)),
+            lambda all_: F.struct(F.col("doc_id"), *(F.col(f"of_{c}").alias(c) for c in stored), *(p for f in fields for p in parts(f, all_[f]))),
+        )
+        return self._written(docs, doc, size)
+
+    def _stems(self, corpus: Corpus) -> DataFrame:
+        """doc_id, stems: the words of each document that their stem differs from, with it."""
+        words = F.array_distinct(F.concat(*(corpus.tokens_of(f) for f in corpus.fields)))
+        long = corpus.docs.select(F.col(corpus.id).alias("doc_id"), F.explode(words).alias("term"))
+        stems = T.dictionary_stems(long, "term", self.spark.read.parquet(f"{self.path}/lexicon")) if corpus.stemmer == "dictionary" else T.stems(long, "term", corpus.stemmer)
+        changed = long.join(stems.filter("stem != word"), F.col("term") == F.col("word"))
+        return changed.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "stem"))).alias("stems"))
+
+    def _range(self, doc_id: Column) -> Column:
+        width = self.manifest["range_width"]
+        return F.floor(doc_id / F.lit(width)).cast("long") if width else F.pmod(F.xxhash64(doc_id), F.lit(self.manifest["ranges"]))
+
+    def _written(self, rows: DataFrame, doc: Column, size: int) -> dict:
+        """Writes the tables of a segment from rows (doc_id, chars, and what ``doc`` makes an analysed document of), and returns its entry in the manifest."""
+        segment = {"name": f"s-{uuid.uuid4().hex}", "bytes": size, "buckets": max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))}
+        where = self._where(segment)
+        write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
+        before = Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        placed = rows.withColumn("range", self._range(F.col("doc_id"))).repartition(segment["buckets"], "range")
+        chunks = placed.withColumn("chunk", F.floor(F.sum("chars").over(before) / F.lit(CHUNK_CHARS))).select("range", "chunk", doc.alias("doc"))
+        write(chunks.groupBy("range", "chunk").agg(F.collect_list("doc").alias("docs")).sortWithinPartitions("range", "chunk")).parquet(f"{where}/vectors")
+        self._write_blocks(self.spark.read.parquet(f"{where}/vectors"), segment)
+        counts = self._blocks_in(segment).groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("ctf"))
+        write(counts.sortWithinPartitions("field", "term")).partitionBy("field").parquet(f"{where}/dictionary")
+        lengths = [f"doc.{c}_{f}" for f in self.fields for c in ("dl", "il", "sq")]
+        docs = self._documents_in(segment).select("doc.doc_id", *(f"doc.{c}" for c in self.manifest["stored"]), *lengths)
+        write(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{where}/documents")
+        some = [x for f in self.fields for x in (F.count_if(F.col(f"il_{f}") > 0), F.coalesce(F.sum(f"il_{f}"), F.lit(0)))]
+        n, *counted = self.spark.read.parquet(f"{where}/documents").agg(F.count("*"), *some).first()
+        return segment | {"docs": n, "stats": {f: [n, counted[2 * i], counted[2 * i + 1]] for i, f in enumerate(self.fields)}}
+
+    def _blocks_in(self, segment: dict) -> DataFrame:
+        """A segment's blocks as plain files."""
+        return self.spark.read.schema(_BLOCKS.format(id=self.manifest["id_type"])).parquet(f"{self._where(segment)}/blocks")
+
+    def _write_blocks(self, vectors: DataFrame, segment: dict) -> None:
+        """Rows of a range come from one task and stay there."""
+        made = vectors.select("range", F.explode(F.concat(*(_blocks_of(F.col("docs"), f) for f in self.fields))).alias("b")).select("range", "b.*")
         where = f"{self._where(segment)}/blocks"
         name = "loomtext_blocks_" + hashlib.md5(where.encode()).hexdigest()[:16]
-        bucketed = made.repartition(segment["buckets"], "range").write.option("parquet.block.size", ROW_GROUP_BYTES).option("path", where)
+        bucketed = made.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").option("path", where)
         bucketed.bucketBy(segment["buckets"], "range").sortBy("field", "term", "range").saveAsTable(name)
 
     def postings(self, terms: list[str], name: str = "body", columns: tuple[str, ...] = ("term", "doc_id", "tf", "positions")) -> DataFrame:
         """The lists of some terms of a field."""
-        return self.table("postings").filter((F.col("field") == name) & F.col("term").isin(*terms)).select(*columns)
+        held = {"doc_id": "docs", "tf": "tfs", "dl": "dls", "positions": "positions"}
+        own = [c for c in held if c in columns or c == "doc_id"]
+        blocks = reduce(DataFrame.unionByName, (self._blocks_in(s).filter((F.col("field") == name) & F.col("term").isin(*terms)) for s in self.segments))
+        each = blocks.select("term", F.explode(F.arrays_zip(*(held[c] for c in own))).alias("p"))
+        return each.select("term", *(F.col("p")[held[c]].alias(c) for c in own)).select(*columns)
 
     def tokens(self, terms: list[str], name: str = "body") -> DataFrame:
         """doc_id, pos, term of some terms in long form."""
@@ -247,8 +330,10 @@ class Index:
 
     def term_vectors(self, doc_ids: list[int] | None = None, name: str = "body") -> DataFrame:
         """doc_id, term, tf, positions, dl of all or some documents."""
-        own = self.table("vectors").filter(F.col("field") == name)
-        return (own if doc_ids is None else own.filter(F.col("doc_id").isin(*doc_ids))).select("doc_id", "term", "tf", "positions", "dl")
+        docs = reduce(DataFrame.unionByName, (self._documents_in(s, doc_ids).select(*(F.col("doc")[c].alias(c) for c in ("doc_id", *(f"{c}_{name}" for c in ("dl", "terms", "starts", "places"))))) for s in self.segments))
+        docs = docs if doc_ids is None else docs.filter(F.col("doc_id").isin(*doc_ids))
+        each = docs.select(F.explode(_postings_of(F.struct(*docs.columns), name)).alias("p"))
+        return each.select(*(F.col("p")[c].alias(c) for c in ("doc_id", "term", "tf", "positions", "dl")))
 
     @staticmethod
     def ids_of(rows: DataFrame) -> list | None:
@@ -283,7 +368,7 @@ def written_when(spark: SparkSession, path: str) -> tuple:
 
 def kept_at(spark: SparkSession, *key) -> str:
     """The path in the shared folder of what a key names, the same for every application."""
-    return f"{shared_folder(spark)}/loomtext/indexes/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
+    return f"{shared_folder(spark)}/loomtext/indexes/{hashlib.sha256(repr((LAYOUT, *key)).encode()).hexdigest()[:32]}"
 
 
 def index_of(source: str, corpus: Corpus, stored: tuple[str, ...] = ()) -> Index:

@@ -118,3 +118,32 @@ def test_ids_that_are_no_integers(spark, tmp_path):
     docs = spark.createDataFrame([("a", "x y"), ("b", "x")], "doc_id string, text string")
     index = Index.build(Corpus(docs), f"file://{tmp_path}/s").append(spark.createDataFrame([("c", "y y")], "doc_id string, text string"))
     assert sorted(r["doc_id"] for r in bounded_search(index, {"q": "y"}, k=5).rows.collect()) == ["a", "c"]
+
+
+def test_building_moves_about_the_texts(spark, tmp_path):
+    """Neither tokens nor postings are shuffled or written over and over: what a build moves stays near the size of the texts."""
+    from loomtext.plans.observed import measured, totals
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(3000)]
+    docs = [(i, " ".join(rng.choices(words, k=400))) for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    took = totals(measured(spark, {"build": lambda: Index.build(Corpus(df), f"file://{tmp_path}/i").dictionary()})).first()
+    size = sum(len(t) for _, t in docs)
+    assert took["rows_out"] == 3000 and took["shuffle_bytes_written"] + took["spilled_bytes"] < 1.5 * size
+    stored = sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "i") for f in names)
+    assert stored < 3 * size
+
+
+def test_ranges_of_long_texts_and_stray_ids(spark, tmp_path):
+    """A range that holds nearly all documents is kept in chunks, a stray id does not widen ranges, and places stay exact."""
+    long = " ".join(f"x{i % 50} the" for i in range(150_000))
+    docs = [(i, f"common w{i}") for i in range(300)] + [(300, long), (301, long), (1 << 40, "stray common"), (-5, None)]
+    index = Index.build(Corpus(spark.createDataFrame(docs, "doc_id long, text string"), stop=("the",)), f"file://{tmp_path}/r")
+    assert index.manifest["range_width"] < 100
+    got = {r["doc_id"]: r for r in index.postings(["x7", "the"]).collect()}
+    assert set(got) == {300, 301} and all(r["positions"] == [2 * i for i in range(7, 150_000, 50)] and r["tf"] == 3000 for r in got.values())
+    assert {r["doc_id"]: r["tf"] for r in index.term_vectors([301]).filter("term = 'x0'").collect()} == {301: 3000}
+    assert index.dictionary(terms=["common", "the"]).collect()[0].asDict() == {"term": "common", "df": 301, "ctf": 301}
+    assert {r["doc_id"]: (r["dl_all"], r["dl_indexed"]) for r in index.lengths().filter("doc_id in (-5, 300)").collect()} == {-5: (0, 0), 300: (300_000, 150_000)}
+    assert rows(bounded_search(index, {"q": "common x7 w9"}, k=20).rows) == rows(search(index, {"q": "common x7 w9"}, Model("bm25"), 20))
