@@ -46,14 +46,15 @@ class _Folder:
         names = self.names()
         if writer is not None and any(v.get("writer") == writer and v.get("batch") == batch for v in map(self.version, range(len(names), 0, -1))):
             return  # a micro-batch that was committed before the stream could note it
-        body = json.dumps({"files": [m.name for m in messages if m], "n": sum(m.n for m in messages if m), "writer": writer, "batch": batch})
+        body = json.dumps({"files": [m.name for m in messages if m and m.name], "n": sum(m.n for m in messages if m), "writer": writer, "batch": batch})
         self.files.create_dir(f"{self.path}/versions", recursive=True)
         made = f"{self.path}/versions/.{uuid.uuid4().hex}"
         with self.files.open_output_stream(made) as out:
             out.write(body.encode())
         self.files.move(made, f"{self.path}/versions/{len(names) + 1:012d}.json")
 
-    def put(self, rows: Iterator) -> Written | None:
+    def put(self, rows: Iterator) -> Written:
+        """Writes a task's events; of a task without events there is no file."""
         name, n, out = f"events-{uuid.uuid4().hex}.parquet", 0, None
         held: list[dict] = []
 
@@ -73,13 +74,13 @@ class _Folder:
         if held:
             flush()
         if out is None:
-            return None
+            return Written(None, 0)
         out.close()
         return Written(name, n)
 
     def drop(self, messages: list[Written | None]) -> None:
         for m in messages:
-            if m:
+            if m and m.name:
                 self.files.delete_file(f"{self.path}/events/{m.name}")
 
     def read(self, name: str) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ class _Folder:
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
+    name: str | None
     n: int
 
 
@@ -134,7 +135,7 @@ class _BatchWriter(DataSourceWriter):
     def __init__(self, uri: str):
         self.uri = uri
 
-    def write(self, iterator: Iterator) -> Written | None:
+    def write(self, iterator: Iterator) -> Written:
         return _Folder(self.uri).put(iterator)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -148,7 +149,7 @@ class _StreamWriter(DataSourceStreamWriter):
     def __init__(self, uri: str, writer: str):
         self.uri, self.writer = uri, writer
 
-    def write(self, iterator: Iterator) -> Written | None:
+    def write(self, iterator: Iterator) -> Written:
         return _Folder(self.uri).put(iterator)
 
     def commit(self, messages: list[Written | None], batchId: int) -> None:

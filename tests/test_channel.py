@@ -75,3 +75,16 @@ def test_a_repeated_micro_batch_adds_nothing(spark, channel, tmp_path):
     shutil.rmtree(tmp_path / "marks" / "commits")
     run()
     assert contents(spark.read.format("channel").option("path", uri).load()) == list(range(40))
+
+
+def test_tasks_without_events_leave_no_file(spark, channel, tmp_path):
+    """Batches and streams whose tasks are partly or all empty."""
+    uri, _ = channel
+    spark.range(2).select(F.lit("r").alias("room"), F.lit("u").alias("sender"), F.lit("chat").alias("kind"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("content"), F.lit(None).cast("timestamp").alias("sent")).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    events = spark.read.parquet(f"file://{tmp_path}/in")
+    for df in (events.repartition(4, "room"), events.filter("room = 'none'")):
+        df.write.format("channel").option("path", uri).mode("append").save()
+    assert contents(spark.read.format("channel").option("path", uri).load()) == [0, 1] and len(list((tmp_path / "channel" / "events").iterdir())) == 1
+    stream = spark.readStream.schema(EVENT).parquet(f"file://{tmp_path}/in").repartition(4, "room")
+    stream.writeStream.format("channel").option("path", uri).option("writer", "w").option("checkpointLocation", f"file://{tmp_path}/marks").trigger(availableNow=True).start().awaitTermination()
+    assert contents(spark.read.format("channel").option("path", uri).load()) == [0, 0, 1, 1]
