@@ -318,6 +318,17 @@ def _recurring(marked: DataFrame, scratch: Scratch) -> DataFrame:
     return marked.join(scratch.settle(again.select("gram", "mark"), "recurring-marks"), ["gram", "mark"])
 
 
+def spans_by_context(spans: DataFrame) -> DataFrame:
+    """One row for each (gram, context), its spans united where they meet: a place of a context joins one row, however many of its strings recur. A context has no more starts than a window."""
+    def united(done, s):
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
+        return F.when(s["start"] <= last["end"], longer).otherwise(F.concat(done, F.array(s)))
+
+    every = spans.groupBy("gram", "context").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return every.withColumn("spans", F.aggregate(F.slice("spans", 2, F.size("spans")), F.slice("spans", 1, 1), united))
+
+
 def repeated_spans(keyed: DataFrame, scratch: Scratch, keep_first: bool = False) -> DataFrame:
     """text_key, n_bytes, spans: the bytes of each text that lie in recurring strings; passages: the same of words that another document holds. Reads tables that ``scratch`` holds.
 
@@ -358,7 +369,7 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch, keep_first: bool = False)
         once = places.select("text_key", "n_bytes", "unit", "low", "gram", "context").distinct()
         recurs = (F.col("unit") == BYTE) | (F.col("doc") < F.col("doc_high"))
         spans = spans.unionByName(dealt.filter(alone & recurs).select("gram", "context", all_of.alias("spans")))
-    placed = once.join(spans, ["gram", "context"]).select("text_key", "n_bytes", "unit", "low", "spans")
+    placed = once.join(spans_by_context(spans), ["gram", "context"]).select("text_key", "n_bytes", "unit", "low", "spans")
     if keep_first:
         placed = placed.unionByName(copies)
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("low")).alias("start"), (s["end"] + F.col("low")).alias("end")))

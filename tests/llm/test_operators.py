@@ -801,3 +801,13 @@ def test_elements_that_name_furniture():
     assert [x.furniture for a in content for x in pages.lines(f"<div {a}>x</div>")] == [False] * len(content)
     assert not pages.lines('<article><div class="entry-header">x</div></article>')[0].furniture
     assert [x.text for x in pages.lines("<select><option>a</select><p>a</p><table><tr><td>b<td>c</table>d &#65;&amp;&nbsp; e")] == ["a", "b", "c", "d A& e"]
+
+
+def test_a_context_joins_its_places_once(spark):
+    """All strings of a context that recur are one row, so that places times strings are never formed."""
+    from loomtext.llm.repeats import spans_by_context
+
+    rows = [(1, 1, [(5, 405)]), (1, 1, [(6, 406)]), (1, 1, [(406, 500), (900, 1300)]), (1, 1, [(0, 3)]), (1, 2, [(7, 8)]), (2, 1, [(7, 9), (8, 8)])]
+    made = spans_by_context(spark.createDataFrame(rows, "gram long, context long, spans array<struct<start:int,end:int>>"))
+    got = {(r["gram"], r["context"]): [tuple(s) for s in r["spans"]] for r in made.collect()}
+    assert made.count() == 3 and got == {(1, 1): [(0, 3), (5, 500), (900, 1300)], (1, 2): [(7, 8)], (2, 1): [(7, 9)]}
