@@ -1,13 +1,14 @@
 """A stored inverted index of segments: tables that queries read by term or by document instead of the texts.
 
-vectors       range, chunk, docs: of each document its id, stored columns, dl_, il_, sq_ of each field, its terms with their places
+vectors       range, doc_id, stored columns; dl_, il_, sq_, terms_, starts_, places_ of each field     bucketed by document range
 blocks        range, field, term, n, most_tf, least_dl, total, docs, tfs, dls, positions     bucketed by document range, sorted by term
 dictionary    field, term, df, ctf                       by field, sorted by term
 documents     doc_id, stored columns, dl_, il_, sq_ of each field, sorted by doc_id
 
-Texts are shuffled once, by document range, and analysed there: a document's tokens are grouped by term inside its row, and the
-documents of a range, or of a chunk of it where texts are long, meet in one row, whose blocks are made inside it. Tokens and postings
-are never shuffled, so what moves is about the size of the texts.
+Texts are shuffled once, by document range, and analysed there a batch of documents at a time. The vectors are written by the
+buckets of the blocks, so the documents of a range, or of a chunk of it where texts are long, meet without another shuffle. Tokens and
+postings are never shuffled, so what moves is about the size of the texts; and a task sorts the blocks of one bucket, however many there
+are, so what is sorted at once does not grow with the table.
 
 Every batch of documents is a segment with tables of its own; a manifest names the segments, the analysis they share (fields,
 stopwords, possessives, stemmer) and each segment's statistics, so that a path is all that opening an index takes. A version
@@ -26,12 +27,15 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomtext.functions import text as T
 from loomtext.operators.corpus import Corpus
@@ -39,58 +43,126 @@ from loomtext.storage import commit_manifest, hadoop_path, latest_manifest, shar
 
 _DICTIONARY = "term string, df long, ctf long, field string"
 _BLOCKS = "`range` long, field string, term string, n int, most_tf long, least_dl long, total long, docs array<{id}>, tfs array<long>, dls array<long>, positions array<array<int>>"
+#: Columns of the vectors for each field.
+_ANALYSED = {"dl": "bigint", "il": "bigint", "sq": "double", "terms": "array<string>", "starts": "array<int>", "places": "array<int>"}
 #: Enters the key of kept indexes: those of another layout are not opened.
-LAYOUT = 2
+LAYOUT = 3
 #: Bytes of a row group, so that the bounds of sorted terms are narrow.
 ROW_GROUP_BYTES = 8 << 20
 #: Documents that are read by their ids; more are met by a join.
 BY_ID = 10_000
 #: Documents of a range, on average.
 RANGE_DOCS = 64
-#: Bytes of text of a bucket, about, and the fewest buckets; characters of a chunk of a range.
-BUCKET_BYTES, LEAST_BUCKETS, CHUNK_CHARS = 16 << 20, 8, 1 << 20
+#: Bytes of text of a bucket, about, and the fewest buckets; tokens of a chunk of a range.
+BUCKET_BYTES, LEAST_BUCKETS, CHUNK_PLACES = 8 << 20, 8, 1 << 18
 #: So many segments of one size are merged; sizes are told apart by powers of it.
 MERGE_AT = 4
 
 
-def squared(tokens: Column) -> Column:
-    """The sum of squared frequencies of the tokens, by one walk over them in order."""
-    first = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
-
-    def step(s, t):
-        more = F.struct(t.alias("t"), (s["n"] + 1).alias("n"), s["s"].alias("s"))
-        other = F.struct(t.alias("t"), F.lit(1.0).alias("n"), (s["s"] + s["n"] * s["n"]).alias("s"))
-        return F.when(s["t"] == t, more).otherwise(other)
-
-    return F.aggregate(F.array_sort(tokens), first, step, lambda s: s["s"] + s["n"] * s["n"])
-
-
-def let(value: Column, use) -> Column:
-    """use(value), the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _heads(rows: Column, key: str) -> Column:
-    """key, at: where each value of a key begins in sorted rows."""
-    marked = F.transform(rows, lambda x, i: F.struct(x[key].alias(key), i.alias("at")))
-    return F.filter(marked, lambda x, i: (i == 0) | (x[key] != F.get(rows, i - 1)[key]))
-
-
-def inverted(tokens: Column, stop: tuple[str, ...] = (), stems: Column | None = None) -> Column:
-    """dl, il, sq, terms, starts, places of a document's tokens: the distinct terms in order, and for each where its places start in ``places``."""
-    def kept(tok):
-        rows = F.transform(tok, lambda t, i: F.struct(t.alias("t"), i.cast("int").alias("p")))
-        rows = F.filter(rows, lambda x: ~x["t"].isin(*stop)) if stop else rows
-        return rows if stems is None else F.transform(rows, lambda x: F.struct(F.coalesce(F.try_element_at(stems, x["t"]), x["t"]).alias("t"), x["p"].alias("p")))
-
-    def of_heads(tok, rows, heads):
-        if stop or stems is not None:
-            sq = squared(tok)
-        else:
-            sq = F.aggregate(F.transform(heads["at"], lambda at, j: F.coalesce(F.get(heads, j + 1)["at"], F.size(rows)) - at), F.lit(0.0), lambda a, n: a + n * n)
-        return F.struct(F.size(tok).cast("long").alias("dl"), F.size(rows).cast("long").alias("il"), sq.alias("sq"), heads["t"].alias("terms"), heads["at"].alias("starts"), rows["p"].alias("places"))
-
-    return let(tokens, lambda tok: let(F.sort_array(kept(tok)), lambda rows: let(_heads(rows, "t"), lambda heads: of_heads(tok, rows, heads))))
+#: Bytes of rows that reach a Python worker at a time.
+ARROW_BYTES = 8 << 20
+
+
+def _list(offsets: np.ndarray, values: pa.Array | np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    """Where runs of some lengths start, and where the last ends."""
+    return np.concatenate(([0], np.cumsum(counts)))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The lengths and the values of a column of lists."""
+    return pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
+
+
+def _ranked(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each value its place among the distinct ones in order, and these."""
+    coded = values.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each value of sorted keys begins."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def inverted(tokens: pa.Array, stop: tuple[str, ...] = (), stems: pa.Array | None = None) -> list[pa.Array]:
+    """dl, il, sq, terms, starts, places of each document's tokens: the distinct terms in order, and for each where its places start in ``places``."""
+    n = len(tokens)
+    length, flat = _flat(tokens)
+    form = None
+    if stems is None:
+        code, words = _ranked(flat)
+    else:
+        code, words = _ranked(pa.concat_arrays([flat, stems.keys, stems.items]))
+        word, stem = np.split(code[len(flat) :], 2)
+        code, form = code[: len(flat)], np.arange(len(words))
+        form[word] = stem
+    owner, place = np.repeat(np.arange(n), length), np.arange(len(flat)) - np.repeat(_starts(length)[:-1], length)
+    key = owner * len(words) + code
+    order = np.argsort(key, kind="stable")
+    head = _runs(key[order])
+    times = np.diff(np.append(head, len(order)))
+    sq = np.bincount(owner[order[head]], weights=times.astype(np.float64) ** 2, minlength=n)
+    if stop or form is not None:
+        kept = ~pc.is_in(words, pa.array(stop, words.type)).to_numpy(zero_copy_only=False)[code]
+        owner, place, code = owner[kept], place[kept], code[kept]
+        key = owner * len(words) + (code if form is None else form[code])
+        order = np.argsort(key, kind="stable")
+        head = _runs(key[order])
+    held, terms = np.bincount(owner, minlength=n), np.bincount(owner[order[head]], minlength=n)
+    begin = _starts(held)
+    return [
+        pa.array(length), pa.array(held), pa.array(sq), _list(_starts(terms), words.take(pa.array(key[order[head]] % max(1, len(words))))),
+        _list(_starts(terms), (head - begin[owner[order[head]]]).astype(np.int32)), _list(begin, place[order].astype(np.int32)),
+    ]
+
+
+def _blocks_of(docs: pa.Table, field: str) -> pa.RecordBatch:
+    """The blocks of a field of some documents of a range, in the order of ids."""
+    docs = docs.take(pc.sort_indices(docs, [("doc_id", "ascending")])).combine_chunks()
+    column = lambda c: docs.column(c).combine_chunks() if docs.column(c).num_chunks != 1 else docs.column(c).chunk(0)
+    n_terms, terms = _flat(column(f"terms_{field}"))
+    n_places, places = _flat(column(f"places_{field}"))
+    owner = np.repeat(np.arange(len(docs)), n_terms)
+    begin = _starts(n_places)
+    start = column(f"starts_{field}").flatten().to_numpy().astype(np.int64) + begin[owner]
+    tf = np.diff(np.append(start, begin[-1]))  # lists stand one behind the other
+    rank, words = _ranked(terms)
+    order = np.argsort(rank, kind="stable")
+    head = _runs(rank[order])
+    owner, start, tf = owner[order], start[order], tf[order]
+    dl, lists = column(f"dl_{field}").to_numpy()[owner], np.append(head, len(order))
+    moved = places.to_numpy()[np.repeat(start - _starts(tf)[:-1], tf) + np.arange(tf.sum())]
+    over = lambda f, x: f.reduceat(x, head) if len(head) else x
+    same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(head), dtype=np.int64)))
+    made = {
+        "range": column("range").take(pa.array(np.zeros(len(head), dtype=np.int64))), "field": same(field), "term": words, "n": pa.array(np.diff(lists).astype(np.int32)),
+        "most_tf": pa.array(over(np.maximum, tf)), "least_dl": pa.array(over(np.minimum, dl)), "total": pa.array(over(np.add, tf)),
+        "docs": _list(lists, column("doc_id").take(pa.array(owner))), "tfs": _list(lists, tf), "dls": _list(lists, dl), "positions": _list(lists, _list(_starts(tf), moved)),
+    }
+    return pa.RecordBatch.from_arrays(list(made.values()), list(made))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The documents of a range in chunks of about CHUNK_PLACES."""
+    held, n = [], 0
+    for batch in batches:
+        size = sum(pc.list_value_length(batch.column(f"places_{f}")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
+        at = 0
+        for i, more in enumerate(size.tolist()):
+            if n and n + more > CHUNK_PLACES:
+                yield pa.Table.from_batches([*held, batch.slice(at, i - at)])
+                held, n, at = [], 0, i
+            n += more
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _postings_of(doc: Column, field: str) -> Column:
@@ -103,22 +175,6 @@ def _postings_of(doc: Column, field: str) -> Column:
     return F.transform(doc[f"terms_{field}"], posting)
 
 
-def _blocks_of(docs: Column, field: str) -> Column:
-    """The blocks of a field of some documents."""
-    def block(head, rows, n):
-        own = lambda l: F.struct(
-            F.lit(field).alias("field"), head["term"].alias("term"), F.size(l).alias("n"), F.array_max(l["tf"]).alias("most_tf"), F.array_min(l["dl"]).alias("least_dl"),
-            F.aggregate(l["tf"], F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), l["doc_id"].alias("docs"), l["tf"].alias("tfs"), l["dl"].alias("dls"), l["positions"].alias("positions"),
-        )
-        return let(F.slice(rows, head["at"] + 1, n), own)
-
-    def of(rows, heads):
-        return F.transform(heads, lambda h, j: block(h, rows, F.coalesce(F.get(heads, j + 1)["at"], F.size(rows)) - h["at"]))
-
-    every = F.sort_array(F.flatten(F.transform(docs, lambda d: _postings_of(d, field))))
-    return let(every, lambda rows: let(_heads(rows, "term"), lambda heads: of(rows, heads)))
-
-
 class Index:
     """An index under a path, as one version of its manifest has it."""
 
@@ -157,12 +213,12 @@ class Index:
         return reduce(DataFrame.unionByName, (reader.parquet(f"{self._where(s)}/{name}") for s in self.segments))
 
     def _documents_in(self, segment: dict, ids: list | None = None) -> DataFrame:
-        """doc: the analysed documents of a segment, or of the ranges that hold some ids."""
-        rows = self.spark.read.parquet(f"{self._where(segment)}/vectors")
+        """The analysed documents of a segment, or of the ranges that hold some ids."""
+        rows = self.spark.read.schema(self.manifest["vectors"]).parquet(f"{self._where(segment)}/vectors")
         width = self.manifest["range_width"]
         if ids is not None and width:  # as doubles, which the engine divides too
             rows = rows.filter(F.col("range").isin(*{math.floor(float(i) / float(width)) for i in ids}))
-        return rows.select(F.explode("docs").alias("doc"))
+        return rows
 
     def blocks(self, segment: dict) -> DataFrame:
         """A segment's blocks, bucketed by document range: rows of one range are in one task, so lists meet without a shuffle."""
@@ -206,6 +262,9 @@ class Index:
             "version": 0, "id": corpus.id, "id_type": id_type, "fields": dict(corpus.fields), "stop": list(corpus.stop), "possessive": corpus.possessive, "stemmer": corpus.stemmer, "rule": corpus.rule,
             "stored": [c for c in stored if c != corpus.id], "range_width": None, "ranges": 1, "appended": 0, "segments": [],
         }
+        columns = [("range", "bigint"), ("doc_id", id_type), *((c, corpus.docs.schema[c].dataType.simpleString()) for c in manifest["stored"])]
+        columns += [(f"{c}_{f}", kind) for f in corpus.fields for c, kind in _ANALYSED.items()]
+        manifest["vectors"] = ", ".join(f"`{c}` {kind}" for c, kind in columns)
         index = Index(corpus.docs.sparkSession, path, manifest)
         if id_type in ("bigint", "int", "smallint", "tinyint"):
             ends, n = corpus.docs.agg(F.percentile_approx(corpus.id, [0.05, 0.95]), F.count(corpus.id)).first()  # without the ends: a stray id does not widen ranges
@@ -237,9 +296,8 @@ class Index:
             if many is None:
                 return index
             part = Index(index.spark, index.path, index.manifest | {"segments": many})
-            docs = reduce(DataFrame.unionByName, (part._documents_in(s) for s in many))
-            places = sum((F.size(F.col("doc")[f"places_{f}"]) for f in index.fields[1:]), F.size(F.col("doc")[f"places_{index.fields[0]}"]))
-            one = index._written(docs.select("doc", F.col("doc")["doc_id"].alias("doc_id"), (places * 6).cast("long").alias("chars")), F.col("doc"), sum(s["bytes"] for s in many))
+            size = sum(s["bytes"] for s in many)
+            one = index._written(index._placed(reduce(DataFrame.unionByName, (part._documents_in(s) for s in many)), size), size)
             index = index._commit(segments=[*(s for s in index.segments if s not in many), one])
 
     def vacuum(self) -> list[str]:
@@ -253,19 +311,27 @@ class Index:
     def _analysed(self, corpus: Corpus) -> dict:
         """Writes a corpus as a segment."""
         stored, fields, texts = self.manifest["stored"], self.fields, list(dict.fromkeys(corpus.fields.values()))
-        chars = lambda of: reduce(lambda a, b: a + b, (F.coalesce(of(c), F.lit(0)).cast("long") for c in texts))
-        size = corpus.docs.agg(F.coalesce(F.sum(chars(F.octet_length)), F.lit(0))).first()[0]
-        docs = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(F.col(c).alias(f"of_{c}") for c in stored), *(F.col(c).alias(f"text_{c}") for c in texts), chars(F.char_length).alias("chars"))
-        stems = None
-        if corpus.stemmer != "none":
-            docs, stems = docs.join(self._stems(corpus), "doc_id", "left").withColumn("stems", F.coalesce("stems", F.create_map().cast("map<string,string>"))), F.col("stems")
-        of = lambda f: inverted(T.tokens(F.col(f"text_{corpus.fields[f]}"), possessive=corpus.possessive, rule=corpus.rule), tuple(corpus.stop), stems)
-        parts = lambda f, x: [x[c].alias(f"{c}_{f}") for c in ("dl", "il", "sq", "terms", "starts", "places")]
-        doc = let(
-            F.struct(*(of(f).alias(f) for f in fields)),
-            lambda all_: F.struct(F.col("doc_id"), *(F.col(f"of_{c}").alias(c) for c in stored), *(p for f in fields for p in parts(f, all_[f]))),
-        )
-        return self._written(docs, doc, size)
+        octets = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts))
+        size = corpus.docs.agg(F.coalesce(F.sum(octets), F.lit(0))).first()[0]
+        docs = corpus.docs.select(F.col(corpus.id).alias("doc_id"), *(F.col(c).alias(f"of_{c}") for c in stored), *(F.col(c).alias(f"text_{c}") for c in texts))
+        stemmed = corpus.stemmer != "none"
+        if stemmed:
+            docs = docs.join(self._stems(corpus), "doc_id", "left").withColumn("stems", F.coalesce("stems", F.create_map().cast("map<string,string>")))
+        placed = self._placed(docs.withColumn("range", self._range(F.col("doc_id"))), size)
+        tokens = (T.tokens(F.col(f"text_{corpus.fields[f]}"), possessive=corpus.possessive, rule=corpus.rule).alias(f"tokens_{i}") for i, f in enumerate(fields))
+        cut = placed.select("range", "doc_id", *(f"of_{c}" for c in stored), *tokens, *(["stems"] if stemmed else []))
+        before, stop, n_fields = 2 + len(stored), tuple(corpus.stop), len(fields)
+        names = ["range", "doc_id", *stored, *(f"{c}_{f}" for f in fields for c in _ANALYSED)]
+
+        def analysed(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    stems = batch.column("stems") if stemmed else None
+                    parts = (p for i in range(n_fields) for p in inverted(batch.column(f"tokens_{i}"), stop, stems))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:before], *parts], names)
+
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return self._written(cut.mapInArrow(analysed, self.manifest["vectors"]), size)
 
     def _stems(self, corpus: Corpus) -> DataFrame:
         """doc_id, stems: the words of each document that their stem differs from, with it."""
@@ -279,20 +345,24 @@ class Index:
         width = self.manifest["range_width"]
         return F.floor(doc_id / F.lit(width)).cast("long") if width else F.pmod(F.xxhash64(doc_id), F.lit(self.manifest["ranges"]))
 
-    def _written(self, rows: DataFrame, doc: Column, size: int) -> dict:
-        """Writes the tables of a segment from rows (doc_id, chars, and what ``doc`` makes an analysed document of), and returns its entry in the manifest."""
-        segment = {"name": f"s-{uuid.uuid4().hex}", "bytes": size, "buckets": max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))}
+    @staticmethod
+    def _buckets(size: int) -> int:
+        return max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+
+    def _placed(self, rows: DataFrame, size: int) -> DataFrame:
+        """Rows of documents by range, as the buckets of a segment of ``size`` bytes of text have them."""
+        return rows.repartition(self._buckets(size), "range")
+
+    def _written(self, docs: DataFrame, size: int) -> dict:
+        """Writes the tables of a segment from analysed documents that are placed, and returns its entry in the manifest."""
+        segment = {"name": f"s-{uuid.uuid4().hex}", "bytes": size, "buckets": self._buckets(size)}
         where = self._where(segment)
         write = lambda df: df.write.mode("append").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd")
-        before = Window.partitionBy("range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        placed = rows.withColumn("range", self._range(F.col("doc_id"))).repartition(segment["buckets"], "range")
-        chunks = placed.withColumn("chunk", F.floor(F.sum("chars").over(before) / F.lit(CHUNK_CHARS))).select("range", "chunk", doc.alias("doc"))
-        write(chunks.groupBy("range", "chunk").agg(F.collect_list("doc").alias("docs")).sortWithinPartitions("range", "chunk")).parquet(f"{where}/vectors")
-        self._write_blocks(self.spark.read.parquet(f"{where}/vectors"), segment)
+        self._write_blocks(self._bucketed(docs, segment, "vectors", "range", "doc_id"), segment)
         counts = self._blocks_in(segment).groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("total").alias("ctf"))
         write(counts.sortWithinPartitions("field", "term")).partitionBy("field").parquet(f"{where}/dictionary")
-        lengths = [f"doc.{c}_{f}" for f in self.fields for c in ("dl", "il", "sq")]
-        docs = self._documents_in(segment).select("doc.doc_id", *(f"doc.{c}" for c in self.manifest["stored"]), *lengths)
+        lengths = [f"{c}_{f}" for f in self.fields for c in ("dl", "il", "sq")]
+        docs = self._documents_in(segment).select("doc_id", *self.manifest["stored"], *lengths)
         write(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).parquet(f"{where}/documents")
         some = [x for f in self.fields for x in (F.count_if(F.col(f"il_{f}") > 0), F.coalesce(F.sum(f"il_{f}"), F.lit(0)))]
         n, *counted = self.spark.read.parquet(f"{where}/documents").agg(F.count("*"), *some).first()
@@ -302,13 +372,25 @@ class Index:
         """A segment's blocks as plain files."""
         return self.spark.read.schema(_BLOCKS.format(id=self.manifest["id_type"])).parquet(f"{self._where(segment)}/blocks")
 
+    def _bucketed(self, rows: DataFrame, segment: dict, name: str, *order: str) -> DataFrame:
+        """Writes a table of a segment by buckets, whose rows come from one task each, and returns it."""
+        where = f"{self._where(segment)}/{name}"
+        table = f"loomtext_{name}_" + hashlib.md5(where.encode()).hexdigest()[:16]
+        out = rows.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").option("path", where)
+        out.bucketBy(segment["buckets"], "range").sortBy(*order).saveAsTable(table)
+        return self.spark.table(table)
+
     def _write_blocks(self, vectors: DataFrame, segment: dict) -> None:
-        """Rows of a range come from one task and stay there."""
-        made = vectors.select("range", F.explode(F.concat(*(_blocks_of(F.col("docs"), f) for f in self.fields))).alias("b")).select("range", "b.*")
-        where = f"{self._where(segment)}/blocks"
-        name = "loomtext_blocks_" + hashlib.md5(where.encode()).hexdigest()[:16]
-        bucketed = made.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").option("path", where)
-        bucketed.bucketBy(segment["buckets"], "range").sortBy("field", "term", "range").saveAsTable(name)
+        """The documents of a range meet in the task that reads its bucket, and its blocks stay there."""
+        fields = self.fields
+
+        def of_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for docs in _chunks(batches, fields):
+                yield from (_blocks_of(docs, f) for f in fields)
+
+        read = vectors.select("range", "doc_id", *(f"{c}_{f}" for f in fields for c in ("dl", "terms", "starts", "places")))
+        made = read.groupBy("range").applyInArrow(of_range, _BLOCKS.format(id=self.manifest["id_type"]))
+        self._bucketed(made, segment, "blocks", "field", "term", "range")
 
     def postings(self, terms: list[str], name: str = "body", columns: tuple[str, ...] = ("term", "doc_id", "tf", "positions")) -> DataFrame:
         """The lists of some terms of a field."""
@@ -330,7 +412,7 @@ class Index:
 
     def term_vectors(self, doc_ids: list[int] | None = None, name: str = "body") -> DataFrame:
         """doc_id, term, tf, positions, dl of all or some documents."""
-        docs = reduce(DataFrame.unionByName, (self._documents_in(s, doc_ids).select(*(F.col("doc")[c].alias(c) for c in ("doc_id", *(f"{c}_{name}" for c in ("dl", "terms", "starts", "places"))))) for s in self.segments))
+        docs = reduce(DataFrame.unionByName, (self._documents_in(s, doc_ids).select("doc_id", *(f"{c}_{name}" for c in ("dl", "terms", "starts", "places"))) for s in self.segments))
         docs = docs if doc_ids is None else docs.filter(F.col("doc_id").isin(*doc_ids))
         each = docs.select(F.explode(_postings_of(F.struct(*docs.columns), name)).alias("p"))
         return each.select(*(F.col("p")[c].alias(c) for c in ("doc_id", "term", "tf", "positions", "dl")))

@@ -147,3 +147,44 @@ def test_ranges_of_long_texts_and_stray_ids(spark, tmp_path):
     assert index.dictionary(terms=["common", "the"]).collect()[0].asDict() == {"term": "common", "df": 301, "ctf": 301}
     assert {r["doc_id"]: (r["dl_all"], r["dl_indexed"]) for r in index.lengths().filter("doc_id in (-5, 300)").collect()} == {-5: (0, 0), 300: (300_000, 150_000)}
     assert rows(bounded_search(index, {"q": "common x7 w9"}, k=20).rows) == rows(search(index, {"q": "common x7 w9"}, Model("bm25"), 20))
+
+
+def test_a_task_sorts_the_blocks_of_one_bucket(spark, tmp_path, monkeypatch):
+    """However small the files of the buckets are, no task takes several: what it sorts does not grow with the table."""
+    from loomtext.operators import index as module
+    from loomtext.plans.observed import measured
+
+    monkeypatch.setattr(module, "BUCKET_BYTES", 1000)
+    df = spark.createDataFrame([(i, f"w{i} common " * 10) for i in range(1300)], "doc_id long, text string")
+    built = []
+    stages = measured(spark, {"build": lambda: built.append(Index.build(Corpus(df), f"file://{tmp_path}/n")) or built[0].table("documents")}).collect()
+    most = max(stages, key=lambda r: r["rows_written"])
+    assert built[0].segments[0]["buckets"] > 100 and most["rows_written"] > 1300 and most["tasks"] == built[0].segments[0]["buckets"]
+
+
+def test_blocks_and_vectors_hold_the_tokens(spark, tmp_path):
+    """Against plain Python: stopwords, stems that meet other words, empty and null texts, letters beyond the first plane, several fields, chunks of a range."""
+    import re
+    from collections import defaultdict
+
+    from loomtext.functions.porter import stem
+
+    rng = random.Random(5)
+    words = ["run", "running", "runs", "the", "é", "\U0001d400", "\uffee", "z9", "cats", "cat"]
+    docs = [(i, rng.choice([None, "", "Run the cats"]), rng.choice([None, "", " ".join(rng.choices(words, k=rng.randint(1, 300)))])) for i in range(-70, 130)]
+    index = Index.build(corpus(spark.createDataFrame(docs, SCHEMA), stop=("the",), stemmer="porter"), f"file://{tmp_path}/v")
+    for at, field in ((1, "title"), (2, "body")):
+        want, squares = defaultdict(list), {}
+        for d in docs:
+            found = re.findall(r"[^\W_]+", (d[at] or "").lower())
+            squares[d[0]] = (len(found), sum(t != "the" for t in found), float(sum(found.count(t) ** 2 for t in set(found))))
+            for p, t in enumerate(found):
+                if t != "the":
+                    want[d[0], stem(t)].append(p)
+        assert {(r["doc_id"], r["term"]): r["positions"] for r in index.term_vectors(name=field).collect()} == want
+        terms = sorted({t for _, t in want})
+        got = index.postings(terms, field, ("term", "doc_id", "tf", "dl", "positions")).collect()
+        assert {(r["doc_id"], r["term"]): r["positions"] for r in got} == want and all(r["tf"] == len(r["positions"]) and r["dl"] == squares[r["doc_id"]][0] for r in got)
+        assert {r["doc_id"]: (r[f"dl_{field}"], r[f"il_{field}"], r[f"sq_{field}"]) for r in index.table("documents").collect()} == squares
+        for r in index._blocks_in(index.segments[0]).filter(f"field = '{field}'").collect():
+            assert r["docs"] == sorted(r["docs"]) and (r["n"], r["most_tf"], r["least_dl"], r["total"]) == (len(r["docs"]), max(r["tfs"]), min(r["dls"]), sum(r["tfs"]))
