@@ -12,34 +12,40 @@ from pyspark.sql import functions as F
 from loomtext.llm.storage import Scratch, discard, settle
 
 
+#: Rows of a file of links, about.
+ROWS_OF_A_FILE = 50_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """node, label (the smallest node reachable) of every node in ``edges``, by alternating large and small stars.
 
     Every round writes its edges to the shared folder, so lineage never grows. What is known of each node is written
     before it meets the edges: both sides of that equi-join are then plain shuffles, of which adaptive execution
-    splits the one with a node of very many links. ``scratch`` drops the last round's edges with its other tables.
+    splits the one with a node of very many links. The tables have files by their rows, not one for every shuffle
+    partition: few links in many partitions would spend each round on opening files. Rounds end with the first graph of
+    stars, which the least neighbours tell. ``scratch`` drops the last round's edges with its other tables.
     """
     now = settle(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
-    mark = None
+    cores, n = now.sparkSession.sparkContext.defaultParallelism, now.count()
+    by_rows = lambda df: df.coalesce(max(cores, n // ROWS_OF_A_FILE + 1))
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least-neighbours")
-        large = now.join(least.withColumnRenamed("u", "v"), "v").select(F.col("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = settle(large, "large-star")
+        both = now.withColumn("up", F.lit(1)).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(0).alias("up")))
+        least = settle(by_rows(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum("up").alias("up"), F.count("*").alias("links"))), "least-neighbours")
+        n, torn = least.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 or up = 1 and links > 1"))).first()  # in a star, links stand at its least node and each other node has one
+        if not torn:
+            discard(least)
+            if scratch is not None:
+                scratch.held.append(now)
+            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        large = now.join(least.select(F.col("u").alias("v"), "m"), "v").select(F.col("u"), F.col("m").alias("v")).filter("u <> v")
+        large = settle(by_rows(large), "large-star")
         discard(least)
-        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least-of-large")
+        low = settle(by_rows(large.groupBy("u").agg(F.min("v").alias("m"))), "least-of-large")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        new = settle(small, "small-star")
-        discard(large)
-        discard(low)
-        next_mark = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        discard(now)
+        new = settle(by_rows(small), "small-star")
+        for done in (large, low, now):
+            discard(done)
         now = new
-        if next_mark == mark:
-            if scratch is not None:
-                scratch.held.append(now)
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        mark = next_mark
 
 
 def block_pairs(members: DataFrame, bucket: list[str], spread_by: str, block: int) -> DataFrame:

@@ -339,8 +339,7 @@ def _clustered(docs: DataFrame, size: int, percent: int) -> DataFrame:
     read = families.select("node", F.xxhash64("label").alias("family")).join(texts, "node")
     blocked = block_pairs(read, ["family"], "node", EXACT_BLOCK).repartition("family", "_i", "_j").sortWithinPartitions("family", "_i", "_j")
     second = map_batches(blocked, _exact(size, percent), "node binary, centre binary")
-    links = scratch.settle(first.unionByName(second), "links")
-    labels = components(links, "node", "centre", scratch)
+    labels = components(joined.withColumnRenamed("label", "centre").unionByName(second), "node", "centre", scratch)
 
     named = classes.join(labels, "node", "left").select("node", "doc_id", label)
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

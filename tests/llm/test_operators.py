@@ -811,3 +811,35 @@ def test_a_context_joins_its_places_once(spark):
     made = spans_by_context(spark.createDataFrame(rows, "gram long, context long, spans array<struct<start:int,end:int>>"))
     got = {(r["gram"], r["context"]): [tuple(s) for s in r["spans"]] for r in made.collect()}
     assert made.count() == 3 and got == {(1, 1): [(0, 3), (5, 500), (900, 1300)], (1, 2): [(7, 8)], (2, 1): [(7, 9)]}
+
+
+def test_component_rounds_open_few_files(spark, monkeypatch):
+    """Few links in many shuffle partitions: tables of a round have files by their rows, and a graph of stars is done when it is seen."""
+    from loomtext.llm import graph
+    from loomtext.storage import settle
+
+    names, files = [], []
+
+    def counted(df, name):
+        out = settle(df, name)
+        names.append(name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graph, "settle", counted)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = [(i, i + 1) for i in range(200)] + [(500, 500), (-7, 900), (900, 300), (None, 4)]
+        got = graph.components(spark.createDataFrame(chain, "a long, b long")).collect()
+        assert sorted((r["node"], r["label"]) for r in got) == [(-7, -7), *((i, 0) for i in range(201)), (300, -7), (900, -7)]
+        assert max(n for n, name in zip(files, names) if name != "edges") <= spark.sparkContext.defaultParallelism + 1
+        names.clear()
+        stars = [(9, i) for i in range(10, 99)] + [(2, 3)]
+        got = graph.components(spark.createDataFrame(stars, "a long, b long")).collect()
+        assert sorted((r["node"], r["label"]) for r in got) == [(2, 2), (3, 2), (9, 9), *((i, 9) for i in range(10, 99))]
+        assert names == ["edges", "least-neighbours"]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
