@@ -8,7 +8,7 @@ documents     doc_id, stored columns, dl_, il_, sq_ of each field, sorted by doc
 Texts are shuffled once, by document range, and analysed there a batch of documents at a time. The vectors are written by the
 buckets of the blocks, so the documents of a range, or of a chunk of it where texts are long, meet without another shuffle. Tokens and
 postings are never shuffled, so what moves is about the size of the texts; and a task sorts the blocks of one bucket, however many there
-are, so what is sorted at once does not grow with the table.
+are, so what is sorted at once does not grow with the table. Ranges are as wide as ids lie close, gaps between groups of them left out.
 
 Every batch of documents is a segment with tables of its own; a manifest names the segments, the analysis they share (fields,
 stopwords, possessives, stemmer) and each segment's statistics, so that a path is all that opening an index takes. A version
@@ -53,6 +53,8 @@ ROW_GROUP_BYTES = 8 << 20
 BY_ID = 10_000
 #: Documents of a range, on average.
 RANGE_DOCS = 64
+#: Cells of equally many documents, whose spans tell how close ids lie, and how much closer than usual they may lie.
+WIDTH_CELLS, CLOSER = 180, 8
 #: Bytes of text of a bucket, about, and the fewest buckets; tokens of a chunk of a range.
 BUCKET_BYTES, LEAST_BUCKETS, CHUNK_PLACES = 8 << 20, 8, 1 << 18
 #: So many segments of one size are merged; sizes are told apart by powers of it.
@@ -165,6 +167,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Itera
         yield pa.Table.from_batches(held)
 
 
+def width_of(ids: list[int] | None, n: int) -> int:
+    """The width of ranges of about RANGE_DOCS of n documents, whose ids are given at WIDTH_CELLS + 1 equal steps over nine tenths of them. It goes
+    by the usual span of a cell, and where ids lie in far groups by the closest ones, or a range would hold a whole group."""
+    if not n:
+        return 1
+    step = min(WIDTH_CELLS, -(-WIDTH_CELLS * RANGE_DOCS * 2 // n))  # a cell holds more documents than a range
+    spans = sorted(b - a + 1 for a, b in zip(ids, ids[step:]))
+    span = min(spans[len(spans) // 2], CLOSER * spans[len(spans) // 20])
+    return max(1, math.ceil(span * RANGE_DOCS * WIDTH_CELLS / (0.9 * n * step)))
+
+
 def _postings_of(doc: Column, field: str) -> Column:
     """term, doc_id, tf, dl, positions of the terms of a document's field."""
     def posting(term, j):
@@ -267,8 +280,8 @@ class Index:
         manifest["vectors"] = ", ".join(f"`{c}` {kind}" for c, kind in columns)
         index = Index(corpus.docs.sparkSession, path, manifest)
         if id_type in ("bigint", "int", "smallint", "tinyint"):
-            ends, n = corpus.docs.agg(F.percentile_approx(corpus.id, [0.05, 0.95]), F.count(corpus.id)).first()  # without the ends: a stray id does not widen ranges
-            manifest["range_width"] = max(1, math.ceil((ends[1] - ends[0] + 1) / 0.9 * RANGE_DOCS / n)) if n else 1
+            at = [0.05 + 0.9 * i / WIDTH_CELLS for i in range(WIDTH_CELLS + 1)]  # without the ends: a stray id does not widen ranges
+            manifest["range_width"] = width_of(*corpus.docs.agg(F.percentile_approx(corpus.id, at), F.count(corpus.id)).first())
         else:
             manifest["ranges"] = corpus.docs.count() // RANGE_DOCS + 1
         if corpus.stemmer == "dictionary":  # the first batch's words decide, for later batches too

@@ -162,6 +162,31 @@ def test_a_task_sorts_the_blocks_of_one_bucket(spark, tmp_path, monkeypatch):
     assert built[0].segments[0]["buckets"] > 100 and most["rows_written"] > 1300 and most["tasks"] == built[0].segments[0]["buckets"]
 
 
+def test_ranges_of_ids_in_far_groups(spark, tmp_path):
+    """Gaps between groups of ids do not widen ranges, so what one task sorts does not grow with a group."""
+    ids = [g * 10**12 + i for g in (-1, 0, 3) for i in range(500)]
+    df = spark.createDataFrame([(i, f"common w{i % 500} g{i // 10**12}") for i in ids], "doc_id long, text string")
+    index = Index.build(Corpus(df), f"file://{tmp_path}/f")
+    sizes = [r["count"] for r in index._documents_in(index.segments[0]).groupBy("range").count().collect()]
+    assert sum(sizes) == 1500 and max(sizes) <= 128 and len(sizes) < 60
+    assert {r["doc_id"]: r["term"] for r in index.term_vectors([3 * 10**12 + 7]).filter("term like 'w%'").collect()} == {3 * 10**12 + 7: "w7"}
+    assert rows(bounded_search(index, {"q": "common w7 g3"}, k=20).rows) == rows(search(index, {"q": "common w7 g3"}, Model("bm25"), 20))
+
+
+def test_width_of_ranges():
+    from loomtext.operators.index import RANGE_DOCS, WIDTH_CELLS, width_of
+
+    def of(ids):
+        ids = sorted(ids)
+        return width_of([ids[int((len(ids) - 1) * (0.05 + 0.9 * i / WIDTH_CELLS))] for i in range(WIDTH_CELLS + 1)], len(ids))
+
+    assert width_of(None, 0) == 1 and of([5]) <= RANGE_DOCS * 2 and of([5] * 1000) == 1
+    assert 55 <= of(range(100_000)) <= 75 and 550 <= of(range(0, 1_000_000, 10)) <= 750 and 550 <= of(range(-1_000_000, 0, 10)) <= 750
+    for groups in (2, 60, 150):
+        assert 50 <= of(g * 10**9 + i for g in range(groups) for i in range(120_000 // groups)) <= 8 * 80
+    assert of([*range(40_000), *range(10**9, 10**9 + 60_000 * 10**6, 10**6)]) <= 8 * 80  # two fifths lie close
+
+
 def test_blocks_and_vectors_hold_the_tokens(spark, tmp_path):
     """Against plain Python: stopwords, stems that meet other words, empty and null texts, letters beyond the first plane, several fields, chunks of a range."""
     import re
