@@ -18,7 +18,7 @@ MEASURED = (
 def measured(spark: SparkSession, queries: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """Runs each query once, without keeping its rows: a row for each stage that ran, among them those that ran while its plan was made, or one of null stage where none did.
 
-    Stages are those of the jobs of the query's own group, so what else the application does is not counted. Skipped stages did not run.
+    Stages are those of the jobs of the query's own group, so what else the application does is not counted. Skipped stages did not run. Raises RuntimeError where Spark has forgotten a stage that did.
     """
     sc = spark.sparkContext
     store = sc._jsc.sc().statusStore()
@@ -37,13 +37,19 @@ def measured(spark: SparkSession, queries: dict[str, Callable[[], DataFrame]]) -
         sc._jsc.sc().listenerBus().waitUntilEmpty()
         found = []
         for job in sc.statusTracker().getJobIdsForGroup(group):
+            ran = 0
             for stage in sc.statusTracker().getJobInfo(job).stageIds:
+                if sc.statusTracker().getStageInfo(stage) is None:  # forgotten: of more stages than spark.ui.retainedStages skipped ones go first
+                    continue
                 s = store.lastStageAttempt(stage)
                 if s.status().toString() in ("COMPLETE", "FAILED"):
+                    ran += 1
                     found.append((
                         int(stage), s.numTasks(), s.inputRecords(), s.inputBytes(), s.outputRecords(), s.outputBytes(), s.shuffleReadRecords(), s.shuffleReadBytes(),
                         s.shuffleWriteBytes(), s.diskBytesSpilled(), s.executorRunTime() / 1000.0, s.peakExecutionMemory(),
                     ))
+            if ran < store.job(job).numCompletedStages():
+                raise RuntimeError(f"stages of {name} are forgotten; raise spark.ui.retainedStages")
         rows += [(name, rows_out, seconds, *s) for s in sorted(set(found))] or [(name, rows_out, seconds, *[None] * 12)]
     return spark.createDataFrame(rows, MEASURED)
 
