@@ -53,8 +53,9 @@ ROW_GROUP_BYTES = 8 << 20
 BY_ID = 10_000
 #: Documents of a range, on average.
 RANGE_DOCS = 64
-#: Cells of equally many documents, whose spans tell how close ids lie, and how much closer than usual they may lie.
-WIDTH_CELLS, CLOSER = 180, 8
+#: Cells of equally many documents, whose spans tell how close ids lie: so many, and more in a large table, each of CELL_DOCS, so that a cell is smaller
+#: than a group of ids; and how much closer than usual they may lie.
+WIDTH_CELLS, MOST_CELLS, CELL_DOCS, CLOSER = 180, 2000, 256, 8
 #: Bytes of text of a bucket, about, and the fewest buckets; tokens of a chunk of a range.
 BUCKET_BYTES, LEAST_BUCKETS, CHUNK_PLACES = 8 << 20, 8, 1 << 18
 #: So many segments of one size are merged; sizes are told apart by powers of it.
@@ -168,14 +169,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], fields: tuple[str, ...]) -> Itera
 
 
 def width_of(ids: list[int] | None, n: int) -> int:
-    """The width of ranges of about RANGE_DOCS of n documents, whose ids are given at WIDTH_CELLS + 1 equal steps over nine tenths of them. It goes
+    """The width of ranges of about RANGE_DOCS of n documents, whose ids are given at the ends of cells, equal steps over nine tenths of them. It goes
     by the usual span of a cell, and where ids lie in far groups by the closest ones, or a range would hold a whole group."""
     if not n:
         return 1
-    step = min(WIDTH_CELLS, -(-WIDTH_CELLS * RANGE_DOCS * 2 // n))  # a cell holds more documents than a range
+    cells = len(ids) - 1
+    step = min(cells, -(-cells * RANGE_DOCS * 2 // n))  # a cell holds more documents than a range
     spans = sorted(b - a + 1 for a, b in zip(ids, ids[step:]))
     span = min(spans[len(spans) // 2], CLOSER * spans[len(spans) // 20])
-    return max(1, math.ceil(span * RANGE_DOCS * WIDTH_CELLS / (0.9 * n * step)))
+    return max(1, math.ceil(span * RANGE_DOCS * cells / (0.9 * n * step)))
+
+
+def range_width(docs: DataFrame, key: str) -> int:
+    """The width of ranges for the ids of some documents."""
+    cells = min(MOST_CELLS, max(WIDTH_CELLS, docs.count() // CELL_DOCS))
+    at = [0.05 + 0.9 * i / cells for i in range(cells + 1)]  # without the ends: a stray id does not widen ranges
+    return width_of(*docs.agg(F.percentile_approx(key, at, 10 * MOST_CELLS), F.count(key)).first())
 
 
 def _postings_of(doc: Column, field: str) -> Column:
@@ -280,8 +289,7 @@ class Index:
         manifest["vectors"] = ", ".join(f"`{c}` {kind}" for c, kind in columns)
         index = Index(corpus.docs.sparkSession, path, manifest)
         if id_type in ("bigint", "int", "smallint", "tinyint"):
-            at = [0.05 + 0.9 * i / WIDTH_CELLS for i in range(WIDTH_CELLS + 1)]  # without the ends: a stray id does not widen ranges
-            manifest["range_width"] = width_of(*corpus.docs.agg(F.percentile_approx(corpus.id, at), F.count(corpus.id)).first())
+            manifest["range_width"] = range_width(corpus.docs, corpus.id)
         else:
             manifest["ranges"] = corpus.docs.count() // RANGE_DOCS + 1
         if corpus.stemmer == "dictionary":  # the first batch's words decide, for later batches too

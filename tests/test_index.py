@@ -187,6 +187,17 @@ def test_width_of_ranges():
     assert of([*range(40_000), *range(10**9, 10**9 + 60_000 * 10**6, 10**6)]) <= 8 * 80  # two fifths lie close
 
 
+def test_width_where_groups_of_ids_are_many(spark):
+    """Cells are smaller than a group of ids, however many groups there are: else every cell spans a gap and a range holds a whole group."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators.index import range_width
+
+    ids = spark.range(150_000).select((F.floor(F.col("id") / 600) * 10**9 + F.col("id") % 600).alias("doc_id"))
+    assert 50 <= range_width(ids, "doc_id") <= 80
+    assert 55 <= range_width(spark.range(150_000), "id") <= 75 and range_width(ids.filter("false"), "doc_id") == 1
+
+
 def test_blocks_and_vectors_hold_the_tokens(spark, tmp_path):
     """Against plain Python: stopwords, stems that meet other words, empty and null texts, letters beyond the first plane, several fields, chunks of a range."""
     import re
