@@ -341,6 +341,22 @@ def welcomes(events: DataFrame) -> DataFrame:
     return present(stayed.select("room", F.col("since").alias("seq"), "user_id"), stayed)
 
 
+def broadcasts(events: DataFrame) -> DataFrame:
+    """room, seq, receivers: how many others are in the room at each event (room, seq, user_id, action), where there are any.
+
+    Joins less leaves are summed along a room and the sender is taken off, so no event meets the stays of its room; a task
+    sorts one room at least. Events without a room, a place or a user count for nothing.
+    """
+    own, room = Window.partitionBy("room", "user_id").orderBy("seq"), Window.partitionBy("room").orderBy("seq")
+    there = F.coalesce(F.col("action") == "join", F.lit(False)).cast("int")
+    rows = events.select("room", "seq", "user_id", there.alias("there")).dropna()
+    turns = rows.select("room", "seq", (F.col("there") - F.lag("there", 1, 0).over(own)).alias("change"), F.last("there").over(own).alias("sender"))
+    same = room.rangeBetween(Window.currentRow, Window.currentRow)
+    receivers = F.sum("change").over(room) * F.count("*").over(same) - F.sum("sender").over(same)
+    sent = turns.select("room", "seq", receivers.alias("receivers"), F.lead("seq").over(room).alias("after"))
+    return sent.filter((F.col("receivers") > 0) & ~F.col("seq").eqNullSafe(F.col("after"))).select("room", "seq", "receivers")
+
+
 def dispatch(packets: DataFrame) -> DataFrame:
     """Adds ``target``, where a client takes a packet (flag, action): a failure leads to the login or the profile page, a success to the chat, the editor or the access list."""
     action = F.coalesce("action", F.lit(""))

@@ -1,6 +1,10 @@
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from loomtext.operators import collab, diversity, markdown
+from loomtext.plans.editor_queries import ORACLE_SQL, QUERIES
 
 
 def test_edits(spark):
@@ -81,6 +85,34 @@ def test_rooms(spark):
     assert heard == {1: {5}, 2: {5, 6}, 6: {6, 7}, 7: {5, 6, 7}}
 
 
+def test_broadcasts_count_what_present_lists(spark):
+    rng = random.Random(4)
+    places = {(rng.randrange(3), rng.randrange(150), rng.randrange(6)) for _ in range(900)}
+    events = [(*p, rng.choice(["join", "join", "leave", "talk", None])) for p in places] + [(0, 7, None, "join"), (None, 7, 1, "join"), (0, None, 1, "leave"), (9, 1, 1, "join")]
+    df = spark.createDataFrame(events, "room long, seq long, user_id long, action string")
+    heard = collab.present(df.select("room", "seq", "user_id"), collab.stays(df.dropna(subset=["seq"]))).filter("receiver <> user_id")
+    assert len({e[:2] for e in events}) < len(events)
+    assert {(r["room"], r["seq"]): r["receivers"] for r in collab.broadcasts(df).collect()} == {(r["room"], r["seq"]): r["count"] for r in heard.groupBy("room", "seq").count().collect()}
+
+
+def test_broadcasts_do_not_list_receivers(spark, tmp_path):
+    """No step makes more rows than there are events, though nearly every one has many receivers."""
+    events = spark.range(600).select((F.col("id") * 40).alias("event_id"), (F.col("id") * 7).alias("user_id"), F.when(F.col("id") % 4 == 3, "error").otherwise("view").alias("event_type"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    sent = QUERIES["room_broadcasts"](spark, str(tmp_path))
+    got = sorted((r["room"], r["seq"], r["receivers"]) for r in sent.collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(duck.execute(ORACLE_SQL["room_broadcasts"]).fetchall()) and sum(r[2] for r in got) > 6000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = store.executionsList().last().executionId()
+    nodes, values = store.planGraph(ran).allNodes(), store.executionMetrics(ran)
+    measures = [nodes.apply(i).metrics().apply(j) for i in range(nodes.size()) for j in range(nodes.apply(i).metrics().size())]
+    made = [int(values.apply(m.accumulatorId()).replace(",", "")) for m in measures if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    assert made and max(made) <= 600
+
+
 def test_fields_that_are_null_and_places_with_fractions(spark):
     bodies = ['"content":null', '"content":"c"', '"content":null,"start":1.5,"end":2', '"content":"c","start":"1.5","end":2', '"content":"c","start":true,"end":2', '"other":1', '"content":"c","shared_user":null']
     actions = ["chat", "chat", "doc/add", "doc/add", "doc/add", "chat", "addUser"]
